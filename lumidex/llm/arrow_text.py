@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The characters that separate words: space and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
@@ -28,7 +29,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         upto, start = np.cumsum(sizes, dtype=np.int64), 0
         while start < len(sizes):
             base = upto[start - 1] if start else 0

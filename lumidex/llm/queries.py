@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import quality_rules, simhash
 from .shared import table
 
 
@@ -13,5 +13,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hexed(out.fp).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op6_quality_rules": op6_quality_rules, "op4_simhash": op4_simhash}
 ORACLE_SQL: dict[str, str] = {}
