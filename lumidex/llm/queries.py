@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, simhash
+from . import quality_rules, sentencepieces, simhash, token_files
 from .shared import table
 
+PIECES, WORDS, END = "piece_bpe_32k.model", "word_bpe_49k.json", 2
 
-def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +23,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hexed(out.fp).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules, "op4_simhash": op4_simhash}
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.checksums(token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), END))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_simhash, op5_token_files, op6_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
