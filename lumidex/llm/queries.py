@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sentencepieces, simhash, token_files
-from .shared import table
+from . import decontamination, language_id, pii, quality_classifier, quality_rules, sentencepieces, simhash, token_files, toxicity
+from .shared import held_out, labelled, table
 
 PIECES, WORDS, END = "piece_bpe_32k.model", "word_bpe_49k.json", 2
 
@@ -32,5 +32,38 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_simhash, op5_token_files, op6_quality_rules)}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.predict(docs, language_id.fit(docs, 4, 2))
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = pii.find(docs, pii.fit(docs))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.stop)), ",")
+    base = F.filter("spans", lambda s: s.base)
+    count = [(F.size(base) - F.size(F.array_remove(base.kind, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *count, F.sha2(told(base), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality_classifier.fit(labelled(spark, sf_dir, "quality", 3, 1, quality_classifier.SAMPLE))
+    out = quality_classifier.score(table(spark, sf_dir, "documents"), model)
+    return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = toxicity.fit(labelled(spark, sf_dir, "toxic", 4, 2, toxicity.SAMPLE))
+    out = toxicity.score(table(spark, sf_dir, "documents"), lexicon)
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_simhash, op5_token_files, op6_quality_rules, op7_pii, op8_quality_classifier, op9_decontamination, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
