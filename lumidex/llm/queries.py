@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, pii, quality_classifier, quality_rules, sentencepieces, simhash, token_files, toxicity
+from . import decontamination, language_id, pii, quality_classifier, quality_rules, sentencepieces, simhash, substrings, token_files, toxicity
 from .shared import held_out, labelled, table
 
 PIECES, WORDS, END = "piece_bpe_32k.model", "word_bpe_49k.json", 2
@@ -18,6 +18,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.classes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hexed(out.fp).alias("fingerprint"), "component_id")
@@ -65,5 +70,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op4_simhash, op5_token_files, op6_quality_rules, op7_pii, op8_quality_classifier, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_substrings, op4_simhash, op5_token_files, op6_quality_rules, op7_pii, op8_quality_classifier, op9_decontamination, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
