@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    sc = spark.sparkContext
-    where = sc._jsc.sc().getCheckpointDir()
-    if where.isDefined():
-        return where.get()
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small or reused table with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["cut", "held_out", "labelled", "shared_dir", "stored", "table"]
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

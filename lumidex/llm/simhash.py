@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text
-from .components import roots
+from ..operators.components import roots
 from .shared import cut
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
