@@ -26,6 +26,7 @@ an empty table gives no block and an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,16 +41,41 @@ from .shared import shared_dir
 
 LONGEST, STEP = 16, 64
 BLOCK_IDS = 1 << 17
-REMEMBERED = 900_000
+REMEMBERED = 400_000
 
 
 class Encoder:
+    """Ids of whole texts. Chunks of letters of one Latin block, with a full stop or comma at most, share the ids of their
+    lower-case letters; the new ones of a batch are encoded together, as the vocabulary marks the token that ends a word."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.size = t.get_vocab_size()
         self.seen: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {}
+        self.marks = np.zeros(self.size, bool)
+        for token, i in t.get_vocab().items():
+            self.marks[i] = token.endswith("</w>")
+        self.signs = {x: self._one(x) for x in ("", ".", ",")}
+        probe = ["Abc", "été,", "Zoë."]
+        self.shares = bool(self.marks.any()) and all(self._one(x) == self._one(m[1].lower()) + self.signs[m[2]] for x in probe if (m := SIMPLE(x)))
+
+    def _one(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, np.int32).tobytes()
+
+    def _learn(self, cores: list[str]) -> None:
+        for at in range(0, len(cores), 1024):
+            some = cores[at : at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.marks[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                self.cores.update((c, self._one(c)) for c in some)
+                continue
+            raw = ids.tobytes()
+            self.cores.update((c, raw[4 * s : 4 * e]) for c, s, e in zip(some, [0, *ends.tolist()], ends.tolist(), strict=False))
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         last = np.array([end], np.int32).tobytes()
@@ -60,30 +86,52 @@ class Encoder:
             seen.clear()
             seen[""] = b""
             new = list({c for cs in cut for c in cs if c})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+        if len(self.cores) + len(new) > 2 * REMEMBERED:
+            self.cores.clear()
+        simple = [(c, m[1].lower(), m[2]) for c in new if (m := SIMPLE(c))] if self.shares else []
+        self._learn(list({core for _, core, _ in simple if core not in self.cores}))
+        for c, core, sign in simple:
+            seen[c] = self.cores[core] + self.signs[sign]
+        rest = [c for c in new if c not in seen]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             for c, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 seen[c] = np.array(x.ids, np.int32).tobytes()
         return [b"".join([seen[c] for c in cs]) + last for cs in cut]
 
 
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 _encoders: dict[str, Encoder] = {}
 
 
-def encode(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """(doc_id, ids) of every row: the whole text's ids and the end id."""
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def width(path: str) -> str:
+    """The type that ids of a vocabulary are packed in between the steps."""
+    return "<u2" if encoder(path).size <= 1 << 16 else "<u4"
+
+
+def encode(docs: DataFrame, path: str, end: int, packed: str = "") -> DataFrame:
+    """(doc_id, ids) of every row: the whole text's ids and the end id; as an array, or as bytes of the type `packed`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
         for b in arrow_text.slices(batches, limit=1 << 20):
-            coded = _encoders[path].encode([t or "" for t in b.column(1).to_pylist()], end)
+            coded = encoder(path).encode([t or "" for t in b.column(1).to_pylist()], end)
             upto = np.zeros(len(coded) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in coded], out=upto[1:])
-            ids = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+            values = np.frombuffer(b"".join(coded), np.int32)
+            if packed:
+                raw = values.astype(packed)
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(coded), [None, pa.py_buffer(upto * np.int32(raw.itemsize)), pa.py_buffer(raw)])
+            else:
+                ids = pa.ListArray.from_arrays(pa.array(upto), pa.array(values))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids " + ("binary" if packed else "array<int>"))
 
 
 def code_lengths(counts: dict[int, int], longest: int = LONGEST) -> dict[int, int]:
@@ -163,7 +211,19 @@ class Book:
         return out.ravel()[:total]
 
 
-def _blocks(book: Book, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the ids of a whole partition."""
+    counts = np.zeros(0, np.int64)
+    for b in batches:
+        more = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind).astype(np.int64))
+        wide, narrow = (more, counts) if len(more) > len(counts) else (counts, more)
+        counts = wide.copy()
+        counts[: len(narrow)] += narrow
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["id", "n"])
+
+
+def _blocks(book: Book, kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted documents of one range -> blocks. A document may be longer than a block is meant to be; it's never split."""
     from pyspark import TaskContext
 
@@ -179,9 +239,8 @@ def _blocks(book: Book, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32())), strict=True)], names=["part", "first", "doc_id", "sizes", "payload", "checkpoints"])
 
     for b in batches:
-        offsets, values = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
-        for i, doc in enumerate(b.column(0).to_pylist()):
-            held.append((doc, values[offsets[i] : offsets[i + 1]]))
+        for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            held.append((doc, np.frombuffer(raw, kind).astype(np.int32)))
             size += len(held[-1][1])
             if size >= BLOCK_IDS:
                 yield flush()
@@ -189,15 +248,15 @@ def _blocks(book: Book, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield flush()
 
 
-def write(coded: DataFrame, path: str) -> None:
-    """Write (doc_id, ids) as sorted blocks under path/blocks and the code book under path/book; the input is read three times."""
+def write(coded: DataFrame, path: str, kind: str) -> None:
+    """Write (doc_id, ids packed as `kind`) as sorted blocks under path/blocks and the code book under path/book; the input is read three times."""
     spark = coded.sparkSession
-    counts = coded.select(F.explode("ids").alias("id")).groupBy("id").count()
-    lengths = code_lengths({r["id"]: r["count"] for r in counts.collect()})  # as many rows as the vocabulary at most
+    counts = coded.select("ids").mapInArrow(lambda batches: _counted(kind, batches), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    lengths = code_lengths({r["id"]: r["n"] for r in counts.collect()})  # as many rows as the vocabulary at most
     spark.createDataFrame(sorted(lengths.items()), "symbol int, length int").coalesce(1).write.parquet(f"{path}/book")
     book = Book(lengths)
-    dealt = coded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.size("ids"), "ids")
-    blocks = dealt.mapInArrow(lambda batches: _blocks(book, batches), "part int, first long, doc_id array<long>, sizes array<long>, payload binary, checkpoints array<int>")
+    dealt = coded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.octet_length("ids"), "ids")
+    blocks = dealt.mapInArrow(lambda batches: _blocks(book, kind, batches), "part int, first long, doc_id array<long>, sizes array<long>, payload binary, checkpoints array<int>")
     blocks.write.parquet(f"{path}/blocks")
 
 
@@ -228,8 +287,9 @@ def round_trip(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     """Write the documents' ids to files in the shared folder and read them back: (doc_id, start, ids)."""
     spark = docs.sparkSession
     at = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    encode(docs, tokenizer, end).write.option("compression", "zstd").parquet(f"{at}/ids")
-    write(spark.read.schema("doc_id long, ids array<int>").parquet(f"{at}/ids"), f"{at}/out")
+    kind = width(tokenizer)
+    encode(docs, tokenizer, end, kind).write.option("compression", "zstd").parquet(f"{at}/ids")
+    write(spark.read.schema("doc_id long, ids binary").parquet(f"{at}/ids"), f"{at}/out", kind)
     return read(spark, f"{at}/out")
 
 
