@@ -69,15 +69,17 @@ def features(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
     df = df.withColumn("_w", F.filter(F.split("_t", GAPS), lambda w: w != ""))
     df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = _repeat_words(df)
-    return df.select(
-        *keep,
+    counts = F.struct(
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         F.size("_l").cast("long").alias("n_lines"),
-    ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    )
+    # one row in, one row out; a filter on a count can't move below it and repeat the expressions
+    df = df.select(*keep, F.explode(F.array(counts)).alias("_x")).select(*keep, "_x.*")
+    return df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def stratum() -> Column:
