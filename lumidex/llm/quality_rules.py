@@ -23,7 +23,7 @@ from math import exp, lgamma, log, log1p
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, stored
 
 GAPS = r"[\x20\x09-\x0D]+"
 #: Strata by number of words: upper bounds, exclusive.
@@ -136,10 +136,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
 
 
 def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The documents that are kept, with all their columns and nothing shuffled but the narrow counts of labelled rows."""
-    chosen = cutoffs(features(docs), labels, risk, delta)
+    """The documents that are kept, with all their columns. Counted once: rows are written with their counts, and
+    the cutoffs and the filter read them from there, so no text is shuffled and none is counted twice."""
     names = [f"_c{k}" for k in range(len(docs.columns))]
-    own = docs.toDF(*names)
-    at = docs.columns.index("text")
-    judged = features(own.withColumn("text", F.col(names[at])), tuple(names))
-    return judged.where(verdict(chosen)).select(*names).toDF(*docs.columns)
+    own = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
+    counted = stored(features(own, tuple(names)), "quality-counts")
+    chosen = cutoffs(counted.withColumnRenamed(names[docs.columns.index("doc_id")], "doc_id"), labels, risk, delta)
+    return counted.where(verdict(chosen)).select(*names).toDF(*docs.columns)
