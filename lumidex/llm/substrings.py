@@ -166,9 +166,12 @@ def _packed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                 else:
                     for i in range(s, s + n):
                         w = b" ".join(words[i : i + window])
-                        single[w] = min(single.get(w, (doc, i)), (doc, i))
-                        if single[w] != (doc, i):  # known in the slice, so a copy; it needs no string
-                            for column, v in zip(out, (None, b"", doc, i), strict=True):
+                        known = single.get(w)
+                        if known is None:
+                            single[w] = (doc, i)
+                        else:  # twice in the slice, so the later of the two is a copy; it needs no string. Rows come in any order
+                            single[w], later = sorted((known, (doc, i)))
+                            for column, v in zip(out, (None, b"", *later), strict=True):
                                 column.append(v)
         for w, (doc, i) in single.items():
             for column, v in zip(out, (hash_of(w), w, doc, i), strict=True):

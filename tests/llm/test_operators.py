@@ -102,6 +102,41 @@ def test_substrings_repeated_ids(spark, make):
     assert sorted((r.doc_id or -1, r.n_removed) for r in rows) == [(-1, 0), (5, 0), (5, 30), (7, 0)]
 
 
+JOINS = {
+    "broadcast": {"spark.sql.autoBroadcastJoinThreshold": "10m"},
+    "hash": {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"},
+    "merge": {"spark.sql.autoBroadcastJoinThreshold": "-1"},
+}
+
+
+@pytest.mark.parametrize("join", sorted(JOINS))
+def test_substrings_of_unordered_rows(spark, make, join):
+    draw = np.random.default_rng(5)
+    hot = " ".join(f"h{k}" for k in range(40))
+    rows = [" ".join([*draw.choice(list("abcdefgh"), 30), hot[3 * (k % 7) :], *draw.choice(list("ijklmnop"), 30)]) for k in range(60)]
+    df = make(rows, range(60, 0, -1)).repartition(16)
+    old = {k: spark.conf.get(k, None) for k in JOINS[join]}
+    try:
+        for k, v in JOINS[join].items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove(df, large=1).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == brute_windows(texts(df), 20)
+
+
+def test_substrings_displaced_windows_are_copies():
+    import pyarrow as pa
+
+    text, asked = " ".join(map(str, range(20))), [[{"kind": 2, "bucket": 1, "start": 0, "n": 1}]]
+    for ids in ([5, 7, 9], [9, 7, 5], [7, 5, 9]):
+        batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([text] * 3), pa.array(asked * 3)], names=["doc_id", "text", "asked"])
+        rows = [r for b in substrings._packed(iter([batch]), 20) for r in b.to_pylist()]
+        assert sorted(r["doc_id"] for r in rows if r["bucket"] is None) == [7, 9]
+        assert [r["doc_id"] for r in rows if r["bucket"] is not None] == [5]
+
+
 def brute_fingerprint(text):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
