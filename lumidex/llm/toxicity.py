@@ -4,7 +4,7 @@ Folding lower-cases, maps homoglyphs and digit substitutions to the letters they
 stand for, one character for one, and keeps runs of letters as words. Lexicon
 entries are whole words or beginnings of words. They are learned on about
 `SAMPLE` labelled documents: all words and beginnings of 4 to 8 letters are
-counted by documents of either label, near copies once; those whose log-odds have
+counted by documents of either label, near copies of equal label once; those whose log-odds have
 a high lower bound are taken, the surest first and none that a chosen beginning of
 it already stands for. An entry's weight is its log-odds. Word pairs around an entry that
 labelled clean documents use at least as often as their share become exception
@@ -32,9 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text
+from .shared import stored
 
 SAMPLE, CANDIDATES, LEAST, SUREST = 30_000, 4000, 5, 1.0
 SHORTEST, LONGEST = 4, 8
+#: Near copies: words of a shingle, the share of shingles in common, and bands of minimal hashes; of rows at that share, 99 in 100 have a band in common.
+SHINGLE, NEAR, BANDS, BAND = 5, 0.8, 24, 8
+_TIMES, _PLUS = np.random.default_rng(7).integers(0, 1 << 63, (2, BANDS * BAND), np.uint64) * np.uint64(2) + np.uint64(1)
 POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 # Characters that are written for others.
@@ -111,22 +115,88 @@ class Lexicon:
         return float(1 / (1 + np.exp(-(self.slope * np.log1p(self.sums(folded(text or ""))) + self.shift))))
 
 
+def _shingles(words: list[str]) -> np.ndarray:
+    """Distinct hashes of the runs of `SHINGLE` words; shorter texts have one, the whole."""
+    runs = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(r) for r in runs), np.uint64, len(runs)))
+
+
+def _bands(shingles: np.ndarray) -> np.ndarray:
+    """One hash for each band of minimal hashes."""
+    low = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 4096):
+        low = np.minimum(low, (shingles[at : at + 4096] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in low.reshape(BANDS, BAND)], np.uint64).view(np.int64)
+
+
+def _together(y: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """The first row of each row's component, where rows of equal label that share a band are linked."""
+    top = list(range(len(y)))
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for k in range(bands.shape[1]):
+        first: dict[tuple[int, int], int] = {}
+        for i, key in enumerate(zip(y.tolist(), bands[:, k].tolist(), strict=True)):
+            u, v = sorted((root(i), root(first.setdefault(key, i))))
+            top[v] = u
+    return np.array([root(i) for i in range(len(y))], np.int64)
+
+
+def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by component, those that aren't near copies of an earlier kept one of it."""
+    last, kept = None, []
+    for b in arrow_text.slices(batches):
+        stay = []
+        for part, size, text in zip(b["part"].to_pylist(), b["size"].to_pylist(), b["text"].to_pylist(), strict=True):
+            if part != last:
+                last, kept = part, []
+            fresh = True
+            if size > 1:
+                mine = _shingles(folded(text))
+                for other in kept:
+                    n, most = sorted((len(mine), len(other)))
+                    if n >= NEAR * most:
+                        both = len(np.intersect1d(mine, other, assume_unique=True))
+                        if both >= NEAR * (n + most - both):
+                            fresh = False
+                            break
+                if fresh:
+                    kept.append(mine)
+            stay.append(fresh)
+        yield b.select(["doc_id", "text", "y"]).filter(pa.array(stay))
+
+
 def _once(sample: DataFrame) -> DataFrame:
-    """The sample without near copies, whose words would all look telling: rows that share either of two minimal hashes of word pairs."""
+    """(doc_id, text, y) of the sample without near copies, whose words would all look telling.
+
+    Near copies have equal labels and share `NEAR` of their distinct runs of words. Rows
+    that share a band are candidates; their hashes (a bounded number of rows) reach the
+    driver, which tells components of candidates. In each, row by row, what is no near
+    copy of a kept row is kept, by the shingles themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_text.slices(batches):
-            low = [[], []]
-            for t in b.column(1).to_pylist():
-                words = folded(t)
-                pairs = {f"{u} {v}" for u, v in zip(words, words[1:], strict=False)} or {" ".join(words)}
-                for k in (0, 1):
-                    low[k].append(min(xxhash.xxh64_intdigest(p, k) for p in pairs) >> 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in low)], names=["doc_id", "m", "w"])
-
-    keys = sample.select("doc_id", "text").mapInArrow(run, "doc_id long, m long, w long")
-    kept = keys.groupBy("m").agg(F.min_by(F.struct("doc_id", "w"), "doc_id").alias("x")).groupBy("x.w").agg(F.min("x.doc_id").alias("doc_id"))
-    return sample.join(F.broadcast(kept.select("doc_id")), "doc_id")  # as many ids as the sample at most
+            words = [folded(t) for t in b.column(1).to_pylist()]
+            same = [xxhash.xxh3_128_hexdigest(" ".join(w)) for w in words]
+            bands = [_bands(_shingles(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(same, pa.string()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text", "y", "same", "bands"])
+
+    marked = stored(sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, text string, y int, same string, bands array<long>"), "marked")
+    rows = marked.groupBy("y", "same").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).toArrow().sort_by([("doc_id", "ascending"), ("same", "ascending"), ("y", "ascending")])
+    if not rows.num_rows:
+        return marked.select("doc_id", "text", "y")
+    part = _together(rows["y"].to_numpy(), np.array(rows["bands"].to_pylist(), np.int64))
+    size = np.bincount(part)[part]
+    told = sample.sparkSession.createDataFrame(rows.select(["doc_id", "y", "same"]).append_column("part", pa.array(part)).append_column("size", pa.array(size)))
+    one = marked.drop("bands").dropDuplicates(["doc_id", "y", "same"]).join(F.broadcast(told), ["doc_id", "y", "same"])
+    ordered = one.select("doc_id", "text", "y", "same", "part", "size").repartition("part").sortWithinPartitions("part", "doc_id", "same")
+    return stored(ordered.mapInArrow(_leaders, "doc_id long, text string, y int"), "once")
 
 
 def _counted(sample: DataFrame) -> DataFrame:

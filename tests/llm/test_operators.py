@@ -284,6 +284,21 @@ def test_toxicity_folds_disguises():
     assert lexicon.score("you cl0wn") > 0.5 > lexicon.score("the circus clown") == lexicon.score(None)
 
 
+def test_toxicity_learns_from_all_but_near_copies(spark):
+    draw = np.random.default_rng(11)
+    fresh = lambda n: [f"w{''.join(chr(97 + int(c)) for c in str(k))}" for k in draw.integers(0, 10**6, n)]
+    # six words only: many pairs in common, hardly any run of five
+    rows = [(k, " ".join(draw.choice("ever of the same few words".split(), 40)), k % 3 // 2, False) for k in range(60)]
+    long = fresh(200)
+    rows += [(100 + k, " ".join([*long[:k], "new", *long[k + 1 :]]), 1, False) for k in range(10, 190, 20)]  # near copies: 9 rows, one stays
+    rows += [(400, " ".join(long), 0, False), (401, " ".join(long).upper(), 0, False)]  # of the other label: one stays
+    rows += [(500, " ".join([*long[:100], *fresh(100)]), 1, False)]  # a half in common: stays
+    rows += [(600, "a b", 0, False), (600, "a b", 0, False), (600, "b a", 0, False), (601, "", 0, False), (602, "", 1, False)]  # a row twice; repeated id
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int, held boolean").repartition(5)
+    kept = sorted((r.doc_id, r.y) for r in toxicity._once(df).collect())
+    assert kept == sorted([*((k, k % 3 // 2) for k in range(60)), (110, 1), (400, 0), (500, 1), (600, 0), (600, 0), (601, 0), (602, 1)])
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as cp
 
