@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import arrow_text
 from ..operators.components import roots
-from .shared import cut
+from .shared import cut, stored
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
@@ -103,9 +103,15 @@ def hexed(fp):
 
 
 def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The input with all columns, but of each component only the document whose id names it; exact repeats of a row's id and text once."""
-    found = cut(classes(docs, radius))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    n, distinct = found.agg(F.count("*"), F.countDistinct(F.coalesce("doc_id", F.lit(-1)))).first()
-    return kept if n == distinct else kept.dropDuplicates(["doc_id", "text"])
+    """The input with all columns, but of each component only one row: that of the smallest id (null last), then of the smallest text."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # ids may repeat or be null
+    found = classes(rows.select(F.col("_row").alias("doc_id"), "text"), radius).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_part"))
+    # short stand-ins for rows travel; texts decide only between rows of one id
+    placed = cut(rows.select("_row", F.col("doc_id").cast("long").alias("_id")).join(found, "_row"))
+    order = F.struct(F.col("_id").isNull().alias("void"), "_id")
+    least = placed.groupBy("_part").agg(F.min(order).alias("x")).select("_part", F.col("x._id").alias("_least"))
+    ties = placed.join(least, "_part").where(F.col("_id").eqNullSafe(F.col("_least"))).groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("_row"), F.first("_least").alias("_least"))
+    clear = ties.where("n = 1").select("_row")
+    tied = placed.join(ties.where("n > 1").select("_part", "_least"), "_part").where(F.col("_id").eqNullSafe(F.col("_least"))).select("_row", "_part")
+    chosen = rows.select("_row", "text").join(tied, "_row").groupBy("_part").agg(F.min_by("_row", F.struct(F.coalesce("text", F.lit("")), "_row")).alias("_row")).select("_row")
+    return rows.join(clear.union(chosen), "_row", "left_semi").select(docs.columns)

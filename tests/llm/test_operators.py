@@ -171,6 +171,25 @@ def test_simhash_equals_brute_force(spark, docs, make):
         assert got == {d: (prints[d], want[d]) for d in prints}
 
 
+def test_dedup_repeated_and_null_ids(spark, make):
+    draw = np.random.default_rng(2)
+    one, two, three, four = (" ".join(f"{c}{k}" for k in draw.integers(0, 10**6, 300)) for c in "abcd")
+    near = one.upper()  # the same fingerprint
+    cases = [
+        ([(5, one), (5, two), (3, two)], [(3, two), (5, one)]),
+        ([(None, one), (None, two), (4, two), (None, three)], [(4, two), (None, one), (None, three)]),
+        ([(5, one), (5, near)], [(5, min(one, near))]),
+        ([(None, near), (None, one), (None, one)], [(None, min(one, near))]),
+        ([(5, one), (5, one), (6, four), (6, four), (2, four)], [(5, one), (2, four)]),
+        ([], []),
+    ]
+    for rows, want in cases:
+        df = make([t for _, t in rows], [i for i, _ in rows])
+        out = simhash.dedup(df)
+        assert out.columns == df.columns
+        assert collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter(want)
+
+
 def test_quality_rule_counts(spark, docs, make):
     for df in (docs, make([*ODD, "x y\nx y\n\nz\n#$ & <>"]), make([])):
         known = texts(df)
