@@ -6,7 +6,7 @@ bytes of text, so memory does not follow the number of rows in an Arrow batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,3 +127,50 @@ def strings(words: Words) -> pa.Array:
     """The words as a pyarrow string array without copying the body; needs a body from joined()."""
     offsets = np.append(words.start, len(words.body)).astype(np.int64)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.start), [None, pa.py_buffer(offsets), pa.py_buffer(words.body)])
+
+
+class Memory:
+    """What a worker has worked out for chunks of text. Bounded by bytes, whatever the chunks' lengths: of two generations the older goes when the younger is full."""
+
+    def __init__(self, most: int = 96 << 20):
+        self.most, self.size = most // 2, 0
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def values(self, keys: list[bytes], make: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+        """The value of each of the distinct keys; `make` gives those of new ones."""
+        out = list(map(self.young.get, keys))
+        if None not in out:
+            return out
+        missing = [i for i, v in enumerate(out) if v is None]
+        for i in missing if self.old else ():
+            out[i] = self.old.get(keys[i])
+        new = [i for i in missing if out[i] is None]
+        for i, v in zip(new, make([keys[i] for i in new]) if new else (), strict=True):
+            out[i] = v
+        for at in range(0, len(missing), 4096):
+            more = {keys[i]: out[i] for i in missing[at : at + 4096]}
+            self.young |= more
+            self.size += sum(map(len, more)) + sum(map(len, more.values())) + 180 * len(more)  # with what the objects take themselves
+            if self.size > self.most:
+                self.old, self.young, self.size = self.young, {}, 0
+        return out
+
+
+def distinct(strings: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """The distinct values of a large binary array without nulls, and the number of each row's value."""
+    coded = strings.dictionary_encode()
+    values = coded.dictionary
+    body = (values.buffers()[2] or b"") and values.buffers()[2].to_pybytes()
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1].tolist() if len(values) else [0]
+    return [body[a:b] for a, b in zip(ends, ends[1:], strict=False)], coded.indices.to_numpy()
+
+
+def gathered(parts: list[bytes], codes: np.ndarray, kind: str = "<i4") -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of parts[codes] end to end, and how many there are up to each of them (n+1)."""
+    flat = np.frombuffer(b"".join(parts), kind)
+    size = np.array([len(p) for p in parts], np.int64) // np.dtype(kind).itemsize
+    begin = np.cumsum(size) - size
+    many = size[codes]
+    upto = np.concatenate([[0], np.cumsum(many)])
+    return flat[np.repeat(begin[codes] - upto[:-1], many) + np.arange(upto[-1])], upto

@@ -29,7 +29,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.checksums(token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), END))
+    return token_files.checksums(token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), END, packed=True))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
