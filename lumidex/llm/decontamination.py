@@ -9,31 +9,33 @@ word numbers, a wavelet matrix for its ranks and sampled suffix positions. All
 phrases are searched backwards at once; occurrences are located by walking to the
 next sample, and their words merged to removal spans.
 
-The test items are a stated query set. They are held by every worker as long as
-their texts have `BLOCK_BYTES` bytes at most; a larger table is cut into blocks
-by a hash of the item, each block runs over all documents, and spans and items of
-a row are merged.
+The test items are a stated query set. They are cut into blocks of about
+`BLOCK_BYTES` bytes of text by a hash of the item. One block reaches the driver and
+the workers at a time and runs over all documents; what several blocks find is
+merged by row, under a number that each row is given and stored with.
 
 Defined results: null and empty texts have no words and are never contaminated;
-items without words and items of null id have no phrase; equal items count each;
-rows of one doc_id are judged each for itself; null ids stay; empty tables give
-no row (documents) or no hit (items). `clean` keeps all columns.
+items without words and items of null id have no phrase; items of equal texts count
+each, rows of one item_id as one item; rows of one doc_id are judged each for
+itself, however many blocks there are; null ids stay; empty tables give no row
+(documents) or no hit (items). `clean` keeps all columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text
+from .shared import stored
 
 WINDOW, SHARE, SAMPLED = 13, 20, 16
-SHARD_BYTES, BLOCK_BYTES = 8 << 20, 32 << 20
+SHARD_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
 
 _SPACE = np.ones(256, bool)
 _SPACE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -142,20 +144,22 @@ class Phrases:
 
     def __init__(self, items: pa.Table, window: int = WINDOW):
         items = items.filter(pc.is_valid(items["item_id"])).sort_by("item_id").combine_chunks()
-        names = items["item_id"].cast(pa.string()).to_pylist()
+        self.names, item = np.unique(np.array(items["item_id"].cast(pa.string()).to_pylist(), object), return_inverse=True) if items.num_rows else ([], np.zeros(0, np.int64))
         text = items["text"].combine_chunks() if items.num_rows else pa.array([], pa.string())
         words = word_slice(text if isinstance(text, pa.Array) else text.chunk(0))
         coded = arrow_text.strings(words).dictionary_encode()
         self.vocabulary = coded.dictionary.to_pylist()
-        code = coded.indices.to_numpy() + 1
-        found: dict[int, dict[tuple, list[int]]] = {}
-        for i, (s, e) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
-            n = min(window, e - s)
-            for at in range(s, e - n + 1) if n else ():
-                found.setdefault(int(n), {}).setdefault(tuple(code[at : at + n].tolist()), []).append(i)
-        self.names = names
-        self.groups = [(n, np.array(list(p), np.int64), [np.unique(x) for x in p.values()]) for n, p in sorted(found.items())]
-        self.shortest = min(found, default=0)
+        code, length, self.groups = coded.indices.to_numpy().astype(np.int64) + 1, np.minimum(words.counts, window), []
+        for n in np.unique(length[length > 0]):
+            own = np.flatnonzero(length == n)
+            many = words.counts[own] - n + 1
+            begin = np.repeat(words.first[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            phrases, which = np.unique(code[begin[:, None] + np.arange(n)], axis=0, return_inverse=True)
+            # distinct (phrase, item), by phrase
+            pair = np.unique(which.ravel() * len(self.names) + np.repeat(item[own], many))
+            phrase, names = np.divmod(pair, len(self.names))
+            self.groups.append((int(n), phrases, np.split(names, np.searchsorted(phrase, np.arange(1, len(phrases))))))
+        self.shortest = int(length[length > 0].min()) if len(self.groups) else 0
 
 
 def hits(words: arrow_text.Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,42 +231,38 @@ def _found(column: pa.Array, phrases: Phrases) -> list[pa.Array]:
     return [pa.array(words.counts), pa.array(n_hit), pa.array([sorted(x) for x in lists], pa.list_(pa.string())), pa.array(spans, _SPAN)]
 
 
-def _blocks(benchmark: DataFrame, most: int) -> list[Phrases]:
-    """The test items in blocks of about `most` bytes of text."""
+def _blocks(benchmark: DataFrame, most: int) -> tuple[int, Callable[[int], Phrases]]:
+    """How many blocks of about `most` bytes of text the test items need, and how to get one."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // most) or 1
     one = benchmark.select("item_id", "text")
-    return [Phrases(one.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toArrow() if n > 1 else one.toArrow()) for k in range(n)]
+    return n, lambda k: Phrases((one.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else one).toArrow())
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items, spans and contaminated."""
+def _search(phrases: Phrases, hits_only: bool = False) -> Callable:
+    """A step from (doc_id, text, further columns) to what the phrases find, the further columns behind."""
 
-    def search(phrases: Phrases):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in arrow_text.slices(batches, limit=SHARD_BYTES):
-                yield pa.RecordBatch.from_arrays([b.column(0), *_found(b.column(1), phrases), *b.columns[2:]], names=[f.split()[0] for f in FOUND.split(", ")] + b.schema.names[2:])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow_text.slices(batches, limit=SHARD_BYTES):
+            out = pa.RecordBatch.from_arrays([b.column(0), *_found(b.column(1), phrases), *b.columns[2:]], names=[f.split()[0] for f in FOUND.split(", ")] + b.schema.names[2:])
+            yield out.filter(pc.greater(out["n_hit"], 0)) if hits_only else out
 
-        return run
+    return run
 
-    one = docs.select(F.col("doc_id").cast("long"), "text")
-    blocks = _blocks(benchmark, most)
-    if len(blocks) == 1:
-        out = one.mapInArrow(search(blocks[0]), FOUND)
-    else:
-        # repeated rows of one id and text are the same finding; they are counted and spread again
-        one = one.withColumn("same", F.sha2(F.coalesce("text", F.lit("")), 256))
-        parts = [one.mapInArrow(search(p), f"{FOUND}, same string") for p in blocks]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        flat = lambda c: F.flatten(F.collect_list(c))
-        merged = every.groupBy("doc_id", "same").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(flat("items"))).alias("items"), F.array_sort(flat("spans")).alias("spans"), (F.count("*") / len(blocks)).cast("int").alias("times"))
-        out = merged.mapInArrow(_merge, f"{FOUND}, times int").select("*", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "col")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _merged(rows: DataFrame, n: int, block: Callable[[int], Phrases]) -> DataFrame:
+    """What all blocks find in rows of (doc_id, text, _row), by _row. The first block tells of every row, the others of rows with a hit."""
+    every = None
+    for k in range(n):
+        part = stored(rows.mapInArrow(_search(block(k), k > 0), f"{FOUND}, _row long"), f"block-{k}")
+        every = part if every is None else every.unionByName(part)
+    flat = lambda c: F.flatten(F.collect_list(c))
+    merged = every.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(flat("items"))).alias("items"), F.array_sort(flat("spans")).alias("spans"))
+    return merged.select("doc_id", "n_words", "items", "spans", "_row").mapInArrow(_joined, f"{FOUND}, _row long")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted spans of several blocks become spans that don't touch."""
     for b in batches:
         out = []
         for spans in b["spans"].to_pylist():
@@ -274,21 +274,36 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     joined.append(dict(s))
             out.append(joined)
         count = pa.array([sum(s["stop"] - s["start"] for s in x) for x in out], pa.int64())
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_words"], count, b["items"], pa.array(out, _SPAN), b["times"]], names=["doc_id", "n_words", "n_hit", "items", "spans", "times"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_words"], count, b["items"], pa.array(out, _SPAN), b["_row"]], names=["doc_id", "n_words", "n_hit", "items", "spans", "_row"])
+
+
+def _contaminated() -> Column:
+    return (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, items, spans and contaminated."""
+    one = docs.select(F.col("doc_id").cast("long"), "text")
+    n, block = _blocks(benchmark, most)
+    if n == 1:
+        out = one.mapInArrow(_search(block(0)), FOUND)
+    else:
+        out = _merged(stored(one.withColumn("_row", F.monotonically_increasing_id()), "numbered"), n, block).drop("_row")
+    return out.withColumn("contaminated", _contaminated())
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
-    """The rows that are not contaminated, with all their columns; contamination within one block of items each, so for larger
-    benchmarks than one block the hits of all blocks are first merged by `scan`."""
-    blocks = _blocks(benchmark, most)
-    if len(blocks) > 1:
-        bad = scan(docs, benchmark, most).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
-    at = docs.columns.index("text")
+    """The rows that are not contaminated, with all their columns."""
+    n, block = _blocks(benchmark, most)
+    if n > 1:
+        rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        bad = _merged(rows.select(F.col("doc_id").cast("long"), "text", "_row"), n, block).where(_contaminated()).select("_row")
+        return rows.join(bad, "_row", "left_anti").select(docs.columns)
+    at, phrases = docs.columns.index("text"), block(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_text.slices(batches, limit=SHARD_BYTES):
-            n_words, n_hit = (x.to_numpy() for x in _found(b.column(at), blocks[0])[:2])
+            n_words, n_hit = (x.to_numpy() for x in _found(b.column(at), phrases)[:2])
             yield b.filter(pa.array((n_hit == 0) | (SHARE * n_hit < n_words)))
 
     return docs.mapInArrow(run, docs.schema)
