@@ -12,7 +12,10 @@ matrix times landmark matrix, times the solved coefficients.
 Defined results: null texts and texts without a letter are `und` with score 0;
 of equal scores the first language in alphabetical order wins; texts of any length
 count whole; rows are independent, so repeated rows and null ids need no rule; an
-empty table gives an empty result; without labelled rows every text is `und`.
+empty table gives an empty result; without labelled rows every text is `und`, with
+labelled rows of one language every text with a letter is of that language, with
+score 1. Landmarks are texts of `LONG` characters or more where there are enough of
+them, else shorter ones too; never anything but texts.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from . import arrow_text
 from .shared import held_out
 
-LANDMARKS, SAMPLE, ORDERS, PENALTIES, SHARP = 160, 6000, (1, 2, 3), (1e-4, 1e-3, 1e-2, 1e-1), 6.0
+LANDMARKS, LONG, SAMPLE, ORDERS, PENALTIES, SHARP = 160, 200, 6000, (1, 2, 3), (1e-4, 1e-3, 1e-2, 1e-1), 6.0
 LETTER = regex.compile(r"\p{L}")
 _BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _stamp: dict[int, np.ndarray] = {}
@@ -105,8 +109,10 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         fits = np.array([bool(t) and LETTER.search(t) is not None for t in texts])
-        if self.landmarks is None or not len(texts):
-            return ["und"] * len(texts), np.zeros(len(texts))
+        if self.landmarks is None:
+            return [self.names[0] if f and self.names else "und" for f in fits], fits * float(bool(self.names))
+        if not len(texts):
+            return [], np.zeros(0)
         values = self.landmarks.kernel([t if f else "" for t, f in zip(texts, fits, strict=True)])
         margin = values @ self.coefficients[:-1] + self.coefficients[-1]
         power = np.exp(SHARP * (margin - margin.max(axis=1, keepdims=True)))
@@ -136,13 +142,13 @@ def fit(docs: DataFrame, parts: int = 4, remainder: int = 2, landmarks: int = LA
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_text.slices(batches):
             sets = [grams(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([s[k] for s in sets], pa.list_(pa.int32())) for k in range(len(ORDERS)))], names=["doc_id", "lang", *(f"g{n}" for n in ORDERS)])
+            short = pc.less(pc.utf8_length(b.column(1)), LONG)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), short, *(pa.array([s[k] for s in sets], pa.list_(pa.int32())) for k in range(len(ORDERS)))], names=["doc_id", "lang", "short", *(f"g{n}" for n in ORDERS)])
 
-    # texts of a few words make poor landmarks; longer ones are drawn with room to spare and the first by hash are kept
-    drawn = pick(4 * each).where(F.length("text") >= 200).mapInArrow(spread, "doc_id long, lang string, " + ", ".join(f"g{n} array<int>" for n in ORDERS))
-    rows = drawn.withColumn("mark", mark).toArrow().sort_by([("mark", "ascending"), ("doc_id", "ascending")]).to_pylist()
-    if not rows:
-        rows = [{"lang": x, **{f"g{n}": g for n, g in zip(ORDERS, grams(x), strict=True)}} for x in names]
+    # texts of a few words make poor landmarks; they are drawn with room to spare, and the first long ones by hash are kept
+    drawn = pick(4 * each).mapInArrow(spread, "doc_id long, lang string, short boolean, " + ", ".join(f"g{n} array<int>" for n in ORDERS))
+    rows = drawn.withColumn("mark", mark).toArrow()
+    rows = rows.set_column(rows.schema.get_field_index("short"), "short", rows["short"].cast(pa.int8())).sort_by([("short", "ascending"), ("mark", "ascending"), ("doc_id", "ascending")]).to_pylist()
     taken = [r for x in names for r in [q for q in rows if q["lang"] == x][:each]]
     marks = Landmarks.of([[np.array(r[f"g{n}"], np.int32) for n in ORDERS] for r in taken])
 
