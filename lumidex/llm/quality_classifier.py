@@ -45,8 +45,7 @@ def _codes(words: list[str]) -> np.ndarray:
     for w in set(words):
         if w not in seen:
             shape = _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", w)))
-            # long runs of one sign look alike
-            shape = re.sub(r"(.)\1{2,}", r"\1\1\1", shape)[:24]
+            shape = re.sub(r"(.)\1{2,}", r"\1\1\1", shape)  # long runs of one sign look alike
             seen[w] = xxhash.xxh32_intdigest(w.lower()), xxhash.xxh32_intdigest(shape, 7)
     return np.array([seen[w] for w in words], np.uint64).reshape(-1, 2)
 
