@@ -28,16 +28,19 @@ def held_out(doc_id, parts: int, remainder: int):
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == remainder, F.lit(False))
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, remainder: int, most: int) -> DataFrame:
-    """(doc_id, text, y, held) of about `most` documents at most: those that have the label and aren't held out.
+def labelled(spark: SparkSession, sf_dir: str, label: str, parts: int, remainder: int, most: int, most_bytes: int = 256 << 20) -> DataFrame:
+    """(doc_id, text, y, held) of `most` documents and about `most_bytes` bytes of text at most: those that have the label and aren't held out.
 
     Which ones is decided by a hash of the id; repeated labels of an id count once, by their maximum.
     The list of ids is bounded by `most`, so it is broadcast to the documents. `held` marks one row in five for calibration.
+    The rows are written to the shared folder once, and read from there however often they are used.
     """
     labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), parts, remainder))
     labels = labels.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
-    n = labels.count()
-    if n > most:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(0.95 * most / n * (1 << 30)))
+    mark, n = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), labels.count()
+    upto = min(1 << 30, int(0.95 * most / n * (1 << 30))) if n > most else 1 << 30
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    return docs.join(F.broadcast(labels.limit(most)), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y", (F.crc32(F.concat(F.lit("h"), F.col("doc_id").cast("string"))) % 5 == 0).alias("held"))
+    some = docs.join(F.broadcast(labels.where(mark < upto).limit(most)), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y", (F.crc32(F.concat(F.lit("h"), F.col("doc_id").cast("string"))) % 5 == 0).alias("held"))
+    some = stored(some, f"labelled-{label}")
+    size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return some.where(mark < int(upto * most_bytes / size)) if size > most_bytes else some

@@ -6,7 +6,7 @@ entries are whole words or beginnings of words. They are learned on about
 `SAMPLE` labelled documents: all words and beginnings of 4 to 8 letters are
 counted by documents of either label, near copies of equal label once; those whose log-odds have
 a high lower bound are taken, the surest first and none that a chosen beginning of
-it already stands for. An entry's weight is its log-odds. Word pairs around an entry that
+it already stands for; how many there are is bounded by the sample alone. An entry's weight is its log-odds. Word pairs around an entry that
 labelled clean documents use at least as often as their share become exception
 phrases: a match inside one doesn't count.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import arrow_text
 from .shared import stored
 
-SAMPLE, CANDIDATES, LEAST, SUREST = 30_000, 4000, 5, 1.0
+SAMPLE, LEAST, SUREST = 30_000, 5, 1.0
 SHORTEST, LONGEST = 4, 8
 #: Near copies: words of a shingle, the share of shingles in common, and bands of minimal hashes; of rows at that share, 99 in 100 have a band in common.
 SHINGLE, NEAR, BANDS, BAND = 5, 0.8, 24, 8
@@ -106,7 +106,12 @@ class Lexicon:
                 spared.append((start, end))
             elif len(found.get(start, "")) < n:
                 found[start] = e
-        return [e for s, e in found.items() if not any(a <= s <= b for a, b in spared)]
+        if not spared or not found:
+            return list(found.values())
+        spared.sort()
+        begin, reach = np.array([a for a, _ in spared]), np.maximum.accumulate([b for _, b in spared])
+        at = np.searchsorted(begin, np.fromiter(found, np.int64, len(found)), "right") - 1
+        return [e for (s, e), k in zip(found.items(), at.tolist(), strict=True) if k < 0 or reach[k] < s]
 
     def sums(self, words: list[str]) -> float:
         return sum(self.weights[e] for e in self.matches(words)) / max(1, len(words)) ** self.power
@@ -230,7 +235,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def fit(sample: DataFrame) -> Lexicon:
-    """Learn from (doc_id, text, y, held): rows of bounded number, whose matches of candidates reach the driver."""
+    """Learn from (doc_id, text, y, held): rows of bounded number, whose telling terms reach the driver. The sample should be a stored table, as it is read several times."""
     learn = _once(sample.where(~F.col("held")))
     sizes = {r["y"]: r["n"] for r in learn.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
@@ -238,7 +243,7 @@ def fit(sample: DataFrame) -> Lexicon:
     n_bad, n_good = sizes[1], sizes[0]
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
     bound = odds - 1.5 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    rows = _counted(learn).where(F.col("bad") >= LEAST).select("term", "bad", "good", bound.alias("bound")).where((F.col("bound") > SUREST) & (F.col("bad") * n_good > F.col("good") * n_bad)).orderBy(F.desc("bound"), F.desc(F.length("term")), "term").limit(CANDIDATES).collect()
+    rows = _counted(learn).where(F.col("bad") >= LEAST).select("term", "bad", "good", bound.alias("bound")).where((F.col("bound") > SUREST) & (F.col("bad") * n_good > F.col("good") * n_bad)).orderBy(F.desc("bound"), F.desc(F.length("term")), "term").collect()
     if not rows:
         return Lexicon({})
     weights: dict[str, float] = {}
@@ -266,7 +271,7 @@ def _exceptions(learn: DataFrame, weights: dict[str, float], n_bad: int, n_good:
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([seen[y][e] for e in every], pa.int64()) for y in (1, 0))], names=["term", "bad", "good"])
 
     pairs = learn.select("text", "y").mapInArrow(run, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    rows = pairs.where((F.col("good") >= LEAST) & (F.col("good") * n_bad >= F.col("bad") * n_good)).orderBy(F.desc("good"), "term").limit(CANDIDATES).collect()
+    rows = pairs.where((F.col("good") >= LEAST) & (F.col("good") * n_bad >= F.col("bad") * n_good)).orderBy(F.desc("good"), "term").collect()
     return tuple(r["term"] for r in rows)
 
 
