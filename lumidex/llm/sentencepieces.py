@@ -8,9 +8,11 @@ passed over. Symbols that are no piece become byte pieces, or the unknown id.
 No piece of such a vocabulary holds the space mark after another character, so
 no merge crosses from a word to the next mark; this is verified on the pieces
 when a model is loaded (else whole texts are one chunk). Each worker therefore
-encodes every distinct chunk once and remembers it, in a table of bounded size.
+encodes every distinct chunk once and remembers it, in a table bounded by bytes.
 In every Arrow batch the chunks that are new are checked against the
-sentencepiece library; a difference stops the job. Decoding is the library's.
+sentencepiece library; a difference stops the job. Where a model has a normaliser of
+its own, the library normalises, and its ids of each whole text are compared.
+Decoding is the library's.
 
 Defined results: null and empty texts give the end id alone and decode to an
 empty text; texts of any length are encoded whole; rows are independent, so ties,
@@ -20,7 +22,6 @@ Vocabularies with user-defined symbols are not supported by the agenda.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -33,8 +34,7 @@ from pyspark.sql import functions as F
 from . import arrow_text
 
 MARK, NEWLINE = "▁", "\n"
-#: Chunks that a worker remembers before it starts anew.
-REMEMBERED = 700_000
+_MARK = MARK.encode()
 
 
 class Encoder:
@@ -53,18 +53,36 @@ class Encoder:
         self.end = np.array([m.eos_id()], np.int32).tobytes() if end and m.eos_id() >= 0 else b""
         cuts = all(MARK not in p.lstrip(MARK) for p in pieces)
         self.lines = cuts and not any(NEWLINE in p for p in pieces)
-        self.cut = re.compile(f"{MARK}*[^{MARK}{NEWLINE}]+|{MARK}+|{NEWLINE}" if self.lines else f"{MARK}*[^{MARK}]+|{MARK}+" if cuts else r"(?s).+").findall
+        self.cuts = cuts
         probe = " a  bÉﬁ　\n c "
         # what the model's own normaliser does beyond marking spaces; a probe decides whether it has to be called
         self.plain = m.normalize(probe) == MARK + probe.replace(" ", MARK)
-        self.seen: dict[str, bytes] = {}
-        mark = self.merge(MARK)
-        self.lead = mark + self.merge(NEWLINE) if self.lines else b""
+        self.memory = arrow_text.Memory()
+        self.lead = self.merge(MARK) + self.merge(NEWLINE) if self.lines else b""
 
-    def normal(self, text: str) -> str:
-        if not text:
-            return ""
-        return MARK + text.replace(" ", MARK) if self.plain else self.model.normalize(text)
+    def chunks(self, column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct chunks, with spaces for marks, the number of each chunk of the texts, and the first chunk of each text (n+1)."""
+        if not self.plain:
+            column = pa.array([self.model.normalize(t or "").replace(MARK, " ") for t in column.to_pylist()], pa.large_string())
+        body, offsets = arrow_text.raw(column)
+        if self.plain:
+            if _MARK in body.tobytes():  # a mark in a text is a space to the model
+                body, offsets = arrow_text.raw(pa.array([(t or "").replace(MARK, " ") for t in column.to_pylist()], pa.large_string()))
+            filled = np.diff(offsets) > 0  # a space leads each text
+            body = np.insert(body, offsets[:-1][filled], 0x20)
+            offsets = offsets + np.concatenate([[0], np.cumsum(filled)])
+        begin = np.zeros(len(body) + 1, bool)
+        begin[offsets[:-1]] = True
+        if self.cuts:
+            space = body == 0x20
+            begin[1:-1] |= space[1:] & ~space[:-1]
+        if self.lines:
+            line = body == 0x0A
+            begin[:-1] |= line
+            begin[1:] |= line
+        start = np.flatnonzero(begin[:-1])
+        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(body)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body))])
+        return *arrow_text.distinct(strings), np.searchsorted(start, offsets)
 
     def merge(self, chunk: str) -> bytes:
         """Ids of a chunk by the agenda, as little-endian 32-bit integers."""
@@ -107,30 +125,36 @@ class Encoder:
                 out.append(self.unknown)
         return np.array(out, np.int32).tobytes()
 
-    def check(self, chunks: list[str]) -> None:
+    def _check(self, chunks: list[str], mine: list[bytes]) -> None:
         """Compare chunks with the library; those that open with a mark are sent without it, as the library adds one."""
-        if not self.plain:
-            return
-        own = [c for c in chunks if c[0] == MARK]
-        rest = [c for c in chunks if c[0] != MARK] if self.lines else []
-        sent = [c[1:].replace(MARK, " ") for c in own] + [NEWLINE + c for c in rest]
-        lead = [b""] * len(own) + [self.lead] * len(rest)
-        theirs = self.model.encode(sent, num_threads=1)
-        for c, a, b, ids in zip(own + rest, lead, sent, theirs, strict=True):
-            if b and a + self.seen[c] != np.array(ids, np.int32).tobytes():
+        sent = [c[1:].replace(MARK, " ") if c[0] == MARK else NEWLINE + c for c in chunks]
+        for c, text, own, ids in zip(chunks, sent, mine, self.model.encode(sent, num_threads=1), strict=True):
+            if text and (b"" if c[0] == MARK else self.lead) + own != np.array(ids, "<i4").tobytes():
                 raise AssertionError(f"agenda and library differ on {c!r}")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(self.normal(t)) for t in texts]
-        seen = self.seen
-        new = list({c for cs in cut for c in cs if c not in seen})
-        if len(seen) + len(new) > REMEMBERED:
-            seen.clear()
-            new = list({c for cs in cut for c in cs})
-        for c in new:
-            seen[c] = self.merge(c)
-        self.check(new)
-        return [b"".join([seen[c] for c in cs]) + self.end for cs in cut]
+    def _learn(self, chunks: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(chunks), 4096):
+            some = [c.decode().replace(" ", MARK) for c in chunks[at : at + 4096]]
+            mine = [self.merge(c) for c in some]
+            if self.plain:
+                checked = [k for k, c in enumerate(some) if c[0] == MARK or self.lines]
+                self._check([some[k] for k in checked], [mine[k] for k in checked])
+            out += mine
+        return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, each with the end id, and where each text begins (n+1)."""
+        distinct, codes, first = self.chunks(column)
+        parts = self.memory.values(distinct, self._learn)
+        codes = np.insert(codes, first[1:], len(parts))
+        ids, upto = arrow_text.gathered([*parts, self.end], codes)
+        upto = upto[first + np.arange(len(first))]
+        if not self.plain:
+            for k, t in enumerate(column.to_pylist()):
+                if self.model.encode(t or "") != ids[upto[k] : upto[k + 1] - len(self.end) // 4].tolist():
+                    raise AssertionError(f"agenda and library differ on {t!r}")
+        return ids, upto
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -147,14 +171,11 @@ def encode(docs: DataFrame, path: str, end: bool = True, decode: bool = True) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, end)
-        for b in arrow_text.slices(batches, limit=1 << 20):
-            coded = e.encode([t or "" for t in b.column(1).to_pylist()])
-            upto = np.zeros(len(coded) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in coded], out=upto[1:])
-            values = np.frombuffer(b"".join(coded), np.int32)
-            columns = [b.column(0), pa.ListArray.from_arrays(pa.array(upto), pa.array(values))]
+        for b in arrow_text.slices(batches):
+            values, upto = e.encode(b.column(1))
+            columns = [b.column(0), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(values))]
             if decode:
-                columns.append(pa.array([e.model.decode(np.frombuffer(x, np.int32).tolist()) for x in coded], pa.string()))
+                columns.append(pa.array([e.model.decode(values[s:t].tolist()) for s, t in zip(upto, upto[1:], strict=False)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decode)
