@@ -4,21 +4,21 @@ A window is `WINDOW` consecutive words of a document; its minimiser is the least
 hash among its runs of `SEED` words. Consecutive windows with one minimiser form a
 super-k-mer. Equal windows have equal minimisers, so they meet in its bucket.
 
-1. Each slice of a partition drops windows that occur earlier in the slice and
-   reduces the rest to super-k-mers, described by minimiser, a hash of their
-   words, and place.
+1. Each slice of a partition drops windows that occur earlier in the slice, which
+   is told by their words, and reduces the rest to super-k-mers, described by
+   minimiser, a hash of their words, and place.
 2. A bucket (shuffle on the minimiser, sorted) finds super-k-mers that are copies of
    an earlier one, whose windows all go, and asks for the words of the others,
    if the bucket has more than one of them.
 3. Only those travel: one packed string each, to the minimiser's bucket, where
    windows are sorted and compared as strings. A bucket of more than `LARGE`
    different super-k-mers is split: its strings are cut to single windows, each
-   dealt out by its own hash and combined in its slice, so no key grows with the
-   number of copies.
+   dealt out by its own hash, combined in its slice and again in `SALTS` shares,
+   so no key grows with the number of copies.
 4. What was found is gathered by document and words are taken out of the texts.
 
-Copies within a slice, and equal super-k-mers, are recognised by two 64-bit
-hashes together; everything else by its words.
+Equal super-k-mers of different slices are recognised by two independent hashes of
+64 bits, made from the 128-bit digests of their words; everything else by its words.
 
 Defined results: null and empty texts have no words and stay empty; texts of any
 length count whole; texts of fewer words than a window keep all; of repeated ids
@@ -34,16 +34,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text
 from .shared import stored
 
-WINDOW, SEED, LARGE = 20, 5, 20_000
+WINDOW, SEED, LARGE, SALTS = 20, 8, 20_000, 32
 SLICE, CHUNK_ROWS = 3 << 20, 200_000
 
-_PLACES = "kind int, bucket long, content long, doc_id long, start int, n int"
+_PLACES = "kind int, bucket long, content long, other long, doc_id long, start int, n int"
 _COPY, _PIECE = 0, 1  # rows of step 1; step 2 gives copies (0), strings that are asked for (1) and those of large buckets (2)
 
 
@@ -79,16 +80,19 @@ def _describe(ids: np.ndarray, column: pa.Array, window: int, seed: int) -> pa.R
         row = words.row
         count = total - window + 1
         valid = row[:count] == row[window - 1 :]
-        code = arrow_text.span_hash(words.body, words.start, words.end)
+        distinct, number = arrow_text.distinct(arrow_text.strings(words))
+        digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in distinct]), "<u8").reshape(-1, 2)
+        code, second = digest[number, 0], digest[number, 1]
         left = np.arange(count)
         one = arrow_text.span_hash(code, left, left + window)
-        two = arrow_text.span_hash(code ^ np.uint64(0x5851F42D4C957F2D), left, left + window)
         # windows that occur earlier in the slice; positions ascend with id and place
         at = np.flatnonzero(valid)
         sort = at[np.argsort(one[at], kind="stable")]
         again = np.zeros(count, bool)
-        same = (one[sort[1:]] == one[sort[:-1]]) & (two[sort[1:]] == two[sort[:-1]])
-        again[sort[1:][same]] = True
+        alike = np.flatnonzero(one[sort[1:]] == one[sort[:-1]])
+        for k in range(0, len(alike), 1 << 15):  # by their words, a share at a time
+            u, v = sort[alike[k : k + (1 << 15)]], sort[alike[k : k + (1 << 15)] + 1]
+            again[v[(number[u[:, None] + np.arange(window)] == number[v[:, None] + np.arange(window)]).all(axis=1)]] = True
         parts = np.arange(total - seed + 1)
         least = _least(arrow_text.span_hash(code, parts, parts + seed), window - seed + 1)
         edge = np.concatenate([[True], (row[1:count] != row[: count - 1])])
@@ -97,10 +101,10 @@ def _describe(ids: np.ndarray, column: pa.Array, window: int, seed: int) -> pa.R
         kind = np.repeat(np.array([_COPY, _PIECE], np.int32), [len(gone), len(first)])
         where, size = np.concatenate([gone, first]), np.concatenate([n_gone, n])
         bucket = np.concatenate([arrow_text.mix(ids[row[gone]].astype(np.uint64)), least[first]]).view(np.int64)
-        content = np.concatenate([np.zeros(len(gone), np.uint64), arrow_text.span_hash(code, first, first + n + window - 1)]).view(np.int64)
-        columns = [kind, bucket, content, ids[row[where]], (where - words.first[row[where]]).astype(np.int32), size.astype(np.int32)]
+        content, other = (np.concatenate([np.zeros(len(gone), np.uint64), arrow_text.span_hash(c, first, first + n + window - 1)]).view(np.int64) for c in (code, second))
+        columns = [kind, bucket, content, other, ids[row[where]], (where - words.first[row[where]]).astype(np.int32), size.astype(np.int32)]
     else:
-        columns = [np.zeros(0, t) for t in ("i4", "i8", "i8", "i8", "i4", "i4")]
+        columns = [np.zeros(0, t) for t in ("i4", "i8", "i8", "i8", "i8", "i4", "i4")]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in _PLACES.split(", ")])
 
 
@@ -112,25 +116,25 @@ class _Buckets:
 
     def chunk(self, t: pa.Table, final: bool) -> tuple[pa.RecordBatch, pa.Table]:
         """The findings of all complete buckets of a chunk, and what is left for the next."""
-        bucket, content, kind = (t[c].to_numpy() for c in ("bucket", "content", "kind"))
+        bucket, content, other, kind = (t[c].to_numpy() for c in ("bucket", "content", "other", "kind"))
         n = len(bucket)
         cut = n if final else int(np.searchsorted(bucket, bucket[-1]))
         part = cut == 0  # one bucket fills the chunk: it's a large one
         cut = cut or n
-        bucket, content, kind = bucket[:cut], content[:cut], kind[:cut]
+        bucket, content, other, kind = bucket[:cut], content[:cut], other[:cut], kind[:cut]
         piece = kind == _PIECE
         new_bucket = np.concatenate([[True], bucket[1:] != bucket[:-1]])
-        new = new_bucket | np.concatenate([[True], (content[1:] != content[:-1]) | (kind[1:] != kind[:-1])])
-        if self.last and self.last[:2] == (bucket[0], content[0]) and piece[0]:
+        new = new_bucket | np.concatenate([[True], (content[1:] != content[:-1]) | (other[1:] != other[:-1]) | (kind[1:] != kind[:-1])])
+        if self.last and self.last[:3] == (bucket[0], content[0], other[0]) and piece[0]:
             new[0] = False
         group = np.cumsum(new_bucket) - 1
         distinct = np.bincount(group[new & piece], minlength=group[-1] + 1)
         if self.last and self.last[0] == bucket[0]:
-            distinct[0] += self.last[2]
+            distinct[0] += self.last[3]
         if part:
             distinct[0] += self.large
         out = np.where(piece & new, np.where(distinct[group] > self.large, 2, np.where(distinct[group] > 1, 1, -1)), 0)
-        self.last = (bucket[-1], content[-1], self.large + 1) if part else None
+        self.last = (bucket[-1], content[-1], other[-1], self.large + 1) if part else None
         keep = pa.array(out >= 0)
         done = t.slice(0, cut)
         found = pa.table({"kind": pa.array(out.astype(np.int32)), **{c: done[c] for c in ("bucket", "doc_id", "start", "n")}}).filter(keep)
@@ -173,15 +177,17 @@ def _packed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                             single[w], later = sorted((known, (doc, i)))
                             for column, v in zip(out, (None, b"", *later), strict=True):
                                 column.append(v)
+        alone = [False] * len(out[0]) + [True] * len(single)
         for w, (doc, i) in single.items():
             for column, v in zip(out, (hash_of(w), w, doc, i), strict=True):
                 column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["bucket", "words", "doc_id", "start"])
+        yield pa.RecordBatch.from_arrays([pa.array(alone, pa.bool_()), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True))], names=_STRINGS)
 
 
-def hash_of(words: bytes) -> int:
-    import xxhash
+_STRINGS = ["alone", "bucket", "words", "doc_id", "start"]
+
 
+def hash_of(words: bytes) -> int:
     return xxhash.xxh64_intdigest(words) - (1 << 63)
 
 
@@ -205,7 +211,20 @@ def _copies(t: pa.Table, window: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int32()), pa.array(np.ones(len(doc), np.int32))], names=["doc_id", "start", "n"])
 
 
+def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by words and place, the first of equal words goes on; the others are copies and lose bucket and words."""
+    last = None
+    for b in batches:
+        if b.num_rows:
+            words = b["words"]
+            again = np.concatenate([[words[0].as_py() == last], pc.equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)]).astype(bool)  # rows without words are copies already
+            last = words[-1].as_py()
+            gone = pa.array(again)
+            yield pa.RecordBatch.from_arrays([b["alone"], pc.if_else(gone, pa.scalar(None, pa.int64()), b["bucket"]), pc.if_else(gone, pa.scalar(b"", pa.binary()), words), b["doc_id"], b["start"]], names=_STRINGS)
+
+
 def _compared(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Strings of super-k-mers, sorted by bucket: of each bucket there are `LARGE` at most, as larger ones were split."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for b in batches:
@@ -258,13 +277,20 @@ def _removed(docs: DataFrame, window: int, seed: int, large: int) -> DataFrame:
         for b in arrow_text.slices(batches, limit=SLICE):
             yield _describe(b.column(0).to_numpy(), b.column(1), window, seed)
 
-    places = docs.mapInArrow(describe, _PLACES).repartition("bucket").sortWithinPartitions("bucket", "content", "doc_id", "start")
+    places = docs.mapInArrow(describe, _PLACES).repartition("bucket").sortWithinPartitions("bucket", "content", "other", "doc_id", "start")
     found = stored(places.mapInArrow(lambda b: _judge(b, large), "kind int, bucket long, doc_id long, start int, n int"), "places")
     asked = found.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "bucket", "start", "n")).alias("asked"))
-    sent = docs.join(asked, "doc_id").mapInArrow(lambda b: _packed(b, window), "bucket long, words binary, doc_id long, start int")
-    sent = stored(sent, "strings")
-    dealt = sent.where("bucket is not null").repartition("bucket").sortWithinPartitions("bucket")
+    kinds = "alone boolean, bucket long, words binary, doc_id long, start int"
+    sent = stored(docs.join(asked, "doc_id").mapInArrow(lambda b: _packed(b, window), kinds), "strings")
+    # single windows: the earliest of a share of their documents, then of all
+    single, place = sent.where("alone"), ["words", "doc_id", "start"]
+    shares = single.repartition("bucket", F.pmod("doc_id", F.lit(SALTS))).sortWithinPartitions(*place).mapInArrow(_earliest, kinds)
+    last = shares.repartition(F.coalesce("bucket", F.xxhash64("doc_id", "start"))).sortWithinPartitions(*place)
+    ends = last.mapInArrow(_earliest, kinds).where("bucket is null")
+    dealt = sent.where("not alone and bucket is not null").repartition("bucket").sortWithinPartitions("bucket").select(_STRINGS)
     copies = found.where("kind = 0").select("doc_id", "start", "n")
-    copies = copies.union(sent.where("bucket is null").select("doc_id", "start", F.lit(1))).union(dealt.mapInArrow(lambda b: _compared(b, window), "doc_id long, start int, n int"))
+    for more in (sent.where("not alone and bucket is null"), ends):
+        copies = copies.union(more.select("doc_id", "start", F.lit(1)))
+    copies = copies.union(dealt.mapInArrow(lambda b: _compared(b, window), "doc_id long, start int, n int"))
     spans = copies.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("copies"))
     return docs.join(spans, "doc_id", "left").mapInArrow(lambda b: _taken(b, window), "doc_id long, n_words long, n_removed long, kept string")
