@@ -30,7 +30,7 @@ from . import arrow_text
 from ..operators.components import roots
 from .shared import cut, stored
 
-SHINGLE, SEED, RADIUS = 3, 42, 2
+SHINGLE, SEED, RADIUS, SPREAD = 3, 42, 2, 50_000
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
 
 
@@ -91,7 +91,10 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fp and component_id, the smallest id that links reach."""
     fps = cut(fingerprint_table(docs))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    tree = roots(links(nodes.select("fp"), radius))
+    # each fingerprint becomes 65 rows, so they are spread by their number before that, whatever few bytes they are now
+    nodes = cut(nodes)
+    spread = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // SPREAD))
+    tree = roots(links(nodes.select("fp").repartition(spread, "fp"), radius))
     placed = nodes.join(tree, nodes.fp == tree.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
