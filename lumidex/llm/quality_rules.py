@@ -18,6 +18,7 @@ kept by `keep`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import exp, lgamma, log, log1p
 
 from pyspark.sql import Column, DataFrame
@@ -37,29 +38,44 @@ RULES = {
 RISK, DELTA = 0.03, 0.05
 
 
-def _repeat_words(df: DataFrame) -> DataFrame:
+def _reach(starts: Column) -> Column:
+    """How many words the 3-word windows at sorted positions cover."""
+    three = F.lit(3).cast("long")
+    reach = F.transform(starts, lambda p, k: F.least(three, F.coalesce(F.get(starts, k + 1) - p, three)))
+    return F.aggregate(reach, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
+def _repeat_words(df: DataFrame, digest: Callable[..., Column] = F.xxhash64) -> DataFrame:
     """Adds n_repeat_words from `_w`: positions are packed under the hash of their 3-word window,
-    so one sort of longs brings equal windows together; neighbours are then compared word by word."""
+    so one sort of longs brings equal windows together; neighbours are then compared word by word.
+    Where neighbours have one hash but not the same words, the row's windows are sorted as words instead."""
     n = F.size("_w")
     # low bits hold the position, so texts of any length fit
     low = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n.cast("long")))) - 1
     df = df.withColumn("_low", low)
-    window = lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
-    packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: window(i).bitwiseAND(F.bitwise_not(F.col("_low"))).bitwiseOR(i.cast("long")))
+    window = lambda i: digest(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
+    places = F.sequence(F.lit(0), n - 3)
+    packed = F.transform(places, lambda i: window(i).bitwiseAND(F.bitwise_not(F.col("_low"))).bitwiseOR(i.cast("long")))
     df = df.withColumn("_s", F.when(n >= 4, F.sort_array(packed)).otherwise(F.array().cast("array<long>")))
+    high = lambda x: x.bitwiseAND(F.bitwise_not(F.col("_low")))
 
     def same(x: Column, y: Column) -> Column:
         i, j = (x.bitwiseAND(F.col("_low"))).cast("int"), (y.bitwiseAND(F.col("_low"))).cast("int")
-        high = x.bitwiseAND(F.bitwise_not(F.col("_low"))) == y.bitwiseAND(F.bitwise_not(F.col("_low")))
         words = F.lit(True)
         for k in range(3):
             words = words & (F.get("_w", i + k) == F.get("_w", j + k))
-        return F.coalesce(high & words, F.lit(False))
-
-    again = F.filter("_s", lambda x, k: same(x, F.get("_s", k + 1)) | ((k > 0) & same(x, F.get("_s", F.greatest(k - 1, F.lit(0))))))
-    df = df.withColumn("_r", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.col("_low")))))
-    reach = F.transform("_r", lambda p, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_r", k + 1) - p, F.lit(3).cast("long"))))
-    return df.withColumn("n_repeat_words", F.aggregate(reach, F.lit(0).cast("long"), lambda a, b: a + b))
+        return F.coalesce((high(x) == high(y)) & words, F.lit(False))
+
+    before = lambda k: F.get("_s", F.greatest(k - 1, F.lit(0)))
+    again = F.filter("_s", lambda x, k: same(x, F.get("_s", k + 1)) | ((k > 0) & same(x, before(k))))
+    clash = F.size(F.filter("_s", lambda x, k: (k > 0) & (high(x) == high(before(k))) & ~same(x, before(k)))) > 0
+    exact = F.sort_array(F.transform(places, lambda i: F.struct(F.get("_w", i).alias("a"), F.get("_w", i + 1).alias("b"), F.get("_w", i + 2).alias("c"), i.cast("long").alias("i"))))
+    df = df.withColumn("_e", F.when(clash, exact))  # null for nearly all rows
+    key = lambda x: F.struct(x.a, x.b, x.c)
+    alike = lambda x, k: F.coalesce(key(x) == key(F.get("_e", k)), F.lit(False))
+    twice = F.filter("_e", lambda x, k: alike(x, k + 1) | ((k > 0) & alike(x, F.greatest(k - 1, F.lit(0)))))
+    df = df.withColumn("_r", F.sort_array(F.when(F.col("_e").isNotNull(), F.transform(twice, lambda x: x.i)).otherwise(F.transform(again, lambda x: x.bitwiseAND(F.col("_low"))))))
+    return df.withColumn("n_repeat_words", _reach(F.col("_r")))
 
 
 def features(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
