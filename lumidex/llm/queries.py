@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from . import decontamination, language_id, pii, quality_classifier, quality_rules, sentencepieces, simhash, substrings, token_files, toxicity
 from .shared import held_out, labelled, table
+from .sql import ORACLE_SQL
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
 PIECES, WORDS, END = "piece_bpe_32k.model", "word_bpe_49k.json", 2
 
 
@@ -71,4 +73,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_substrings, op4_simhash, op5_token_files, op6_quality_rules, op7_pii, op8_quality_classifier, op9_decontamination, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
