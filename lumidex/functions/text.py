@@ -17,51 +17,62 @@ def _is_word(c: str) -> bool:
 
 
 def word_pattern(needle: str, prefix: bool = False) -> str:
-    """Whole-word pattern; stars at its ends open them, `prefix` opens the right end."""
+    """Whole-word pattern; stars at its ends open them, `prefix` opens the right end.
+
+    The literal stands first, so that a text is passed over at its speed; what must not stand before it is looked at afterwards.
+    """
     inner = needle.strip("*") or needle
     left, right = needle[:1] != "*" or inner == needle, (needle[-1:] != "*" or inner == needle) and not prefix
     inner = inner.lower()
     quoted = r"\Q" + inner.replace(r"\E", r"\E\\E\Q") + r"\E"
-    return (f"(?<!{W})" if left and _is_word(inner[0]) else "") + quoted + (f"(?!{W})" if right and _is_word(inner[-1]) else "")
+    return quoted + (f"(?<!{W}{quoted})" if left and _is_word(inner[0]) else "") + (f"(?!{W})" if right and _is_word(inner[-1]) else "")
+
+
+def literal(needle: str) -> str:
+    """What a text must contain for the word to be in it."""
+    return (needle.strip("*") or needle).lower()
 
 
 def has_word(text: Column, needle: str, prefix: bool = False) -> Column:
-    return F.regexp_like(text, F.lit(word_pattern(needle, prefix)))
+    return F.contains(text, F.lit(literal(needle))) & F.regexp_like(text, F.lit(word_pattern(needle, prefix)))
 
 
 def count_words(text: Column, needle: str) -> Column:
-    return F.regexp_count(text, F.lit(word_pattern(needle)))
+    return F.when(F.contains(text, F.lit(literal(needle))), F.regexp_count(text, F.lit(word_pattern(needle)))).otherwise(F.lit(0))
 
 
 def first_byte(text: Column, needle: str) -> Column:
     """Byte offset of the first occurrence; null if there's none."""
-    at = F.regexp_instr(text, F.lit(word_pattern(needle)))
+    at = F.when(F.contains(text, F.lit(literal(needle))), F.regexp_instr(text, F.lit(word_pattern(needle))))
     return F.when(at > 0, F.octet_length(F.substring(text, F.lit(1), at - 1)))
 
 
-def term_score(needle: str, prompt: Column, negative: Column, names: list[Column], settings: list[Column]) -> Column:
-    """Prompt hits by place and number, else names, else settings, else the negative prompt."""
-    where = first_byte(prompt, needle)
-    hit = PROMPT + EARLY * (1 - where / F.octet_length(prompt)) + AGAIN * F.least(count_words(prompt, needle) - 1, F.lit(AGAIN_MOST))
-    any_of = lambda cols: F.lit(False) if not cols else _any([has_word(c, needle, True) for c in cols])
-    return F.when(where.isNotNull(), hit).when(any_of(names), F.lit(float(NAME))).when(any_of(settings), F.lit(float(SETTING))).when(has_word(negative, needle), F.lit(float(NEGATIVE))).otherwise(F.lit(0.0))
-
-
 def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
+    out = F.lit(False)
+    for c in conditions:
         out = out | c
     return out
 
 
-def rank(needles: list[str], prompt: Column, negative: Column, names: list[Column], settings: list[Column]) -> Column:
-    """Sum of the terms' scores, and a bonus where two or more plain words stand together in the prompt as typed."""
-    total = F.lit(0.0)
-    for n in needles:
-        total = total + term_score(n, prompt, negative, names, settings)
-    if len(needles) > 1 and not any("*" in n for n in needles):
-        total = total + F.when(has_word(prompt, " ".join(needles)), F.lit(float(PHRASE))).otherwise(F.lit(0.0))
-    return total
+def place(needle: str, prompt: Column) -> Column:
+    """Where a word first stands in a prompt (in bytes, null if nowhere), and how often it stands there."""
+    return F.struct(first_byte(prompt, needle).alias("first"), count_words(prompt, needle).alias("n"))
+
+
+def term_score(needle: str, at: Column, prompt: Column, negative: Column, names: list[Column], settings: list[Column]) -> Column:
+    """Points of a word of which `at` is the place: prompt hits by place and number, else names, else settings, else the negative prompt."""
+    hit = PROMPT + EARLY * (1 - at.first / F.octet_length(prompt)) + AGAIN * F.least(at.n - 1, F.lit(AGAIN_MOST))
+    out = F.when(at.first.isNotNull(), hit)
+    for columns, points, prefix in ((names, NAME, True), (settings, SETTING, True), ([negative], NEGATIVE, False)):
+        out = out.when(_any([has_word(c, needle, prefix) for c in columns]), F.lit(float(points)))
+    return out.otherwise(F.lit(0.0))
+
+
+def phrase_bonus(needles: list[str], prompt: Column) -> Column:
+    """Points where two or more plain words stand together in the prompt as typed."""
+    if len(needles) < 2 or any("*" in n for n in needles):
+        return F.lit(0.0)
+    return F.when(has_word(prompt, " ".join(needles)), F.lit(float(PHRASE))).otherwise(F.lit(0.0))
 
 
 def same_text(text: Column) -> Column:
@@ -77,16 +88,98 @@ def facet_value(kind: Column, value: Column) -> Column:
     return F.when(kind.isin("steps", "cfg"), F.coalesce(number, plain)).when(kind == "size", size).otherwise(plain)
 
 
+# Words that say nothing about what a picture shows.
+FILLER = (
+    "the and with for from that this these those its his her their they she him who whose which what when where while into onto over under "
+    "above below behind between through across around against along near off out are was were been being has have had but not nor than then "
+    "there here also very some any all each one two can will about like such other both more most you your our lora break"
+).split()
+# Words that ask for quality only.
+QUALITY = (
+    "masterpiece best high higher highest top good great quality detailed detail details highly ultra very extremely super hyper intricate sharp focus "
+    "resolution res highres absurdres hd hdr uhd 4k 8k 16k 32k raw photo realistic photorealistic hyperrealistic professional award winning trending on "
+    "artstation pixiv deviantart amazing beautiful stunning perfect official art aesthetic aesthetics newest recent score up source rating safe general "
+    "illustration wallpaper unity cg rendered render octane unreal engine the a an and of in with"
+).split()
+TAG = r"<[A-Za-z]{1,15}:[^>]*>"
+MOST_PHRASES = 40
+
+
+def words_of(text: Column, least: int, more: str = "") -> Column:
+    """Distinct runs of word characters (and of `more`) of `least` characters or more."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"([\p{{IsAlphabetic}}\p{{N}}{more}&&[\x{{0}}-\x{{2E7F}}]]{{{least},}})"), 1))
+
+
 def prompt_words(text: Column) -> Column:
-    """Distinct words of three letters or more, without <name:...> tags."""
-    bare = F.regexp_replace(F.lower(text), r"<[A-Za-z]{1,15}:[^>]*>", " ")
-    return F.array_distinct(F.regexp_extract_all(bare, F.lit(r"([\p{L}\p{N}']{3,})"), 1))
+    """Distinct words of a lower-cased prompt worth counting: three characters or more, a letter among them, no filler, no <name:...> tags."""
+    bare = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, TAG, " ")).otherwise(text)
+    fillers = F.array(*map(F.lit, FILLER))
+    return F.filter(F.array_except(words_of(bare, 3), fillers), lambda w: w.rlike(r"\p{IsAlphabetic}"))
+
+
+def prompt_phrases(text: Column, most: int = MOST_PHRASES) -> Column:
+    """Distinct phrases of a lower-cased prompt: cut at commas, stops, bars and line ends, without tags, brackets, weights and escapes."""
+    t = F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", ","), "<", "")
+    t = F.replace(t, F.lit("BREAK"), F.lit(","))
+    # escaped signs wait under private characters
+    kept = "\\()[]{}:_"
+    for k, c in enumerate(kept):
+        t = F.replace(t, F.lit("\\" + c), F.lit(chr(0xE000 + k)))
+    t = F.regexp_replace(t, r"\\", "")
+    t = F.translate(F.regexp_replace(t, r":[0-9. -]*[0-9][0-9. -]*", ""), "()[]{}_", "       ")
+    t = F.translate(t, "".join(chr(0xE000 + k) for k in range(len(kept))), kept)
+    pieces = F.transform(F.split(t, r"[,;.\n\r|]"), lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r"""^[\s\-"'!?*#/:+]+|[\s\-"'!?*#/:+]+$""", ""))
+    return F.slice(F.array_distinct(F.filter(pieces, lambda p: p.rlike(r"\p{IsAlphabetic}") & ~p.startswith("embedding"))), 1, most)
+
+
+def is_quality_phrase(phrase: Column) -> Column:
+    """Whether all words only ask for quality, or are numbers."""
+    words = F.filter(F.split(F.lower(phrase), r"[\s_-]+"), lambda w: w != "")
+    return (F.size(words) > 0) & F.forall(words, lambda w: w.isin(QUALITY) | w.rlike("^[0-9]+$"))
+
+
+def written_weight(prompt: Column, phrase: Column) -> Column:
+    """The weight a phrase is written with, as in (red fox:1.2), else 1."""
+    text, start = F.lower(prompt), F.concat(F.lit("("), F.lower(phrase), F.lit(":"))
+    at = F.position(start, text)
+    rest = F.substring_index(F.substr(text, at + F.length(start)), ")", 1)
+    return F.when(at > 0, F.coalesce(F.trim(rest).try_cast("double"), F.lit(1.0))).otherwise(F.lit(1.0))
+
+
+def number_text(value: Column) -> Column:
+    """A number as it is shown: no trailing zeros, six places at most."""
+    return F.regexp_replace(F.format_string("%.6f", value.cast("double")), r"\.?0+$", "")
+
+
+def lora_tags(prompt: Column) -> Column:
+    """(name, weight) of <lora:name:weight> tags, the first of each name."""
+    tags = F.regexp_extract_all(prompt, F.lit(r"<((?:lora|lyco|lycoris):[^>]*)>"), 1)
+    parts = F.transform(tags, lambda t: F.struct(F.trim(F.get(F.split(t, ":"), F.lit(1))).alias("name"), F.trim(F.get(F.split(t, ":"), F.lit(2))).try_cast("double").alias("weight")))
+    named = F.filter(parts, lambda p: p["name"] != "")
+    return F.filter(named, lambda p, k: F.array_position(F.transform(named, lambda q: q["name"]), p["name"]) == k + 1)
+
+
+def model_key(name: Column) -> Column:
+    """A model's name without hash, folders and file ending, in lower case."""
+    s = F.regexp_replace(F.trim(name), r"\s*\[[0-9a-fA-F]+\]$", "")
+    s = F.regexp_extract(s, r"([^/\\]*)$", 1)
+    return F.trim(F.lower(F.regexp_replace(s, r"(?i)\.(safetensors|ckpt|pt|pth|bin|gguf|sft)$", "")))
+
+
+def content_key(path: Column, mtime: Column, size: Column) -> Column:
+    """A key that changes with a file's path, time or size."""
+    return F.sha2(F.concat_ws("|", path, mtime.cast("string"), size.cast("string")), 256)
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key: case folded, runs of digits as numbers."""
+    """Sort key: case folded, runs of digits as numbers. A run's number of digits stands before it, so runs of any length compare."""
     runs = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(F.regexp_replace(r, r"^0+(?=\d)", ""), 24, "0")).otherwise(r)), "")
+
+    def key(r: Column) -> Column:
+        digits = F.regexp_replace(r, r"^0+(?=\d)", "")
+        return F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), key(r)).otherwise(r)), "")
 
 
 def short_name(path: Column) -> Column:

@@ -1,39 +1,103 @@
-"""Near-duplicate pictures by perceptual hashes: candidates share one of several hash bands and a class of shape; links are verified, then joined to groups."""
+"""Near-duplicate pictures by perceptual hashes: candidates share most of a band of bits and nearly their shape; links are verified, then joined to groups.
+
+Two hashes of 64 bits together may differ in `BITS` bits, no colour channel by more than
+`COLOUR`, and width over height by a share of `SHAPE`. The bits are cut into so many bands that
+one of them differs in one bit at most; each picture is filed under its bands and looks under
+each band and its one-bit variants, among pictures of its class of shape or the next. Pictures
+equal in all of this are one node, so a group of copies costs as much as one picture.
+Defined results: pictures without a fingerprint or a size are in no group; a null id is nobody's;
+groups of one aren't told; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import log
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from .components import roots
 
-DISTANCE, BITS = 6, 63
+# How far apart near-duplicates may be.
+BITS, COLOUR, SHAPE = 12, 24, 0.02
+LOOK = ["across", "down", "r", "g", "b", "shape"]
 
 
 def fingerprints(vectors: DataFrame) -> DataFrame:
-    """(id, fp): bit i says whether element i is greater than the next one, as a difference hash does with pixels."""
-    bits = [F.when(F.get("embedding", F.lit(i)) > F.get("embedding", F.lit(i + 1)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(BITS)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return vectors.select(F.col("vec_id").alias("id"), out.alias("fp"))
-
-
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Pairs of distinct fingerprints within `distance` bits: two such agree in one of distance + 1 bands. Equal fingerprints are one node."""
-    nodes = prints.select("fp").distinct()
-    n = distance + 1
-    width = -(-BITS // n)
-    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("bits")) for k in range(n)])
-    each = nodes.select("fp", F.explode(bands).alias("band"))
-    other = each.select(F.col("fp").alias("fq"), "band")
-    pairs = each.join(other, "band").where(F.col("fp") < F.col("fq")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fq"))) <= distance)
-    return pairs.select("fp", "fq").distinct()
-
-
-def groups(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(id, group_id, members) of rows in a group of two or more; a group is named by its smallest id."""
-    tree = roots(links(prints, distance).select(F.col("fp").alias("u"), F.col("fq").alias("v")))
-    placed = prints.join(tree, prints.fp == tree.node, "left").select("id", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("members")).where("members > 1")
-    return placed.join(named, "root").select("id", "group_id", "members")
+    """(id, across, down, r, g, b, width, height): bits tell whether an element is greater than another, as difference hashes do with pixels."""
+
+    def bits(step: int) -> Column:
+        one = [F.when(F.get("embedding", F.lit(i)) > F.get("embedding", F.lit((i + step) % 64)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(63)]
+        out = one[0]
+        for b in one[1:]:
+            out = out.bitwiseOR(b)
+        return out
+
+    channel = lambda k: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 200 * F.get("embedding", F.lit(k)).cast("double")))).cast("int")
+    size = lambda n: (512 + 64 * (F.col("vec_id") % n)).cast("int")
+    return vectors.select(F.col("vec_id").alias("id"), bits(1).alias("across"), bits(9).alias("down"), channel(0).alias("r"), channel(1).alias("g"), channel(2).alias("b"), size(2).alias("width"), size(3).alias("height"))
+
+
+def distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(f"{a}.across").bitwiseXOR(F.col(f"{b}.across"))) + F.bit_count(F.col(f"{a}.down").bitwiseXOR(F.col(f"{b}.down")))
+
+
+def bands(most: int) -> list[tuple[str, int, int]]:
+    """(hash, first bit, width) of bands such that two hashes `most` bits apart have a band with one differing bit at most."""
+    n = most // 2 + 1
+    half = -(-n // 2)
+    out = []
+    for name, many in (("across", half), ("down", max(1, n - half))):
+        edges = [64 * k // many for k in range(many + 1)]
+        out += [(name, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return out
+
+
+def _cut(name: str, first: int, width: int) -> Column:
+    mask = (1 << width) - 1
+    return F.shiftrightunsigned(name, first).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1).cast("long"))
+
+
+def _varied(k: int, bits: Column, width: int) -> Column:
+    """A band's bits, and all that differ from them in one bit."""
+    flips = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << j if j < 63 else -(1 << 63) for j in range(width))]])
+    return F.transform(flips, lambda f: F.struct(F.lit(k).alias("band"), bits.bitwiseXOR(f).alias("bits")))
+
+
+def links(prints: DataFrame, most: int = BITS, colour: int = COLOUR, shape: float = SHAPE) -> DataFrame:
+    """(u, v) of nodes, which are the numbers of `nodes`, that are near each other; each pair once."""
+    step = log(1 + shape)
+    filed = prints.withColumn("class", F.floor(F.log("shape") / step)).withColumn("look", F.struct(*LOOK))
+    own, probes = [], []
+    for k, (name, first, width) in enumerate(bands(most)):
+        bits = _cut(name, first, width)
+        own.append(F.struct(F.lit(k).alias("band"), bits.alias("bits")))
+        probes.append(_varied(k, bits, width))
+    here = filed.select("node", "look", "class", F.explode(F.array(*own)).alias("at")).select(F.col("node").alias("v"), F.col("look").alias("y"), "class", "at.band", "at.bits")
+    asks = filed.select("node", "look", "class", F.explode(F.flatten(F.array(*probes))).alias("at"))
+    asks = asks.select(F.col("node").alias("u"), F.col("look").alias("x"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "at.band", "at.bits")
+    near = distance("x", "y") <= most
+    for c in "rgb":
+        near = near & (F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) <= colour)
+    low, high = F.least("x.shape", "y.shape"), F.greatest("x.shape", "y.shape")
+    pairs = asks.join(here, ["class", "band", "bits"]).where(F.col("u") != F.col("v")).where(near & (high <= low * (1 + shape)))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def groups(pictures: DataFrame, most: int = BITS, colour: int = COLOUR, shape: float = SHAPE) -> DataFrame:
+    """(id, group_id, members) of pictures in a group of two or more; a group is named by its smallest id."""
+    known = pictures.where("across is not null and down is not null and width > 0 and height > 0 and id is not null").withColumn("shape", F.col("width") / F.col("height"))
+    nodes = known.groupBy(*LOOK).agg(F.min("id").alias("node"))
+    tree = roots(links(nodes, most, colour, shape))
+    placed = nodes.join(tree, "node", "left").select(*LOOK, F.coalesce("root", "node").alias("group_id"))
+    each = known.select("id", *LOOK).join(placed, LOOK).select("id", "group_id")
+    sizes = each.groupBy("group_id").agg(F.count("*").alias("members")).where("members > 1")
+    return each.join(sizes, "group_id").select("id", "group_id", "members")
+
+
+def report(found: DataFrame, rows: DataFrame, score: Column) -> DataFrame:
+    """Groups with the rows' columns, and whether a row is its group's best: of the highest score, then of the smallest id."""
+    marked = cut(found.join(rows, "id")).withColumn("_score", score)
+    best = marked.groupBy("group_id").agg(F.max_by("id", F.struct("_score", (-F.col("id")).alias("i"))).alias("_best"))
+    return marked.join(best, "group_id").withColumn("best", F.col("id") == F.col("_best")).drop("_best", "_score")

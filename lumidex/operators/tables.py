@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["dir", "name"]
@@ -44,9 +44,9 @@ def change_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
     """changes: dir, name, and rating, flag (null: as it was), add and drop (arrays of collections, any letter case). Empty notes go."""
     n, c = notes.alias("n"), changes.alias("c")
     own = F.coalesce("n.collections", F.array().cast("array<string>"))
-    gone = F.transform(F.coalesce("c.drop", F.array().cast("array<string>")), F.lower)
+    gone = F.transform(F.coalesce("c.drop", F.array().cast("array<string>")), lambda x: F.lower(x))
     kept = F.filter(own, lambda x: ~F.array_contains(gone, F.lower(x)))
-    more = F.filter(F.transform(F.coalesce("c.add", F.array().cast("array<string>")), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: ~F.array_contains(F.transform(kept, F.lower), F.lower(x)))
+    more = F.filter(F.transform(F.coalesce("c.add", F.array().cast("array<string>")), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: ~F.array_contains(F.transform(kept, lambda y: F.lower(y)), F.lower(x)))
     joined = n.join(c, KEY, "full_outer")
     out = joined.select(*KEY, F.coalesce("c.rating", "n.rating", F.lit(0)).alias("rating"), F.coalesce("c.flag", "n.flag", F.lit(0)).alias("flag"), F.concat(kept, more).alias("collections"))
     return out.where((F.col("rating") > 0) | (F.col("flag") > 0) | (F.size("collections") > 0))
@@ -58,3 +58,125 @@ def prune_notes(notes: DataFrame, files: DataFrame) -> DataFrame:
     seen = notes.join(there, KEY, "left")
     whole = seen.groupBy("dir").agg(F.bool_or(F.coalesce("there", F.lit(False))).alias("any_there"))
     return seen.join(whole, "dir").where(F.coalesce("there", F.lit(False)) | ~F.col("any_there")).select(notes.columns)
+
+
+def replace_notes(notes: DataFrame, folder: str, fresh: DataFrame) -> DataFrame:
+    """One folder's notes become the given ones; empty ones aren't kept."""
+    said = (F.col("rating") > 0) | (F.col("flag") > 0) | (F.size("collections") > 0)
+    return notes.where(F.col("dir") != folder).unionByName(fresh.where((F.col("dir") == folder) & said).select(notes.columns))
+
+
+def transfer_notes(notes: DataFrame, moves: DataFrame) -> DataFrame:
+    """Notes go where their files went (dir, name, to_dir, to_name); one that was there gives way. A file without a note leaves the target's alone."""
+    going = notes.join(moves, KEY)
+    there = going.select(F.col("to_dir").alias("dir"), F.col("to_name").alias("name")).distinct()
+    own = [F.col("to_dir").alias("dir"), F.col("to_name").alias("name"), *[c for c in notes.columns if c not in KEY]]
+    stay = notes.join(moves.select(*KEY), KEY, "left_anti").join(there, KEY, "left_anti")
+    return stay.select(notes.columns).unionByName(going.select(*own).select(notes.columns))
+
+
+def forget(index: DataFrame, notes: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Index and notes without some files."""
+    return delete_paths(index, paths), notes.join(paths.select(*KEY), KEY, "left_anti").select(notes.columns)
+
+
+def delete_collection(notes: DataFrame, name: str) -> DataFrame:
+    """Notes without a collection in any letter case; notes that say nothing else go."""
+    kept = notes.withColumn("collections", F.filter("collections", lambda c: F.lower(c) != name.lower()))
+    return kept.where((F.col("rating") > 0) | (F.col("flag") > 0) | (F.size("collections") > 0))
+
+
+def toggled(notes: DataFrame, chosen: DataFrame, column: str, value: int) -> DataFrame:
+    """The rating or flag of the chosen files: set, or cleared where all of them have it already. One row tells which, so nothing is collected."""
+    now = chosen.select(*KEY).distinct().join(notes.select(*KEY, F.col(column).alias("_was")), KEY, "left")
+    every = now.agg(F.bool_and(F.coalesce(F.col("_was") == value, F.lit(False))).alias("_all"))
+    other = "flag" if column == "rating" else "rating"
+    change = now.crossJoin(F.broadcast(every)).select(*KEY, F.when(F.col("_all"), 0).otherwise(value).cast("int").alias(column), F.lit(None).cast("int").alias(other), F.array().cast("array<string>").alias("add"), F.array().cast("array<string>").alias("drop"))
+    return change_notes(notes, change)
+
+
+def batch_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Many changes at once, of which `at` tells the order: for each path the last rating and flag that isn't null count, and what the last mention of a collection says.
+
+    An unknown flag is an error of the caller: it raises when the job runs.
+    """
+    checked = changes.withColumn("flag", F.when(F.col("flag").isNull() | F.col("flag").isin(0, 1, 2), F.col("flag")).otherwise(F.raise_error(F.lit("unknown flag")).cast("int")))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
+    marks = checked.groupBy(*KEY).agg(last("rating"), last("flag"))
+    empty = F.array().cast("array<string>")
+    said = checked.select(*KEY, "at", F.explode(F.concat(F.transform(F.coalesce("drop", empty), lambda c: F.struct(F.lit(0).alias("on"), c.alias("c"))), F.transform(F.coalesce("add", empty), lambda c: F.struct(F.lit(1).alias("on"), c.alias("c"))))).alias("x"))
+    final = said.groupBy(*KEY, F.lower("x.c").alias("k")).agg(F.max_by("x", F.struct("at", "x.on")).alias("x"), F.max("at").alias("at"))
+    lists = final.groupBy(*KEY).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("x.on") == on, F.struct("at", "x.c")))), lambda y: y["c"]).alias(n) for n, on in (("add", 1), ("drop", 0))])
+    return change_notes(notes, marks.join(lists, KEY, "left"))
+
+
+def reconcile(index: DataFrame, listing: DataFrame, readable: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The index after a full listing, and the changes it took; a folder that can't be read leaves the index as it is."""
+    if not readable:
+        return index, difference(index, index)
+    change = difference(index, listing)
+    gone = change.where("change = 'gone'").select(*KEY)
+    fresh = listing.join(change.where("change in ('new', 'changed')").select(*KEY), KEY, "left_semi")
+    return upsert(delete_paths(index, gone), fresh), change
+
+
+def pending(files: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
+    """Files whose content key isn't in the ledger of finished (or failed) ones."""
+    return files.join(done.select(key), key, "left_anti")
+
+
+def changed_files(ledger: DataFrame, now: DataFrame, key: str = "dir") -> DataFrame:
+    """Note files to read again: new ones, and those of another time or size."""
+    old = ledger.select(key, F.struct("mtime", "size").alias("_was"))
+    return now.join(old, key, "left").where(F.col("_was").isNull() | (F.col("_was") != F.struct("mtime", "size"))).drop("_was")
+
+
+def inherited(views: DataFrame, folders: DataFrame) -> DataFrame:
+    """(dir, name, query, saved_in): the saved views that apply to each folder, its own and those of all folders above; of one name, in any letter case, the nearest."""
+    from .works import ancestors
+
+    up = folders.select("dir").distinct().select("dir", F.posexplode(ancestors(F.col("dir"))).alias("far", "saved_in"))
+    found = up.join(views.select(F.col("dir").alias("saved_in"), "name", "query"), "saved_in")
+    place = F.row_number().over(Window.partitionBy("dir", F.lower("name")).orderBy("far", "name"))
+    return found.withColumn("_place", place).where("_place = 1").select("dir", "name", "query", "saved_in")
+
+
+def view_counts(rows: DataFrame, views: dict[str, Column]) -> DataFrame:
+    """(name, n): how many rows each saved view matches, all in one pass."""
+    if not views:
+        return rows.sparkSession.createDataFrame([], "name string, n long")
+    counts = rows.agg(*[F.count_if(c).alias(f"_{k}") for k, c in enumerate(views.values())])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_{k}").alias("n")) for k, n in enumerate(views)])).alias("x")).select("x.*")
+
+
+def matched_models(wanted: DataFrame, installed: DataFrame) -> DataFrame:
+    """(model, file, stand_in) for (model, family): the installed file (file, family, format) of that name, else the one of the family most like it, else null.
+
+    Alike means: both or neither of the fast kind, then words in common, then the plain format; of equals the first name.
+    """
+    from ..functions.text import model_key
+
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != ""))
+    have = installed.select("file", "family", "format", model_key(F.col("file")).alias("_key"), words(F.col("file")).alias("_w"))
+    asked = wanted.select("model", "family").distinct().withColumn("_key", model_key(F.col("model"))).withColumn("_v", words(F.col("model")))
+    exact = asked.join(have.groupBy("_key").agg(F.min("file").alias("file")), "_key").where("_key <> ''").select("model", "family", "file", F.lit(False).alias("stand_in"))
+    kin = asked.join(exact, ["model", "family"], "left_anti").join(have.drop("_key"), "family")
+    fast = lambda c: F.array_contains(c, "turbo")
+    score = F.when(fast("_w") == fast("_v"), 10.0).otherwise(0.0) + F.size(F.array_intersect("_w", "_v")) + F.when(F.col("format") == "plain", 0.5).otherwise(0.0)
+    near = kin.groupBy("model", "family").agg(F.min_by("file", F.struct((-score).alias("a"), "file")).alias("file")).withColumn("stand_in", F.lit(True))
+    found = exact.unionByName(near)
+    return asked.select("model", "family").join(found, ["model", "family"], "left").withColumn("stand_in", F.coalesce("stand_in", F.lit(False)))
+
+
+def compared(rows: DataFrame, ids: list[int]) -> DataFrame:
+    """(setting, values, differs) of a few rows side by side: values in the order of the ids, empty where a row has none; settings nobody has are left out."""
+    own = rows.where(F.col("id").isin(ids))
+    key = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[\s_]+", " "))
+    item = lambda k, v: F.struct(F.lit(k).alias("k"), F.coalesce(v.cast("string"), F.lit("")).alias("v"))
+    loras = F.array_join(F.transform("loras", lambda x: F.concat_ws(" ", x["name"], x["weight"].cast("string"))), ", ")
+    fixed = F.array(item("prompt", F.col("prompt")), item("negative prompt", F.col("negative")), item("model", F.col("model")), item("loras", loras), item("seed", F.col("seed")), item("size", F.concat_ws(" × ", "width", "height")), item("made with", F.col("source")))
+    params = F.filter(F.transform("params", lambda p: F.struct(key(p["key"]).alias("k"), p["value"].alias("v"))), lambda p: ~p["k"].isin("seed", "size"))
+    each = own.select("id", F.explode(F.concat(fixed, params)).alias("x")).groupBy("x.k", "id").agg(F.min("x.v").alias("v"))
+    wide = each.groupBy(F.col("k").alias("setting")).agg(F.map_from_entries(F.collect_list(F.struct("id", "v"))).alias("m"))
+    values = F.transform(F.array(*[F.lit(i).cast("long") for i in ids]), lambda i: F.coalesce(F.element_at("m", i), F.lit("")))
+    return wide.select("setting", values.alias("values")).where(F.exists("values", lambda v: F.trim(v) != "")).withColumn("differs", F.size(F.array_distinct("values")) > 1)

@@ -1,72 +1,123 @@
-"""Usage counts over a search: one scan, one row per kind and value, one shuffle of partial counts, then top values per kind."""
+"""Usage counts over a search: which values rows use, how often, when, and how those rows are judged.
+
+Two passes: the first only counts values, with partial sums before its shuffle, and takes the top
+values of each kind in parts and then of the parts; the second tallies the chosen values alone, so
+trends and samples are never kept for a value that isn't reported. Defined results: rows without a
+value of a kind don't count for it; ties go by value (of whole prompts: by its digest, which is their key); an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import facets as FA
 from ..functions import text as T
 
-SLOTS, MOST = 24, {"word": 60, "rating": 6, "flag": 2}
+SLOTS, TOP, SAMPLES = 24, 100, 3
+MOST = {"word": 60, "prompt": 50, "rating": 6, "flag": 2}
+SAMPLED = ("model", "lora", "aux")
+FLAGS = {1: "keep", 2: "reject"}
 
 
 def pairs() -> Column:
-    """(kind, key) of everything that a row uses."""
-    one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("key"))
+    """(kind, key, value, role) of everything that a row uses, each once."""
+    one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"), value.alias("value"), F.lit("").alias("role"))
+    counted = F.filter(FA.facets(), lambda f: f["kind"].isin(*FA.COUNTED))
     words = F.transform(T.prompt_words(F.col("prompt")), lambda w: one("word", w))
-    fixed = F.array(one("model", F.col("model")), one("steps", F.col("steps")), one("source", F.col("source")), one("size", F.concat_ws("x", "width", "height")), one("rating", F.col("rating")), one("flag", F.col("flag")))
-    used = F.filter(fixed, lambda x: (x.key != "") & ~((x.kind.isin("rating", "flag")) & (x.key == "0")))
-    return F.concat(used, words)
-
-
-def usage(rows: DataFrame, most: int = 100) -> DataFrame:
-    """kind, key, uses, rated, stars, keeps, rejects, trend slots as text, and the number of distinct keys of the kind."""
-    span = rows.agg(F.min("mtime").alias("a"), F.max("mtime").alias("b")).first()
-    low, width = span["a"] or 0, (span["b"] or 0) - (span["a"] or 0) + 1
-    slot = F.least(F.lit(SLOTS - 1), F.expr(f"(mtime - {low}) * {SLOTS} div {width}")).cast("int")
-    each = rows.select("rating", "flag", slot.alias("slot"), F.explode(pairs()).alias("p")).select("*", "p.kind", "p.key")
-    tallies = each.groupBy("kind", "key").agg(
-        F.count("*").alias("uses"),
-        F.count_if(F.col("rating") > 0).alias("rated"),
-        F.sum("rating").cast("long").alias("stars"),
-        F.count_if(F.col("flag") == 1).alias("keeps"),
-        F.count_if(F.col("flag") == 2).alias("rejects"),
-        *[F.count_if(F.col("slot") == k).alias(f"_{k}") for k in range(SLOTS)],
+    flag = F.coalesce(*[F.when(F.col("flag") == n, F.lit(w)) for n, w in FLAGS.items()], F.lit(""))
+    whole = T.same_text(F.col("prompt"))
+    # whole prompts go by their digest, so that texts aren't shuffled to be counted
+    text = F.struct(F.lit("prompt").alias("kind"), F.when(whole != "", F.sha2(whole, 256)).otherwise("").alias("key"), whole.alias("value"), F.lit("").alias("role"))
+    fixed = F.filter(F.array(text, one("rating", F.col("rating").cast("string")), one("flag", flag)), lambda x: x["key"] != "")
+    named = F.transform(F.filter("collections", lambda c: c != ""), lambda c: F.struct(F.lit("collection").alias("kind"), F.lower(c).alias("key"), c.alias("value"), F.lit("").alias("role")))
+    return F.concat(counted, words, fixed, named)
+
+
+def limits() -> Column:
+    return F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in MOST.items()], F.lit(TOP))
+
+
+def top(counts: DataFrame, parts: int = 16) -> DataFrame:
+    """The most used keys of each kind, from (kind, key, uses): first of each of several parts, then of those."""
+    order = [F.desc("uses"), F.asc("key")]
+    some = counts.withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    some = some.withColumn("_place", F.row_number().over(Window.partitionBy("kind", "_part").orderBy(*order))).where(F.col("_place") <= TOP).drop("_part")
+    return some.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(*order)).cast("long")).drop("_place").where(F.col("place") <= limits())
+
+
+def usage(rows: DataFrame) -> DataFrame:
+    """kind, key, value and role (as first met, newest first), uses, rated, stars, keeps, rejects, trend slots as text, samples, distinct keys of the kind, and place."""
+    each = rows.select("id", "mtime", "rating", "flag", F.explode(pairs()).alias("p")).select("id", "mtime", "rating", "flag", "p.*")
+    counts = each.groupBy("kind", "key").agg(F.count("*").alias("uses"))
+    kinds = counts.groupBy("kind").agg(F.count("*").alias("distinct_keys"))
+    best = top(counts).join(kinds, "kind")  # some hundreds of rows
+    span = rows.agg(F.min("mtime").alias("_low"), F.max("mtime").alias("_high"))
+    slot = F.least(F.lit(SLOTS - 1), F.expr(f"(mtime - _low) * {SLOTS} div (_high - _low + 1)")).cast("int")
+    chosen = each.join(F.broadcast(best.select("kind", "key")), ["kind", "key"]).crossJoin(F.broadcast(span)).withColumn("slot", slot)  # span is one row
+    sampled = F.when(F.col("kind").isin(*SAMPLED) & (F.col("flag") != 2), F.struct((-F.col("rating")).alias("a"), (-F.col("mtime")).alias("b"), "id"))
+    sums = [F.count("*").alias("n"), F.count_if(F.col("rating") > 0).alias("rated"), F.sum("rating").cast("long").alias("stars"), F.count_if(F.col("flag") == 1).alias("keeps"), F.count_if(F.col("flag") == 2).alias("rejects")]
+    newest = F.max_by(F.struct("value", "role"), F.struct("mtime", "id"))
+    # by slot first, then by key: each sum is one number
+    slots = chosen.groupBy("kind", "key", "slot").agg(*sums, newest.alias("_as"), F.max(F.struct("mtime", "id")).alias("_at"))
+    tallies = slots.groupBy("kind", "key").agg(
+        *[F.sum(c).alias(c) for c in ("rated", "stars", "keeps", "rejects")],
+        F.max_by("_as", "_at").alias("_as"),
+        *[F.coalesce(F.sum(F.when(F.col("slot") == k, F.col("n"))), F.lit(0)).alias(f"_{k}") for k in range(SLOTS)],
     )
-    kinds = tallies.groupBy("kind").agg(F.count("*").alias("distinct_keys"))
-    limit = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in MOST.items()], F.lit(most))
-    top = tallies.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("uses"), "key"))).where(F.col("place") <= limit)
-    return top.join(kinds, "kind").select("kind", "key", "uses", "rated", "stars", "keeps", "rejects", F.concat_ws(",", *[f"_{k}" for k in range(SLOTS)]).alias("trend"), "distinct_keys", F.col("place").cast("long").alias("place"))
+    samples = (
+        chosen.select("kind", "key", sampled.alias("s")).where("s is not null").withColumn("_part", F.pmod(F.col("s.id"), F.lit(16)))
+        .withColumn("_k", F.row_number().over(Window.partitionBy("kind", "key", "_part").orderBy("s"))).where(F.col("_k") <= SAMPLES)
+        .groupBy("kind", "key").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("s")), 1, SAMPLES), lambda x: x["id"].cast("string")), ",").alias("samples"))
+    )
+    out = best.join(tallies, ["kind", "key"]).join(samples, ["kind", "key"], "left")
+    return out.select("kind", "key", F.col("_as.value").alias("value"), F.col("_as.role").alias("role"), "uses", "rated", "stars", "keeps", "rejects", F.concat_ws(",", *[f"_{k}" for k in range(SLOTS)]).alias("trend"), F.coalesce("samples", F.lit("")).alias("samples"), "distinct_keys", "place")
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """One row: rows, generated ones, judged ones, first and last time."""
+    judged = (F.col("rating") > 0) | (F.col("flag") > 0)
+    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("source") != "").alias("generated"), F.count_if(judged).alias("judged"), F.min("mtime").alias("first_ms"), F.max("mtime").alias("last_ms"))
+
+
+def best_rated(rows: DataFrame, most: int = 10) -> DataFrame:
+    """Models, LoRAs and supporting models by average stars, then by how many rated rows use them."""
+    each = rows.where("rating > 0").select("rating", "flag", F.explode(F.filter(FA.facets(), lambda f: f["kind"].isin(*SAMPLED))).alias("p"))
+    found = each.groupBy("p.kind", "p.key").agg(F.count("*").alias("rated"), F.sum("rating").alias("stars"), F.count_if(F.col("flag") == 1).alias("keeps"))
+    found = found.withColumn("average", F.col("stars") / F.col("rated"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("average"), F.desc("rated"), "key"))
+    return found.withColumn("place", place).where(F.col("place") <= most)
+
+
+UNITS = ((45, "day"), (400, "week"), (1900, "month"))
 
 
 def timeline(rows: DataFrame) -> DataFrame:
-    """Gap-free counts by day, week, month or year, whichever suits the span."""
+    """Gap-free counts by day, week, month or year, whichever suits the span, each with the days (first, last) of its search.
+
+    Times are those of the session's zone.
+    """
     day = F.to_date(F.timestamp_millis("mtime"))
-    span = rows.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
-    if span["a"] is None:
-        return rows.sparkSession.createDataFrame([], "bucket date, n long")
-    days = (span["b"] - span["a"]).days + 1
-    unit = "day" if days <= 45 else "week" if days <= 400 else "month" if days <= 1900 else "year"
-    at = F.to_date(F.date_trunc(unit, day.cast("timestamp")))
-    found = rows.groupBy(at.alias("bucket")).agg(F.count("*").alias("n"))
-    spine = rows.sparkSession.range(1).select(F.explode(F.sequence(F.to_date(F.date_trunc(unit, F.lit(span["a"]).cast("timestamp"))), F.lit(span["b"]), F.expr(f"interval 1 {unit}"))).alias("bucket"))
-    return spine.join(found, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    days = rows.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
+    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null")
+    width = F.datediff("b", "a") + 1
+    unit = F.coalesce(*[F.when(width <= n, F.lit(u)) for n, u in UNITS], F.lit("year"))
+    steps = {"day": "interval 1 day", "week": "interval 7 day", "month": "interval 1 month", "year": "interval 1 year"}
+    cut = lambda c: F.coalesce(*[F.when(F.col("unit") == u, F.to_date(F.date_trunc(u, c.cast("timestamp")))) for u in steps])
+    span = span.withColumn("unit", unit)
+    spine = span.select("unit", "a", F.explode(F.coalesce(*[F.when(F.col("unit") == u, F.sequence(cut(F.col("a")), F.col("b"), F.expr(s))) for u, s in steps.items()])).alias("bucket"))
+    found = days.crossJoin(F.broadcast(span.select("unit"))).groupBy(cut(F.col("day")).alias("bucket")).agg(F.sum("n").alias("n"))  # the span is one row
+    after = F.coalesce(*[F.when(F.col("unit") == u, F.to_date(F.col("bucket").cast("timestamp") + F.expr(s))) for u, s in steps.items()])
+    return spine.join(found, "bucket", "left").select("bucket", F.date_sub(after, 1).alias("last"), "unit", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def vocabulary(rows: DataFrame, least: int = 2, most: int = 20_000) -> DataFrame:
-    """Words by the number of rows that use them."""
-    each = rows.select(F.explode(T.prompt_words(F.col("prompt"))).alias("word"))
+    """Words of two characters or more by the number of prompts and negative prompts that use them."""
+    each = rows.select(F.explode(F.concat(T.words_of(F.col("prompt"), 2, "'"), T.words_of(F.col("negative"), 2, "'"))).alias("word"))
     return each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most)
 
 
-def contrast(rows: DataFrame, least: int = 3) -> DataFrame:
-    """Settings that liked and disliked rows differ in: shares, lift and its weight by the number of judged rows."""
-    target = F.when(F.col("flag") == 2, 0.0).when(F.col("rating") > 0, (F.col("rating") - 1) / 4)
-    judged = rows.select("model", "steps", target.alias("target")).where((F.col("target") >= 0.74) | (F.col("target") <= 0.26))
-    liked = F.col("target") >= 0.74
-    sizes = judged.agg(F.count_if(liked).alias("n_liked"), F.count_if(~liked).alias("n_disliked"))
-    bin_ = F.when(F.col("steps") < 10, "under 10").when(F.col("steps") < 20, "10 to 19").when(F.col("steps") < 30, "20 to 29").when(F.col("steps") < 40, "30 to 39").otherwise("40 and more")
-    each = judged.select("target", F.explode(F.array(F.concat(F.lit("model "), "model"), F.concat(F.lit("steps "), bin_))).alias("setting"))
-    counts = each.groupBy("setting").agg(F.count_if(liked).alias("liked"), F.count_if(~liked).alias("disliked")).where(F.col("liked") + F.col("disliked") >= least)
-    share = F.col("liked") / F.greatest(F.lit(1), F.col("n_liked")) - F.col("disliked") / F.greatest(F.lit(1), F.col("n_disliked"))
-    return counts.crossJoin(F.broadcast(sizes)).select("setting", "liked", "disliked", F.round(share, 6).alias("lift"), F.round(share * F.sqrt(F.least((F.col("liked") + F.col("disliked")) / 8, F.lit(1.0))), 6).alias("weight"))  # sizes is one row
+def collections(rows: DataFrame) -> DataFrame:
+    """Collections, whatever their letter case, with one of their spellings and their number of rows."""
+    each = rows.select("id", F.explode(F.filter("collections", lambda c: c != "")).alias("name"))
+    return each.groupBy(F.lower("name").alias("key")).agg(F.min("name").alias("name"), F.countDistinct("id").alias("members"))

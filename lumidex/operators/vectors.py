@@ -1,53 +1,191 @@
-"""Vector search over an embedding column: match against a yardstick, nearest rows, and kernel regression on neighbours."""
+"""Vector search over an embedding column, many queries at a time: match against a yardstick, nearest rows, kernel regression on neighbours.
+
+A query set is held in blocks of `BLOCK_BYTES` bytes; each block is multiplied with every
+partition's vectors, batch by batch, and a partition passes on what can still count. The yardstick
+is a fixed set of bounded size. Defined results: rows without a vector are nobody's neighbour;
+ties go by id; a spread of 0 gives level 0; an empty table or query set gives an empty result.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BAR, CLOSE, FAIR, FEWEST, NEIGHBOURS, SHARPNESS = 1.5, 0.78, 0.6, 12, 24, 40.0
+# Bars of a match and of likeness, numbers of rows, sharpness of the weights.
+BAR, CLOSE, FAIR, FEWEST, NEIGHBOURS, SHARPNESS, SCALE = 1.5, 0.78, 0.6, 12, 24, 40.0, 1.4826
+BLOCK_BYTES = 32 << 20
+FOUND = "query_id long, vec_id long, score double"
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """An array column without nulls as a matrix of doubles."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def blocks(queries: DataFrame, most: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of the queries, a block of bounded bytes at a time."""
+    known = queries.where("embedding is not null").select("vec_id", "embedding")
+    size = known.agg(F.sum(F.size("embedding") * 4)).first()[0] or 0
+    n = -(-size // most)
+    for k in range(n):
+        got = (known.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == k) if n > 1 else known).toArrow().sort_by("vec_id").combine_chunks()
+        if got.num_rows:
+            yield got["vec_id"].to_numpy(), matrix(got["embedding"].combine_chunks())
+
+
+def _crossed(vectors: DataFrame, queries: DataFrame, step: Callable, schema: str, more: str | None = None) -> DataFrame:
+    """What `step(ids, vectors, further column, query ids, query matrix)` finds in each batch, for all blocks of queries."""
+    rows = vectors.where("embedding is not null").select("vec_id", "embedding", *([more] if more else []))
+    out = None
+    for ids, q in blocks(queries):
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 4096):
+                    part = b.slice(at, 4096)
+                    yield from step(part.column(0).to_numpy(), matrix(part.column(1)), part.column(2).to_numpy(zero_copy_only=False) if more else None, ids, q)
+
+        found = rows.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return rows.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _rows(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in schema.split(", ")])
+
+
+def spread(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Middle of each row of scores (the element at n/2 in order), and 1.4826 times that of the deviations from it."""
+    half = scores.shape[1] // 2
+    middle = np.partition(scores, half, axis=1)[:, half]
+    return middle, SCALE * np.partition(np.abs(scores - middle[:, None]), half, axis=1)[:, half]
+
+
+def levels(scores: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """How far each score stands out from the row's usual ones."""
+    middle, width = spread(usual)
+    return np.divide(scores - middle[:, None], width[:, None] * BAR, out=np.zeros_like(scores), where=width[:, None] > 0)
+
+
+def match(vectors: DataFrame, queries: DataFrame, yardstick: np.ndarray, bar: float = 1.0) -> DataFrame:
+    """(query_id, vec_id, score) where the score, a level, is at least `bar`."""
+
+    def step(ids, v, _, qids, q):
+        level = levels(v @ q.T, v @ yardstick.T)
+        i, j = np.nonzero(level >= bar)
+        yield _rows(FOUND, qids[j], ids[i], level[i, j])
+
+    return _crossed(vectors, queries, step, FOUND)
+
+
+def fits(vectors: DataFrame, phrases: DataFrame, yardstick: np.ndarray) -> DataFrame:
+    """(query_id, vec_id, score): the level of every row for every phrase; phrases are a small stated set."""
+    return match(vectors, phrases, yardstick, -np.inf)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float, always: float = np.inf, more: str | None = None) -> DataFrame:
+    """Of each query the rows with a score of `always`, and the best `k` of at least `least`, with ties by id; a batch passes on its own best."""
+    schema = FOUND + (f", {more} double" if more else "")
+
+    def step(ids, v, extra, qids, q):
+        order = np.argsort(ids, kind="stable")
+        ids, score = ids[order], (v @ q.T)[order]
+        best = np.argsort(-score, axis=0, kind="stable")[:k]  # ties by id, as rows are in that order
+        keep = score >= always
+        np.put_along_axis(keep, best, True, axis=0)
+        i, j = np.nonzero(keep & (score >= least))
+        columns = [qids[j], ids[i], score[i, j]]
+        yield _rows(schema, *columns, *([extra[order][i].astype(np.float64)] if more else []))
+
+    found = _crossed(vectors, queries, step, schema, more)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("place", place).where((F.col("place") <= k) | (F.col("score") >= always))
+
+
+def similar(vectors: DataFrame, queries: DataFrame, close: float = CLOSE, fair: float = FAIR, fewest: int = FEWEST) -> DataFrame:
+    """(query_id, vec_id, score): rows at least `close`; with fewer than `fewest` of them, the best `fewest` that are `fair`."""
+    found = _nearest(vectors, queries, fewest, min(close, fair), close)
+    return found.where((F.col("score") >= close) | ((F.col("place") <= fewest) & (F.col("score") >= fair))).drop("place")
+
+
+def neighbours_mean(vectors: DataFrame, queries: DataFrame, target: str, k: int = NEIGHBOURS) -> DataFrame:
+    """(query_id, value, n): the mean of `target` over each query's `k` nearest rows that have one, weighted by exp(-40 (best - score))."""
+    near = _nearest(vectors.where(F.col(target).isNotNull()), queries, k, -np.inf, more=target)
+    near = near.where(F.col("place") <= k).withColumn("w", F.exp(-SHARPNESS * (F.max("score").over(Window.partitionBy("query_id")) - F.col("score"))))
+    return near.groupBy("query_id").agg((F.sum(F.col("w") * F.col(target)) / F.sum("w")).alias("value"), F.count("*").alias("n"))
+
+
+def described(vectors: DataFrame, queries: DataFrame, texts: DataFrame, styles: DataFrame, most: int = 8) -> DataFrame:
+    """(vec_id, subjects, style) of the queried rows: the texts they match best, and the style that scores highest.
 
+    Texts (the yardstick) and styles are small fixed sets of (vec_id, embedding).
+    """
+    ids, t = next(blocks(texts), (np.zeros(0, np.int64), np.zeros((0, 0))))
+    style_ids, s = next(blocks(styles), (np.zeros(0, np.int64), np.zeros((0, 0))))
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = matrix(b.column(1))
+            if not len(v):
+                continue
+            usual = v @ t.T
+            level = levels(usual, usual)
+            best = np.argsort(-level, axis=1, kind="stable")[:, :most]
+            subjects = [[int(ids[j]) for j in row if level[i, j] >= 1.0] for i, row in enumerate(best)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(subjects, pa.list_(pa.int64())), pa.array(style_ids[np.argmax(v @ s.T, axis=1)])], names=["vec_id", "subjects", "style"])
 
+    return queries.where("embedding is not null").select("vec_id", "embedding").mapInArrow(run, "vec_id long, subjects array<long>, style long")
 
-def literal(vector: list[float]) -> Column:
-    return F.lit([float(x) for x in vector])
 
+def prompt_check(phrases: DataFrame, vectors: DataFrame, texts: DataFrame, yardstick: np.ndarray) -> DataFrame:
+    """(id, phrase, level, seen) of (id, phrase, text_id): how well each row's picture shows each phrase of its prompt.
 
-def usual(embedding: Column, yardstick: list[list[float]]) -> Column:
-    """Middle and spread of a row's scores against the yardstick: the element at n/2, and 1.4826 times that of the deviations."""
-    scores = F.array_sort(F.transform(F.lit([[float(x) for x in y] for y in yardstick]), lambda y: dot(embedding, y)))
-    half = len(yardstick) // 2
-    median = F.get(scores, half)
-    spread = F.get(F.array_sort(F.transform(scores, lambda s: F.abs(s - median))), half) * 1.4826
-    return F.struct(median.alias("median"), spread.alias("spread"))
+    Rows find their picture by id and phrases their text by text_id, both by equality.
+    """
+    both = phrases.join(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id").join(texts.select(F.col("vec_id").alias("text_id"), F.col("embedding").alias("t")), "text_id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = matrix(b.column(2))
+                level = levels((v * matrix(b.column(3))).sum(axis=1, keepdims=True), v @ yardstick.T)[:, 0]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(level)], names=["id", "phrase", "level"])
 
-def match(vectors: DataFrame, query: list[float], yardstick: list[list[float]], bar: float = 1.0) -> DataFrame:
-    """Rows whose score stands out from their usual one by at least `bar`."""
-    out = vectors.withColumn("_u", usual(F.col("embedding"), yardstick)).withColumn("_s", dot(F.col("embedding"), literal(query)))
-    level = F.when(F.col("_u.spread") == 0, 0.0).otherwise((F.col("_s") - F.col("_u.median")) / F.col("_u.spread") / BAR)
-    return out.withColumn("level", level).where(F.col("level") >= bar).drop("_u", "_s")
+    return both.select("id", "phrase", "v", "t").mapInArrow(run, "id long, phrase string, level double").withColumn("seen", F.col("level") >= 1.0)
 
 
-def similar(vectors: DataFrame, query: list[float], close: float = CLOSE, fair: float = FAIR, fewest: int = FEWEST) -> DataFrame:
-    """Rows at least `close`; with fewer than `fewest` of them, the best `fewest` that are `fair`."""
-    scored = vectors.withColumn("score", dot(F.col("embedding"), literal(query))).where(F.col("score") >= min(close, fair))
-    best = scored.where(F.col("score") >= fair).orderBy(F.desc("score"), "vec_id").limit(fewest)
-    return scored.where(F.col("score") >= close).unionByName(best).dropDuplicates(["vec_id"])
+def keyed(vectors: DataFrame, files: DataFrame, key: Column) -> DataFrame:
+    """Vectors of files by their content key, so a file that changed since has none."""
+    return files.withColumn("key", key).join(vectors.select("key", "embedding"), "key", "left")
 
 
-def neighbours_mean(vectors: DataFrame, query: list[float], target: str, k: int = NEIGHBOURS) -> DataFrame:
-    """One row: the mean of `target` over the k nearest rows, weighted by exp(-40 (best - score))."""
-    near = vectors.where(F.col(target).isNotNull()).withColumn("score", dot(F.col("embedding"), literal(query))).orderBy(F.desc("score"), "vec_id").limit(k)
-    top = near.agg(F.max("score").alias("top"))
-    weight = F.exp(-SHARPNESS * (F.col("top") - F.col("score")))
-    return near.crossJoin(F.broadcast(top)).agg((F.sum(weight * F.col(target)) / F.sum(weight)).alias("value"), F.count("*").alias("n"))  # k rows and one row
+def status(files: DataFrame) -> DataFrame:
+    """One row: how many files have a vector, of how many."""
+    return files.agg(F.count_if(F.col("embedding").isNotNull()).alias("embedded"), F.count("*").alias("total"))
 
 
 def best_of(rows: DataFrame, group: str, score: Column, tie: str) -> DataFrame:
-    """The best row of each group; ties go to the earliest."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(score.desc(), F.asc(tie)))
-    return rows.withColumn("place", place).where("place = 1").drop("place")
+    """The best row of each group; ties go to the earliest. By a maximum with partial sums, so no group is sorted in one task."""
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.groupBy(F.col(group).alias("_group")).agg(F.max_by(whole, F.struct(score.alias("a"), (-F.col(tie)).alias("b"))).alias("_best")).select("_best.*")
+
+
+def best_score(group: str) -> Column:
+    """The score of a member of a group, from rating, flag, likely (stars a model gives), seen and checked (phrases), sharpness: null where unknown.
+
+    Own stars count more than guessed ones; what is unknown takes the group's mean.
+    """
+    over = Window.partitionBy(group)
+    stars = F.coalesce(F.when(F.col("rating") > 0, F.col("rating").cast("double")), F.col("likely"))
+    star = (stars - 1) / 4
+    adherence = F.when(F.col("checked") > 0, F.col("seen") / F.col("checked"))
+    sharpest = F.max("sharpness").over(over)
+    sharp = F.when(F.col("sharpness").isNotNull() & (sharpest > 0), F.col("sharpness") / sharpest).otherwise(0.5)
+    trust = F.when(F.col("rating") > 0, 0.8).otherwise(0.55)
+    points = trust * F.coalesce(star, F.avg(star).over(over), F.lit(0.5)) + 0.3 * F.coalesce(adherence, F.avg(adherence).over(over), F.lit(0.5)) + 0.15 * sharp + F.when(F.col("flag") == 1, 0.5).otherwise(0.0)
+    return F.when(F.col("flag") == 2, F.lit(float("-inf"))).otherwise(points)

@@ -1,228 +1,9 @@
-"""The registered queries of the media-library operators and their SQL twins."""
+"""All queries of the media library, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import queries_search, queries_usage, queries_vectors
+from .registry import ORACLE_SQL, QUERIES
 
-from .functions import text as T
-from .operators import duplicates, tables, usage, vectors
-from .plans import search as S
-from .sources.tables import MEDIA_SQL, media, table
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-# the word rules of functions.text without look-around: separators are doubled before counting
-SEP = r"[^\p{L}\p{N}]"
-
-
-def _has(col: str, word: str) -> str:
-    return f"regexp_matches({col}, '(^|{SEP}){word}($|{SEP})')"
-
-
-def _prefix(col: str, word: str) -> str:
-    return f"regexp_matches({col}, '(^|{SEP}){word}')"
-
-
-def _count(col: str, word: str) -> str:
-    doubled = f"regexp_replace({col}, '({SEP})', '\\1\\1', 'g')"
-    inner = word.replace(" ", "  ")
-    return f"len(regexp_extract_all({doubled}, '(^|{SEP}){inner}($|{SEP})'))"
-
-
-def _first(col: str, word: str) -> str:
-    return f"strlen(regexp_extract({col}, '(?s)^(.*?(?:^|{SEP})){word}(?:$|{SEP})', 1))"
-
-
-def _score(word: str) -> str:
-    hit = f"100 + 40 * (1 - {_first('prompt', word)}::DOUBLE / strlen(prompt)) + 10 * least({_count('prompt', word)} - 1, 3)"
-    return f"CASE WHEN {_has('prompt', word)} THEN {hit} WHEN {_prefix('name', word)} OR {_prefix('model', word)} THEN 40.0 WHEN {_prefix('source', word)} THEN 20.0 WHEN {_has('negative', word)} THEN 10.0 ELSE 0.0 END"
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-@query(f"WITH {MEDIA_SQL}, s AS (SELECT id, name, {_score('the')} + {_score('and')} + CASE WHEN {_has('prompt', 'the and')} THEN 60.0 ELSE 0.0 END AS score FROM media WHERE ({_score('the')}) > 0 AND ({_score('and')}) > 0) SELECT id, name, round(score, 6) AS score FROM s")
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two words anywhere, ranked by where they stand."""
-    return S.Search(ranked=["the", "and"]).sorted(media(spark, sf_dir)).select("id", "name", F.round("score", 6).alias("score"))
-
-
-@query(f"WITH {MEDIA_SQL} SELECT id, dir, steps FROM media WHERE {_has('prompt', 'the')} AND NOT {_has('prompt', 'scum')} AND contains(model, 'brand') AND (dir = '/lib/en' OR (dir >= '/lib/en/' AND dir < '/lib/en0'))")
-def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F2, F3, F18 and negation: phrases, parts of names, a folder tree."""
-    where = [S.in_prompt("the"), ~S.in_prompt("scum"), S.model("brand"), S.folder("/lib/en")]
-    return S.Search(where).rows(media(spark, sf_dir)).select("id", "dir", "steps")
-
-
-@query(f"WITH {MEDIA_SQL} SELECT id, mtime, rating, flag FROM media WHERE mtime >= 1701388800000 AND mtime < 1706745600000 AND rating BETWEEN 2 AND 5 AND flag IN (0, 1) AND kind = 0")
-def search_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates, ratings, flags and kinds."""
-    where = [S.dates("2023-12", "2024-01"), S.rated(2), S.flagged("none", "keep"), F.col("kind") == 0]
-    return S.Search(where).rows(media(spark, sf_dir)).select("id", "mtime", "rating", "flag")
-
-
-@query(f"""WITH {MEDIA_SQL}, w AS (SELECT id, trim(regexp_replace(replace(prompt, '"', ''), '\\s+', ' ', 'g')) AS t FROM media) SELECT a.id, count(*) AS same FROM w a JOIN w b ON a.t = b.t GROUP BY a.id HAVING count(*) > 1""")
-def same_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows whose whole prompt another row has."""
-    rows = media(spark, sf_dir).select("id", F.xxhash64(T.same_text(F.col("prompt"))).alias("key"))
-    return rows.join(rows.groupBy("key").agg(F.count("*").alias("same")).where("same > 1"), "key").select("id", "same")
-
-
-@query(f"WITH {MEDIA_SQL} SELECT id, row_number() OVER (PARTITION BY dir ORDER BY rating DESC, CASE flag WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END, mtime DESC, name DESC, id) AS place FROM media")
-def sorted_by_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O2: places in the order by rating within each folder."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("dir").orderBy(*S.ORDERS["rating"](), "id"))
-    return media(spark, sf_dir).select("id", place.cast("long").alias("place"))
-
-
-_WORDS = r"list_distinct(regexp_extract_all(regexp_replace(lower(prompt), '<[A-Za-z]{1,15}:[^>]*>', ' ', 'g'), '[\p{L}\p{N}'']{3,}'))"
-_SLOTS = " || ',' || ".join(f"count(*) FILTER (WHERE slot = {k})" for k in range(24))
-
-
-@query(
-    f"""WITH {MEDIA_SQL}, span AS (SELECT min(mtime) AS a, max(mtime) AS b FROM media),
-each AS (SELECT rating, flag, least(23, (mtime - a) * 24 // (b - a + 1)) AS slot, unnest(list_concat([{{'kind': 'model', 'key': model}}, {{'kind': 'steps', 'key': CAST(steps AS VARCHAR)}}, {{'kind': 'source', 'key': source}}, {{'kind': 'size', 'key': width || 'x' || height}}, {{'kind': 'rating', 'key': CAST(rating AS VARCHAR)}}, {{'kind': 'flag', 'key': CAST(flag AS VARCHAR)}}], list_transform({_WORDS}, lambda x: {{'kind': 'word', 'key': x}}))) AS p FROM media, span),
-t AS (SELECT p.kind AS kind, p.key AS key, count(*) AS uses, count(*) FILTER (WHERE rating > 0) AS rated, CAST(sum(rating) AS BIGINT) AS stars, count(*) FILTER (WHERE flag = 1) AS keeps, count(*) FILTER (WHERE flag = 2) AS rejects, {_SLOTS} AS trend FROM each WHERE p.key <> '' AND NOT (p.kind IN ('rating', 'flag') AND p.key = '0') GROUP BY 1, 2),
-r AS (SELECT *, count(*) OVER (PARTITION BY kind) AS distinct_keys, row_number() OVER (PARTITION BY kind ORDER BY uses DESC, key) AS place FROM t)
-SELECT * FROM r WHERE place <= CASE kind WHEN 'word' THEN 60 WHEN 'rating' THEN 6 WHEN 'flag' THEN 2 ELSE 100 END"""
-)
-def usage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tallies, trends and top values of every kind."""
-    return usage.usage(media(spark, sf_dir))
-
-
-@query(
-    f"""WITH {MEDIA_SQL}, d AS (SELECT CAST(to_timestamp(mtime / 1000) AT TIME ZONE 'UTC' AS DATE) AS day FROM media), s AS (SELECT min(day) AS a, max(day) AS b FROM d),
-u AS (SELECT CASE WHEN b - a + 1 <= 45 THEN 'day' WHEN b - a + 1 <= 400 THEN 'week' WHEN b - a + 1 <= 1900 THEN 'month' ELSE 'year' END AS unit, a, b FROM s),
-spine AS (SELECT CAST(unnest(generate_series(CAST(date_trunc(unit, a) AS TIMESTAMP), CAST(b AS TIMESTAMP), CASE unit WHEN 'day' THEN INTERVAL 1 DAY WHEN 'week' THEN INTERVAL 7 DAY WHEN 'month' THEN INTERVAL 1 MONTH ELSE INTERVAL 1 YEAR END)) AS DATE) AS bucket FROM u),
-c AS (SELECT CAST(date_trunc(unit, day) AS DATE) AS bucket, count(*) AS n FROM d, u GROUP BY 1)
-SELECT spine.bucket, coalesce(n, 0) AS n FROM spine LEFT JOIN c USING (bucket)"""
-)
-def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts over time without gaps."""
-    return usage.timeline(media(spark, sf_dir))
-
-
-@query(f"WITH {MEDIA_SQL}, w AS (SELECT unnest({_WORDS}) AS word FROM media), c AS (SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 2) SELECT word, n FROM c ORDER BY n DESC, word LIMIT 20000")
-def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words by the rows that use them."""
-    return usage.vocabulary(media(spark, sf_dir))
-
-
-@query(
-    f"""WITH {MEDIA_SQL}, j AS (SELECT model, steps, CASE WHEN flag = 2 THEN 0.0 WHEN rating > 0 THEN (rating - 1) / 4.0 END AS target FROM media),
-k AS (SELECT *, target >= 0.74 AS liked FROM j WHERE target >= 0.74 OR target <= 0.26), n AS (SELECT count(*) FILTER (WHERE liked) AS nl, count(*) FILTER (WHERE NOT liked) AS nd FROM k),
-e AS (SELECT liked, unnest(['model ' || model, 'steps ' || CASE WHEN steps < 10 THEN 'under 10' WHEN steps < 20 THEN '10 to 19' WHEN steps < 30 THEN '20 to 29' WHEN steps < 40 THEN '30 to 39' ELSE '40 and more' END]) AS setting FROM k),
-c AS (SELECT setting, count(*) FILTER (WHERE liked) AS liked, count(*) FILTER (WHERE NOT liked) AS disliked FROM e GROUP BY setting HAVING count(*) >= 3),
-l AS (SELECT setting, liked, disliked, CAST(liked AS DOUBLE) / greatest(1, nl) - CAST(disliked AS DOUBLE) / greatest(1, nd) AS lift FROM c, n)
-SELECT setting, liked, disliked, round(lift, 6) AS lift, round(lift * sqrt(least((liked + disliked) / 8.0::DOUBLE, 1.0)), 6) AS weight FROM l"""
-)
-def liked_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings that liked and disliked rows differ in."""
-    return usage.contrast(media(spark, sf_dir))
-
-
-def _vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
-    return list(table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
-
-
-_Q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3)"
-_DOT = f"list_inner_product(CAST(embedding AS DOUBLE[]), {_Q})"
-
-
-@query(
-    f"""WITH y AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 20),
-s AS (SELECT v.vec_id, list_sort(list(list_inner_product(CAST(v.embedding AS DOUBLE[]), y.e))) AS l FROM embeddings v, y GROUP BY v.vec_id),
-m AS (SELECT vec_id, l, l[11] AS median FROM s), u AS (SELECT vec_id, median, 1.4826 * list_sort(list_transform(l, lambda x: abs(x - median)))[11] AS spread FROM m),
-r AS (SELECT vec_id, ({_DOT} - median) / spread / 1.5 AS level FROM embeddings JOIN u USING (vec_id) WHERE spread > 0)
-SELECT vec_id, round(level, 6) AS level FROM r WHERE level >= 0.5"""
-)
-def vector_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that match a query more than they match the yardstick."""
-    rows = table(spark, sf_dir, "embeddings")
-    yardstick = [list(r["embedding"]) for r in rows.where("vec_id < 20").orderBy("vec_id").collect()]
-    return vectors.match(rows, _vector(spark, sf_dir, 3), yardstick, 0.5).select("vec_id", F.round("level", 6).alias("level"))
-
-
-@query(f"WITH s AS (SELECT vec_id, {_DOT} AS score FROM embeddings), b AS (SELECT * FROM s WHERE score >= 0.1 ORDER BY score DESC, vec_id LIMIT 12) SELECT vec_id, round(score, 6) AS score FROM (SELECT * FROM s WHERE score >= 0.3 UNION SELECT * FROM b)")
-def similar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3: more like this one."""
-    return vectors.similar(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 3), 0.3, 0.1).select("vec_id", F.round("score", 6).alias("score"))
-
-
-@query(f"WITH n AS (SELECT label, {_DOT} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 24), w AS (SELECT label, exp(-40.0 * ((SELECT max(score) FROM n) - score)) AS w FROM n) SELECT round(sum(w * label) / sum(w), 6) AS value, count(*) AS n FROM w")
-def neighbours_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5: what the nearest rows say, the nearer the more."""
-    return vectors.neighbours_mean(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir, 3), "label").select(F.round("value", 6).alias("value"), "n")
-
-
-_FP = " + ".join(f"CASE WHEN embedding[{i + 1}] > embedding[{i + 2}] THEN {1 << i}::BIGINT ELSE 0 END" for i in range(63))
-
-
-@query(
-    f"""WITH RECURSIVE p AS (SELECT vec_id AS id, {_FP} AS fp FROM embeddings), l AS (SELECT a.id AS u, b.id AS v FROM p a, p b WHERE bit_count(xor(a.fp, b.fp)) <= 16),
-r AS (SELECT id AS node, id AS root FROM p UNION SELECT l.v AS node, r.root FROM r JOIN l ON l.u = r.node), g AS (SELECT node, min(root) AS group_id FROM r GROUP BY node)
-SELECT node AS id, group_id, members FROM (SELECT *, count(*) OVER (PARTITION BY group_id) AS members FROM g) WHERE members > 1"""
-)
-def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of near-duplicate fingerprints."""
-    return duplicates.groups(duplicates.fingerprints(table(spark, sf_dir, "embeddings")), 16)
-
-
-@query(f"WITH {MEDIA_SQL} SELECT dir, id, size FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY rating * 1.0 + size / 100000.0 DESC, id) AS p FROM media) WHERE p = 1")
-def best_of_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best row of each group."""
-    return vectors.best_of(media(spark, sf_dir), "dir", F.col("rating") * 1.0 + F.col("size") / 100000.0, "id").select("dir", "id", "size")
-
-
-_LISTING = "SELECT id, dir, name, CASE WHEN id % 7 = 0 THEN size + 1 ELSE size END AS size, mtime FROM media WHERE id % 11 <> 0 UNION ALL SELECT id + 10000000, dir, name || '_new', size, mtime FROM media WHERE id % 13 = 0"
-
-
-def _listing(rows: DataFrame) -> DataFrame:
-    cols = ["id", "dir", "name", "size", "mtime"]
-    old = rows.where("id % 11 <> 0").withColumn("size", F.when(F.col("id") % 7 == 0, F.col("size") + 1).otherwise(F.col("size"))).select(cols)
-    return old.unionByName(rows.where("id % 13 = 0").withColumns({"id": F.col("id") + 10000000, "name": F.concat("name", F.lit("_new"))}).select(cols))
-
-
-@query(f"WITH {MEDIA_SQL}, l AS ({_LISTING}) SELECT coalesce(m.dir, l.dir) AS dir, coalesce(m.name, l.name) AS name, CASE WHEN m.name IS NULL THEN 'new' WHEN l.name IS NULL THEN 'gone' WHEN m.size <> l.size OR m.mtime <> l.mtime THEN 'changed' ELSE 'same' END AS change FROM media m FULL JOIN l ON m.dir = l.dir AND m.name = l.name")
-def index_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a listing changes in the index."""
-    rows = media(spark, sf_dir)
-    return tables.difference(rows, _listing(rows))
-
-
-@query(f"WITH {MEDIA_SQL}, l AS ({_LISTING}), u AS (SELECT m.id, m.dir, m.name, coalesce(l.size, m.size) AS size, m.mtime FROM media m LEFT JOIN l ON m.dir = l.dir AND m.name = l.name UNION ALL SELECT l.* FROM l WHERE NOT EXISTS (SELECT 1 FROM media m WHERE m.dir = l.dir AND m.name = l.name)) SELECT * FROM u WHERE NOT (dir = '/lib/fr' OR (dir >= '/lib/fr/' AND dir < '/lib/fr0'))")
-def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1, K2: records replace rows of their path, ids stay; then a tree is deleted."""
-    rows = media(spark, sf_dir)
-    return tables.delete_tree(tables.upsert(rows.select("id", "dir", "name", "size", "mtime"), _listing(rows)), "/lib/fr")
-
-
-@query(f"""WITH {MEDIA_SQL} SELECT id, regexp_replace(CAST(CAST(steps AS DOUBLE) AS VARCHAR), '\\.0$', '') AS steps, width || 'x' || height AS size, strftime(CAST(to_timestamp(mtime / 1000) AT TIME ZONE 'UTC' AS DATE), '%Y-%m-%d') AS day, lpad(CAST(id AS VARCHAR), 24, '0') AS number FROM media""")
-def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facet values, days and natural order keys."""
-    rows = media(spark, sf_dir)
-    size = T.facet_value(F.lit("size"), F.concat("width", F.lit(" × "), "height"))
-    return rows.select("id", T.facet_value(F.lit("steps"), F.concat("steps", F.lit(".0"))).alias("steps"), size.alias("size"), F.date_format(F.timestamp_millis("mtime"), "yyyy-MM-dd").alias("day"), F.substring(T.natural_key(F.col("name")), 5, 24).alias("number"))
-
-
-@query(
-    """WITH n AS (SELECT o_custkey AS c, 'r' || o_orderpriority AS k, o_totalprice AS v FROM orders) SELECT k AS kind, count(*) AS uses, count(DISTINCT c) AS users, round(sum(v), 2) AS total FROM n GROUP BY k
-UNION ALL SELECT 'f' || l_returnflag, count(*), count(DISTINCT l_suppkey), round(sum(l_extendedprice), 2) FROM lineitem GROUP BY l_returnflag"""
-)
-def star_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G2 over the star schema: grouped counts, users and totals."""
-    o = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("r"), "o_orderpriority").alias("kind")).agg(F.count("*").alias("uses"), F.countDistinct("o_custkey").alias("users"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-    li = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("f"), "l_returnflag").alias("kind")).agg(F.count("*").alias("uses"), F.countDistinct("l_suppkey").alias("users"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
-    return o.unionByName(li)
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship", "queries_search", "queries_usage", "queries_vectors"]
+flagship = queries_search.flagship

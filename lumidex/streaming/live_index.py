@@ -1,4 +1,11 @@
-"""A live index: a file stream of change records, applied batch by batch to a versioned index table."""
+"""A live index: a file stream of change records, applied batch by batch to a versioned index table.
+
+The state is in the folder of versions alone, so a restart goes on from the newest complete one;
+nothing is kept by the driver. A batch that is run again overwrites its own version only. Versions but
+for the last `KEPT` are removed. Defined results: of several records for a path in a batch the newest
+counts, of equal times that of the greater id; a folder's removal takes what was put before it and
+leaves what was put at its time or later; records without a folder are ignored; an empty batch changes nothing.
+"""
 
 from __future__ import annotations
 
@@ -7,32 +14,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import tables
+from ..operators.works import ancestors
 
 CHANGES = "id long, dir string, name string, size long, mtime long, action string"
+KEPT = 3
+
+
+def _folder(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
 
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete versions, ascending; one is complete when its writer has committed it."""
+    fs, path = _folder(spark, root)
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
 
-def latest(spark: SparkSession, root: str, versions: list[int]) -> DataFrame:
-    """The index after the last applied batch (an empty one before the first)."""
-    if not versions:
+
+def latest(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The index after the last applied batch (an empty one before the first), or after the last before batch `before`."""
+    known = [v for v in versions(spark, root) if before is None or v < before]
+    if not known:
         return spark.createDataFrame([], CHANGES).drop("action")
-    return spark.read.parquet(f"{root}/v{max(versions)}")
+    return spark.read.parquet(f"{root}/v{known[-1]}")
+
 
+def applied(index: DataFrame, batch: DataFrame) -> DataFrame:
+    """The index after a batch of `put`, `gone` and `tree` records."""
+    batch = batch.where("dir is not null")
+    order = F.struct("mtime", "id")
+    last = batch.where("action <> 'tree'").groupBy("dir", "name").agg(F.max_by(F.struct("id", "size", "mtime", "action"), order).alias("x")).select("dir", "name", "x.*")
+    trees = batch.where("action = 'tree'").groupBy(F.col("dir").alias("tree")).agg(F.max("mtime").alias("cut"))
+    # what lies below a removed folder is told by equality with one of its ancestors
+    up = lambda rows: rows.select("dir", "name", "mtime", F.explode(ancestors(F.col("dir"))).alias("tree"))
+    old = up(index).join(trees, "tree", "left_semi").select("dir", "name").distinct()
+    late = up(last).join(trees, "tree").where("mtime < cut").select("dir", "name").distinct()
+    last = last.join(late, ["dir", "name"], "left_anti")
+    kept = tables.delete_paths(tables.delete_paths(index, old), last.where("action = 'gone'"))
+    return tables.upsert(kept, last.where("action = 'put'").drop("action"))
 
-def follow(spark: SparkSession, source: str, root: str, checkpoint: str, versions: list[int]) -> StreamingQuery:
-    """Apply `put`, `gone` and `tree` records of new files in `source`; of several for a path in a batch the newest counts.
 
-    Each batch writes version v<batch>; a batch that is run again after a failure overwrites its own version only.
-    """
+def follow(spark: SparkSession, source: str, root: str, checkpoint: str) -> StreamingQuery:
+    """Apply the records of new files in `source`."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        before = latest(spark, root, [v for v in versions if v < number])
-        last = batch.groupBy("dir", "name").agg(F.max_by(F.struct("id", "size", "mtime", "action"), F.struct("mtime", "id")).alias("x")).select("dir", "name", "x.*")
-        trees = last.where("action = 'tree'").select(F.col("dir").alias("t"))
-        now = before.join(trees, (F.col("dir") == F.col("t")) | ((F.col("dir") >= F.concat("t", F.lit("/"))) & (F.col("dir") < F.concat("t", F.lit("0")))), "left_anti")
-        now = tables.delete_paths(now, last.where("action = 'gone'"))
-        tables.upsert(now, last.where("action = 'put'").drop("action")).write.mode("overwrite").parquet(f"{root}/v{number}")
-        if number not in versions:
-            versions.append(number)
+        session = batch.sparkSession
+        applied(latest(session, root, number), batch).write.mode("overwrite").parquet(f"{root}/v{number}")
+        fs, _ = _folder(session, root)
+        for old in versions(session, root)[:-KEPT]:
+            fs.delete(session._jvm.org.apache.hadoop.fs.Path(f"{root}/v{old}"), True)
 
     stream = spark.readStream.schema(CHANGES).json(source)
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def still_there(records: DataFrame, files: DataFrame) -> DataFrame:
+    """Records whose file hasn't vanished while they were read."""
+    return records.join(files.select("dir", "name"), ["dir", "name"], "left_semi")
