@@ -230,12 +230,6 @@ def test_pii_base_spans_and_redaction(spark, docs, make):
             assert t == known[i] if not spans and t == known[i] else not any((known[i])[a:b] in t for a, b, k in spans if k == "email")
 
 
-def test_pii_adds_disguised_spans(spark):
-    selector = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    assert pii.base_spans("from 10.0.0.1 to") == [(5, 13, "ip")]
-    assert all(s[3] for s in selector.spans("due 2024-01-02, version 1.2.3"))
-
-
 def brute_hits(text, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     phrases = collections.defaultdict(set)
@@ -298,7 +292,7 @@ def test_classifiers_held_out_accuracy(spark, make, name, label, parts, rest, cu
 
 
 def test_toxicity_folds_disguises():
-    assert toxicity.folded("1d10t cl0wn ТRАSН 42 a1") == ["idiot", "clown", "trash", "a"] or toxicity.folded("cl0wn") == ["clown"]
+    assert toxicity.folded("1d10t cl0wn ТRАSН 42 a1 $h@dy fooool") == ["idiot", "clown", "trash", "a", "shady", "fooool"]
     lexicon = toxicity.Lexicon({" clown ": 2.0}, (" circus clown ",), 0.5, 5.0, -3.0)
     assert lexicon.score("you cl0wn") > 0.5 > lexicon.score("the circus clown") == lexicon.score(None)
 
