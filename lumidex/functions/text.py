@@ -138,6 +138,26 @@ def is_quality_phrase(phrase: Column) -> Column:
     return (F.size(words) > 0) & F.forall(words, lambda w: w.isin(QUALITY) | w.rlike("^[0-9]+$"))
 
 
+# Words that say how a picture looks, and how it is framed.
+LOOK = (
+    "painting painted photograph photography photo illustration anime manga style lighting light lit art artwork render sketch drawing drawn watercolor "
+    "watercolour oil acrylic ink cinematic film grain bokeh colors colours colorful palette shading lineart cel pastel vibrant muted monochrome noir "
+    "impressionist impressionism surreal surrealism fantasy concept digital 3d pixel vector comic cartoon ukiyo baroque renaissance gothic cyberpunk "
+    "steampunk vintage retro polaroid glow glowing rim volumetric dramatic soft warm cool golden hour moody atmospheric texture textured brushstrokes "
+    "canvas matte gouache charcoal pencil chiaroscuro"
+).split()
+FRAMING = "close-up closeup full body upper wide angle aerial shot portrait view cowboy panorama panoramic".split()
+
+
+def is_look_phrase(phrase: Column) -> Column:
+    """Whether a phrase says how the picture looks, and neither what is in it nor how it is framed."""
+    low = F.lower(phrase)
+    words = F.filter(F.split(low, r"[\s_,]+"), lambda w: w != "")
+    framed = F.exists(words, lambda w: w.isin(FRAMING) | F.contains(w, F.lit("close-up")))
+    look = F.forall(words, lambda w: w.isin(LOOK) | w.isin(QUALITY) | w.rlike("^[0-9]+$")) & F.exists(words, lambda w: w.isin(LOOK))
+    return (F.size(words) > 0) & ~framed & (look | low.rlike("^(?:by |art by |in the style of|style of)"))
+
+
 def written_weight(prompt: Column, phrase: Column) -> Column:
     """The weight a phrase is written with, as in (red fox:1.2), else 1."""
     text, start = F.lower(prompt), F.concat(F.lit("("), F.lower(phrase), F.lit(":"))
@@ -166,6 +186,27 @@ def model_key(name: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(s, r"(?i)\.(safetensors|ckpt|pt|pth|bin|gguf|sft)$", "")))
 
 
+def param(params: Column, *names: str) -> Column:
+    """The first setting written under one of the names, in any letter case; null without one."""
+    return F.get(F.transform(F.filter(params, lambda p: F.lower(p["key"]).isin(*names)), lambda p: p["value"]), F.lit(0))
+
+
+def recipe_size(params: Column, width: Column, height: Column) -> Column:
+    """(width, height) as written in the settings, else the picture's own."""
+    size, pattern = param(params, "size"), r"(\d+)\s*[x×]\s*(\d+)"
+    side = lambda k, own: F.coalesce(F.regexp_extract(size, pattern, k).try_cast("int"), own)
+    return F.struct(side(1, width).alias("width"), side(2, height).alias("height"))
+
+
+def recipe_steps(params: Column) -> Column:
+    """The number of steps, rounded; null if it isn't told."""
+    return F.round(F.trim(param(params, "steps")).try_cast("double")).cast("int")
+
+
+def recipe_cfg(params: Column) -> Column:
+    return F.trim(param(params, "cfg scale", "cfg", "cfg_scale")).try_cast("double")
+
+
 def content_key(path: Column, mtime: Column, size: Column) -> Column:
     """A key that changes with a file's path, time or size."""
     return F.sha2(F.concat_ws("|", path, mtime.cast("string"), size.cast("string")), 256)

@@ -110,6 +110,17 @@ def batch_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
     return change_notes(notes, marks.join(lists, KEY, "left"))
 
 
+def notes_in(notes: DataFrame, folder: str, name: str | None = None) -> DataFrame:
+    """A folder's notes, or one file's."""
+    own = notes.where(F.col("dir") == folder)
+    return own if name is None else own.where(F.col("name") == name)
+
+
+def note_folders(notes: DataFrame) -> DataFrame:
+    """Folders that hold notes, and how many."""
+    return notes.groupBy("dir").agg(F.count("*").alias("n"))
+
+
 def reconcile(index: DataFrame, listing: DataFrame, readable: bool = True) -> tuple[DataFrame, DataFrame]:
     """The index after a full listing, and the changes it took; a folder that can't be read leaves the index as it is."""
     if not readable:

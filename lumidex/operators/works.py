@@ -6,7 +6,7 @@ of no rows is 0; ties go by label; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import facets as FA
@@ -88,6 +88,25 @@ def what_works(rows: DataFrame, model: str | None = None) -> DataFrame:
     return out.withColumn("few", F.col("judged") < FEW)
 
 
+def examples(rows: DataFrame, found: DataFrame, most: int = 3) -> DataFrame:
+    """(kind, label, liked, disliked): for the few items of `found` (what `what_works` gives), ids of the best liked and the worst disliked rows with each."""
+    judged = recipes(rows).where("target is not null")
+    phrases = F.transform(T.prompt_phrases(F.lower("prompt")), lambda p: F.struct(F.lit("phrase").alias("kind"), p.alias("label")))
+    each = judged.select("id", "mtime", "target", F.explode(F.concat(phrases, _settings())).alias("x")).select("id", "mtime", "target", "x.*")
+    each = each.join(F.broadcast(found.select("kind", "label").distinct()), ["kind", "label"]).withColumn("_part", F.pmod("id", F.lit(16)))
+
+    def best(some: DataFrame, order: list[Column], name: str) -> DataFrame:
+        """The first ids of each item, of several parts first and then of those."""
+        for key in (["kind", "label", "_part"], ["kind", "label"]):
+            some = some.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_k") <= most)
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("_k", "id"))), lambda x: x["id"])
+        return some.groupBy("kind", "label").agg(ids.alias(name))
+
+    liked = best(each.where(F.col("target") >= LIKED), [F.desc("target"), F.desc("mtime"), F.asc("id")], "liked")
+    disliked = best(each.where(F.col("target") <= DISLIKED), [F.asc("target"), F.desc("mtime"), F.asc("id")], "disliked")
+    return liked.join(disliked, ["kind", "label"], "full_outer")
+
+
 def judged_models(rows: DataFrame, most: int = 20) -> DataFrame:
     """First models of judged rows by how many rows they made."""
     first = recipes(rows).where("target is not null").select(FA.first(F.col("facets"), "model").alias("model")).where("model is not null")

@@ -10,6 +10,7 @@ from .functions import text as T
 from .operators import tables
 from .plans import search as S
 from .registry import query
+from .sources import files
 from .sources.tables import MEDIA_SQL, media, table
 
 # the word rules of functions.text without look-around: separators are doubled before counting
@@ -216,6 +217,32 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media(spark, sf_dir).select("id", T.short_name(path).alias("short"), T.number_text(i % 12 / 8).alias("number"), T.written_weight(prompt, F.lit("red FOX")).alias("weight"), tags.alias("tags"), key.alias("key"))
 
 
+@query(f"WITH {MEDIA_SQL} SELECT id, CAST(CASE WHEN id % 3 = 0 THEN 640 ELSE width END AS INTEGER) AS width, CAST(CASE WHEN id % 3 = 0 THEN 480 ELSE height END AS INTEGER) AS height, steps, CAST(1 + (id % 19) * 0.5 AS DOUBLE) AS cfg FROM media")
+def recipe_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, steps and scale of a recipe, whatever they are written under."""
+    size = F.when(F.col("id") % 3 == 0, F.array(F.struct(F.lit("SIZE").alias("key"), F.lit("640 × 480").alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    rows = media(spark, sf_dir).withColumn("params", F.concat("params", size))
+    return rows.select("id", T.recipe_size(F.col("params"), F.col("width"), F.col("height")).alias("s"), T.recipe_steps(F.col("params")).alias("steps"), T.recipe_cfg(F.col("params")).alias("cfg")).select("id", "s.*", "steps", "cfg")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 IN (0, 1) THEN 0 WHEN event_id % 7 = 2 THEN 1 END AS kind FROM events")
+def media_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures and films by their file ending; hidden files and others are neither."""
+    names = F.array(*[F.lit(x) for x in ("a.PNG", "b.jxl", "c.d.MKV", ".e.png", "f.txt", "png", "g.png.bak")])
+    name = F.element_at(names, (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", files.media_kind(name).alias("kind"))
+
+
+@query(f"WITH {MEDIA_SQL} SELECT id FROM media WHERE kind = 0 AND (id % 4 <> 1 OR id % 12 = 1)")
+def prints_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures without a fingerprint, not even one that failed, by content key."""
+    rows = media(spark, sf_dir).where("kind = 0")
+    path = F.concat("dir", F.lit("/"), "name")
+    done = rows.where("id % 4 = 1").select(T.content_key(path, F.col("mtime"), F.col("size")).alias("key"))
+    now = rows.withColumn("mtime", F.when(F.col("id") % 12 == 1, F.col("mtime") + 1).otherwise(F.col("mtime")))
+    return tables.pending(now.withColumn("key", T.content_key(path, F.col("mtime"), F.col("size"))), done).select("id")
+
+
 @query(
     """WITH n AS (SELECT o_custkey AS c, 'r' || o_orderpriority AS k, o_totalprice AS v FROM orders) SELECT k AS kind, count(*) AS uses, count(DISTINCT c) AS users, round(sum(v), 2) AS total FROM n GROUP BY k
 UNION ALL SELECT 'f' || l_returnflag, count(*), count(DISTINCT l_suppkey), round(sum(l_extendedprice), 2) FROM lineitem GROUP BY l_returnflag"""

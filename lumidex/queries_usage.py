@@ -123,6 +123,29 @@ def what_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return works.what_works(media(spark, sf_dir)).select("part", "kind", "label", "liked", "disliked", "judged", r("keep"), r("reject"), r("weight"), "few")
 
 
+@query(
+    f"""WITH {MEDIA_SQL}, {_COUNTS}, w AS (SELECT *, keep - reject AS lift, (keep - reject) * sqrt(least(judged / 8.0::DOUBLE, 1.0)) AS weight FROM k WHERE judged >= 3),
+u AS ({_PART('keep', f"kind = 'phrase' AND round(lift, 9) >= 0.05 AND NOT {_QUALITY('label')}", 'round(weight, 9) DESC, label')} UNION ALL {_PART('reject', "kind = 'phrase' AND round(lift, 9) <= -0.05", 'round(weight, 9), label DESC')} UNION ALL {_PART('settings', "kind <> 'phrase' AND abs(round(lift, 9)) >= 0.05", 'round(abs(weight), 9) DESC, label')}),
+e AS (SELECT id, mtime, target, unnest(list_concat(list_transform(ps, lambda p: {{'kind': 'phrase', 'label': p}}), {_SETTINGS})) AS s FROM (SELECT j.*, m.mtime, ph.ps FROM j JOIN media m USING (id) JOIN ph USING (id)))
+SELECT kind, label, coalesce(array_to_string((list(id ORDER BY target DESC, mtime DESC) FILTER (WHERE target >= 0.74))[1:3], ','), '') AS liked, coalesce(array_to_string((list(id ORDER BY target, mtime DESC) FILTER (WHERE target <= 0.26))[1:3], ','), '') AS disliked
+FROM (SELECT DISTINCT id, mtime, target, s.kind AS kind, s.label AS label FROM e) WHERE (kind, label) IN (SELECT (kind, label) FROM u) AND (target >= 0.74 OR target <= 0.26) GROUP BY 1, 2"""
+)
+def works_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best liked and worst disliked rows of what works."""
+    rows = media(spark, sf_dir)
+    out = works.examples(rows, works.what_works(rows))
+    told = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit("")).alias(c)
+    return out.select("kind", "label", told("liked"), told("disliked"))
+
+
+@query(f"WITH {MEDIA_SQL}, e AS (SELECT DISTINCT unnest({_phrases('prompt || CASE id % 5 WHEN 0 THEN \', soft lighting, oil_painting 8k\' WHEN 1 THEN \', best close-up portrait, art by x\' WHEN 2 THEN \', golden hair, 8k uhd\' ELSE \'\' END')}) AS phrase FROM media), w AS (SELECT phrase, {_QUALITY('phrase')} AS quality, list_filter(string_split_regex(phrase, '[\\s_,]+'), lambda w: w <> '') AS ws FROM e) SELECT phrase, quality, len(ws) > 0 AND len(list_filter(ws, lambda w: list_contains({_LIST(T.FRAMING)}, w) OR contains(w, 'close-up'))) = 0 AND ((len(list_filter(ws, lambda w: NOT (list_contains({_LIST(T.LOOK)}, w) OR list_contains({_LIST(T.QUALITY)}, w) OR regexp_matches(w, '^[0-9]+$')))) = 0 AND len(list_filter(ws, lambda w: list_contains({_LIST(T.LOOK)}, w))) > 0) OR regexp_matches(phrase, '^(by |art by |in the style of|style of)')) AS look FROM w")
+def phrase_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which phrases only ask for quality, and which for a look."""
+    more = F.coalesce(*[F.when(F.col("id") % 5 == k, F.lit(v)) for k, v in enumerate((", soft lighting, oil_painting 8k", ", best close-up portrait, art by x", ", golden hair, 8k uhd"))], F.lit(""))
+    found = media(spark, sf_dir).select(F.explode(T.prompt_phrases(F.concat("prompt", more))).alias("phrase")).distinct()
+    return found.select("phrase", T.is_quality_phrase(F.col("phrase")).alias("quality"), T.is_look_phrase(F.col("phrase")).alias("look"))
+
+
 @query(f"WITH {MEDIA_SQL}, m AS (SELECT {_FIRST('model')} AS model FROM media WHERE trim(prompt) <> '' AND ({_TARGET}) IS NOT NULL) SELECT model, count(*) AS n, model AS label FROM m WHERE model IS NOT NULL GROUP BY model ORDER BY n DESC, model LIMIT 20")
 def judged_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The models of judged rows."""
@@ -211,6 +234,12 @@ def notes_toggled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.toggled(_notes(rows), rows.where("rating = 5 and id % 2 = 0"), "rating", 5).select("dir", "name", "rating", "flag")
 
 
+@query(f"WITH {MEDIA_SQL}, {_NOTES} SELECT dir, count(*) AS n FROM nt GROUP BY dir")
+def note_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that hold notes."""
+    return tables.note_folders(_notes(media(spark, sf_dir)))
+
+
 @query(f"WITH {MEDIA_SQL}, {_NOTES} SELECT dir, name, rating FROM nt WHERE dir <> (SELECT min(dir) FROM media) UNION ALL SELECT dir, name, 3 FROM media WHERE dir = (SELECT min(dir) FROM media) AND id % 2 = 0")
 def notes_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: one folder's notes are replaced."""

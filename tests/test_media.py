@@ -10,7 +10,7 @@ from lumidex.functions import facets as FA
 from lumidex.functions import text as T
 from lumidex.operators import audience, duplicates, measures, tables, taste, usage, vectors, works
 from lumidex.plans import search as S
-from lumidex.sources import files
+from lumidex.sources import files, store
 from lumidex.sources.tables import media
 from lumidex.streaming import live_index
 
@@ -258,6 +258,18 @@ def test_files_and_notes(spark, tmp_path):
     assert [r.word for r in files.word_list(spark, str(words)).collect()] == ["red", "blue"]
 
 
+def test_vector_store(spark, tmp_path):
+    root = str(tmp_path / "vectors")
+    files_ = spark.createDataFrame([("k1", 1), ("k2", 2), ("k3", 3)], "key string, mtime long")
+    assert [r.key for r in store.missing(files_, root, "a").collect()] == ["k3", "k2", "k1"]
+    store.put(spark.createDataFrame([("k1", [1.0, 0.0]), ("k2", None)], "key string, embedding array<float>"), root, "a")
+    store.put(spark.createDataFrame([("k1", [0.0, 1.0])], "key string, embedding array<float>"), root, "a")
+    store.put(spark.createDataFrame([("k1", [5.0])], "key string, embedding array<float>"), root, "b")
+    assert {r.key: r.embedding for r in store.get(spark, root, "a").collect()} == {"k1": [0.0, 1.0], "k2": None}
+    assert [r.key for r in store.missing(files_, root, "a").collect()] == ["k3"]
+    assert store.forget_others(spark, root, "a") == ["b"] and store.get(spark, root, "b").count() == 0
+
+
 def test_empty_library(spark, tmp_path):
     for n in ("documents", "part", "labels", "embeddings"):
         spark.read.parquet(f"{SF}/{n}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{n}.parquet")
