@@ -54,15 +54,16 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def place(needle: str, prompt: Column) -> Column:
-    """Where a word first stands in a prompt (in bytes, null if nowhere), and how often it stands there."""
-    return F.struct(first_byte(prompt, needle).alias("first"), count_words(prompt, needle).alias("n"))
+def around(needle: str, prompt: Column) -> Column:
+    """The pieces of a prompt between the first few places of a word, as many as count; one piece, or none, if it isn't there. The text is read no further than that."""
+    return F.when(F.contains(prompt, F.lit(literal(needle))), F.split(prompt, word_pattern(needle), AGAIN_MOST + 2)).otherwise(F.array().cast("array<string>"))
 
 
-def term_score(needle: str, at: Column, prompt: Column, negative: Column, names: list[Column], settings: list[Column]) -> Column:
-    """Points of a word of which `at` is the place: prompt hits by place and number, else names, else settings, else the negative prompt."""
-    hit = PROMPT + EARLY * (1 - at.first / F.octet_length(prompt)) + AGAIN * F.least(at.n - 1, F.lit(AGAIN_MOST))
-    out = F.when(at.first.isNotNull(), hit)
+def term_score(needle: str, pieces: Column, prompt: Column, negative: Column, names: list[Column], settings: list[Column]) -> Column:
+    """Points of a word with these pieces `around` it: prompt hits by place (in bytes) and number, else names, else settings, else the negative prompt."""
+    first, n = F.octet_length(F.get(pieces, F.lit(0))), F.size(pieces) - 1
+    hit = PROMPT + EARLY * (1 - first / F.octet_length(prompt)) + AGAIN * F.least(n - 1, F.lit(AGAIN_MOST))
+    out = F.when(n > 0, hit)
     for columns, points, prefix in ((names, NAME, True), (settings, SETTING, True), ([negative], NEGATIVE, False)):
         out = out.when(_any([has_word(c, needle, prefix) for c in columns]), F.lit(float(points)))
     return out.otherwise(F.lit(0.0))

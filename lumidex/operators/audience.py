@@ -46,9 +46,8 @@ def _count(spaced: Column, phrase: str) -> Column:
     return F.when(F.contains(spaced, F.lit(want)), (F.length(spaced) - F.length(F.replace(spaced, F.lit(want), F.lit("")))) / len(want)).otherwise(F.lit(0.0))
 
 
-def reasons(prompt: Column) -> Column:
-    """Phrases found, with their levels, the highest first. A phrase that only stands inside a longer one that was found is no reason of its own."""
-    words = clean(prompt)
+def reasons(words: Column) -> Column:
+    """Phrases found in cleaned words, with their levels, the highest first. A phrase that only stands inside a longer one that was found is no reason of its own."""
     spaced, level = _spaced(words), {p: n for n, ps in PHRASES.items() for p in ps}
     kept = F.array_intersect(F.split(words, " "), F.array(*[F.lit(p) for p in level if " " not in p]))
     for p in level:
@@ -60,10 +59,10 @@ def reasons(prompt: Column) -> Column:
     return F.sort_array(F.transform(F.concat(kept, pairs), lambda w: F.struct(F.element_at(numbers, w).alias("level"), w.alias("phrase"))), asc=False)
 
 
-def prompt_level(prompt: Column) -> Column:
-    """0 without words, 1 with none of the phrases, else the highest level found."""
-    found = reasons(prompt)
-    return F.when(clean(prompt) == "", 0).otherwise(F.coalesce(F.get(F.transform(found, lambda x: x["level"]), F.lit(0)), F.lit(1)))
+def prompt_level(words: Column) -> Column:
+    """Of a prompt's cleaned words: 0 without any, 1 with none of the phrases, else the highest level found."""
+    found = reasons(words)
+    return F.when(words == "", 0).otherwise(F.coalesce(F.get(F.transform(found, lambda x: x["level"]), F.lit(0)), F.lit(1)))
 
 
 def picture_level(fits: Column) -> Column:
@@ -96,9 +95,8 @@ def wanted(level: Column, value: str) -> Column:
     return out
 
 
-def mentions_minor(prompt: Column) -> Column:
-    """Whether a prompt mentions a child or a teenager, by word or by an age under 18."""
-    words = clean(prompt)
+def mentions_minor(words: Column) -> Column:
+    """Whether a prompt's cleaned words mention a child or a teenager, by word or by an age under 18."""
     spaced = _spaced(words)
     named = F.arrays_overlap(F.split(words, " "), F.array(*[F.lit(m) for m in MINORS if " " not in m]))
     for m in MINORS:
@@ -111,7 +109,9 @@ def mentions_minor(prompt: Column) -> Column:
 def levelled(rows: DataFrame, source: str = "prompt") -> DataFrame:
     """Rows with their prompt's level, and the level that counts; `picture` (a level) and `own` are used where there are such columns."""
     has = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("int")
-    out = rows.withColumn("prompt_level", prompt_level(F.col("prompt")))
+    # cleaned once a row, and looked through once: each step stands behind a generator
+    out = rows.withColumn("_words", F.explode(F.array(clean(F.col("prompt")))))
+    out = out.withColumn("prompt_level", F.explode(F.array(prompt_level(F.col("_words"))))).drop("_words")
     return out.withColumn("level", decided(F.col("prompt_level"), F.coalesce(has("picture"), F.lit(0)), has("own"), source))
 
 

@@ -1,8 +1,8 @@
 """Usage counts over a search: which values rows use, how often, when, and how those rows are judged.
 
-Two passes: the first only counts values, with partial sums before its shuffle, and takes the top
-values of each kind in parts and then of the parts; the second tallies the chosen values alone, so
-trends and samples are never kept for a value that isn't reported. Defined results: rows without a
+Texts are read once, into a stored table of numbers by value and slot of time, with partial sums before
+its shuffle; the top values of each kind are taken in parts and then of the parts, and trends and
+samples are made for those alone. Defined results: rows without a
 value of a kind don't count for it; ties go by value (of whole prompts: by its digest, which is their key); an empty table gives an empty result.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import facets as FA
 from ..functions import text as T
 
@@ -21,14 +22,12 @@ FLAGS = {1: "keep", 2: "reject"}
 
 
 def pairs() -> Column:
-    """(kind, key, value, role) of everything that a row uses, each once."""
+    """(kind, key, value, role) of everything that a row uses, each once. Whole prompts go by their digest and have no value here."""
     one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"), value.alias("value"), F.lit("").alias("role"))
-    counted = F.filter(FA.facets(), lambda f: f["kind"].isin(*FA.COUNTED))
+    counted = F.filter("facets", lambda f: f["kind"].isin(*FA.COUNTED))
     words = F.transform(T.prompt_words(F.col("prompt")), lambda w: one("word", w))
     flag = F.coalesce(*[F.when(F.col("flag") == n, F.lit(w)) for n, w in FLAGS.items()], F.lit(""))
-    whole = T.same_text(F.col("prompt"))
-    # whole prompts go by their digest, so that texts aren't shuffled to be counted
-    text = F.struct(F.lit("prompt").alias("kind"), F.when(whole != "", F.sha2(whole, 256)).otherwise("").alias("key"), whole.alias("value"), F.lit("").alias("role"))
+    text = F.struct(F.lit("prompt").alias("kind"), F.when(F.col("_whole") != "", F.sha2("_whole", 256)).otherwise("").alias("key"), F.lit("").alias("value"), F.lit("").alias("role"))
     fixed = F.filter(F.array(text, one("rating", F.col("rating").cast("string")), one("flag", flag)), lambda x: x["key"] != "")
     named = F.transform(F.filter("collections", lambda c: c != ""), lambda c: F.struct(F.lit("collection").alias("kind"), F.lower(c).alias("key"), c.alias("value"), F.lit("").alias("role")))
     return F.concat(counted, words, fixed, named)
@@ -48,30 +47,34 @@ def top(counts: DataFrame, parts: int = 16) -> DataFrame:
 
 def usage(rows: DataFrame) -> DataFrame:
     """kind, key, value and role (as first met, newest first), uses, rated, stars, keeps, rejects, trend slots as text, samples, distinct keys of the kind, and place."""
-    each = rows.select("id", "mtime", "rating", "flag", F.explode(pairs()).alias("p")).select("id", "mtime", "rating", "flag", "p.*")
-    counts = each.groupBy("kind", "key").agg(F.count("*").alias("uses"))
-    kinds = counts.groupBy("kind").agg(F.count("*").alias("distinct_keys"))
-    best = top(counts).join(kinds, "kind")  # some hundreds of rows
     span = rows.agg(F.min("mtime").alias("_low"), F.max("mtime").alias("_high"))
     slot = F.least(F.lit(SLOTS - 1), F.expr(f"(mtime - _low) * {SLOTS} div (_high - _low + 1)")).cast("int")
-    chosen = each.join(F.broadcast(best.select("kind", "key")), ["kind", "key"]).crossJoin(F.broadcast(span)).withColumn("slot", slot)  # span is one row
-    sampled = F.when(F.col("kind").isin(*SAMPLED) & (F.col("flag") != 2), F.struct((-F.col("rating")).alias("a"), (-F.col("mtime")).alias("b"), "id"))
+    known = FA.with_facets(rows).withColumn("_whole", F.explode(F.array(T.same_text(F.col("prompt")))))
+    each = known.crossJoin(F.broadcast(span)).select("id", "mtime", "rating", "flag", slot.alias("slot"), F.explode(pairs()).alias("p")).select("id", "mtime", "rating", "flag", "slot", "p.*")  # span is one row
     sums = [F.count("*").alias("n"), F.count_if(F.col("rating") > 0).alias("rated"), F.sum("rating").cast("long").alias("stars"), F.count_if(F.col("flag") == 1).alias("keeps"), F.count_if(F.col("flag") == 2).alias("rejects")]
-    newest = F.max_by(F.struct("value", "role"), F.struct("mtime", "id"))
-    # by slot first, then by key: each sum is one number
-    slots = chosen.groupBy("kind", "key", "slot").agg(*sums, newest.alias("_as"), F.max(F.struct("mtime", "id")).alias("_at"))
-    tallies = slots.groupBy("kind", "key").agg(
+    # texts are read once, for this table: numbers of each key in each slot, and its newest row
+    slots = cut(each.groupBy("kind", "key", "slot").agg(*sums, F.max(F.struct("mtime", "id", "value", "role")).alias("new")))
+    counts = slots.groupBy("kind", "key").agg(F.sum("n").alias("uses"))
+    kinds = counts.groupBy("kind").agg(F.count("*").alias("distinct_keys"))
+    best = cut(top(counts).join(kinds, "kind"))  # some hundreds of rows
+    tallies = slots.join(F.broadcast(best.select("kind", "key")), ["kind", "key"]).groupBy("kind", "key").agg(
         *[F.sum(c).alias(c) for c in ("rated", "stars", "keeps", "rejects")],
-        F.max_by("_as", "_at").alias("_as"),
+        F.max("new").alias("new"),
         *[F.coalesce(F.sum(F.when(F.col("slot") == k, F.col("n"))), F.lit(0)).alias(f"_{k}") for k in range(SLOTS)],
     )
+    sample = F.struct((-F.col("rating")).alias("a"), (-F.col("mtime")).alias("b"), "id")
+    shown = FA.with_facets(rows.where("flag <> 2")).select("id", sample.alias("s"), F.explode(F.filter("facets", lambda f: f["kind"].isin(*SAMPLED))).alias("p")).select("s", "p.kind", "p.key")
     samples = (
-        chosen.select("kind", "key", sampled.alias("s")).where("s is not null").withColumn("_part", F.pmod(F.col("s.id"), F.lit(16)))
+        shown.join(F.broadcast(best.select("kind", "key")), ["kind", "key"]).withColumn("_part", F.pmod(F.col("s.id"), F.lit(16)))
         .withColumn("_k", F.row_number().over(Window.partitionBy("kind", "key", "_part").orderBy("s"))).where(F.col("_k") <= SAMPLES)
         .groupBy("kind", "key").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("s")), 1, SAMPLES), lambda x: x["id"].cast("string")), ",").alias("samples"))
     )
     out = best.join(tallies, ["kind", "key"]).join(samples, ["kind", "key"], "left")
-    return out.select("kind", "key", F.col("_as.value").alias("value"), F.col("_as.role").alias("role"), "uses", "rated", "stars", "keeps", "rejects", F.concat_ws(",", *[f"_{k}" for k in range(SLOTS)]).alias("trend"), F.coalesce("samples", F.lit("")).alias("samples"), "distinct_keys", "place")
+    # the few prompts that are reported get their text from their newest row
+    newest = out.where("kind = 'prompt'").select(F.col("new.id").alias("id"))
+    texts = rows.join(F.broadcast(newest), "id", "left_semi").select(F.col("id").alias("_id"), T.same_text(F.col("prompt")).alias("_text"))
+    out = out.join(texts, (F.col("kind") == "prompt") & (F.col("new.id") == F.col("_id")), "left")
+    return out.select("kind", "key", F.coalesce("_text", "new.value").alias("value"), F.col("new.role").alias("role"), "uses", "rated", "stars", "keeps", "rejects", F.concat_ws(",", *[f"_{k}" for k in range(SLOTS)]).alias("trend"), F.coalesce("samples", F.lit("")).alias("samples"), "distinct_keys", "place")
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -82,7 +85,7 @@ def totals(rows: DataFrame) -> DataFrame:
 
 def best_rated(rows: DataFrame, most: int = 10) -> DataFrame:
     """Models, LoRAs and supporting models by average stars, then by how many rated rows use them."""
-    each = rows.where("rating > 0").select("rating", "flag", F.explode(F.filter(FA.facets(), lambda f: f["kind"].isin(*SAMPLED))).alias("p"))
+    each = FA.with_facets(rows.where("rating > 0")).select("rating", "flag", F.explode(F.filter("facets", lambda f: f["kind"].isin(*SAMPLED))).alias("p"))
     found = each.groupBy("p.kind", "p.key").agg(F.count("*").alias("rated"), F.sum("rating").alias("stars"), F.count_if(F.col("flag") == 1).alias("keeps"))
     found = found.withColumn("average", F.col("stars") / F.col("rated"))
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("average"), F.desc("rated"), "key"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import facets as FA
 from ..functions import text as T
 
@@ -73,7 +74,7 @@ def what_works(rows: DataFrame, model: str | None = None) -> DataFrame:
     judged = recipes(rows)
     if model:
         judged = judged.where(F.exists("facets", lambda f: (f["kind"] == "model") & (f["key"] == model.lower())))
-    found = counts(judged).where(F.col("judged") >= SEEN).withColumn("lift", F.col("keep") - F.col("reject"))
+    found = cut(counts(judged).where(F.col("judged") >= SEEN)).withColumn("lift", F.col("keep") - F.col("reject"))
     found = found.withColumn("weight", F.col("lift") * F.sqrt(F.least(F.col("judged") / FEW, F.lit(1.0))))
     phrase, lift = F.col("kind") == "phrase", F.round("lift", 9)  # shares are ratios; their difference has noise in its last digits
     groups = (
@@ -126,7 +127,8 @@ def advice(prompts: DataFrame, found: DataFrame) -> DataFrame:
     `found` is what `counts` gives. Phrases to add are the same for all prompts but for those that have them,
     so the best 100 are broadcast; a prompt that has all of these is told of none.
     """
-    shares = found.where(F.col("kind") == "phrase").withColumn("lift", F.round(F.col("keep") - F.col("reject"), 9))
+    # phrases of few rows are no reason for anything
+    shares = cut(found.where((F.col("kind") == "phrase") & ((F.col("judged") >= FEW) | (F.col("liked") >= SEEN)))).withColumn("lift", F.round(F.col("keep") - F.col("reject"), 9))
     own = prompts.select("id", F.explode(T.prompt_phrases(F.lower("prompt"))).alias("label"))
     known = own.join(shares.where(F.col("judged") >= FEW), "label")
     same = T.is_quality_phrase(F.col("label")) & (F.abs("lift") < SAME)

@@ -166,7 +166,7 @@ class Search:
             return out.withColumn("score", F.lit(0.0))
         prompt, negative = F.col("prompt"), F.col("negative")
         names, settings = [F.lower("name"), F.col("model"), F.lower(F.array_join(F.transform("loras", lambda x: x["name"]), " "))], [F.lower("source")]
-        out = out.withColumn("_at", F.explode(F.array(F.struct(*[T.place(n, prompt).alias(f"w{k}") for k, n in enumerate(terms)]))))
+        out = out.withColumn("_at", F.explode(F.array(F.struct(*[T.around(n, prompt).alias(f"w{k}") for k, n in enumerate(terms)]))))
         points = [T.term_score(n, F.col(f"_at.w{k}"), prompt, negative, names, settings) if k < len(self.ranked) else T.term_score(n, F.col(f"_at.w{k}"), prompt, F.lit(""), [], []) for k, n in enumerate(terms)]
         out = out.withColumn("_p", F.explode(F.array(F.array(*points))))
         out = out.where(F.forall("_p", lambda p: p > 0))

@@ -347,5 +347,5 @@ def minor_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts that mention a child or a teenager, by word or age."""
     told = {1: "a Teenager, reading", 2: "woman, (15yo)", 3: "aged 45, childhood", 4: "17 years old", 5: "18 years old, 12 monkeys"}
     text = F.coalesce(*[F.when(F.col("id") % 6 == k, F.lit(v)) for k, v in told.items()], F.lit("kidney bean"))
-    return media(spark, sf_dir).select("id", audience.mentions_minor(text).alias("minor"))
+    return media(spark, sf_dir).select("id", audience.mentions_minor(audience.clean(text)).alias("minor"))
 

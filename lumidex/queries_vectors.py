@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
 from .functions import text as T
 from .operators import duplicates, measures, taste, vectors, works
 from .plans import search as S
@@ -119,7 +120,7 @@ _GROUPS = f"{_PRINTS}, l AS (SELECT a.id AS u, b.id AS v FROM f a, f b WHERE {_N
 
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of the vectors, and copies of some at and just beyond the greatest distances."""
-    own = duplicates.fingerprints(table(spark, sf_dir, "embeddings"))
+    own = cut(duplicates.fingerprints(table(spark, sf_dir, "embeddings")))  # as from a table of fingerprints
     out = own
     for k, (far, a, d, c) in enumerate(_PLANTS):
         red = F.when(F.col("r") > 128, F.col("r") - c).otherwise(F.col("r") + c)
@@ -137,7 +138,7 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_GROUPS}, h AS (SELECT gs.*, row_number() OVER (PARTITION BY group_id ORDER BY gs.id % 5 DESC, gs.id) AS k FROM gs) SELECT id, group_id, k = 1 AS best FROM h")
 def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best of each group, and all the others."""
-    found = duplicates.groups(_planted(spark, sf_dir))
+    found = cut(duplicates.groups(_planted(spark, sf_dir)))
     return duplicates.report(found, found.select("id"), F.col("id") % 5).select("id", "group_id", "best")
 
 

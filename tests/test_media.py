@@ -212,7 +212,7 @@ def test_targets(spark):
 
 def test_levels(spark):
     cases = {"": 0, "a cat": 1, "blood splatter": 4, "<lora:nude:1> cat": 1, "a_sword fight": 2, "sex": 5}
-    got = spark.createDataFrame([(t,) for t in cases], "p string").select("p", audience.prompt_level(F.col("p")).alias("n"), audience.reasons(F.col("p")).alias("r")).collect()
+    got = spark.createDataFrame([(t,) for t in cases], "p string").select("p", audience.prompt_level(audience.clean(F.col("p"))).alias("n"), audience.reasons(audience.clean(F.col("p"))).alias("r")).collect()
     assert {r.p: r.n for r in got} == cases
     assert [tuple(x) for x in next(r.r for r in got if r.p == "blood splatter")] == [(4, "blood splatter")]
     levels = spark.range(6)
