@@ -113,9 +113,17 @@ def words_of(text: Column, least: int, more: str = "") -> Column:
 
 def prompt_words(text: Column) -> Column:
     """Distinct words of a lower-cased prompt worth counting: three characters or more, a letter among them, no filler, no <name:...> tags."""
-    bare = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, TAG, " ")).otherwise(text)
     fillers = F.array(*map(F.lit, FILLER))
-    return F.filter(F.array_except(words_of(bare, 3), fillers), lambda w: w.rlike(r"\p{IsAlphabetic}"))
+    return F.filter(F.array_except(words_of(untagged(text), 3), fillers), lambda w: w.rlike(r"\p{IsAlphabetic}"))
+
+
+def untagged(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, TAG, " ")).otherwise(text)
+
+
+def is_telling(word: Column) -> Column:
+    """Whether a word has a letter and is no filler."""
+    return word.rlike(r"\p{IsAlphabetic}") & ~word.isin(FILLER)
 
 
 def prompt_phrases(text: Column, most: int = MOST_PHRASES) -> Column:

@@ -142,6 +142,19 @@ def changed_files(ledger: DataFrame, now: DataFrame, key: str = "dir") -> DataFr
     return now.join(old, key, "left").where(F.col("_was").isNull() | (F.col("_was") != F.struct("mtime", "size"))).drop("_was")
 
 
+def reloaded(notes: DataFrame, read: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Notes after reading some folders again, and the folders of which anything differs.
+
+    `read` has (dir, readable); what an unreadable folder held is kept, so that it can be tried again. `fresh` has the notes of readable ones.
+    """
+    done = read.where("readable").select("dir").distinct()
+    digest = lambda rows: rows.join(done, "dir", "left_semi").groupBy("dir").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*[F.col(c) for c in notes.columns])).alias("h"))
+    old, new = digest(notes).toDF("dir", "n0", "h0"), digest(fresh).toDF("dir", "n1", "h1")
+    differs = done.join(old, "dir", "left").join(new, "dir", "left").where(~(F.col("n0").eqNullSafe(F.col("n1")) & F.col("h0").eqNullSafe(F.col("h1")))).select("dir")
+    kept = notes.join(differs, "dir", "left_anti").select(notes.columns)
+    return kept.unionByName(fresh.join(differs, "dir", "left_semi").select(notes.columns)), differs
+
+
 def inherited(views: DataFrame, folders: DataFrame) -> DataFrame:
     """(dir, name, query, saved_in): the saved views that apply to each folder, its own and those of all folders above; of one name, in any letter case, the nearest."""
     from .works import ancestors

@@ -22,15 +22,19 @@ FLAGS = {1: "keep", 2: "reject"}
 
 
 def pairs() -> Column:
-    """(kind, key, value, role) of everything that a row uses, each once. Whole prompts go by their digest and have no value here."""
-    one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"), value.alias("value"), F.lit("").alias("role"))
+    """(kind, key, value, role) of all that a row uses but for words, each once. Whole prompts go by their digest and have no value here."""
+    one = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"), key.alias("value"), F.lit("").alias("role"))
     counted = F.filter("facets", lambda f: f["kind"].isin(*FA.COUNTED))
-    words = F.transform(T.prompt_words(F.col("prompt")), lambda w: one("word", w))
     flag = F.coalesce(*[F.when(F.col("flag") == n, F.lit(w)) for n, w in FLAGS.items()], F.lit(""))
-    text = F.struct(F.lit("prompt").alias("kind"), F.when(F.col("_whole") != "", F.sha2("_whole", 256)).otherwise("").alias("key"), F.lit("").alias("value"), F.lit("").alias("role"))
-    fixed = F.filter(F.array(text, one("rating", F.col("rating").cast("string")), one("flag", flag)), lambda x: x["key"] != "")
+    digest = F.when(F.col("_whole") != "", F.sha2("_whole", 256)).otherwise("")
+    fixed = F.filter(F.array(one("prompt", digest), one("rating", F.col("rating").cast("string")), one("flag", flag)), lambda x: x["key"] != "")
     named = F.transform(F.filter("collections", lambda c: c != ""), lambda c: F.struct(F.lit("collection").alias("kind"), F.lower(c).alias("key"), c.alias("value"), F.lit("").alias("role")))
-    return F.concat(counted, words, fixed, named)
+    return F.concat(counted, fixed, named)
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    """Distinct words of each row as `key`; which of them are worth counting is asked after they are counted."""
+    return rows.withColumn("key", F.explode(T.words_of(T.untagged(F.col("prompt")), 3))).withColumn("kind", F.lit("word"))
 
 
 def limits() -> Column:
@@ -49,32 +53,38 @@ def usage(rows: DataFrame) -> DataFrame:
     """kind, key, value and role (as first met, newest first), uses, rated, stars, keeps, rejects, trend slots as text, samples, distinct keys of the kind, and place."""
     span = rows.agg(F.min("mtime").alias("_low"), F.max("mtime").alias("_high"))
     slot = F.least(F.lit(SLOTS - 1), F.expr(f"(mtime - _low) * {SLOTS} div (_high - _low + 1)")).cast("int")
-    known = FA.with_facets(rows).withColumn("_whole", F.explode(F.array(T.same_text(F.col("prompt")))))
-    each = known.crossJoin(F.broadcast(span)).select("id", "mtime", "rating", "flag", slot.alias("slot"), F.explode(pairs()).alias("p")).select("id", "mtime", "rating", "flag", "slot", "p.*")  # span is one row
-    sums = [F.count("*").alias("n"), F.count_if(F.col("rating") > 0).alias("rated"), F.sum("rating").cast("long").alias("stars"), F.count_if(F.col("flag") == 1).alias("keeps"), F.count_if(F.col("flag") == 2).alias("rejects")]
-    # texts are read once, for this table: numbers of each key in each slot, and its newest row
-    slots = cut(each.groupBy("kind", "key", "slot").agg(*sums, F.max(F.struct("mtime", "id", "value", "role")).alias("new")))
+    timed = rows.crossJoin(F.broadcast(span)).withColumn("slot", slot).drop("_low", "_high")  # span is one row
+    marks = ["id", "rating", "flag", "slot"]
+    sums = [F.count("*").alias("n"), F.count_if(F.col("rating") > 0).alias("rated"), F.sum("rating").cast("long").alias("stars"), F.count_if(F.col("flag") == 1).alias("keeps"), F.count_if(F.col("flag") == 2).alias("rejects"), F.max("id").alias("last")]
+    facets = FA.with_facets(timed).withColumn("_whole", F.explode(F.array(T.same_text(F.col("prompt"))))).select(*marks, F.explode(pairs()).alias("p")).select(*marks, "p.kind", "p.key")
+    tally = lambda each: each.groupBy("kind", "key", "slot").agg(*sums)
+    # prompts are read for this table and not again: numbers of each key in each slot
+    slots = cut(tally(facets).unionByName(tally(_words(timed.select(*marks, "prompt")).select(*marks, "kind", "key")).where(T.is_telling(F.col("key")))))
     counts = slots.groupBy("kind", "key").agg(F.sum("n").alias("uses"))
     kinds = counts.groupBy("kind").agg(F.count("*").alias("distinct_keys"))
     best = cut(top(counts).join(kinds, "kind"))  # some hundreds of rows
-    tallies = slots.join(F.broadcast(best.select("kind", "key")), ["kind", "key"]).groupBy("kind", "key").agg(
+    chosen = F.broadcast(best.select("kind", "key"))
+    tallies = slots.join(chosen, ["kind", "key"]).groupBy("kind", "key").agg(
         *[F.sum(c).alias(c) for c in ("rated", "stars", "keeps", "rejects")],
-        F.max("new").alias("new"),
+        F.max("last").alias("last"),
         *[F.coalesce(F.sum(F.when(F.col("slot") == k, F.col("n"))), F.lit(0)).alias(f"_{k}") for k in range(SLOTS)],
     )
+    # spellings and samples, of reported facets and collections only
+    few = FA.with_facets(rows).withColumn("_whole", F.lit("")).select("id", "mtime", "rating", "flag", F.explode(pairs()).alias("p")).select("id", "mtime", "rating", "flag", "p.*").join(chosen, ["kind", "key"])
+    part = few.withColumn("_part", F.pmod("id", F.lit(16)))
+    newest = part.groupBy("kind", "key", "_part").agg(F.max(F.struct("mtime", "id", "value", "role")).alias("new")).groupBy("kind", "key").agg(F.max("new").alias("new"))
     sample = F.struct((-F.col("rating")).alias("a"), (-F.col("mtime")).alias("b"), "id")
-    shown = FA.with_facets(rows.where("flag <> 2")).select("id", sample.alias("s"), F.explode(F.filter("facets", lambda f: f["kind"].isin(*SAMPLED))).alias("p")).select("s", "p.kind", "p.key")
     samples = (
-        shown.join(F.broadcast(best.select("kind", "key")), ["kind", "key"]).withColumn("_part", F.pmod(F.col("s.id"), F.lit(16)))
+        part.where(F.col("kind").isin(*SAMPLED) & (F.col("flag") != 2)).select("kind", "key", "_part", sample.alias("s"))
         .withColumn("_k", F.row_number().over(Window.partitionBy("kind", "key", "_part").orderBy("s"))).where(F.col("_k") <= SAMPLES)
         .groupBy("kind", "key").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("s")), 1, SAMPLES), lambda x: x["id"].cast("string")), ",").alias("samples"))
     )
-    out = best.join(tallies, ["kind", "key"]).join(samples, ["kind", "key"], "left")
-    # the few prompts that are reported get their text from their newest row
-    newest = out.where("kind = 'prompt'").select(F.col("new.id").alias("id"))
-    texts = rows.join(F.broadcast(newest), "id", "left_semi").select(F.col("id").alias("_id"), T.same_text(F.col("prompt")).alias("_text"))
-    out = out.join(texts, (F.col("kind") == "prompt") & (F.col("new.id") == F.col("_id")), "left")
-    return out.select("kind", "key", F.coalesce("_text", "new.value").alias("value"), F.col("new.role").alias("role"), "uses", "rated", "stars", "keeps", "rejects", F.concat_ws(",", *[f"_{k}" for k in range(SLOTS)]).alias("trend"), F.coalesce("samples", F.lit("")).alias("samples"), "distinct_keys", "place")
+    out = cut(best.join(tallies, ["kind", "key"]).join(newest, ["kind", "key"], "left").join(samples, ["kind", "key"], "left"))
+    # the few prompts that are reported get their text from one of their rows; all have the same
+    wanted = out.where("kind = 'prompt'").select(F.col("last").alias("id"))
+    texts = rows.join(F.broadcast(wanted), "id", "left_semi").select(F.col("id").alias("_id"), T.same_text(F.col("prompt")).alias("_text"))
+    out = out.join(texts, (F.col("kind") == "prompt") & (F.col("last") == F.col("_id")), "left")
+    return out.select("kind", "key", F.coalesce("_text", "new.value", "key").alias("value"), F.coalesce("new.role", F.lit("")).alias("role"), "uses", "rated", "stars", "keeps", "rejects", F.concat_ws(",", *[f"_{k}" for k in range(SLOTS)]).alias("trend"), F.coalesce("samples", F.lit("")).alias("samples"), "distinct_keys", "place")
 
 
 def totals(rows: DataFrame) -> DataFrame:

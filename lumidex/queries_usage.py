@@ -324,6 +324,26 @@ def audience_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audience.levelled(rows, "strictest").where(audience.wanted(F.col("level"), "pg..r | none")).select("id", "prompt_level", "level")
 
 
+def _reasons() -> str:
+    parts = []
+    for p, n in _LEVELS.items():
+        inside = [q for q in _LEVELS if q != p and f" {p} " in f" {q} "]
+        spared = f" AND {_N(p)} > {' + '.join(map(_N, inside))}" if inside else ""
+        parts.append(f"CASE WHEN {_IN(p)}{spared} THEN '{n}:{p}' END")
+    return f"array_to_string(list_reverse_sort(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)), ',')"
+
+
+_SPACED_SQL = _LEVEL_SQL.replace("lv AS (SELECT id, rating, w, " + _level() + " AS level FROM (", "lv AS (SELECT id, s, w FROM (")
+
+
+@query(f"WITH {MEDIA_SQL}, {_SPACED_SQL} SELECT id, {_reasons()} AS reasons FROM lv WHERE {_reasons()} <> ''")
+def audience_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases that set a prompt's level, the highest first."""
+    rows = _marked(media(spark, sf_dir)).select("id", F.explode(F.array(audience.clean(F.col("prompt")))).alias("w"))
+    told = F.array_join(F.transform(audience.reasons(F.col("w")), lambda x: F.concat(x["level"].cast("string"), F.lit(":"), x["phrase"])), ",")
+    return rows.select("id", F.explode(F.array(told)).alias("reasons")).where("reasons <> ''")
+
+
 @query(f"WITH {MEDIA_SQL}, {_LEVEL_SQL}, p AS (SELECT level AS prompt_level, CASE WHEN id % 7 = 0 THEN 0 WHEN rating > 3 THEN 4 WHEN rating > 0 THEN 2 ELSE 1 END AS picture FROM lv) SELECT CAST(prompt_level AS INTEGER) AS prompt_level, " + ", ".join(f"count(*) FILTER (WHERE picture = {n}) AS p{n}" for n in range(1, 6)) + " FROM p WHERE prompt_level > 0 AND picture > 0 GROUP BY 1")
 def level_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt levels against picture levels."""

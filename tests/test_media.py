@@ -118,6 +118,11 @@ def test_moves_and_notes(spark):
     assert same.count() == 3 and {r.change for r in change.collect()} == {"same"}
     ledger, now = spark.createDataFrame([("/a", 1, 1), ("/b", 1, 1)], "dir string, mtime long, size long"), spark.createDataFrame([("/a", 1, 1), ("/b", 2, 1), ("/c", 1, 1)], "dir string, mtime long, size long")
     assert sorted(r.dir for r in tables.changed_files(ledger, now).collect()) == ["/b", "/c"]
+    read = spark.createDataFrame([("/a", True), ("/b", True), ("/c", False), ("/d", True)], "dir string, readable boolean")
+    old = spark.createDataFrame([("/a", "x", 3), ("/b", "z", 1), ("/c", "q", 2), ("/d", "r", 4)], "dir string, name string, rating int")
+    new = spark.createDataFrame([("/a", "x", 3), ("/b", "z", 2)], "dir string, name string, rating int")
+    after, differs = tables.reloaded(old, read, new)
+    assert sorted(map(tuple, after.collect())) == [("/a", "x", 3), ("/b", "z", 2), ("/c", "q", 2)] and sorted(r.dir for r in differs.collect()) == ["/b", "/d"]
     with pytest.raises(Exception, match="unknown flag"):
         tables.batch_notes(notes, spark.createDataFrame([("/a", "x", 1, None, 7, [], [])], "dir string, name string, at int, rating int, flag int, add array<string>, drop array<string>")).collect()
 
