@@ -18,12 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table of fewer files or row groups than there are cores, dealt out to all of them; larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: file columns, prompt, settings, and marks from a left join that leaves no null behind.
 
     The part and label tables are dimensions; whether they are broadcast is left to their size.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     n = part.count()
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
