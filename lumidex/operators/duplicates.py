@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +29,9 @@ def fingerprints(vectors: DataFrame) -> DataFrame:
     """(id, across, down, r, g, b, width, height): bits tell whether an element is greater than another, as difference hashes do with pixels."""
 
     def bits(step: int) -> Column:
-        one = [F.when(F.get("embedding", F.lit(i)) > F.get("embedding", F.lit((i + step) % 64)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(63)]
-        out = one[0]
-        for b in one[1:]:
-            out = out.bitwiseOR(b)
-        return out
+        one = F.lit(1).cast("long")
+        greater = lambda i: F.get("embedding", i) > F.get("embedding", (i + step) % 64)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), lambda out, i: F.when(greater(i), out.bitwiseOR(F.call_function("shiftleft", one, i))).otherwise(out))
 
     channel = lambda k: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 200 * F.get("embedding", F.lit(k)).cast("double")))).cast("int")
     size = lambda n: (512 + 64 * (F.col("vec_id") % n)).cast("int")
@@ -61,7 +60,7 @@ def _cut(name: str, first: int, width: int) -> Column:
 
 def _varied(k: int, bits: Column, width: int) -> Column:
     """A band's bits, and all that differ from them in one bit."""
-    flips = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << j if j < 63 else -(1 << 63) for j in range(width))]])
+    flips = F.lit(np.array([0, *(1 << j if j < 63 else -(1 << 63) for j in range(width))], np.int64))
     return F.transform(flips, lambda f: F.struct(F.lit(k).alias("band"), bits.bitwiseXOR(f).alias("bits")))
 
 

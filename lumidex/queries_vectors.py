@@ -187,7 +187,7 @@ _Y = f"sc AS (SELECT v.vec_id, y.vec_id AS t, list_inner_product(CAST(v.embeddin
 @query(
     f"""WITH {_Y}, ls AS (SELECT vec_id, list_sort(list(score)) AS l FROM sc GROUP BY vec_id), m AS (SELECT *, l[len(l) // 2 + 1] AS middle, l[len(l) // 4 + 1] AS quarter FROM ls),
 x AS (SELECT vec_id, t, score, l, middle, greatest(1e-9, 1.4826 * list_sort(list_transform(l, lambda z: abs(z - middle)))[len(l) // 2 + 1]) AS spread, greatest(1e-9, (middle - quarter) / 0.6745) AS lower FROM sc JOIN m USING (vec_id))
-SELECT vec_id, t AS text_id, round((score - middle) / spread, 6) AS spreads, round((score - middle) / lower, 6) AS lower_spreads, round(len(list_filter(l, lambda z: z < score)) / greatest(1, len(l) - 1), 6) AS share, round((100 * (score - l[-1]) - ln(list_sum(list_transform(l, lambda z: exp(100 * (z - l[-1])))))) / ln(10), 6) AS odds FROM x"""
+SELECT vec_id, t AS text_id, round((score - middle) / spread, 6) + 0.0::DOUBLE AS spreads, round((score - middle) / lower, 6) + 0.0::DOUBLE AS lower_spreads, round(len(list_filter(l, lambda z: z < score)) / greatest(1, len(l) - 1), 6) AS share, round((100 * (score - l[-1]) - ln(list_sum(list_transform(l, lambda z: exp(100 * (z - l[-1])))))) / ln(10), 6) + 0.0::DOUBLE AS odds FROM x"""
 )
 def score_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways to say how much a score stands out among a row's scores."""
