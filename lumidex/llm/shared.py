@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import cut, shared_dir
 
-__all__ = ["cut", "held_out", "labelled", "shared_dir", "stored", "table"]
+__all__ = ["cut", "fresh", "held_out", "labelled", "shared_dir", "stored", "table"]
+
+
+def fresh(spark: SparkSession, name: str, ending: str = ".parquet") -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}{ending}"
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write a table to the shared folder once and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
+    path = fresh(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

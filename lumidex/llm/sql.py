@@ -53,4 +53,8 @@ items AS (SELECT r, list_sort(list(DISTINCT item)) AS its FROM hit GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(len(coalesce(its, [])) AS BIGINT) AS n_items, sha256(array_to_string(coalesce(its, []), ',')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AND {decontamination.SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)"""
 
-ORACLE_SQL = {"op3_substrings": OP3, "op6_quality_rules": _op6(), "op9_decontamination": OP9}
+OP13 = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+r AS (SELECT doc_id, t, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w AS k FROM d WINDOW w AS (PARTITION BY t ORDER BY size DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM r"""
+
+ORACLE_SQL = {"op3_substrings": OP3, "op6_quality_rules": _op6(), "op9_decontamination": OP9, "op13_exact_dedup": OP13}
