@@ -53,8 +53,24 @@ items AS (SELECT r, list_sort(list(DISTINCT item)) AS its FROM hit GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(len(coalesce(its, [])) AS BIGINT) AS n_items, sha256(array_to_string(coalesce(its, []), ',')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AND {decontamination.SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)"""
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12 = rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, sum(n) AS words FROM f GROUP BY lang, source), sl AS (SELECT lang, sum(words) AS words FROM s GROUP BY lang),
+p AS (SELECT f.lang, f.source, f.term, f.n, 1 + (1000000000::HUGEINT * (f.n + 5)) // (s.words + 5 * v.v)::HUGEINT AS p FROM f JOIN s USING (lang, source) JOIN v USING (lang)),
+q AS (SELECT a.lang, a.term, 1 + (1000000000::HUGEINT * (a.n + 5)) // (sl.words + 5 * v.v)::HUGEINT AS q FROM (SELECT lang, term, sum(n) AS n FROM f GROUP BY lang, term) a JOIN sl USING (lang) JOIN v USING (lang)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pair UNION ALL FROM term)) WHERE part = 'pair' OR rank <= 50"""
+
 OP13 = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
 r AS (SELECT doc_id, t, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w AS k FROM d WINDOW w AS (PARTITION BY t ORDER BY size DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM r"""
 
-ORACLE_SQL = {"op3_substrings": OP3, "op6_quality_rules": _op6(), "op9_decontamination": OP9, "op13_exact_dedup": OP13}
+ORACLE_SQL = {"op3_substrings": OP3, "op6_quality_rules": _op6(), "op9_decontamination": OP9, "op12_source_divergence": OP12, "op13_exact_dedup": OP13}
