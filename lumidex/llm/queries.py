@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, pii, quality_classifier, quality_rules, sentencepieces, simhash, source_divergence, substrings, token_files, toxicity
+from . import conversation_repair, decontamination, exact_dedup, language_id, pii, quality_classifier, quality_rules, sentencepieces, simhash, source_divergence, substrings, token_files, toxicity
 from .shared import held_out, labelled, table
 from .sql import ORACLE_SQL
 
@@ -72,6 +72,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = conversation_repair.solve(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+    digests = conversation_repair.digests(out.messages).withColumnRenamed("conv_id", "id")
+    return out.summary.join(digests, F.col("conv_id").eqNullSafe(F.col("id"))).drop("id")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -80,4 +86,4 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_substrings, op4_simhash, op5_token_files, op6_quality_rules, op7_pii, op8_quality_classifier, op9_decontamination, op10_toxicity, op12_source_divergence, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_substrings, op4_simhash, op5_token_files, op6_quality_rules, op7_pii, op8_quality_classifier, op9_decontamination, op10_toxicity, op11_conversation_repair, op12_source_divergence, op13_exact_dedup)}

@@ -53,6 +53,30 @@ items AS (SELECT r, list_sort(list(DISTINCT item)) AS its FROM hit GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(len(coalesce(its, [])) AS BIGINT) AS n_items, sha256(array_to_string(coalesce(its, []), ',')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AND {decontamination.SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)"""
 
+# states: 0 nothing yet, 1 after s, 2 after u, 3 after a; a step takes one row, after up to two insertions
+OP11 = r"""WITH RECURSIVE tab AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t FROM range(256) x(n)),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+part AS (SELECT src.*, xor(list_reduce(range(1, len(k) + 1), lambda c, i: xor(c >> 8, t[(xor(c, ord(k[i])::BIGINT) & 255) + 1]), 4294967295), 4294967295) % 20 AS p FROM src, tab),
+dam AS (SELECT conv_id, turn, CASE p WHEN 4 THEN 'user' ELSE role END AS role, CASE p WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE p WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM part WHERE p <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM dam),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS w FROM r),
+made(s, n) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)), kept(s, x, n) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+who(s, name) AS (VALUES (2, 'user'), (3, 'assistant')),
+pre AS (SELECT s, 0 AS cost, '' AS e, [] AS l, s AS n FROM made UNION ALL SELECT m.s, 2, 'I', [name || ':'], m.n FROM made m JOIN who ON who.s = m.n
+ UNION ALL SELECT m.s, 4, 'II', [v.name || ':', w.name || ':'], o.n FROM made m JOIN made o ON o.s = m.n JOIN who v ON v.s = m.n JOIN who w ON w.s = o.n),
+dp(conv_id, i, s, best) AS (SELECT DISTINCT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} FROM conversations
+ UNION ALL SELECT conv_id, i, s, min(best) FROM (
+  SELECT d.conv_id, f.i, z.n AS s, {'cost': best.cost + pre.cost + z.cost, 'audit': best.audit || pre.e || z.e, 'lines': list_concat(list_concat(best.lines, pre.l), z.l)} AS best
+  FROM dp d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i + 1 JOIN pre ON pre.s = d.s,
+  LATERAL (SELECT 3 AS cost, 'D' AS e, []::VARCHAR[] AS l, pre.n AS n UNION ALL SELECT f.cut::INT, 'K', [f.role || ':' || f.text], kept.n FROM kept WHERE kept.s = pre.n AND kept.x = f.x AND NOT f.blank AND NOT f.again
+   UNION ALL SELECT 2 + f.cut::INT, 'R', [name || ':' || f.text], made.n FROM made JOIN who ON who.s = made.n WHERE made.s = pre.n AND NOT f.blank AND NOT f.again) z) GROUP BY conv_id, i, s),
+size AS (SELECT conv_id, max(i) AS i FROM dp GROUP BY conv_id),
+done AS (SELECT d.conv_id, min({'cost': best.cost + pre.cost, 'audit': best.audit || pre.e, 'lines': list_concat(best.lines, pre.l)}) AS best FROM dp d JOIN size z ON z.conv_id IS NOT DISTINCT FROM d.conv_id AND z.i = d.i JOIN pre ON pre.s = d.s WHERE pre.n IN (0, 3) GROUP BY d.conv_id),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated,
+ count(*) FILTER (i > 1 AND w || x NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT done.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.cost AS cost, best.audit AS audit,
+ sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256 FROM done LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM done.conv_id"""
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP12 = rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
@@ -73,4 +97,4 @@ OP13 = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_
 r AS (SELECT doc_id, t, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w AS k FROM d WINDOW w AS (PARTITION BY t ORDER BY size DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM r"""
 
-ORACLE_SQL = {"op3_substrings": OP3, "op6_quality_rules": _op6(), "op9_decontamination": OP9, "op12_source_divergence": OP12, "op13_exact_dedup": OP13}
+ORACLE_SQL = {"op3_substrings": OP3, "op6_quality_rules": _op6(), "op9_decontamination": OP9, "op11_conversation_repair": OP11, "op12_source_divergence": OP12, "op13_exact_dedup": OP13}
