@@ -70,10 +70,11 @@ def term_score(needle: str, pieces: Column, prompt: Column, negative: Column, na
 
 
 def phrase_bonus(needles: list[str], prompt: Column) -> Column:
-    """Points where two or more plain words stand together in the prompt as typed."""
-    if len(needles) < 2 or any("*" in n for n in needles):
+    """Points where the plain words, two or more, stand together in the prompt in the order typed; words with a star are left out."""
+    plain = [n for n in needles if "*" not in n]
+    if len(plain) < 2:
         return F.lit(0.0)
-    return F.when(has_word(prompt, " ".join(needles)), F.lit(float(PHRASE))).otherwise(F.lit(0.0))
+    return F.when(has_word(prompt, " ".join(plain)), F.lit(float(PHRASE))).otherwise(F.lit(0.0))
 
 
 def same_text(text: Column) -> Column:
@@ -195,6 +196,18 @@ def model_key(name: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(s, r"(?i)\.(safetensors|ckpt|pt|pth|bin|gguf|sft)$", "")))
 
 
+def names_text(model: Column, models: Column) -> Column:
+    """Names of the main model and of all others, a line each, in lower case."""
+    every = F.concat(F.array(model), F.transform(models, lambda m: F.lower(m["name"])))
+    return F.array_join(F.array_distinct(F.filter(every, lambda n: n != "")), "\n")
+
+
+def settings_text(source: Column, seed: Column, params: Column) -> Column:
+    """What is found as a setting: source, seed and every `key: value`, a line each, in lower case."""
+    lines = F.concat(F.array(source, seed), F.transform(params, lambda p: F.concat(p["key"], F.lit(": "), p["value"])))
+    return F.lower(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
+
+
 def param(params: Column, *names: str) -> Column:
     """The first setting written under one of the names, in any letter case; null without one."""
     return F.get(F.transform(F.filter(params, lambda p: F.lower(p["key"]).isin(*names)), lambda p: p["value"]), F.lit(0))

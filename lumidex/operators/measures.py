@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import SCALE, blocks, matrix
+from .vectors import BLOCK_BYTES, SCALE, matrix, whole
 
 LEAST, QUARTER, SHARP = 1e-9, 0.6745, 100.0
 MEASURED = "vec_id long, text_id long, score double, spreads double, lower_spreads double, share double, odds double"
@@ -21,7 +21,8 @@ def transforms(scores: np.ndarray) -> dict[str, np.ndarray]:
     middle, quarter = ordered[:, [n // 2]], ordered[:, [n // 4]]
     apart = np.sort(np.abs(scores - middle), axis=1)[:, [n // 2]]
     top = ordered[:, [-1]]
-    below = (scores[:, :, None] > scores[:, None, :]).sum(axis=2)
+    # how many of a row are less: where equal values begin in its order
+    below = np.stack([np.searchsorted(o, x, "left") for o, x in zip(ordered, scores, strict=True)]) if len(scores) else np.zeros(scores.shape, int)
     total = np.exp(SHARP * (scores - top)).sum(axis=1, keepdims=True)
     return {
         "spreads": (scores - middle) / np.maximum(apart * SCALE, LEAST),
@@ -31,9 +32,9 @@ def transforms(scores: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def measured(vectors: DataFrame, texts: DataFrame) -> DataFrame:
+def measured(vectors: DataFrame, texts: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
     """(vec_id, text_id, score, spreads, lower_spreads, share, odds) for every row and every text; texts are a small fixed set."""
-    ids, t = next(blocks(texts), (np.zeros(0, np.int64), np.zeros((0, 0))))
+    ids, t = whole(texts, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

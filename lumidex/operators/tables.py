@@ -15,8 +15,16 @@ def difference(index: DataFrame, listing: DataFrame) -> DataFrame:
     return a.join(b, KEY, "full_outer").select(*KEY, change.alias("change"))
 
 
+def newest(records: DataFrame) -> DataFrame:
+    """One record of each path: that of the latest time, then of the greatest id."""
+    rest = [c for c in records.columns if c not in KEY]
+    order = F.struct(*[F.col(c) for c in ("mtime", "id") if c in rest], F.xxhash64(*rest).alias("_tie"))
+    return records.groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("_new")).select(*KEY, "_new.*")
+
+
 def upsert(index: DataFrame, records: DataFrame) -> DataFrame:
-    """Records replace rows of their path, which keep their id; new paths keep the record's id."""
+    """Records replace rows of their path, which keep their id; new paths keep the record's id. Of several records of a path the newest counts."""
+    records = newest(records)
     old = index.select(*KEY, F.col("id").alias("_id"))
     fresh = records.join(old, KEY, "left").withColumn("id", F.coalesce("_id", "id")).select(index.columns)
     return index.join(records.select(*KEY), KEY, "left_anti").select(index.columns).unionByName(fresh)
@@ -40,16 +48,27 @@ def move(index: DataFrame, moves: DataFrame) -> DataFrame:
     return kept.join(moves, KEY, "left").withColumns({"dir": F.coalesce("to_dir", "dir"), "name": F.coalesce("to_name", "name")}).select(index.columns)
 
 
+def _says(columns: list[str]) -> Column:
+    """Whether a note says anything: stars, a flag, collections or a level set by hand."""
+    said = (F.col("rating") > 0) | (F.col("flag") > 0) | (F.size("collections") > 0)
+    return said | (F.coalesce("audience", F.lit(0)) > 0) if "audience" in columns else said
+
+
 def change_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
-    """changes: dir, name, and rating, flag (null: as it was), add and drop (arrays of collections, any letter case). Empty notes go."""
+    """changes: dir, name, and rating, flag, audience (null: as it was; 0: none), add and drop (arrays of collections, any letter case). Empty notes go.
+
+    The level set by hand, `audience` from 1 to 5, is there if notes or changes have such a column.
+    """
     n, c = notes.alias("n"), changes.alias("c")
     own = F.coalesce("n.collections", F.array().cast("array<string>"))
     gone = F.transform(F.coalesce("c.drop", F.array().cast("array<string>")), lambda x: F.lower(x))
     kept = F.filter(own, lambda x: ~F.array_contains(gone, F.lower(x)))
     more = F.filter(F.transform(F.coalesce("c.add", F.array().cast("array<string>")), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: ~F.array_contains(F.transform(kept, lambda y: F.lower(y)), F.lower(x)))
     joined = n.join(c, KEY, "full_outer")
-    out = joined.select(*KEY, F.coalesce("c.rating", "n.rating", F.lit(0)).alias("rating"), F.coalesce("c.flag", "n.flag", F.lit(0)).alias("flag"), F.concat(kept, more).alias("collections"))
-    return out.where((F.col("rating") > 0) | (F.col("flag") > 0) | (F.size("collections") > 0))
+    level = [f"{x}.audience" for x, rows in (("c", changes), ("n", notes)) if "audience" in rows.columns]
+    more = F.concat(kept, more).alias("collections")
+    out = joined.select(*KEY, F.coalesce("c.rating", "n.rating", F.lit(0)).alias("rating"), F.coalesce("c.flag", "n.flag", F.lit(0)).alias("flag"), more, *([F.least(F.coalesce(*level, F.lit(0)), F.lit(5)).alias("audience")] if level else []))
+    return out.where(_says(out.columns))
 
 
 def prune_notes(notes: DataFrame, files: DataFrame) -> DataFrame:
@@ -62,8 +81,7 @@ def prune_notes(notes: DataFrame, files: DataFrame) -> DataFrame:
 
 def replace_notes(notes: DataFrame, folder: str, fresh: DataFrame) -> DataFrame:
     """One folder's notes become the given ones; empty ones aren't kept."""
-    said = (F.col("rating") > 0) | (F.col("flag") > 0) | (F.size("collections") > 0)
-    return notes.where(F.col("dir") != folder).unionByName(fresh.where((F.col("dir") == folder) & said).select(notes.columns))
+    return notes.where(F.col("dir") != folder).unionByName(fresh.where((F.col("dir") == folder) & _says(fresh.columns)).select(notes.columns))
 
 
 def transfer_notes(notes: DataFrame, moves: DataFrame) -> DataFrame:
@@ -83,7 +101,7 @@ def forget(index: DataFrame, notes: DataFrame, paths: DataFrame) -> tuple[DataFr
 def delete_collection(notes: DataFrame, name: str) -> DataFrame:
     """Notes without a collection in any letter case; notes that say nothing else go."""
     kept = notes.withColumn("collections", F.filter("collections", lambda c: F.lower(c) != name.lower()))
-    return kept.where((F.col("rating") > 0) | (F.col("flag") > 0) | (F.size("collections") > 0))
+    return kept.where(_says(notes.columns))
 
 
 def toggled(notes: DataFrame, chosen: DataFrame, column: str, value: int) -> DataFrame:
@@ -96,13 +114,13 @@ def toggled(notes: DataFrame, chosen: DataFrame, column: str, value: int) -> Dat
 
 
 def batch_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
-    """Many changes at once, of which `at` tells the order: for each path the last rating and flag that isn't null count, and what the last mention of a collection says.
+    """Many changes at once, of which `at` tells the order: for each path the last rating, flag and audience that isn't null count, and what the last mention of a collection says.
 
     An unknown flag is an error of the caller: it raises when the job runs.
     """
     checked = changes.withColumn("flag", F.when(F.col("flag").isNull() | F.col("flag").isin(0, 1, 2), F.col("flag")).otherwise(F.raise_error(F.lit("unknown flag")).cast("int")))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
-    marks = checked.groupBy(*KEY).agg(last("rating"), last("flag"))
+    marks = checked.groupBy(*KEY).agg(*[last(c) for c in ("rating", "flag", "audience") if c in changes.columns])
     empty = F.array().cast("array<string>")
     said = checked.select(*KEY, "at", F.explode(F.concat(F.transform(F.coalesce("drop", empty), lambda c: F.struct(F.lit(0).alias("on"), c.alias("c"))), F.transform(F.coalesce("add", empty), lambda c: F.struct(F.lit(1).alias("on"), c.alias("c"))))).alias("x"))
     final = said.groupBy(*KEY, F.lower("x.c").alias("k")).agg(F.max_by("x", F.struct("at", "x.on")).alias("x"), F.max("at").alias("at"))
@@ -110,6 +128,12 @@ def batch_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
     return change_notes(notes, marks.join(lists, KEY, "left"))
 
 
+def with_levels(rows: DataFrame, notes: DataFrame, level: str) -> DataFrame:
+    """The level of each row: the one set by hand where there is one, else the column `level`."""
+    own = notes.where("audience > 0").select(*KEY, F.col("audience").alias("_own"))
+    return rows.join(own, KEY, "left").withColumn(level, F.coalesce("_own", level)).drop("_own")
+
+
 def notes_in(notes: DataFrame, folder: str, name: str | None = None) -> DataFrame:
     """A folder's notes, or one file's."""
     own = notes.where(F.col("dir") == folder)
@@ -177,6 +201,8 @@ def matched_models(wanted: DataFrame, installed: DataFrame) -> DataFrame:
     """(model, file, stand_in) for (model, family): the installed file (file, family, format) of that name, else the one of the family most like it, else null.
 
     Alike means: both or neither of the fast kind, then words in common, then the plain format; of equals the first name.
+    The fast kind is told by the name, or by a column `fast` where a side has one (see `fast_recipe`). Installed files are a
+    dimension: a wanted model meets each file of its family.
     """
     from ..functions.text import model_key
 

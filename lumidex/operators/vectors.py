@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 # Bars of a match and of likeness, numbers of rows, sharpness of the weights.
 BAR, CLOSE, FAIR, FEWEST, NEIGHBOURS, SHARPNESS, SCALE = 1.5, 0.78, 0.6, 12, 24, 40.0, 1.4826
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES, FIXED_BYTES = 32 << 20, 512 << 20
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -38,6 +38,21 @@ def blocks(queries: DataFrame, most: int = BLOCK_BYTES) -> Iterator[tuple[np.nda
             yield got["vec_id"].to_numpy(), matrix(got["embedding"].combine_chunks())
 
 
+def whole(fixed: DataFrame, most: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of a small fixed set, all of it, by id; one of more than FIXED_BYTES is an error."""
+    parts, size = [], 0
+    for ids, m in blocks(fixed, most):
+        size += m.nbytes
+        if size > FIXED_BYTES:
+            raise ValueError(f"a fixed set of texts may hold {FIXED_BYTES} bytes of vectors")
+        parts.append((ids, m))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    ids, m = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = np.argsort(ids, kind="stable")
+    return ids[order], m[order]
+
+
 def _crossed(vectors: DataFrame, queries: DataFrame, step: Callable, schema: str, more: str | None = None) -> DataFrame:
     """What `step(ids, vectors, further column, query ids, query matrix)` finds in each batch, for all blocks of queries."""
     rows = vectors.where("embedding is not null").select("vec_id", "embedding", *([more] if more else []))
@@ -120,13 +135,12 @@ def neighbours_mean(vectors: DataFrame, queries: DataFrame, target: str, k: int
     return near.groupBy("query_id").agg((F.sum(F.col("w") * F.col(target)) / F.sum("w")).alias("value"), F.count("*").alias("n"))
 
 
-def described(vectors: DataFrame, queries: DataFrame, texts: DataFrame, styles: DataFrame, most: int = 8) -> DataFrame:
+def described(vectors: DataFrame, queries: DataFrame, texts: DataFrame, styles: DataFrame, most: int = 8, block: int = BLOCK_BYTES) -> DataFrame:
     """(vec_id, subjects, style) of the queried rows: the texts they match best, and the style that scores highest.
 
     Texts (the yardstick) and styles are small fixed sets of (vec_id, embedding).
     """
-    ids, t = next(blocks(texts), (np.zeros(0, np.int64), np.zeros((0, 0))))
-    style_ids, s = next(blocks(styles), (np.zeros(0, np.int64), np.zeros((0, 0))))
+    (ids, t), (style_ids, s) = whole(texts, block), whole(styles, block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

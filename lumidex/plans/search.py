@@ -40,8 +40,8 @@ def facet(kind: str, *values: str, exact: bool = False) -> Column:
 
 
 def model(*values: str, exact: bool = False) -> Column:
-    """Part of the main model's name; with `exact` the whole name of any model."""
-    return facet("model", *values, exact=True) if exact else _any([F.contains(F.col("model"), F.lit(v.lower())) for v in values])
+    """Part of the name of any model; with `exact` the whole name."""
+    return facet("model", *values, exact=True) if exact else _any([F.contains(T.names_text(F.col("model"), F.col("models")), F.lit(v.lower())) for v in values])
 
 
 def lora(*values: str, exact: bool = False) -> Column:
@@ -145,6 +145,11 @@ ORDERS = {
 }
 
 
+def searched_names() -> list[Column]:
+    """Names that free words find: of the file, of all models, of all LoRAs."""
+    return [F.lower("name"), T.names_text(F.col("model"), F.col("models")), F.lower(F.array_join(F.transform("loras", lambda x: x["name"]), "\n"))]
+
+
 @dataclass
 class Search:
     """Predicates, words that rank wherever they stand (`ranked`), words of the prompt that rank there only (`ranked_prompt`), and the order of equals."""
@@ -165,7 +170,7 @@ class Search:
         if not terms:
             return out.withColumn("score", F.lit(0.0))
         prompt, negative = F.col("prompt"), F.col("negative")
-        names, settings = [F.lower("name"), F.col("model"), F.lower(F.array_join(F.transform("loras", lambda x: x["name"]), " "))], [F.lower("source")]
+        names, settings = searched_names(), [T.settings_text(F.col("source"), F.col("seed"), F.col("params"))]
         out = out.withColumn("_at", F.explode(F.array(F.struct(*[T.around(n, prompt).alias(f"w{k}") for k, n in enumerate(terms)]))))
         points = [T.term_score(n, F.col(f"_at.w{k}"), prompt, negative, names, settings) if k < len(self.ranked) else T.term_score(n, F.col(f"_at.w{k}"), prompt, F.lit(""), [], []) for k, n in enumerate(terms)]
         out = out.withColumn("_p", F.explode(F.array(F.array(*points))))

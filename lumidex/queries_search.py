@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import shared_dir
 from .functions import facets as FA
 from .functions import text as T
 from .operators import tables
 from .plans import search as S
 from .registry import query
-from .sources import files
+from .sources import files, word_index
 from .sources.tables import MEDIA_SQL, media, table
 
 # the word rules of functions.text without look-around: separators are doubled before counting
@@ -39,21 +42,68 @@ def _facet(kind: str, test: str) -> str:
     return f"len(list_filter(facets, lambda f: f.kind IN ({kind}) AND {test})) > 0"
 
 
-_LORAS = "array_to_string(list_transform(list_filter(facets, lambda f: f.kind = 'lora'), lambda f: f.key), ' ')"
-
-
 def _hit(word: str) -> str:
     return f"100 + 40 * (1 - {_first('prompt', word)}::DOUBLE / strlen(prompt)) + 10 * least({_count('prompt', word)} - 1, 3)"
 
 
+def _rest(word: str) -> str:
+    return f"WHEN {_prefix('lower(name)', word)} OR {_prefix('models_text', word)} OR {_prefix('loras_text', word)} THEN 40.0 WHEN {_prefix('settings_text', word)} THEN 20.0"
+
+
 def _score(word: str) -> str:
-    return f"CASE WHEN {_has('prompt', word)} THEN {_hit(word)} WHEN {_prefix('lower(name)', word)} OR {_prefix('model', word)} OR {_prefix(_LORAS, word)} THEN 40.0 WHEN {_prefix('lower(source)', word)} THEN 20.0 WHEN {_has('negative', word)} THEN 10.0 ELSE 0.0 END"
+    return f"CASE WHEN {_has('prompt', word)} THEN {_hit(word)} {_rest(word)} WHEN {_has('negative', word)} THEN 10.0 ELSE 0.0 END"
+
+
+def _open_score(word: str) -> str:
+    """Of a word that goes on: only what stands before it matters."""
+    first = f"strlen(regexp_extract(prompt, '(?s)^(.*?(?:^|{SEP})){word}', 1))"
+    hit = f"100 + 40 * (1 - {first}::DOUBLE / strlen(prompt)) + 10 * least(len(regexp_extract_all(prompt, '(^|{SEP}){word}')) - 1, 3)"
+    return f"CASE WHEN {_prefix('prompt', word)} THEN {hit} {_rest(word)} WHEN {_prefix('negative', word)} THEN 10.0 ELSE 0.0 END"
 
 
 @query(f"WITH {MEDIA_SQL}, s AS (SELECT id, name, {_score('the')} + {_score('and')} + CASE WHEN {_has('prompt', 'the and')} THEN 60.0 ELSE 0.0 END AS score FROM media WHERE ({_score('the')}) > 0 AND ({_score('and')}) > 0) SELECT id, name, round(score, 6) AS score FROM s")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two words anywhere, ranked by where they stand."""
-    return S.Search(ranked=["the", "and"]).sorted(media(spark, sf_dir)).select("id", "name", F.round("score", 6).alias("score"))
+    """Two words anywhere, ranked by where they stand, from the word index: no text is read."""
+    found = word_index.of(spark, sf_dir).search(["the", "and"])
+    return found.orderBy(F.desc("score"), *S.ORDERS["newest"](), "id").select("id", "name", F.round("score", 6).alias("score"))
+
+
+@query("SELECT word, count(DISTINCT id) AS n_rows, count(*) AS places FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS word FROM documents) GROUP BY word")
+def word_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, K1: what the word index holds of prompts: rows and places of every word."""
+    index = word_index.of(spark, sf_dir)
+    own = index.postings().where(F.col("field") == word_index.PROMPT)
+    return own.groupBy("word").agg(F.count("*").alias("n_rows"), F.sum(F.size("at")).alias("places"))
+
+
+_UPDATED = "SELECT * REPLACE (CASE WHEN id % 5 = 0 THEN 'and the and, new' ELSE prompt END AS prompt, CASE WHEN id % 3 = 0 THEN 'the_' || name ELSE name END AS name) FROM media WHERE id % 7 <> 0 OR id % 5 = 0"
+
+
+@query(f"WITH {MEDIA_SQL}, u AS ({_UPDATED}), s AS (SELECT id, name, {_score('and')} AS a, CASE WHEN {_has('prompt', 'the')} THEN {_hit('the')} ELSE 0 END AS b FROM u) SELECT id, name, round(a + b, 6) AS score FROM s WHERE a > 0 AND b > 0")
+def word_index_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K2, F1: a ranked search of an index whose rows were changed, deleted, and put again."""
+    rows = media(spark, sf_dir)
+    index = word_index.WordIndex(spark, f"{shared_dir(spark)}/words-{uuid.uuid4().hex}")
+    index.put(rows.where("id % 2 = 0"))
+    index.put(rows.where("id % 2 = 1"))
+    index.delete(rows.where("id % 7 = 0").select("id"))
+    renamed = rows.withColumn("name", F.when(F.col("id") % 3 == 0, F.concat(F.lit("the_"), "name")).otherwise(F.col("name")))
+    index.compact()
+    index.put(renamed.where("id % 3 = 0 and id % 7 <> 0"))
+    index.put(renamed.where("id % 5 = 0").withColumn("prompt", F.lit("and the and, new")))
+    return index.search(["and"], ["the"]).select("id", "name", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {MEDIA_SQL}, s AS (SELECT id, {_score('euler')} AS a, {_score('792')} AS b FROM media) SELECT id, round(a + b, 6) AS score FROM s WHERE a > 0 AND b > 0")
+def search_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free words that settings and seeds have, by the scan."""
+    return S.Search(ranked=["euler", "792"]).rows(media(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {MEDIA_SQL}, s AS (SELECT id, {_score('the')} AS a, {_score('and')} AS b, {_open_score('o')} AS c, CASE WHEN {_has('prompt', 'the and')} THEN 60.0 ELSE 0.0 END AS d FROM media) SELECT id, round(a + b + c + d, 6) AS score FROM s WHERE a > 0 AND b > 0 AND c > 0")
+def search_starred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word with a star among others; the others still get points for standing together."""
+    return S.Search(ranked=["the", "o*", "and"]).rows(media(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {MEDIA_SQL}, s AS (SELECT id, {_score('economy')} AS a, CASE WHEN {_has('prompt', 'et')} THEN {_hit('et')} ELSE 0 END AS b FROM media) SELECT id, round(a + b, 6) AS score FROM s WHERE a > 0 AND b > 0")
@@ -62,10 +112,10 @@ def ranked_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.Search(ranked=["economy"], ranked_prompt=["et"]).sorted(media(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {MEDIA_SQL} SELECT id, dir, steps FROM media WHERE {_has('prompt', 'the')} AND NOT {_has('prompt', 'scum')} AND contains(model, 'brand') AND (dir = '/lib/en' OR (dir >= '/lib/en/' AND dir < '/lib/en0'))")
+@query(f"WITH {MEDIA_SQL} SELECT id, dir, steps FROM media WHERE {_has('prompt', 'the')} AND NOT {_has('prompt', 'scum')} AND contains(models_text, 'vae-') AND (dir = '/lib/en' OR (dir >= '/lib/en/' AND dir < '/lib/en0'))")
 def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2, F3, F18 and negation: phrases, parts of names, a folder tree."""
-    where = [S.in_prompt("the"), ~S.in_prompt("scum"), S.model("brand"), S.folder("/lib/en")]
+    where = [S.in_prompt("the"), ~S.in_prompt("scum"), S.model("VAE-"), S.folder("/lib/en")]
     return S.Search(where).rows(media(spark, sf_dir)).select("id", "dir", "steps")
 
 

@@ -82,6 +82,9 @@ SELECT d.doc_id AS id, '/lib/' || d.lang || '/' || d.source AS dir, 'doc_' || lp
  CASE WHEN d.doc_id % 6 <> 5 THEN [{_FACET('loraw', _TYPE + " || '@' || " + _NUM('round((d.doc_id % 7 + 1) / 8.0::DOUBLE, 2)'))}] ELSE [] END,
  [{_FACET('sampler', _PICK(SAMPLERS, 'd.doc_id'))}], CASE WHEN d.doc_id % 2 = 0 THEN [{_FACET('scheduler', _PICK(SCHEDULERS, 'd.doc_id // 2'))}] ELSE [] END,
  [{_FACET('steps', _NUM('coalesce(p.p_size, 0)'))}, {_FACET('cfg', _NUM('1 + (d.doc_id % 19) * 0.5'))}, {_FACET('size', "(512 + 64 * (d.doc_id % 8)) || 'x' || (512 + 64 * (d.doc_id % 5))")}, {_FACET('source', 'd.source')}])), lambda x: x.value <> '') AS facets,
+ array_to_string(list_filter([lower(coalesce(p.p_brand, '')), CASE WHEN d.doc_id % 3 = 0 THEN 'vae-' || (d.doc_id % 4) END], lambda x: x <> ''), chr(10)) AS models_text,
+ lower(coalesce(p.p_type, '')) || CASE WHEN d.doc_id % 5 = 0 THEN chr(10) || 'detail  tweaker' ELSE '' END AS loras_text,
+ lower(array_to_string([d.source, CAST(d.doc_id * 7919 + 11 AS VARCHAR), 'Steps: ' || coalesce(p.p_size, 0) || '.0', 'CFG scale: ' || CAST(1 + (d.doc_id % 19) * 0.5 AS DOUBLE), 'Sampler: ' || {_PICK(SAMPLERS, 'd.doc_id')}, CASE WHEN d.doc_id % 2 = 0 THEN 'Scheduler: ' || {_PICK(SCHEDULERS, 'd.doc_id // 2')} END], chr(10))) AS settings_text,
  list_filter([CASE WHEN l.quality = 1 AND l.toxic = 0 THEN CASE WHEN d.doc_id % 7 = 0 THEN 'best' ELSE 'Best' END END, CASE WHEN d.doc_id % 6 = 0 THEN 'To Print' END, CASE WHEN d.doc_id % 11 = 0 THEN 'Späße' END], lambda c: c IS NOT NULL) AS collections,
  CASE WHEN l.quality IS NULL THEN 0 WHEN l.quality = 1 AND l.toxic = 0 THEN 5 WHEN l.quality = 1 THEN 2 WHEN l.toxic = 0 THEN 3 ELSE 1 END AS rating,
  CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 1 WHEN l.quality = 0 AND l.toxic = 1 THEN 2 ELSE 0 END AS flag

@@ -52,7 +52,7 @@ def test_word_matching(spark, text, needle, first, count):
 
 def test_relevance_goes_by_place(spark):
     rows = [(1, "fox at the start", "n1", "", ""), (2, "much later there is a fox", "n2", "", ""), (3, "fox and fox and fox", "n3", "", ""), (4, "nothing", "foxglove", "", ""), (5, "nothing", "n5", "fox", ""), (6, "foxes only", "n6", "", ""), (7, "nothing", "n7", "", "fox tool")]
-    df = spark.createDataFrame(rows, "id long, prompt string, name string, negative string, source string").selectExpr("*", "'' AS model", "cast(array() as array<struct<name:string,weight:double>>) AS loras", "0L AS mtime")
+    df = spark.createDataFrame(rows, "id long, prompt string, name string, negative string, source string").selectExpr("*", "'' AS model", "cast(array() as array<struct<name:string,weight:double>>) AS loras", "0L AS mtime", "cast(array() as array<struct<kind:string,name:string>>) AS models", "'' AS seed", "cast(array() as array<struct<key:string,value:string>>) AS params")
     found = S.Search(ranked=["fox"]).sorted(df).select("id", "score").collect()
     assert [r.id for r in found] == [3, 1, 2, 4, 7, 5] and [r.score for r in found][3:] == [40.0, 20.0, 10.0]
 
