@@ -13,8 +13,9 @@ from .functions import text as T
 from .operators import tables
 from .plans import search as S
 from .registry import query
-from .sources import files, word_index
+from .sources import files, index_table, word_index
 from .sources.tables import MEDIA_SQL, media, table
+from .streaming import live_index
 
 # the word rules of functions.text without look-around: separators are doubled before counting
 SEP = r"[^\p{L}\p{N}]"
@@ -233,6 +234,36 @@ def index_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.reconcile(rows.select("id", "dir", "name", "size", "mtime"), _listing(rows))[0]
 
 
+@query(f"WITH {MEDIA_SQL}, l AS ({_LISTING}) SELECT change, count(*) AS files, CAST(sum(length(name)) AS BIGINT) AS letters FROM (SELECT coalesce(m.name, l.name) AS name, CASE WHEN m.name IS NULL THEN 'new' WHEN l.name IS NULL THEN 'gone' WHEN m.size <> l.size OR m.mtime <> l.mtime THEN 'changed' ELSE 'same' END AS change FROM media m FULL JOIN l ON m.dir = l.dir AND m.name = l.name) GROUP BY change")
+def index_table_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a listing against an index that is stored by path, which is read as it lies."""
+    rows = media(spark, sf_dir)
+    index = index_table.save(rows.select("id", "dir", "name", "size", "mtime"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return tables.difference(index, _listing(rows)).groupBy("change").agg(F.count("*").alias("files"), F.sum(F.length("name")).alias("letters"))
+
+
+_CUT = 1_700_000_000_000 + 9_137_000 * 100
+
+
+@query(
+    f"""WITH {MEDIA_SQL}, r AS (SELECT id, dir, name, size, mtime, starts_with(dir, '/lib/fr/') AS fr FROM media), s0 AS (SELECT * FROM r WHERE id % 2 = 0),
+k1 AS (SELECT * FROM s0 WHERE id % 5 <> 0 AND NOT fr), p1 AS (SELECT * REPLACE (id + 10000000 AS id, size + 1 AS size) FROM r WHERE id % 3 = 0 AND id % 5 <> 0 AND NOT (fr AND mtime < {_CUT})),
+s1 AS (SELECT coalesce(k.id, p.id) AS id, coalesce(p.dir, k.dir) AS dir, coalesce(p.name, k.name) AS name, coalesce(p.size, k.size) AS size, coalesce(p.mtime, k.mtime) AS mtime FROM k1 k FULL JOIN p1 p ON p.dir = k.dir AND p.name = k.name),
+g2 AS (SELECT dir, name FROM r WHERE id % 7 = 0 AND id % 4 <> 0), k2 AS (SELECT * FROM s1 WHERE NOT EXISTS (SELECT 1 FROM g2 WHERE g2.dir = s1.dir AND g2.name = s1.name)), p2 AS (SELECT * REPLACE (id + 20000000 AS id, size + 2 AS size, mtime + 1 AS mtime) FROM r WHERE id % 4 = 0)
+SELECT coalesce(k.id, p.id) AS id, coalesce(p.dir, k.dir) AS dir, coalesce(p.name, k.name) AS name, coalesce(p.size, k.size) AS size, coalesce(p.mtime, k.mtime) AS mtime FROM k2 k FULL JOIN p2 p ON p.dir = k.dir AND p.name = k.name"""
+)
+def live_index_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index that three batches of changes make, the first two merged to a base, the third in the log."""
+    rows, root = media(spark, sf_dir).select("id", "dir", "name", "size", "mtime"), f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    act = lambda some, action, far=0, more=0, late=0: some.select((F.col("id") + far).alias("id"), "dir", "name", (F.col("size") + more).alias("size"), (F.col("mtime") + late).alias("mtime"), F.lit(action).alias("action"))
+    tree = rows.limit(1).select(F.lit(None).cast("long").alias("id"), F.lit("/lib/fr").alias("dir"), F.lit("").alias("name"), F.lit(None).cast("long").alias("size"), F.lit(_CUT).alias("mtime"), F.lit("tree").alias("action"))
+    live_index.append(spark, root, act(rows.where("id % 2 = 0"), "put"), 0)
+    live_index.append(spark, root, act(rows.where("id % 5 = 0"), "gone").unionByName(act(rows.where("id % 3 = 0 and id % 5 <> 0"), "put", 10_000_000, 1)).unionByName(tree), 1)
+    live_index.compact(spark, root)
+    live_index.append(spark, root, act(rows.where("id % 4 = 0"), "put", 20_000_000, 2, 1).unionByName(act(rows.where("id % 7 = 0 and id % 4 <> 0"), "gone")), 2)
+    return live_index.latest(spark, root)
+
+
 @query(f"WITH {MEDIA_SQL}, mv AS (SELECT dir, name, '/moved' || dir AS to_dir, name AS to_name FROM media WHERE id % 9 = 0 UNION ALL SELECT a.dir, a.name, b.dir, b.name FROM media a JOIN media b ON b.id = a.id + 1 WHERE a.id % 9 = 4) SELECT m.id, coalesce(mv.to_dir, m.dir) AS dir, coalesce(mv.to_name, m.name) AS name FROM media m LEFT JOIN mv ON mv.dir = m.dir AND mv.name = m.name WHERE NOT EXISTS (SELECT 1 FROM mv x WHERE x.to_dir = m.dir AND x.to_name = m.name)")
 def index_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3: rows that move keep their id, rows at a target give way."""

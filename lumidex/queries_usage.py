@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
 from .functions import text as T
-from .operators import audience, tables, usage, works
+from .operators import audience, spelling, tables, usage, works
 from .registry import query
-from .sources.tables import MEDIA_SQL, media
+from .sources.tables import MEDIA_SQL, media, table
 
 _TAG = "<[A-Za-z]{1,15}:[^>]*>"
 _LIST = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
@@ -369,3 +370,28 @@ def minor_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(*[F.when(F.col("id") % 6 == k, F.lit(v)) for k, v in told.items()], F.lit("kidney bean"))
     return media(spark, sf_dir).select("id", audience.mentions_minor(audience.clean(text)).alias("minor"))
 
+
+
+_ACCENTS = ("ßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[:32])
+_SPELLED = "[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ''’\\-]*[A-Za-zÀ-ɏ]|[A-Za-zÀ-ɏ]"
+_BARE = "regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>|embedding:\\S+|https?://\\S+', ' ', 'g'), '([0-9_])', '\\1\\1', 'g')"
+_ENDS = "list_filter([{w}, CASE WHEN ends_with({w}, '''s') OR ends_with({w}, 's''') OR ends_with({w}, 'es') THEN left({w}, -2) END, CASE WHEN ends_with({w}, 's') THEN left({w}, -1) END], lambda f: f IS NOT NULL)"
+
+
+@query(
+    f"""WITH t AS (SELECT row_number() OVER () AS r, list_filter(regexp_extract_all({_BARE}, '[0-9_]?(?:{_SPELLED})[0-9_]?'), lambda x: NOT regexp_matches(x, '[0-9_]')) AS ws FROM documents),
+e AS (SELECT r, unnest(ws) AS x FROM t), c AS (SELECT replace(lower(x), '’', '''') AS w, count(DISTINCT r) AS n, bool_or(NOT (length(x) <= 5 AND x = upper(x))) AS plain FROM e GROUP BY 1),
+k AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS rank FROM c WHERE n >= 100 ORDER BY n DESC, w LIMIT 20000), ks AS (SELECT list(w) AS known FROM k),
+u AS (SELECT w, n, list_has_any(known, {_ENDS.format(w='w')}) AS whole, contains(w, '-') AND list_bool_and(list_transform(list_concat(['ab'], string_split(w, '-')), lambda p: length(p) < 3 OR list_has_any(known, {_ENDS.format(w='p')}))) AS parts FROM c, ks WHERE length(w) >= 3 AND plain),
+b AS (SELECT w, n, translate(w, '{_ACCENTS[0]}', '{_ACCENTS[1]}') AS a FROM u WHERE NOT whole AND NOT parts), g AS (SELECT w, rank, translate(w, '{_ACCENTS[0]}', '{_ACCENTS[1]}') AS a FROM k),
+d AS (SELECT b.w, g.w AS s, g.rank, damerau_levenshtein(b.a, g.a) AS edits FROM b JOIN g ON abs(length(b.a) - length(g.a)) <= 2),
+o AS (SELECT w, s, rank FROM d WHERE edits = 1), f AS (SELECT w, count(*) AS many FROM o GROUP BY w),
+x AS (FROM o UNION ALL SELECT d.w, d.s, d.rank + 300000 FROM d LEFT JOIN f USING (w) WHERE edits = 2 AND coalesce(many, 0) < 5 AND length(d.w) <= 14),
+l AS (SELECT w, list(s ORDER BY rank, s)[1:5] AS ss FROM x GROUP BY w)
+SELECT b.w AS word, b.n, coalesce(array_to_string(ss, ','), '') AS suggestions FROM b LEFT JOIN l USING (w)"""
+)
+def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents that the common ones don't explain, with what they may stand for."""
+    counts = cut(spelling.counted(table(spark, sf_dir, "documents"), "text"))
+    known = cut(spelling.dictionary(counts, 100))
+    return spelling.suggestions(spelling.misspelled(counts, known), known).select("word", "n", F.array_join("suggestions", ",").alias("suggestions"))
