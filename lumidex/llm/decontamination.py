@@ -10,7 +10,7 @@ phrases are searched backwards at once; occurrences are located by walking to th
 next sample, and their words merged to removal spans.
 
 The test items are a stated query set. They are cut into blocks of about
-`BLOCK_BYTES` bytes of text by a hash of the item. One block reaches the driver and
+`BLOCK_BYTES` bytes of text by a hash of item and text. One block reaches the driver and
 the workers at a time and runs over all documents; what several blocks find is
 merged by row, under a number that each row is given and stored with.
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text
-from .shared import stored
+from .shared import numbered, stored
 
 WINDOW, SHARE, SAMPLED = 13, 20, 16
 SHARD_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
@@ -233,10 +233,11 @@ def _found(column: pa.Array, phrases: Phrases) -> list[pa.Array]:
 
 def _blocks(benchmark: DataFrame, most: int) -> tuple[int, Callable[[int], Phrases]]:
     """How many blocks of about `most` bytes of text the test items need, and how to get one."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # items without id have no phrase; equal rows are one, and texts decide the block as well, so no id makes a block large
+    one = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
+    size = one.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // most) or 1
-    one = benchmark.select("item_id", "text")
-    return n, lambda k: Phrases((one.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else one).toArrow())
+    return n, lambda k: Phrases((one.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else one).toArrow())
 
 
 def _search(phrases: Phrases, hits_only: bool = False) -> Callable:
@@ -296,9 +297,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_BYTES) -> Dat
     """The rows that are not contaminated, with all their columns."""
     n, block = _blocks(benchmark, most)
     if n > 1:
-        rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        bad = _merged(rows.select(F.col("doc_id").cast("long"), "text", "_row"), n, block).where(_contaminated()).select("_row")
-        return rows.join(bad, "_row", "left_anti").select(docs.columns)
+        own = numbered(docs, "numbered")
+        rows = own.rows.select(own.at("doc_id").cast("long").alias("doc_id"), own.at("text").alias("text"), F.col("row").alias("_row"))
+        bad = _merged(rows, n, block).where(_contaminated()).select(F.col("_row").alias("row"))
+        return own.back(own.rows.join(bad, "row", "left_anti"))
     at, phrases = docs.columns.index("text"), block(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

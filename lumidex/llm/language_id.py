@@ -4,15 +4,15 @@ The blended-spectrum presence kernel of two texts is the mean, over n = 1, 2, 3,
 of the number of byte n-grams that both have, divided by the geometric mean of
 their numbers of distinct n-grams (letters lower-cased, other ASCII as spaces).
 About `LANDMARKS` training texts, the same number of each language and chosen by
-a hash of their id, span a Nyström approximation; one-versus-rest kernel ridge
+a hash of id and text, span a Nyström approximation; one-versus-rest kernel ridge
 regression is solved in that space on about `SAMPLE` labelled documents. Its
 penalty is chosen on a fifth of them. Documents are scored in blocks: presence
 matrix times landmark matrix, times the solved coefficients.
 
 Defined results: null texts and texts without a letter are `und` with score 0;
 of equal scores the first language in alphabetical order wins; texts of any length
-count whole; rows are independent, so repeated rows and null ids need no rule; an
-empty table gives an empty result; without labelled rows every text is `und`, with
+count whole; rows are independent when they are scored, and of rows of one id and text one is learned
+from; an empty table gives an empty result; without labelled rows every text is `und`, with
 labelled rows of one language every text with a letter is of that language, with
 score 1. Landmarks are texts of `LONG` characters or more where there are enough of
 them, else shorter ones too; never anything but texts.
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrow_text
@@ -128,36 +128,42 @@ def _solve(phi: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
     return np.vstack([w, middle - mean @ w])
 
 
+def lowest(known: DataFrame, many: int) -> DataFrame:
+    """(mark, text, lang): of each language the rows of the `many` lowest marks, rows of one mark once. Only marks are sorted, and by each task for itself first."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    upto = known.select("lang", "mark").withColumn("place", place).where(F.col("place") <= many).groupBy("lang").agg(F.max("mark").alias("upto"))
+    some = known.join(F.broadcast(upto), "lang").where(F.col("mark") <= F.col("upto"))  # a row for each language
+    return some.groupBy("mark", "lang").agg(F.min("text").alias("text")).select("mark", "text", "lang")
+
+
 def fit(docs: DataFrame, parts: int = 4, remainder: int = 2, landmarks: int = LANDMARKS, sample: int = SAMPLE) -> Model:
     """Learn from text and lang of the documents that aren't held out; kernel values of about `sample` of them reach the driver."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), parts, remainder)).select(F.col("doc_id").cast("long"), "text", "lang")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), parts, remainder)).select(F.xxhash64("doc_id", F.lit(11), "text").alias("mark"), "text", "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes)
     if len(names) < 2:
         return Model(names)
-    each, mark = -(-landmarks // len(names)), F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
-    share = lambda lang, many: min(1 << 30, int(many / sizes[lang] * (1 << 30)))
-    pick = lambda many: known.where(mark < F.coalesce(*(F.when(F.col("lang") == x, share(x, many)) for x in names), F.lit(0)))
+    each = -(-landmarks // len(names))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_text.slices(batches):
             sets = [grams(t) for t in b.column(1).to_pylist()]
             short = pc.less(pc.utf8_length(b.column(1)), LONG)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), short, *(pa.array([s[k] for s in sets], pa.list_(pa.int32())) for k in range(len(ORDERS)))], names=["doc_id", "lang", "short", *(f"g{n}" for n in ORDERS)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), short, *(pa.array([s[k] for s in sets], pa.list_(pa.int32())) for k in range(len(ORDERS)))], names=["mark", "lang", "short", *(f"g{n}" for n in ORDERS)])
 
     # texts of a few words make poor landmarks; they are drawn with room to spare, and the first long ones by hash are kept
-    drawn = pick(4 * each).mapInArrow(spread, "doc_id long, lang string, short boolean, " + ", ".join(f"g{n} array<int>" for n in ORDERS))
-    rows = drawn.withColumn("mark", mark).toArrow()
-    rows = rows.set_column(rows.schema.get_field_index("short"), "short", rows["short"].cast(pa.int8())).sort_by([("short", "ascending"), ("mark", "ascending"), ("doc_id", "ascending")]).to_pylist()
+    drawn = lowest(known, 4 * each).mapInArrow(spread, "mark long, lang string, short boolean, " + ", ".join(f"g{n} array<int>" for n in ORDERS))
+    rows = drawn.toArrow()
+    rows = rows.set_column(rows.schema.get_field_index("short"), "short", rows["short"].cast(pa.int8())).sort_by([("short", "ascending"), ("mark", "ascending")]).to_pylist()
     taken = [r for x in names for r in [q for q in rows if q["lang"] == x][:each]]
     marks = Landmarks.of([[np.array(r[f"g{n}"], np.int32) for n in ORDERS] for r in taken])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_text.slices(batches):
             k = marks.kernel(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(k), pa.list_(pa.float64()))], names=["doc_id", "lang", "k"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(k), pa.list_(pa.float64()))], names=["mark", "lang", "k"])
 
-    got = pick(-(-sample // len(names))).mapInArrow(measure, "doc_id long, lang string, k array<double>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    got = lowest(known, -(-sample // len(names))).mapInArrow(measure, "mark long, lang string, k array<double>").toArrow().sort_by([("mark", "ascending"), ("lang", "ascending")])
     k = np.array(got["k"].to_pylist())
     y = np.array([[1.0 if r == x else -1.0 for x in names] for r in got["lang"].to_pylist()])
     # K(landmarks)^(-1/2), without directions of no weight

@@ -6,15 +6,19 @@ the same kinds that the patterns miss:
 
     email  an `@` or a written `at`, and a domain with a dot or a written `dot`;
            a local part reaches back `REACH` characters at most
-    ip     four numbers up to 255 with bracketed or written dots
-    card   12 to 19 digits that pass the checksum, with other separators
-    phone  9 to 15 digits in groups or in one run, with 00 or no plus at all
+    ip     four numbers up to 255 with bracketed, spaced or written dots
+    card   12 to 19 digits that pass the checksum, up to three separators between any two
+    phone  9 to 15 digits in two to seven groups, up to three separators between them,
+           or in one run, with 00 or no plus at all
+
+These reaches and numbers of groups are what the generators propose at most; base spans know no such bounds.
 
 A candidate that touches no base span gets features of its format and its context,
 and gradient boosted trees give a calibrated probability.
 
 The trees learn here, without labels from outside, on about `SAMPLE` documents.
-Positive are their base spans, as they are and in every disguise of `disguises`.
+Positive are their base spans, as they are and in every disguise of `disguises`, and in
+documents of few examples spans of the same form with other digits or letters (`varied`).
 Negative are numbers and words made from them that only look alike (`lookalikes`:
 amounts, book and order numbers, versions, failing checksums, sentences with `at` and
 `dot`), and real candidates whose format rules them out. Other real candidates are
@@ -23,7 +27,7 @@ by a hash of their text, so `SAMPLE` x `EACH` rows reach the driver at most. One
 document in five calibrates the scores and sets the threshold of each kind: the
 lowest at which `PRECISION` of the examples chosen there are positive; with fewer
 than `FEWEST` of them the kind adds nothing. Of overlapping choices the likeliest
-stays.
+(in hundredths, then of the first kind as listed) stays.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts
 have no spans; texts of any length are searched whole, in time that follows their
@@ -48,7 +52,7 @@ from . import arrow_text
 from .boosting import Trees
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, EACH, PRECISION, FEWEST, REACH = 20_000, 60, 0.98, 10, 120
+SAMPLE, EACH, VARIED, PRECISION, FEWEST, REACH = 20_000, 60, 4, 0.98, 10, 120
 
 # base patterns; possessive repeats never go back, so each run of characters is read once
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -59,19 +63,20 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANY = re.compile(r"[0-9@]")
 
 # generators
-DOT = r"(?:\.|\x20?[\[(]\x20?(?:dot|\.)\x20?[\])]\x20?|\x20dot\x20)"
-AT = re.compile(r"@|\x20?[\[(]\x20?(?:at|@)\x20?[\])]\x20?|\x20at\x20")
+DOT = r"(?:\.|\x20?[\[({<]\x20?(?:[Dd]ot|DOT|\.)\x20?[\])}>]\x20?|[\x20_-](?:[Dd]ot|DOT)[\x20_-])"
+AT = re.compile(r"@|\x20?[\[({<]\x20?(?:[Aa]t|AT|@)\x20?[\])}>]\x20?|[\x20_-](?:[Aa]t|AT)[\x20_-]")
 BEFORE = re.compile(rf"[A-Za-z0-9_%+-]+(?:{DOT}[A-Za-z0-9_%+-]+)*\Z")
 AFTER = re.compile(rf"[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++")
-SPELLED = re.compile(r"[\[(]\x20?(?:at|@)\x20?[\])]|\x20at\x20")
+SPELLED = re.compile(r"[\[({<]\x20?(?:[Aa]t|AT|@)\x20?[\])}>]|[\x20_-](?:[Aa]t|AT)[\x20_-]")
 WIDE = {
-    "ip": re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:{DOT}[0-9]{{1,3}}){{3}}(?![0-9])"),
+    "ip": re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{DOT}|\x20\.\x20|,)[0-9]{{1,3}}){{3}}(?![0-9])"),
     # from every group of digits on, so these overlap
-    "card": re.compile(r"(?<![0-9A-Za-z])(?=([0-9](?:[\x20._/-]{0,2}[0-9]){11,18})(?![0-9A-Za-z]))"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+(])(?=(\+?\(?[0-9]{1,5}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,5}\)?){1,5}|[0-9]{9,15})(?![0-9A-Za-z]))"),
+    "card": re.compile(r"(?<![0-9A-Za-z])(?=([0-9](?:[\x20._/:,-]{0,3}[0-9]){11,18})(?![0-9A-Za-z]))"),
+    "phone": re.compile(r"(?<![0-9A-Za-z+(])(?=(\+?\(?[0-9]{1,5}\)?(?:[\x20._/:-]{1,3}\(?[0-9]{2,5}\)?){1,6}|[0-9]{9,15})(?![0-9A-Za-z]))"),
 }
 CONTACT = re.compile(r"(?i)\b(?:mail|email|contact|write|call|phone|tel|mobile|fax|ip|host|server|address|card|visa|pay|account)\b")
 WORD = re.compile(r"\w+")
+MORE_BEFORE, MORE_AFTER = re.compile(r"[0-9][\x20._/:,-]{1,3}\Z"), re.compile(r"[\x20._/:,-]{1,3}[0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -170,8 +175,8 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
     tail = re.split(DOT, s)[-1]
     return [
         float(KINDS.index(kind)), len(s), len(digits), float(luhn(digits)), len(parts), max(map(len, parts), default=0), min(map(len, parts), default=0), len(groups), float(len(set(map(len, groups[1:]))) == 1 and len(groups) > 2),
-        float(all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)), float(s[0] == "+"), float(s[:2] == "00"), float("(" in s), float("@" in s), float("[" in s), s.count(" "), s.count("."), s.count("-"), s.count("/"),
-        float(len(re.findall(r"[\[(] ?(?:at|dot|@)| at | dot ", s))), float(tail.isalpha()), float(min(len(tail), 20)), float(s.count(" at ")), float(digits[:3] in ("978", "979")), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in "$€£#"), float(bool(CONTACT.search(before))), bucket([tail]), bucket(last), bucket(following),
+        float(len(groups) == 4 and all(map(_small, groups))), float(s[0] == "+"), float(s[:2] == "00"), float("(" in s), float("@" in s), float("[" in s), s.count(" "), s.count("."), s.count("-"), s.count("/"),
+        float(len(re.findall(r"(?i)[\[({<] ?(?:at|dot|@)|[ _-](?:at|dot)[ _-]", s))), float(tail.isalpha()), float(min(len(tail), 20)), float(s.lower().count(" at ")), float(digits[:3] in ("978", "979")), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in "$€£#"), float(bool(MORE_BEFORE.search(before))), float(bool(MORE_AFTER.match(after))), float(bool(CONTACT.search(before))), bucket([tail]), bucket(last), bucket(following),
     ]
 
 
@@ -184,7 +189,7 @@ def disguises(s: str, kind: str) -> list[str]:
         hide = ((" at ", " dot "), (" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", "."), (" at ", "."), (" (at) ", " (dot) "))
         return [f"{u.replace('.', d)}{a}{v.replace('.', d)}" for u, v in ((user, domain), plain) for a, d in hide]
     if kind == "ip":
-        return [s.replace(".", d) for d in ("[.]", "(.)", " dot ", "[dot]")]
+        return [s.replace(".", d) for d in ("[.]", "(.)", " dot ", "[dot]", " . ")]
     d = _digits(s)
     if kind == "phone":
         plain = s.lstrip("+")
@@ -192,6 +197,28 @@ def disguises(s: str, kind: str) -> list[str]:
     return [x.join(d[i : i + 4] for i in range(0, len(d), 4)) for x in (".", "/", "_", "  ", " -")]
 
 
+def varied(s: str, kind: str, k: int) -> str:
+    """Another span of the same kind and form: other digits, by a checksum; of addresses other letters. It serves to learn forms, not numbers, from few spans."""
+    seed = zlib.crc32(f"{k} {s}".encode("utf-8", "replace"))
+    if kind == "email":
+        return "".join(c if not c.isascii() or not c.isalpha() else chr((ord(c.lower()) - 97 + seed % 25 + 1) % 26 + 97) for c in s[: s.rfind(".")]) + s[s.rfind(".") :]
+    if kind == "ip":
+        return ".".join(str((seed >> 8 * i) % 256) for i in range(4))
+    out = []
+    for c in s:
+        if c.isdigit() and (out or kind == "card"):
+            seed = (seed * 1103515245 + 12345) % (1 << 31)
+            c = str(max(seed >> 16, 1) % 9 + 1)
+        out.append(c)
+    if kind == "card":  # the last digit makes the checksum right
+        last = max(i for i, c in enumerate(out) if c.isdigit())
+        for d in "0123456789":
+            out[last] = d
+            if luhn(_digits("".join(out))):
+                break
+    return "".join(out)
+
+
 def lookalikes(s: str, kind: str) -> list[tuple[str, str]]:
     """Strings that the generators may propose but that are no personal data, made from a base span."""
     d = _digits(s)
@@ -220,13 +247,16 @@ def examples(text: str) -> tuple[list[list[float]], list[int], list[int]]:
     def put(t: str, s: int, e: int, kind: str, y: int) -> None:
         found.append((zlib.crc32(f"{kind} {y} {t[s:e]}".encode("utf-8", "replace")), (t, s, e, kind), y))
 
-    for s, e, kind in base:
-        put(text, s, e, kind, 1)
-        near, rest = text[max(0, s - 40) : s], text[e : e + 40]
-        for hidden in disguises(text[s:e], kind):
-            put(near + hidden + rest, len(near), len(near) + len(hidden), kind, 1)
-        for other, k in lookalikes(text[s:e], kind):
-            put(near + other + rest, len(near), len(near) + len(other), k, 0)
+    for turn in range(VARIED):
+        for s, e, kind in base if len(found) < EACH else ():
+            if not turn:
+                put(text, s, e, kind, 1)
+            near, rest = text[max(0, s - 40) : s], text[e : e + 40]
+            own = varied(text[s:e], kind, turn) if turn else text[s:e]
+            for hidden in disguises(own, kind):
+                put(near + hidden + rest, len(near), len(near) + len(hidden), kind, 1)
+            for other, k in lookalikes(own, kind):
+                put(near + other + rest, len(near), len(near) + len(other), k, 0)
     for s, e, kind in _apart(candidates(text), base):
         if _ruled_out(text[s:e], kind):
             put(text, s, e, kind, 0)
@@ -259,7 +289,7 @@ class Selector:
         if more:
             p = self.trees.probability(np.array([features(text, *c) for c in more]))
             taken: list[tuple[int, int]] = []  # sorted, apart from each other
-            for i in np.argsort(-p, kind="stable"):
+            for i in np.argsort(-np.round(p, 2), kind="stable"):  # of about equal ones the first kind as listed
                 s, e, k = more[i]
                 at = bisect_left(taken, (s, e))
                 if p[i] >= self.thresholds[k] and (not at or taken[at - 1][1] <= s) and (at == len(taken) or e <= taken[at][0]):

@@ -31,36 +31,46 @@ from pyspark.sql import functions as F
 from . import arrow_text
 
 SAMPLE, WIDTH, MIX, COST, EPOCHS, SMOOTH = 12_000, 1 << 18, 0.5, 0.1, 12, 1.0
-REMEMBERED = 300_000
 
 _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-Z]+"), re.compile(r"[A-Z]+"), re.compile(r"\d+")
-_words: dict[str, tuple[int, int]] = {}
+_memory = arrow_text.Memory()
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    """(word code, shape code) of each word, as 32-bit numbers."""
-    seen = _words
-    if len(seen) > REMEMBERED:
-        seen.clear()
-    for w in set(words):
-        if w not in seen:
-            shape = _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", w)))
-            shape = re.sub(r"(.)\1{2,}", r"\1\1\1", shape)  # long runs of one sign look alike
-            seen[w] = xxhash.xxh32_intdigest(w.lower()), xxhash.xxh32_intdigest(shape, 7)
-    return np.array([seen[w] for w in words], np.uint64).reshape(-1, 2)
+def _learn(words: list[bytes]) -> list[bytes]:
+    """Word code and shape code of words, each with a space behind it, as two 32-bit numbers."""
+    out = []
+    for raw in words:
+        w = raw[:-1].decode("utf-8", "replace")
+        shape = _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", w)))
+        shape = re.sub(r"(.)\1{2,}", r"\1\1\1", shape)  # long runs of one sign look alike
+        out.append(xxhash.xxh32_intdigest(w.lower()).to_bytes(4, "little") + xxhash.xxh32_intdigest(shape, 7).to_bytes(4, "little"))
+    return out
+
+
+def _mix(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    return (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k)) >> np.uint64(20)
+
+
+def indicators_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers of the indicators of all texts end to end, and where each text's begin (n+1)."""
+    body, offsets = arrow_text.raw(column)
+    words = arrow_text.joined(arrow_text.split(body, offsets))
+    distinct, at = arrow_text.distinct(arrow_text.strings(words))
+    codes = np.frombuffer(b"".join(_memory.values(distinct, _learn)), "<u4").reshape(-1, 2).astype(np.uint64)[at]
+    word, shape, row = codes[:, 0], codes[:, 1].copy(), words.row
+    follows = row[1:] == row[:-1]
+    third = follows[1:] & follows[:-1]
+    shape[1:][follows & (word[1:] == word[:-1])] = 11
+    two = _mix(shape[:-1], shape[1:], 3)
+    length = np.frexp(words.counts.astype(np.float64))[1].astype(np.uint64) * np.uint64(2654435761) + np.uint64(77)
+    every = [(word, row), (_mix(word[:-1], word[1:], 1)[follows], row[1:][follows]), (_mix(shape, shape, 2), row), (two[follows], row[1:][follows]), (_mix(two[:-1], shape[2:], 5)[third], row[2:][third]), (length, np.arange(len(length)))]
+    key = np.unique(np.concatenate([r.astype(np.int64) * WIDTH + (c % np.uint64(WIDTH)).astype(np.int64) for c, r in every]))
+    return (key % WIDTH).astype(np.int32), np.searchsorted(key, np.arange(len(length) + 1) * WIDTH)
 
 
 def indicators(text: str) -> np.ndarray:
     """Sorted numbers of the indicators that a text has."""
-    words = text.split()
-    codes = _codes(words)
-    word, shape = codes[:, 0], codes[:, 1].copy()
-    if len(words) > 1:
-        shape[1:][word[1:] == word[:-1]] = 11
-    mix = lambda a, b, k: (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k)) >> np.uint64(20)
-    two = mix(shape[:-1], shape[1:], 3)
-    parts = [word, mix(word[:-1], word[1:], 1), mix(shape, shape, 2), two, mix(two[:-1], shape[2:], 5), np.array([len(words).bit_length() * 2654435761 + 77], np.uint64)]
-    return np.unique(np.concatenate(parts) % np.uint64(WIDTH)).astype(np.int32)
+    return indicators_of(pa.array([text], pa.large_string()))[0]
 
 
 @dataclass
@@ -73,8 +83,10 @@ class Model:
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
         return np.array([self.weights[r].sum() / np.sqrt(len(r)) + self.bias for r in rows])
 
-    def score(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.raw([indicators(t) for t in texts]) + self.shift)))
+    def score(self, texts: pa.Array) -> np.ndarray:
+        flat, upto = indicators_of(texts)  # every text has an indicator, that of its length
+        raw = np.add.reduceat(self.weights[flat], upto[:-1]) / np.sqrt(np.diff(upto)) + self.bias if len(texts) else np.zeros(0)
+        return 1 / (1 + np.exp(-(self.slope * raw + self.shift)))
 
 
 def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, width: int, cost: float = COST, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -105,7 +117,8 @@ def fit(sample: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_text.slices(batches):
-            rows = pa.array([indicators(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
+            flat, upto = indicators_of(b.column(1))
+            rows = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), rows, b.column(2), b.column(3)], names=["doc_id", "x", "y", "held"])
 
     got = sample.select("doc_id", "text", "y", "held").mapInArrow(run, "doc_id long, x array<int>, y int, held boolean").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
@@ -150,6 +163,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow_text.slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score([t or "" for t in b.column(1).to_pylist()]), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1)), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")

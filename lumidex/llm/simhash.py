@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import arrow_text
 from ..operators.components import roots
-from .shared import cut, stored
+from .shared import cut, numbered
 
 SHINGLE, SEED, RADIUS, SPREAD = 3, 42, 2, 50_000
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
@@ -107,14 +107,15 @@ def hexed(fp):
 
 def dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The input with all columns, but of each component only one row: that of the smallest id (null last), then of the smallest text."""
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # ids may repeat or be null
-    found = classes(rows.select(F.col("_row").alias("doc_id"), "text"), radius).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_part"))
+    own = numbered(docs, "rows")
+    doc, text = own.at("doc_id").cast("long").alias("id"), own.at("text").alias("text")
+    found = classes(own.rows.select(F.col("row").alias("doc_id"), text), radius).select(F.col("doc_id").alias("row"), F.col("component_id").alias("part"))
     # short stand-ins for rows travel; texts decide only between rows of one id
-    placed = cut(rows.select("_row", F.col("doc_id").cast("long").alias("_id")).join(found, "_row"))
-    order = F.struct(F.col("_id").isNull().alias("void"), "_id")
-    least = placed.groupBy("_part").agg(F.min(order).alias("x")).select("_part", F.col("x._id").alias("_least"))
-    ties = placed.join(least, "_part").where(F.col("_id").eqNullSafe(F.col("_least"))).groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("_row"), F.first("_least").alias("_least"))
-    clear = ties.where("n = 1").select("_row")
-    tied = placed.join(ties.where("n > 1").select("_part", "_least"), "_part").where(F.col("_id").eqNullSafe(F.col("_least"))).select("_row", "_part")
-    chosen = rows.select("_row", "text").join(tied, "_row").groupBy("_part").agg(F.min_by("_row", F.struct(F.coalesce("text", F.lit("")), "_row")).alias("_row")).select("_row")
-    return rows.join(clear.union(chosen), "_row", "left_semi").select(docs.columns)
+    placed = cut(own.rows.select("row", doc).join(found, "row"))
+    order = F.struct(F.col("id").isNull().alias("void"), "id")
+    least = placed.groupBy("part").agg(F.min(order).alias("x")).select("part", F.col("x.id").alias("least"))
+    ties = placed.join(least, "part").where(F.col("id").eqNullSafe(F.col("least"))).groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.first("least").alias("least"))
+    clear = ties.where("n = 1").select("row")
+    tied = placed.join(ties.where("n > 1").select("part", "least"), "part").where(F.col("id").eqNullSafe(F.col("least"))).select("row", "part")
+    chosen = own.rows.select("row", text).join(tied, "row").groupBy("part").agg(F.min_by("row", F.struct(F.coalesce("text", F.lit("")), "row")).alias("row")).select("row")
+    return own.back(own.rows.join(clear.union(chosen), "row", "left_semi"))
