@@ -4,7 +4,8 @@ Two hashes of 64 bits together may differ in `BITS` bits, no colour channel by m
 `COLOUR`, and width over height by a share of `SHAPE`. The bits are cut into so many bands that
 one of them differs in one bit at most; each picture is filed under its bands and looks under
 each band and its one-bit variants, among pictures of its class of shape or the next. Pictures
-equal in all of this are one node, so a group of copies costs as much as one picture.
+equal in all of this are one node, so a group of copies costs as much as one picture. Crowded buckets, as
+flat pictures make them, are cut by bands of other bits.
 Defined results: pictures without a fingerprint or a size are in no group; a null id is nobody's;
 groups of one aren't told; an empty table gives an empty result.
 """
@@ -22,6 +23,8 @@ from .components import roots
 
 # How far apart near-duplicates may be.
 BITS, COLOUR, SHAPE = 12, 24, 0.02
+#: Pictures of a bucket from which on it is cut further, and the orders in which the bits are dealt then.
+CROWD, STRIDES = 500, (37, 59, 83)
 LOOK = ["across", "down", "r", "g", "b", "shape"]
 
 
@@ -53,35 +56,67 @@ def bands(most: int) -> list[tuple[str, int, int]]:
     return out
 
 
-def _cut(name: str, first: int, width: int) -> Column:
-    mask = (1 << width) - 1
-    return F.shiftrightunsigned(name, first).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1).cast("long"))
+def splits(level: int, most: int) -> list[list[tuple[str, int]]]:
+    """Bands as lists of (hash, bit). Level 0 has runs of bits; further levels deal all 128 bits anew, each in another order, so bits that
+    many flat pictures share in one band are spread over others."""
+    if not level:
+        return [[(name, first + k) for k in range(width)] for name, first, width in bands(most)]
+    order = [(STRIDES[level - 1] * i + 11 * level) % 128 for i in range(128)]
+    n = most // 2 + 1
+    edges = [128 * k // n for k in range(n + 1)]
+    return [[("across" if i < 64 else "down", i % 64) for i in order[a:b]] for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _bits(band: list[tuple[str, int]], look: Column) -> Column:
+    """The bits of a band, side by side."""
+    out = F.lit(0).cast("long")
+    for k, (name, bit) in enumerate(band):
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(look[name], bit).bitwiseAND(F.lit(1).cast("long")), k))
+    return out
+
 
+def _filed(rows: DataFrame, level: int, most: int, near: bool) -> DataFrame:
+    """Rows of (node, look, path), one for each bucket of the level."""
+    held = rows
+    for k, band in enumerate(splits(level, most)):
+        held = held.withColumn(f"_b{k}", _bits(band, F.col("look")))
+    width = [len(band) for band in splits(level, most)]
+    lists = []
+    for k, n in enumerate(width):
+        flips = [0, *(1 << j if j < 63 else -(1 << 63) for j in range(n))] if near else [0]
+        lists.append(F.array(*[F.xxhash64("path", F.lit(64 * level + k), F.col(f"_b{k}").bitwiseXOR(F.lit(f).cast("long"))) for f in flips]))
+    return held.select("node", "look", F.explode(F.concat(*lists)).alias("path"))
 
-def _varied(k: int, bits: Column, width: int) -> Column:
-    """A band's bits, and all that differ from them in one bit."""
-    flips = F.lit(np.array([0, *(1 << j if j < 63 else -(1 << 63) for j in range(width))], np.int64))
-    return F.transform(flips, lambda f: F.struct(F.lit(k).alias("band"), bits.bitwiseXOR(f).alias("bits")))
 
+def links(prints: DataFrame, most: int = BITS, colour: int = COLOUR, shape: float = SHAPE, crowd: int = CROWD) -> DataFrame:
+    """(u, v) of nodes, which are the numbers of `nodes`, that are near each other; each pair once.
 
-def links(prints: DataFrame, most: int = BITS, colour: int = COLOUR, shape: float = SHAPE) -> DataFrame:
-    """(u, v) of nodes, which are the numbers of `nodes`, that are near each other; each pair once."""
+    A bucket of more than `crowd` pictures is cut further, by bands of other bits: within the distance two pictures
+    have nearly equal bits in some band of every way to cut them, so none is lost. Runs a job for each level.
+    """
     step = log(1 + shape)
     filed = prints.withColumn("class", F.floor(F.log("shape") / step)).withColumn("look", F.struct(*LOOK))
-    own, probes = [], []
-    for k, (name, first, width) in enumerate(bands(most)):
-        bits = _cut(name, first, width)
-        own.append(F.struct(F.lit(k).alias("band"), bits.alias("bits")))
-        probes.append(_varied(k, bits, width))
-    here = filed.select("node", "look", "class", F.explode(F.array(*own)).alias("at")).select(F.col("node").alias("v"), F.col("look").alias("y"), "class", "at.band", "at.bits")
-    asks = filed.select("node", "look", "class", F.explode(F.flatten(F.array(*probes))).alias("at"))
-    asks = asks.select(F.col("node").alias("u"), F.col("look").alias("x"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "at.band", "at.bits")
+    here = _filed(filed.select("node", "look", F.xxhash64("class").alias("path")), 0, most, False)
+    asks = _filed(filed.select("node", "look", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("c")).select("node", "look", F.xxhash64("c").alias("path")), 0, most, True)
     near = distance("x", "y") <= most
     for c in "rgb":
         near = near & (F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) <= colour)
     low, high = F.least("x.shape", "y.shape"), F.greatest("x.shape", "y.shape")
-    pairs = asks.join(here, ["class", "band", "bits"]).where(F.col("u") != F.col("v")).where(near & (high <= low * (1 + shape)))
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    out = None
+    for level in range(len(STRIDES) + 1):
+        crowded = None
+        if level < len(STRIDES):
+            crowded = cut(here.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("path"))
+            crowded = None if crowded.isEmpty() else crowded
+        mine = here if crowded is None else here.join(crowded, "path", "left_anti")
+        met = asks.select(F.col("node").alias("u"), F.col("look").alias("x"), "path").join(mine.select(F.col("node").alias("v"), F.col("look").alias("y"), "path"), "path")
+        pairs = met.where(F.col("u") != F.col("v")).where(near & (high <= low * (1 + shape))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        out = pairs if out is None else out.unionByName(pairs)
+        if crowded is None:
+            break
+        here = cut(_filed(here.join(crowded, "path", "left_semi"), level + 1, most, False))
+        asks = _filed(asks.join(crowded, "path", "left_semi").distinct(), level + 1, most, True)
+    return out.distinct()
 
 
 def groups(pictures: DataFrame, most: int = BITS, colour: int = COLOUR, shape: float = SHAPE) -> DataFrame:

@@ -1,13 +1,20 @@
 """Usage counts over a search: which values rows use, how often, when, and how those rows are judged.
 
-Texts are read once, into a stored table of numbers by value and slot of time, with partial sums before
-its shuffle; the top values of each kind are taken in parts and then of the parts, and trends and
-samples are made for those alone. Defined results: rows without a
-value of a kind don't count for it; ties go by value (of whole prompts: by its digest, which is their key); an empty table gives an empty result.
+Settings, models and collections are tallied in one pass, with sums by slot of time. Words and whole prompts, of which
+nearly all occur once, are counted first, by partial sums of each task, and tallied by slot for the few that are
+reported. Prompts are counted by their digest along with their first letters; texts are compared only
+among those that these letters leave level with the last one reported. Defined results: rows without
+a value of a kind don't count for it; of equally used values the first in order of their text is ahead, as
+it was last written; an empty table gives an empty result. Plans of `usage` run jobs when they are made.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,76 +22,138 @@ from ..checkpoints import cut
 from ..functions import facets as FA
 from ..functions import text as T
 
-SLOTS, TOP, SAMPLES = 24, 100, 3
+SLOTS, TOP, SAMPLES, HEAD = 24, 100, 3, 64
 MOST = {"word": 60, "prompt": 50, "rating": 6, "flag": 2}
 SAMPLED = ("model", "lora", "aux")
 FLAGS = {1: "keep", 2: "reject"}
+#: What `functions.text.prompt_words` takes for words before it looks at their letters.
+WORD, TAG = regex.compile(r"[[\p{Alphabetic}\p{N}]&&[\x00-\u2E7F]]{3,}", regex.V1), regex.compile(T.TAG)
+#: Counters that a task holds at once; beyond them it passes on what it has.
+COUNTERS = 200_000
 
 
 def pairs() -> Column:
-    """(kind, key, value, role) of all that a row uses but for words, each once. Whole prompts go by their digest and have no value here."""
+    """(kind, key, value, role) of all that a row uses but for words and whole prompts, each once."""
     one = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"), key.alias("value"), F.lit("").alias("role"))
     counted = F.filter("facets", lambda f: f["kind"].isin(*FA.COUNTED))
     flag = F.coalesce(*[F.when(F.col("flag") == n, F.lit(w)) for n, w in FLAGS.items()], F.lit(""))
-    digest = F.when(F.col("_whole") != "", F.sha2("_whole", 256)).otherwise("")
-    fixed = F.filter(F.array(one("prompt", digest), one("rating", F.col("rating").cast("string")), one("flag", flag)), lambda x: x["key"] != "")
+    fixed = F.filter(F.array(one("rating", F.col("rating").cast("string")), one("flag", flag)), lambda x: x["key"] != "")
     named = F.transform(F.filter("collections", lambda c: c != ""), lambda c: F.struct(F.lit("collection").alias("kind"), F.lower(c).alias("key"), c.alias("value"), F.lit("").alias("role")))
     return F.concat(counted, fixed, named)
 
 
-def _words(rows: DataFrame) -> DataFrame:
-    """Distinct words of each row as `key`; which of them are worth counting is asked after they are counted."""
-    return rows.withColumn("key", F.explode(T.words_of(T.untagged(F.col("prompt")), 3))).withColumn("kind", F.lit("word"))
+def _words(text: str | None) -> set[str]:
+    return set(WORD.findall(TAG.sub(" ", text) if "<" in text else text)) if text else set()
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(key, uses) of every word worth counting, by the number of prompts that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["key", "n"])
+            found.clear()
+            return out
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                found.update(_words(text))
+                if len(found) > COUNTERS:
+                    yield told()
+        yield told()
+
+    counts = rows.select("prompt").mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("uses"))
+    return counts.where(T.is_telling(F.col("key")))
+
+
+def _among(words: list[str]):
+    """A step from (prompt, slot, rating, flag) to (key, slot, rating, flag, n) of some words alone."""
+    wanted = frozenset(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: Counter = Counter()
+            for text, *marks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found.update((w, *marks) for w in wanted & _words(text))
+            columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:]), pa.array(list(found.values()), pa.int64())], names=["key", "slot", "rating", "flag", "n"])
+
+    return run
+
+
+def _tallies(n: Column) -> list[Column]:
+    """Sums of a tally, for rows that stand for `n` each."""
+    some = lambda c, name: F.sum(F.when(c, n).otherwise(0)).alias(name)
+    sums = [F.sum(n).alias("uses"), some(F.col("rating") > 0, "rated"), F.sum(n * F.col("rating")).cast("long").alias("stars"), some(F.col("flag") == 1, "keeps"), some(F.col("flag") == 2, "rejects")]
+    return sums + [some(F.col("slot") == k, f"_{k}") for k in range(SLOTS)]
 
 
 def limits() -> Column:
     return F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in MOST.items()], F.lit(TOP))
 
 
-def top(counts: DataFrame, parts: int = 16) -> DataFrame:
-    """The most used keys of each kind, from (kind, key, uses): first of each of several parts, then of those."""
-    order = [F.desc("uses"), F.asc("key")]
-    some = counts.withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+def top(tallies: DataFrame, parts: int) -> DataFrame:
+    """The most used of each kind, from rows with kind, key, value and uses: first of each of several parts, then of those."""
+    order = [F.desc("uses"), F.asc("value"), F.asc("key")]
+    some = tallies.withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(parts)))
     some = some.withColumn("_place", F.row_number().over(Window.partitionBy("kind", "_part").orderBy(*order))).where(F.col("_place") <= TOP).drop("_part")
     return some.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(*order)).cast("long")).drop("_place").where(F.col("place") <= limits())
 
 
+def _top_prompts(texts: DataFrame) -> tuple[DataFrame, int]:
+    """(key, value, uses, place) of the most used whole prompts of (id, t), and how many there are; equally used ones by their text."""
+    most = MOST["prompt"]
+    counts = cut(texts.groupBy(F.sha2("t", 256).alias("key")).agg(F.count("*").alias("uses"), F.min(F.substring("t", 1, HEAD)).alias("head")))
+    n = counts.count()
+    last = counts.orderBy(F.desc("uses"), "head").limit(most).agg(F.max(F.struct((-F.col("uses")).alias("a"), "head")).alias("x")).first()["x"]
+    if last is None:
+        return texts.sparkSession.createDataFrame([], "key string, value string, uses long, place long"), 0
+    level = counts.where((F.col("uses") > -last["a"]) | ((F.col("uses") == -last["a"]) & (F.col("head") <= last["head"])))
+    same = texts.withColumn("key", F.sha2("t", 256)).join(level, "key").groupBy("key", "uses").agg(F.min("t").alias("value"))
+    best = same.orderBy(F.desc("uses"), "value").limit(most)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("uses"), "value")).cast("long")), n  # `most` rows
+
+
 def usage(rows: DataFrame) -> DataFrame:
     """kind, key, value and role (as first met, newest first), uses, rated, stars, keeps, rejects, trend slots as text, samples, distinct keys of the kind, and place."""
-    span = rows.agg(F.min("mtime").alias("_low"), F.max("mtime").alias("_high"))
-    slot = F.least(F.lit(SLOTS - 1), F.expr(f"(mtime - _low) * {SLOTS} div (_high - _low + 1)")).cast("int")
-    timed = rows.crossJoin(F.broadcast(span)).withColumn("slot", slot).drop("_low", "_high")  # span is one row
-    marks = ["id", "rating", "flag", "slot"]
-    sums = [F.count("*").alias("n"), F.count_if(F.col("rating") > 0).alias("rated"), F.sum("rating").cast("long").alias("stars"), F.count_if(F.col("flag") == 1).alias("keeps"), F.count_if(F.col("flag") == 2).alias("rejects"), F.max("id").alias("last")]
-    facets = FA.with_facets(timed).withColumn("_whole", F.explode(F.array(T.same_text(F.col("prompt"))))).select(*marks, F.explode(pairs()).alias("p")).select(*marks, "p.kind", "p.key")
-    tally = lambda each: each.groupBy("kind", "key", "slot").agg(*sums)
-    # prompts are read for this table and not again: numbers of each key in each slot
-    slots = cut(tally(facets).unionByName(tally(_words(timed.select(*marks, "prompt")).select(*marks, "kind", "key")).where(T.is_telling(F.col("key")))))
-    counts = slots.groupBy("kind", "key").agg(F.sum("n").alias("uses"))
-    kinds = counts.groupBy("kind").agg(F.count("*").alias("distinct_keys"))
-    best = cut(top(counts).join(kinds, "kind"))  # some hundreds of rows
-    chosen = F.broadcast(best.select("kind", "key"))
-    tallies = slots.join(chosen, ["kind", "key"]).groupBy("kind", "key").agg(
-        *[F.sum(c).alias(c) for c in ("rated", "stars", "keeps", "rejects")],
-        F.max("last").alias("last"),
-        *[F.coalesce(F.sum(F.when(F.col("slot") == k, F.col("n"))), F.lit(0)).alias(f"_{k}") for k in range(SLOTS)],
-    )
-    # spellings and samples, of reported facets and collections only
-    few = FA.with_facets(rows).withColumn("_whole", F.lit("")).select("id", "mtime", "rating", "flag", F.explode(pairs()).alias("p")).select("id", "mtime", "rating", "flag", "p.*").join(chosen, ["kind", "key"])
-    part = few.withColumn("_part", F.pmod("id", F.lit(16)))
-    newest = part.groupBy("kind", "key", "_part").agg(F.max(F.struct("mtime", "id", "value", "role")).alias("new")).groupBy("kind", "key").agg(F.max("new").alias("new"))
+    low, high = rows.agg(F.min("mtime"), F.max("mtime")).first()
+    low, high = low or 0, high or 0
+    slot = F.least(F.lit(SLOTS - 1), F.expr(f"(mtime - {low}L) * {SLOTS} div {high - low + 1}L")).cast("long")
+    timed = rows.withColumn("slot", slot)
+    marks = ["slot", "rating", "flag"]
+    # settings, models, collections, judgements: all in one pass
+    each = FA.with_facets(timed).select("id", "mtime", *marks, F.explode(pairs()).alias("p")).select("id", "mtime", *marks, "p.*")
+    facets = cut(each.groupBy("kind", "key").agg(*_tallies(F.lit(1)), F.max(F.struct("mtime", "id", "value", "role")).alias("new")))
+    facets = facets.select("kind", "key", "new.value", "new.role", *facets.columns[2:-1])
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    distinct = facets.groupBy("kind").agg(F.count("*").alias("distinct_keys"))
+    best = cut(top(facets, parts).join(distinct, "kind"))
+    # words: counted, then tallied for those that are reported
+    counts = cut(word_counts(rows))
+    words = [(r["key"], r["uses"]) for r in counts.orderBy(F.desc("uses"), "key").limit(MOST["word"]).collect()]
+    found = timed.select("prompt", *[F.col(c).cast("long").alias(c) for c in marks]).mapInArrow(_among([w for w, _ in words]), "key string, slot long, rating long, flag long, n long")
+    place = rows.sparkSession.createDataFrame([(w, k + 1) for k, (w, _) in enumerate(words)], "key string, place long")
+    plain = lambda kind, value: [F.lit(kind).alias("kind"), "key", value.alias("value"), F.lit("").alias("role")]
+    numbers = [c for c in facets.columns if c not in ("kind", "key", "value", "role")]
+    words = found.groupBy("key").agg(*_tallies(F.col("n"))).join(F.broadcast(place), "key").select(*plain("word", F.col("key")), *numbers, "place", F.lit(counts.count()).alias("distinct_keys"))
+    texts = timed.select("id", *marks, T.same_text(F.col("prompt")).alias("t")).where("t <> ''")
+    chosen, n = _top_prompts(texts.select("id", "t"))
+    chosen = cut(chosen)
+    mine = texts.withColumn("key", F.sha2("t", 256)).join(F.broadcast(chosen.select("key", "value", "place")), "key")  # MOST rows
+    prompts = mine.groupBy("key", "value", "place").agg(*_tallies(F.lit(1))).select(*plain("prompt", F.col("value")), *numbers, "place", F.lit(n).alias("distinct_keys"))
+    # samples, of reported models and LoRAs only
     sample = F.struct((-F.col("rating")).alias("a"), (-F.col("mtime")).alias("b"), "id")
+    few = each.where(F.col("kind").isin(*SAMPLED) & (F.col("flag") != 2)).join(F.broadcast(best.select("kind", "key")), ["kind", "key"])
     samples = (
-        part.where(F.col("kind").isin(*SAMPLED) & (F.col("flag") != 2)).select("kind", "key", "_part", sample.alias("s"))
+        few.select("kind", "key", F.pmod("id", F.lit(16)).alias("_part"), sample.alias("s"))
         .withColumn("_k", F.row_number().over(Window.partitionBy("kind", "key", "_part").orderBy("s"))).where(F.col("_k") <= SAMPLES)
         .groupBy("kind", "key").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("s")), 1, SAMPLES), lambda x: x["id"].cast("string")), ",").alias("samples"))
     )
-    out = cut(best.join(tallies, ["kind", "key"]).join(newest, ["kind", "key"], "left").join(samples, ["kind", "key"], "left"))
-    # the few prompts that are reported get their text from one of their rows; all have the same
-    wanted = out.where("kind = 'prompt'").select(F.col("last").alias("id"))
-    texts = rows.join(F.broadcast(wanted), "id", "left_semi").select(F.col("id").alias("_id"), T.same_text(F.col("prompt")).alias("_text"))
-    out = out.join(texts, (F.col("kind") == "prompt") & (F.col("last") == F.col("_id")), "left")
-    return out.select("kind", "key", F.coalesce("_text", "new.value", "key").alias("value"), F.coalesce("new.role", F.lit("")).alias("role"), "uses", "rated", "stars", "keeps", "rejects", F.concat_ws(",", *[f"_{k}" for k in range(SLOTS)]).alias("trend"), F.coalesce("samples", F.lit("")).alias("samples"), "distinct_keys", "place")
+    columns = ["kind", "key", "value", "role", *numbers, "place", "distinct_keys"]
+    out = best.select(columns).unionByName(words.select(columns)).unionByName(prompts.select(columns)).join(samples, ["kind", "key"], "left")
+    return out.select("kind", "key", "value", "role", "uses", "rated", "stars", "keeps", "rejects", F.concat_ws(",", *[f"_{k}" for k in range(SLOTS)]).alias("trend"), F.coalesce("samples", F.lit("")).alias("samples"), F.col("distinct_keys").cast("long").alias("distinct_keys"), "place")
 
 
 def totals(rows: DataFrame) -> DataFrame:

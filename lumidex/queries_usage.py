@@ -26,7 +26,7 @@ e AS (SELECT id, mtime, rating, flag, least(23, (mtime - a) * 24 // (b - a + 1))
  CASE WHEN flag > 0 THEN [{_PAIR('flag', "CASE flag WHEN 1 THEN 'keep' ELSE 'reject' END", "CASE flag WHEN 1 THEN 'keep' ELSE 'reject' END")}] ELSE [] END, list_transform(collections, lambda c: {_PAIR('collection', 'lower(c)', 'c')}))) AS p FROM media, span),
 t AS (SELECT p.kind AS kind, p.key AS key, arg_max(p.value, mtime) AS value, arg_max(p.role, mtime) AS role, count(*) AS uses, count(*) FILTER (WHERE rating > 0) AS rated, CAST(sum(rating) AS BIGINT) AS stars, count(*) FILTER (WHERE flag = 1) AS keeps, count(*) FILTER (WHERE flag = 2) AS rejects, {_SLOTS} AS trend,
  coalesce(array_to_string(list_transform((list(id ORDER BY rating DESC, mtime DESC) FILTER (WHERE flag <> 2 AND p.kind IN ('model', 'lora', 'aux')))[1:3], lambda x: CAST(x AS VARCHAR)), ','), '') AS samples FROM e GROUP BY 1, 2),
-r AS (SELECT *, count(*) OVER (PARTITION BY kind) AS distinct_keys, row_number() OVER (PARTITION BY kind ORDER BY uses DESC, key) AS place FROM t)
+r AS (SELECT *, count(*) OVER (PARTITION BY kind) AS distinct_keys, row_number() OVER (PARTITION BY kind ORDER BY uses DESC, value, key) AS place FROM t)
 SELECT * FROM r WHERE place <= CASE kind WHEN 'word' THEN 60 WHEN 'prompt' THEN 50 WHEN 'rating' THEN 6 WHEN 'flag' THEN 2 ELSE 100 END"""
 )
 def usage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
