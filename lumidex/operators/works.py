@@ -121,23 +121,55 @@ def own_phrases(rows: DataFrame, most: int = 300) -> DataFrame:
     return found.where(~T.is_quality_phrase(F.col("phrase"))).orderBy(F.desc("n"), "phrase").limit(most)
 
 
-def advice(prompts: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, advice, phrase) for (id, prompt): phrases to take out, as common in rejects or as quality words that make no difference, and up to two to add.
+def counts_by_model(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scope, label, liked, judged, keep, reject) of phrases, for each model and, as scope '', for all, in one pass; and (scope, n) with the liked and disliked rows of each.
 
-    `found` is what `counts` gives. Phrases to add are the same for all prompts but for those that have them,
-    so the best 100 are broadcast; a prompt that has all of these is told of none.
+    `judged` is what `recipes` gives; a row without a model counts for all alone.
     """
+    models = F.transform(F.filter("facets", lambda f: f["kind"] == "model"), lambda f: f["key"])
+    each = judged.where("target is not null").select("target", "prompt", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), models))).alias("scope"))
+    liked, disliked = F.col("target") >= LIKED, F.col("target") <= DISLIKED
+    sizes = cut(each.groupBy("scope").agg(F.count_if(liked).alias("n_liked"), F.count_if(disliked).alias("n_disliked")))
+    phrases = each.select("scope", "target", F.explode(F.array_distinct(F.transform(T.prompt_phrases(F.col("prompt")), lambda p: F.lower(p)))).alias("label"))
+    found = phrases.groupBy("scope", "label").agg(F.count_if(liked).alias("liked"), F.count_if(disliked).alias("disliked"), F.count("*").alias("judged"))
+    share = lambda n, of: F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0))
+    out = found.join(sizes, "scope").select("scope", "label", "liked", "judged", share("liked", "n_liked").alias("keep"), share("disliked", "n_disliked").alias("reject"))
+    return out, sizes.select("scope", (F.col("n_liked") + F.col("n_disliked")).alias("n"))
+
+
+def advice(prompts: DataFrame, judged: DataFrame, missed: DataFrame | None = None) -> DataFrame:
+    """(id, place, advice, phrase, weight, scope): what to change in each prompt of (id, prompt as typed, model), SUGGESTIONS at most.
+
+    First come phrases that the picture misses, of `missed` (id, k, phrase, level, seen), with the weight to write them with; then phrases
+    common in rejects, quality words that make no difference (together), and two at most of the phrases most common in liked rows that
+    the prompt lacks. Counts are those of the prompt's model, or of all rows where fewer than 2 FEW of it are judged.
+    A row has MOST_PHRASES phrases at most, so no more than MOST_PHRASES / SUGGEST phrases have a share of SUGGEST in liked
+    rows: the lists of phrases to add are whole.
+    """
+    counted, sizes = counts_by_model(judged)
     # phrases of few rows are no reason for anything
-    shares = cut(found.where((F.col("kind") == "phrase") & ((F.col("judged") >= FEW) | (F.col("liked") >= SEEN)))).withColumn("lift", F.round(F.col("keep") - F.col("reject"), 9))
-    own = prompts.select("id", F.explode(T.prompt_phrases(F.lower("prompt"))).alias("label"))
-    known = own.join(shares.where(F.col("judged") >= FEW), "label")
+    shares = cut(counted.where((F.col("judged") >= FEW) | (F.col("liked") >= SEEN)).withColumn("lift", F.round(F.col("keep") - F.col("reject"), 9)))
+    enough = sizes.where(F.col("n") >= 2 * FEW).select(F.col("scope").alias("model"), F.col("scope").alias("_scope"))
+    own = prompts.select("id", "prompt", F.coalesce("model", F.lit("")).alias("model")).join(enough, "model", "left").withColumn("scope", F.coalesce("_scope", F.lit(""))).drop("_scope", "model")
+    item = lambda part, k, advice, phrase, weight=None: [F.lit(part).alias("part"), F.col(k).cast("int").alias("k") if isinstance(k, str) else F.lit(k).alias("k"), F.lit(advice).alias("advice"), phrase.alias("phrase"), (F.lit(None).cast("double") if weight is None else weight).alias("weight")]
+    each = own.select("id", "scope", F.posexplode(F.array_distinct(F.transform(T.prompt_phrases(F.col("prompt")), lambda p: F.lower(p)))).alias("k", "label"))
+    known = each.join(shares.where(F.col("judged") >= FEW), ["scope", "label"])
     same = T.is_quality_phrase(F.col("label")) & (F.abs("lift") < SAME)
-    out = known.select("id", F.when(same, "no_difference").when(F.col("lift") <= -SUGGEST, "in_rejects").alias("advice"), F.col("label").alias("phrase")).where("advice is not null")
-    few_words = F.size(F.split("label", " ")) <= 5
-    adds = shares.where((F.col("liked") >= SEEN) & (F.col("lift") >= SUGGEST) & few_words & ~T.is_quality_phrase(F.col("label"))).orderBy(F.desc("lift"), "label").limit(100)
-    listed = adds.agg(F.array_sort(F.collect_list(F.struct((-F.col("lift")).alias("a"), "label"))).alias("adds"))
-    lacking = prompts.crossJoin(F.broadcast(listed)).select("id", F.slice(F.filter("adds", lambda x: ~F.contains(F.lower("prompt"), x["label"])), 1, 2).alias("x"))  # one row of 100 phrases
-    return out.unionByName(lacking.select("id", F.lit("in_keepers").alias("advice"), F.explode("x").alias("y")).select("id", "advice", F.col("y.label").alias("phrase")))
+    told = known.withColumn("same", same)
+    out = told.where(~F.col("same") & (F.col("lift") <= -SUGGEST)).select("id", *item(1, "k", "in_rejects", F.col("label")))
+    alike = told.where("same").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "label"))), lambda x: x["label"]), ", ").alias("all"))
+    out = out.unionByName(alike.select("id", *item(2, 0, "no_difference", F.col("all"))))
+    good = (F.col("liked") >= SEEN) & (F.col("lift") >= SUGGEST) & (F.size(F.split("label", " ")) <= 5) & ~T.is_quality_phrase(F.col("label"))
+    listed = shares.where(good).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct((-F.col("lift")).alias("a"), "label"))).alias("adds"))
+    lacking = own.join(listed, "scope").select("id", F.posexplode(F.slice(F.filter("adds", lambda x: ~F.contains(F.lower("prompt"), x["label"])), 1, 2)).alias("k", "x"))
+    out = out.unionByName(lacking.select("id", *item(3, "k", "in_keepers", F.col("x.label"))))
+    if missed is not None:
+        weight = F.when(F.col("level") < 0.5, 1.3).otherwise(1.2)
+        unseen = missed.where(~F.col("seen")).select("id", "k", "phrase", weight.alias("w")).join(own, "id").where(T.written_weight(F.col("prompt"), F.col("phrase")) < F.col("w"))
+        out = out.unionByName(unseen.select("id", *item(0, "k", "missed", F.col("phrase"), F.col("w"))))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("part", "k", "phrase", "advice", "weight"))), 1, SUGGESTIONS)
+    best = out.groupBy("id").agg(first.alias("x")).select("id", F.posexplode("x").alias("place", "x")).select("id", (F.col("place") + 1).alias("place"), "x.advice", "x.phrase", "x.weight")
+    return best.join(own.select("id", "scope"), "id")
 
 
 def rated_near(rows: DataFrame, folders: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .checkpoints import cut
+from .functions import facets as FA
 from .functions import text as T
 from .operators import audience, spelling, tables, usage, works
 from .registry import query
@@ -159,16 +160,31 @@ def own_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return works.own_phrases(media(spark, sf_dir))
 
 
+_TYPED = "prompt || CASE WHEN id % 4 = 0 THEN ' BREAK Best Quality, 8k. masterpiece BREAK' ELSE '' END"
+
+
 @query(
-    f"""WITH {MEDIA_SQL}, {_COUNTS}, s AS (SELECT *, round(keep - reject, 9) AS lift FROM k WHERE kind = 'phrase'), q AS (SELECT m.id, m.prompt, ph.ps FROM media m LEFT JOIN ph USING (id)),
-o AS (SELECT id, unnest(ps) AS label FROM q), a AS (SELECT id, CASE WHEN {_QUALITY('label')} AND abs(lift) < 0.05 THEN 'no_difference' WHEN lift <= -0.12 THEN 'in_rejects' END AS advice, label AS phrase FROM o JOIN s USING (label) WHERE judged >= 8),
-b AS (SELECT lift, label FROM s WHERE liked >= 3 AND lift >= 0.12 AND len(string_split(label, ' ')) <= 5 AND NOT {_QUALITY('label')} ORDER BY lift DESC, label LIMIT 100), z AS (SELECT list({{'l': lift, 'p': label}} ORDER BY lift DESC, label) AS ls FROM b)
-SELECT * FROM a WHERE advice IS NOT NULL UNION ALL SELECT id, 'in_keepers', unnest(list_transform(list_filter(ls, lambda x: NOT contains(prompt, x.p))[1:2], lambda x: x.p)) FROM q, z"""
+    f"""WITH {MEDIA_SQL}, {_COUNTS}, js AS (SELECT id, target, unnest(list_distinct(list_concat([''], list_transform(list_filter(facets, lambda f: f.kind = 'model'), lambda f: f.key)))) AS scope FROM j),
+ns AS (SELECT scope, count(*) FILTER (WHERE target >= 0.74) AS nl, count(*) FILTER (WHERE target <= 0.26) AS nd FROM js GROUP BY scope),
+cs AS (SELECT scope, label, count(*) FILTER (WHERE target >= 0.74) AS liked, count(*) FILTER (WHERE target <= 0.26) AS disliked, count(*) AS judged FROM (SELECT js.scope, js.target, unnest(ph.ps) AS label FROM js JOIN ph USING (id)) GROUP BY 1, 2),
+s AS (SELECT scope, label, liked, judged, round(CASE WHEN nl > 0 THEN liked::DOUBLE / nl ELSE 0 END - CASE WHEN nd > 0 THEN disliked::DOUBLE / nd ELSE 0 END, 9) AS lift FROM cs JOIN ns USING (scope)),
+q AS (SELECT id, {_TYPED} AS typed, coalesce(ns.scope, '') AS scope, (SELECT list_filter(l, lambda x, i: list_position(l, x) = i) FROM (SELECT list_transform({_phrases(_TYPED)}, lambda p: lower(p)) AS l)) AS ps FROM media LEFT JOIN ns ON ns.scope = coalesce({_FIRST('model')}, '') AND nl + nd >= 16),
+o AS (SELECT id, scope, unnest(ps) AS label, unnest(range(len(ps))) AS k FROM q), t AS (SELECT o.*, lift, {_QUALITY('label')} AND abs(lift) < 0.05 AS same FROM o JOIN s USING (scope, label) WHERE judged >= 8),
+b AS (SELECT scope, list({{'l': -lift, 'p': label}} ORDER BY lift DESC, label) AS ls FROM s WHERE liked >= 3 AND lift >= 0.12 AND len(string_split(label, ' ')) <= 5 AND NOT {_QUALITY('label')} GROUP BY scope),
+w AS (SELECT id, 0 AS part, 0 AS k, 'missed' AS advice, ps[1] AS phrase, CASE WHEN id % 10 < 5 THEN 1.3 ELSE 1.2 END AS weight FROM q WHERE id % 3 = 0 AND id % 2 = 1 AND len(ps) > 0
+ UNION ALL SELECT id, 1, k, 'in_rejects', label, NULL FROM t WHERE NOT same AND lift <= -0.12 UNION ALL SELECT id, 2, 0, 'no_difference', string_agg(label, ', ' ORDER BY k), NULL FROM t WHERE same GROUP BY id
+ UNION ALL SELECT id, 3, unnest(range(len(xs))), 'in_keepers', unnest(list_transform(xs, lambda x: x.p)), NULL FROM (SELECT id, list_filter(ls, lambda x: NOT contains(lower(typed), x.p))[1:2] AS xs FROM q JOIN b USING (scope))),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY part, k) AS place FROM w)
+SELECT r.id, CAST(place AS INTEGER) AS place, advice, phrase, CAST(weight AS DOUBLE) AS weight, q.scope FROM r JOIN q USING (id) WHERE place <= 6"""
 )
 def prompt_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases to take out of each prompt, and ones to add."""
+    """What to change in each prompt as it was typed, by the judged rows of its model or of all."""
     rows = media(spark, sf_dir)
-    return works.advice(rows.select("id", "prompt"), works.counts(works.recipes(rows)))
+    typed = rows.withColumn("prompt", F.concat("prompt", F.when(F.col("id") % 4 == 0, " BREAK Best Quality, 8k. masterpiece BREAK").otherwise("")))
+    first = F.get(F.array_distinct(F.transform(T.prompt_phrases(F.col("prompt")), lambda p: F.lower(p))), F.lit(0))
+    missed = typed.where("id % 3 = 0").select("id", F.lit(0).alias("k"), first.alias("phrase"), (F.col("id") % 10 / 10).alias("level"), (F.col("id") % 2 == 0).alias("seen")).where("phrase is not null")
+    own = FA.with_facets(typed).select("id", "prompt", FA.first(F.col("facets"), "model").alias("model"))
+    return works.advice(own, works.recipes(rows), missed)
 
 
 @query(f"WITH {MEDIA_SQL}, f AS (SELECT DISTINCT dir FROM media WHERE id % 97 = 0 UNION SELECT '/lib/de') SELECT DISTINCT m.id, m.dir FROM media m JOIN f ON m.dir = f.dir OR starts_with(m.dir, f.dir || '/') OR starts_with(f.dir, m.dir || '/') WHERE m.rating > 0")
