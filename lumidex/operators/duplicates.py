@@ -130,8 +130,18 @@ def groups(pictures: DataFrame, most: int = BITS, colour: int = COLOUR, shape: f
     return each.join(sizes, "group_id").select("id", "group_id", "members")
 
 
-def report(found: DataFrame, rows: DataFrame, score: Column) -> DataFrame:
-    """Groups with the rows' columns, and whether a row is its group's best: of the highest score, then of the smallest id."""
-    marked = cut(found.join(rows, "id")).withColumn("_score", score)
-    best = marked.groupBy("group_id").agg(F.max_by("id", F.struct("_score", (-F.col("id")).alias("i"))).alias("_best"))
-    return marked.join(best, "group_id").withColumn("best", F.col("id") == F.col("_best")).drop("_best", "_score")
+def given(ids: DataFrame) -> DataFrame:
+    """(id, group_id, members) of a given list of ids as one group, named by its smallest; fewer than two are no group."""
+    own = ids.where("id is not null").select("id").distinct()
+    one = own.agg(F.min("id").alias("group_id"), F.count("*").alias("members")).where("members > 1")
+    return own.crossJoin(F.broadcast(one))  # one row
+
+
+def report(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Members of groups (`groups` or `given`), whether each is its group's best, and of the best why (see `vectors.best_of`)."""
+    from .vectors import best_of
+
+    marked = cut(found.join(rows, "id"))
+    best = best_of(marked, "group_id").select("group_id", F.col("id").alias("_best"), F.col("why").alias("_why"))
+    told = marked.join(best, "group_id").withColumn("best", F.col("id") == F.col("_best"))
+    return told.withColumn("why", F.when(F.col("best"), F.col("_why"))).drop("_best", "_why")

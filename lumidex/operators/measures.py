@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from .vectors import BLOCK_BYTES, SCALE, matrix, whole
 
 LEAST, QUARTER, SHARP = 1e-9, 0.6745, 100.0
@@ -50,31 +51,68 @@ def measured(vectors: DataFrame, texts: DataFrame, block: int = BLOCK_BYTES) ->
 def text_auc(rows: DataFrame, score: str, told: str) -> DataFrame:
     """(text_id, auc, told): for each text, how often a row it is said of scores above one it isn't said of; ties count half.
 
-    By ranks within the text: counts of equal scores are summed first, then cumulated.
+    Equal scores are counted first; then ranges of (text, score) count what stands before them, so a text's scores take many tasks.
     """
     counts = rows.groupBy("text_id", F.col(score).alias("s")).agg(F.count_if(F.col(told)).alias("g"), F.count_if(~F.col(told)).alias("b"))
-    before = F.coalesce(F.sum("b").over(Window.partitionBy("text_id").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    right = F.sum(F.col("g") * (F.col("_before") + F.col("b") / 2))
-    out = counts.withColumn("_before", before).groupBy("text_id").agg(F.try_divide(right, F.sum("g").cast("double") * F.sum("b")).alias("auc"), F.sum("g").alias("told"))
+    dealt = cut(counts.repartitionByRange("text_id", "s").withColumn("_range", F.spark_partition_id()))  # both uses see the same ranges
+    before = Window.partitionBy("text_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = dealt.groupBy("text_id", "_range").agg(F.sum("b").alias("n")).withColumn("_ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    local = Window.partitionBy("text_id", "_range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_local", F.coalesce(F.sum("b").over(local), F.lit(0))).join(ahead, ["text_id", "_range"])
+    right = F.sum(F.col("g") * (F.col("_ahead") + F.col("_local") + F.col("b") / 2))
+    out = placed.groupBy("text_id").agg(F.try_divide(right, F.sum("g").cast("double") * F.sum("b")).alias("auc"), F.sum("g").alias("told"))
     return out.where("auc is not null")
 
 
-def bar_at(rows: DataFrame, score: str, told: str, leak: float, rounds: int = 40) -> float:
-    """The bar at which the middle text that isn't told of a row leaks `leak` of such rows, by bisection; each round is one aggregate."""
-    other = rows.where(~F.col(told)).select("text_id", score)
-    span = other.agg(F.min(score).alias("a"), F.max(score).alias("b")).first()
-    low, high = span["a"] or 0.0, span["b"] or 0.0
-    for _ in range(rounds):
-        bar = (low + high) / 2
-        shares = other.groupBy("text_id").agg(F.avg((F.col(score) >= bar).cast("double")).alias("x"))
-        middle = shares.agg(F.percentile_approx("x", 0.5, 100_000).alias("m")).first()["m"] or 0.0
-        low, high = (bar, high) if middle > leak else (low, bar)
-        if high - low < 1e-4:
-            break
-    return (low + high) / 2
+def quiet_bars(rows: DataFrame, score: str, leak: float, accuracy: int = 10_000) -> DataFrame:
+    """(text_id, bar): for each text the score that more than a share of `leak` of its rows reach, but no more than that pass.
+
+    Sketches of one pass bound it between two scores; a second pass counts what lies above and between them. Where
+    a sketch was wrong, which the counts tell, that text's own range is taken.
+    """
+    own = rows.select("text_id", F.col(score).alias("s"))
+    at = [max(0.0, 1 - leak - 2 / accuracy), min(1.0, 1 - leak + 2 / accuracy)]
+    bounds = own.groupBy("text_id").agg(F.count("*").alias("n"), F.percentile_approx("s", at, accuracy).alias("q"), F.min("s").alias("least"), F.max("s").alias("most"))
+    # the place from above of the score that is looked for
+    bounds = cut(bounds.select("text_id", (F.floor(F.col("n") * leak) + 1).alias("k"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "least", "most"))
+    out = None
+    for whole in (False, True):
+        both = own.join(bounds, "text_id")
+        counts = both.groupBy("text_id", "k").agg(F.count_if(F.col("s") > F.col("high")).alias("above"), F.count_if(F.col("s") >= F.col("low")).alias("upto"))
+        good = cut(counts.where((F.col("above") < F.col("k")) & (F.col("k") <= F.col("upto"))))
+        between = both.where((F.col("s") >= F.col("low")) & (F.col("s") <= F.col("high"))).groupBy("text_id", "s").agg(F.count("*").alias("c"))
+        passed = F.sum("c").over(Window.partitionBy("text_id").orderBy(F.desc("s")))
+        found = between.join(good, "text_id").withColumn("at", F.col("above") + passed).where(F.col("at") >= F.col("k")).groupBy("text_id").agg(F.max("s").alias("bar"))
+        out = found if out is None else out.unionByName(found)
+        wrong = bounds.join(good.select("text_id"), "text_id", "left_anti")
+        if whole or wrong.isEmpty():
+            return out
+        bounds = cut(wrong.withColumns({"low": F.col("least"), "high": F.col("most")}))
+    return out
+
+
+def middle(values: list[float]) -> float:
+    """The element at n/2 in order, 0 of none."""
+    return sorted(values)[len(values) // 2] if values else 0.0
+
+
+def bar_at(rows: DataFrame, score: str, leak: float) -> float:
+    """The bar above which the middle one of the texts leaks no more than a share of `leak` of its rows; texts are a small fixed set."""
+    return middle([r["bar"] for r in quiet_bars(rows, score, leak).select("bar").collect()])
 
 
 def recall(rows: DataFrame, score: str, told: str, bar: float) -> DataFrame:
-    """One row: the share of told rows at or above a bar, and of others."""
-    share = lambda c: F.avg(F.when(c, (F.col(score) >= bar).cast("double")))
+    """One row: the share of told rows above a bar, and of others."""
+    share = lambda c: F.avg(F.when(c, (F.col(score) > bar).cast("double")))
     return rows.agg(share(F.col(told)).alias("recall"), share(~F.col(told)).alias("leaked"))
+
+
+def evaluation(rows: DataFrame, score: str, told: str, leak: float) -> DataFrame:
+    """One row: the middle and the count-weighted agreement of the texts that are told of some row, the bar at which the middle one of the others leaks a share of `leak`, and the recall there."""
+    loud = rows.where(F.col(told)).select("text_id").distinct()
+    agreement = text_auc(rows.join(loud, "text_id", "left_semi"), score, told).collect()  # a row for each text of a small fixed set
+    n = sum(r["told"] for r in agreement)
+    bar = bar_at(rows.join(loud, "text_id", "left_anti"), score, leak)
+    weighted = sum(r["auc"] * r["told"] for r in agreement) / n if n else 0.0
+    at = recall(rows.join(loud, "text_id", "left_semi"), score, told, bar)
+    return at.select(F.lit(len(agreement)).cast("long").alias("texts"), F.lit(middle([r["auc"] for r in agreement])).alias("middle_auc"), F.lit(weighted).alias("weighted_auc"), F.lit(bar).alias("bar"), "recall", "leaked")

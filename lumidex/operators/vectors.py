@@ -183,23 +183,107 @@ def status(files: DataFrame) -> DataFrame:
     return files.agg(F.count_if(F.col("embedding").isNotNull()).alias("embedded"), F.count("*").alias("total"))
 
 
-def best_of(rows: DataFrame, group: str, score: Column, tie: str) -> DataFrame:
-    """The best row of each group; ties go to the earliest. By a maximum with partial sums, so no group is sorted in one task."""
-    whole = F.struct(*[F.col(c) for c in rows.columns])
-    return rows.groupBy(F.col(group).alias("_group")).agg(F.max_by(whole, F.struct(score.alias("a"), (-F.col(tie)).alias("b"))).alias("_best")).select("_best.*")
+def best_of(members: DataFrame, group: str) -> DataFrame:
+    """The best member of each group, with its score and why: rated, kept, likely, seen, checked, sharpest.
 
-
-def best_score(group: str) -> Column:
-    """The score of a member of a group, from rating, flag, likely (stars a model gives), seen and checked (phrases), sharpness: null where unknown.
-
-    Own stars count more than guessed ones; what is unknown takes the group's mean.
+    `members` has the group, id, rating, flag, likely (stars a model gives), seen and checked (phrases) and sharpness, null where
+    unknown, and any further columns. Own stars count more than guessed ones; what is unknown takes the group's mean; rejected
+    members come last; of equals the smallest id is ahead. Means and maxima are partial sums, joined to the members, so
+    no group is sorted in one task.
     """
-    over = Window.partitionBy(group)
-    stars = F.coalesce(F.when(F.col("rating") > 0, F.col("rating").cast("double")), F.col("likely"))
-    star = (stars - 1) / 4
-    adherence = F.when(F.col("checked") > 0, F.col("seen") / F.col("checked"))
-    sharpest = F.max("sharpness").over(over)
-    sharp = F.when(F.col("sharpness").isNotNull() & (sharpest > 0), F.col("sharpness") / sharpest).otherwise(0.5)
+    stars = F.coalesce(F.when(F.col("rating") > 0, F.col("rating").cast("double")), F.col("likely").cast("double"))
+    own = members.withColumn("_star", (stars - 1) / 4).withColumn("_shown", F.when(F.col("checked") > 0, F.col("seen") / F.col("checked")))
+    usual = own.groupBy(group).agg(F.avg("_star").alias("_star_mean"), F.avg("_shown").alias("_shown_mean"), F.max("sharpness").alias("_sharpest"), F.count("sharpness").alias("_n"))
+    both = own.join(usual, group)
+    sharp = F.when(F.col("sharpness").isNotNull() & (F.col("_sharpest") > 0), F.col("sharpness") / F.col("_sharpest")).otherwise(0.5)
     trust = F.when(F.col("rating") > 0, 0.8).otherwise(0.55)
-    points = trust * F.coalesce(star, F.avg(star).over(over), F.lit(0.5)) + 0.3 * F.coalesce(adherence, F.avg(adherence).over(over), F.lit(0.5)) + 0.15 * sharp + F.when(F.col("flag") == 1, 0.5).otherwise(0.0)
-    return F.when(F.col("flag") == 2, F.lit(float("-inf"))).otherwise(points)
+    points = trust * F.coalesce("_star", "_star_mean", F.lit(0.5)) + 0.3 * F.coalesce("_shown", "_shown_mean", F.lit(0.5)) + 0.15 * sharp + F.when(F.col("flag") == 1, 0.5).otherwise(0.0)
+    score = F.round(F.when(F.col("flag") == 2, F.lit(float("-inf"))).otherwise(points), 9)  # sums in any order give one score
+    why = [
+        F.when(F.col("rating") > 0, F.col("rating")).alias("rated"),
+        (F.col("flag") == 1).alias("kept"),
+        F.when(~(F.col("rating") > 0), F.round("likely", 1)).alias("likely"),
+        F.col("seen").alias("seen"),
+        F.col("checked").alias("checked"),
+        F.coalesce((F.col("_n") > 1) & (F.col("sharpness") == F.col("_sharpest")), F.lit(False)).alias("sharpest"),
+    ]
+    scored = both.select(*members.columns, score.alias("_score"), F.struct(*why).alias("why"))
+    whole = F.struct(*[F.col(c) for c in members.columns], F.col("_score").alias("score"), "why")
+    return scored.groupBy(F.col(group).alias("_group")).agg(F.max_by(whole, F.struct("_score", (-F.col("id")).alias("i"))).alias("_best")).select("_best.*")
+
+
+# Phrases of a group that a picture clearly and half shows, from which level on half, and what a phrase of the user's is ahead by.
+CLEAR_MOST, HALF_MOST, LIGHT_MOST, HALF, OWN = 3, 2, 2, 0.6, 0.1
+
+
+def _bare(phrase: str) -> str:
+    for article in ("a ", "an ", "the "):
+        while phrase.startswith(article):
+            phrase = phrase[len(article) :]
+    return phrase
+
+
+def picked(scored: list[tuple[float, str]], clear: int, half: int, taken: list[str]) -> list[tuple[str, float, bool]]:
+    """Of (level, phrase) the best that say something new: `clear` of level 1 or more, `half` of level HALF or more; none that holds, or is held by, one that is taken."""
+    out, n, m = [], 0, 0
+    for level, phrase in sorted(scored, key=lambda x: -x[0]):
+        key = _bare(phrase)
+        if any(t in key or key in t for t in taken):
+            continue
+        if level >= 1.0 and n < clear:
+            n += 1
+        elif level >= HALF and m < half:
+            m += 1
+        else:
+            continue
+        taken.append(key)
+        out.append((phrase, level, level >= 1.0))
+        if n == clear and m == half:
+            break
+    return out
+
+
+GROUPS = "array<struct<name:string,phrases:array<struct<text:string,level:double,clear:boolean>>>>"
+
+
+def described_in_groups(queries: DataFrame, yardstick: DataFrame, groups: list[tuple[str, DataFrame]], own: DataFrame | None = None) -> DataFrame:
+    """(vec_id, groups, prompt): phrases that describe each queried picture, group by group, and the clear ones as a prompt.
+
+    Groups are small fixed sets of (vec_id, phrase, embedding), the first of them the subjects, to which `own` phrases of
+    the user's are added, a little ahead; the yardstick is what levels are measured by. Batches of pictures are multiplied with all
+    phrases at once; the choice in each group, which depends on what groups before it took, is made picture by picture.
+    """
+
+    def held(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+        ids, m = whole(rows)
+        names = {r["vec_id"]: r["phrase"] for r in rows.where("embedding is not null").select("vec_id", "phrase").collect()}
+        return [names[i] for i in ids.tolist()], m
+
+    sets = [(name, *held(rows)) for name, rows in groups]
+    listed = {p for _, phrases, _ in sets[1:] for p in phrases}
+    mine, mine_m = held(own.where(~F.col("phrase").isin(*listed)) if listed else own) if own is not None else ([], np.zeros((0, 0)))
+    usual_m = whole(yardstick)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = matrix(b.column(1))
+            if not len(v):
+                continue
+            usual = v @ usual_m.T
+            level = [levels(v @ m.T, usual) if len(m) else np.zeros((len(v), 0)) for *_, m in sets]
+            more = levels(v @ mine_m.T, usual) + OWN if len(mine) else np.zeros((len(v), 0))
+            told, prompts = [], []
+            for i in range(len(v)):
+                taken: list[str] = []
+                found = []
+                for k, (name, phrases, _) in enumerate(sets):
+                    scored = list(zip(level[k][i].tolist(), phrases, strict=True))
+                    if not k:
+                        scored += zip(more[i].tolist(), mine, strict=True)
+                    found.append((name, picked(scored, LIGHT_MOST if name == "light" else CLEAR_MOST, HALF_MOST + (not k), taken)))
+                told.append([{"name": n, "phrases": [{"text": t, "level": round(x, 2), "clear": c} for t, x, c in p]} for n, p in found])
+                prompts.append(", ".join(t for _, p in found for t, _, c in p if c))
+            kind = pa.list_(pa.struct([("name", pa.string()), ("phrases", pa.list_(pa.struct([("text", pa.string()), ("level", pa.float64()), ("clear", pa.bool_())])))]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(told, kind), pa.array(prompts, pa.string())], names=["vec_id", "groups", "prompt"])
+
+    return queries.where("embedding is not null").select("vec_id", "embedding").mapInArrow(run, f"vec_id long, groups {GROUPS}, prompt string")

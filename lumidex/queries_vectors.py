@@ -5,15 +5,18 @@ Searches take every row whose id is divisible by 100 as a query, against all row
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .checkpoints import cut
+from .checkpoints import cut, shared_dir
 from .functions import text as T
 from .operators import duplicates, measures, taste, vectors, works
 from .plans import search as S
 from .registry import query
+from .sources import vector_cells
 from .sources.tables import MEDIA_SQL, media, table
 
 #: Rows below this id are the yardstick.
@@ -55,6 +58,15 @@ def similar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.similar(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 0.4, 0.1).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM p) SELECT query_id, vec_id, round(score, 6) AS score, place FROM r WHERE place <= 12")
+def nearest_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows of each query from vectors filed by cells; cells that can't hold one aren't read."""
+    rows, root = table(spark, sf_dir, "embeddings"), f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    vector_cells.build(rows, root, 32)
+    found = vector_cells.search(spark, root, _queries(spark, sf_dir), 12, 4, exact=True)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+
+
 @query(f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place, max(score) OVER (PARTITION BY query_id) AS top FROM p), w AS (SELECT query_id, label, exp(-40.0 * (top - score)) AS w FROM r WHERE place <= 24) SELECT query_id, round(sum(w * label) / sum(w), 6) AS value, count(*) AS n FROM w GROUP BY query_id")
 def neighbours_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5: what the nearest rows say, the nearer the more."""
@@ -136,25 +148,55 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.groups(_planted(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {_GROUPS}, h AS (SELECT gs.*, row_number() OVER (PARTITION BY group_id ORDER BY gs.id % 5 DESC, gs.id) AS k FROM gs) SELECT id, group_id, k = 1 AS best FROM h")
+_MEMBER = "id % 6 AS rating, id % 4 % 3 AS flag, CASE WHEN id % 3 = 0 THEN 1.0::DOUBLE + id % 4 END AS likely, CASE WHEN id % 4 <> 0 THEN id % 6 END AS seen, CASE WHEN id % 4 <> 0 THEN 6 END AS checked, CASE WHEN id % 5 <> 0 THEN (id % 17)::DOUBLE END AS sharpness"
+
+
+def _best_sql(rows: str, group: str) -> str:
+    """Steps h to z: members, what is known of their group, their score, and why."""
+    return f"""h AS ({rows}), hs AS (SELECT *, CASE WHEN rating > 0 THEN rating::DOUBLE ELSE likely END AS stars, CASE WHEN checked > 0 THEN seen / checked::DOUBLE END AS adh FROM h),
+m AS (SELECT *, coalesce((stars - 1) / 4, avg((stars - 1) / 4) OVER w, 0.5) AS s, coalesce(adh, avg(adh) OVER w, 0.5) AS a, CASE WHEN sharpness IS NOT NULL AND max(sharpness) OVER w > 0 THEN sharpness / max(sharpness) OVER w ELSE 0.5 END AS sharp,
+ coalesce(count(sharpness) OVER w > 1 AND sharpness = max(sharpness) OVER w, false) AS sharpest FROM hs WINDOW w AS (PARTITION BY {group})),
+z AS (SELECT *, round(CASE WHEN flag = 2 THEN '-inf'::DOUBLE ELSE CASE WHEN rating > 0 THEN 0.8::DOUBLE ELSE 0.55::DOUBLE END * s + 0.3::DOUBLE * a + 0.15::DOUBLE * sharp + CASE WHEN flag = 1 THEN 0.5 ELSE 0 END END, 9) AS score,
+ concat_ws(' ', CASE WHEN rating > 0 THEN 'rated ' || rating END, CASE WHEN flag = 1 THEN 'kept' END, CASE WHEN NOT rating > 0 THEN 'likely ' || likely END, 'seen ' || seen || ' of ' || checked, CASE WHEN sharpest THEN 'sharpest' END) AS why FROM m)"""
+
+
+def _members(rows: DataFrame, rating: bool = True) -> DataFrame:
+    """Rows with what is known of them as pictures: stars, a flag, guessed stars, phrases seen, sharpness."""
+    i = F.col("id")
+    out = rows.withColumns({"rating": i % 6, "flag": i % 4 % 3}) if rating else rows
+    known = {"likely": F.when(i % 3 == 0, 1.0 + i % 4), "seen": F.when(i % 4 != 0, i % 6), "checked": F.when(i % 4 != 0, F.lit(6)), "sharpness": F.when(i % 5 != 0, (i % 17).cast("double"))}
+    return out.withColumns(known)
+
+
+def _why(why: Column) -> Column:
+    told = lambda name, c: F.concat(F.lit(name), c.cast("string"))
+    return F.concat_ws(" ", told("rated ", why["rated"]), F.when(why["kept"], "kept"), told("likely ", why["likely"]), F.concat(told("seen ", why["seen"]), told(" of ", why["checked"])), F.when(why["sharpest"], "sharpest"))
+
+
+@query(f"WITH RECURSIVE {_GROUPS}, {_best_sql(f'SELECT id, group_id, {_MEMBER} FROM gs', 'group_id')}, b AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, id) = 1 AS best FROM z) SELECT id, group_id, best, CASE WHEN best THEN why END AS why FROM b")
 def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of each group, and all the others."""
+    """The best of each group and why, and all the others."""
     found = cut(duplicates.groups(_planted(spark, sf_dir)))
-    return duplicates.report(found, found.select("id"), F.col("id") % 5).select("id", "group_id", "best")
+    out = duplicates.report(found, _members(found.select("id")))
+    return out.select("id", "group_id", "best", F.when(F.col("best"), _why(F.col("why"))).alias("why"))
+
 
+@query(f"WITH {MEDIA_SQL}, g AS (SELECT id, min(id) OVER () AS group_id FROM media WHERE id % 50 = 3), {_best_sql(f'SELECT id, group_id, {_MEMBER} FROM g', 'group_id')} SELECT group_id, id, (SELECT count(*) FROM g) AS members, why FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS k FROM z) WHERE k = 1")
+def best_of_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A given list of rows as one group, its best, and why."""
+    ids = media(spark, sf_dir).where("id % 50 = 3").select("id")
+    out = duplicates.report(duplicates.given(ids), _members(ids)).where("best")
+    return out.select("group_id", "id", "members", _why(F.col("why")).alias("why"))
 
-_BEST = """h AS (SELECT id, dir, size, flag, rating, CASE WHEN rating > 0 THEN rating::DOUBLE WHEN id % 3 = 0 THEN 1.0 + id % 4 END AS stars, CASE WHEN id % 4 <> 0 THEN (id % 6) / 6.0::DOUBLE END AS adh, CASE WHEN id % 5 <> 0 THEN (id % 17)::DOUBLE END AS sh FROM media),
-m AS (SELECT *, coalesce((stars - 1) / 4, avg((stars - 1) / 4) OVER (PARTITION BY dir), 0.5) AS s, coalesce(adh, avg(adh) OVER (PARTITION BY dir), 0.5) AS a, CASE WHEN sh IS NOT NULL AND max(sh) OVER (PARTITION BY dir) > 0 THEN sh / max(sh) OVER (PARTITION BY dir) ELSE 0.5 END AS sharp FROM h),
-z AS (SELECT *, CASE WHEN flag = 2 THEN '-inf'::DOUBLE ELSE CASE WHEN rating > 0 THEN 0.8::DOUBLE ELSE 0.55::DOUBLE END * s + 0.3::DOUBLE * a + 0.15::DOUBLE * sharp + CASE WHEN flag = 1 THEN 0.5 ELSE 0 END END AS score FROM m)"""
 
+_FOLDER = "SELECT id, dir, size, flag, rating, CASE WHEN id % 3 = 0 THEN 1.0::DOUBLE + id % 4 END AS likely, CASE WHEN id % 4 <> 0 THEN id % 6 END AS seen, CASE WHEN id % 4 <> 0 THEN 6 END AS checked, CASE WHEN id % 5 <> 0 THEN (id % 17)::DOUBLE END AS sharpness FROM media"
 
-@query(f"WITH {MEDIA_SQL}, {_BEST} SELECT dir, id, size FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY round(score, 9) DESC, id) AS k FROM z) WHERE k = 1")
+
+@query(f"WITH {MEDIA_SQL}, {_best_sql(_FOLDER, 'dir')} SELECT dir, id, size, why FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, id) AS k FROM z) WHERE k = 1")
 def best_of_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best row of each group, by own or guessed stars, phrases seen, sharpness and the keep flag."""
-    i = F.col("id")
-    rows = media(spark, sf_dir).select("id", "dir", "size", "flag", "rating", F.when(i % 3 == 0, 1.0 + i % 4).alias("likely"), F.when(i % 4 != 0, i % 6).alias("seen"), F.when(i % 4 != 0, 6).alias("checked"), F.when(i % 5 != 0, (i % 17).cast("double")).alias("sharpness"))
-    scored = rows.withColumn("score", F.round(vectors.best_score("dir"), 9))
-    return vectors.best_of(scored, "dir", F.col("score"), "id").select("dir", "id", "size")
+    """The best row of each folder and why: own or guessed stars, phrases seen, sharpness and the keep flag."""
+    rows = _members(media(spark, sf_dir).select("id", "dir", "size", "flag", "rating"), False)
+    return vectors.best_of(rows, "dir").select("dir", "id", "size", _why(F.col("why")).alias("why"))
 
 
 # ---- learned ranking
@@ -207,3 +249,34 @@ def text_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     out = measures.measured(rows, rows.where(F.col("vec_id") < YARDSTICK)).withColumn("told", (F.col("vec_id") + F.col("text_id")) % 10 == 0)
     return measures.text_auc(out, "spreads", "told").select("text_id", F.round("auc", 6).alias("auc"), "told")
+
+
+_LEAK = 0.1
+
+
+@query(
+    f"""WITH {_Y}, {_USUAL}, lv AS (SELECT vec_id, t, round((score - middle) / greatest(spread, 1e-9), 6) AS level, t % 4 <> 3 AND (vec_id + t) % 10 = 0 AS told FROM sc JOIN us USING (vec_id)),
+loud AS (SELECT DISTINCT t FROM lv WHERE told), c AS (SELECT a.t, avg(CASE WHEN a.level > b.level THEN 1.0 WHEN a.level = b.level THEN 0.5 ELSE 0 END) AS auc, count(DISTINCT a.vec_id) AS told FROM lv a JOIN lv b ON a.t = b.t WHERE a.told AND NOT b.told GROUP BY a.t),
+q AS (SELECT t, list_sort(list(level))[-(CAST(floor(count(*) * {_LEAK}::DOUBLE) AS BIGINT) + 1)] AS bar FROM lv WHERE t NOT IN (SELECT t FROM loud) GROUP BY t), bar AS (SELECT list_sort(list(bar))[count(*) // 2 + 1] AS bar FROM q)
+SELECT (SELECT count(*) FROM c) AS texts, round((SELECT list_sort(list(auc))[count(*) // 2 + 1] FROM c), 6) AS middle_auc, round((SELECT sum(auc * told) / sum(told) FROM c), 6) AS weighted_auc, bar.bar AS bar,
+ round(avg(CASE WHEN told THEN CAST(level > bar.bar AS INT) END), 6) AS recall, round(avg(CASE WHEN NOT told THEN CAST(level > bar.bar AS INT) END), 6) AS leaked FROM lv, bar WHERE t IN (SELECT t FROM loud) GROUP BY bar.bar"""
+)
+def measure_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well levels tell what texts are said of, the bar at which a text that is said of nothing leaks a tenth, and the recall there."""
+    rows = table(spark, sf_dir, "embeddings")
+    told = (F.col("text_id") % 4 != 3) & ((F.col("vec_id") + F.col("text_id")) % 10 == 0)
+    out = cut(measures.measured(rows, rows.where(F.col("vec_id") < YARDSTICK)).select("text_id", F.round("spreads", 6).alias("level"), told.alias("told")))
+    found = measures.evaluation(out, "level", "told", _LEAK)
+    return found.select("texts", *[F.round(c, 6).alias(c) for c in ("middle_auc", "weighted_auc", "bar", "recall", "leaked")])
+
+
+@query()
+def described_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: phrases that describe pictures, in groups with quotas, none of which says what another says."""
+    rows, part = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("vec_id"), F.concat(F.when(F.col("p_partkey") % 3 == 0, "a ").otherwise(""), F.lower("p_type")).alias("phrase"))
+    texts = rows.join(part, "vec_id").select("vec_id", "phrase", "embedding")
+    group = lambda a, b: texts.where(F.col("vec_id").between(a, b))
+    named = [("subject", group(0, 59)), ("setting", group(60, 89)), ("style", group(90, 119)), ("light", group(120, 139))]
+    out = vectors.described_in_groups(_queries(spark, sf_dir), rows.where(F.col("vec_id") < 60), named, group(140, 159))
+    told = F.transform("groups", lambda g: F.concat(g["name"], F.lit(":"), F.array_join(F.transform(g["phrases"], lambda p: F.concat(p["text"], F.when(p["clear"], "+").otherwise("-"))), "/")))
+    return out.select("vec_id", F.array_join(told, ";").alias("groups"), "prompt")
