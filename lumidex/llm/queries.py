@@ -39,6 +39,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_rules_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 on labels that follow from the texts, at a risk that small tables can meet: cutoffs are admitted, and decide."""
+    docs = table(spark, sf_dir, "documents")
+    bad = (F.regexp_count("text", F.lit(r"[#*$%&|<>]")) > 4) | (F.col("doc_id") % 11 == 0)
+    out = quality_rules.judge(docs, docs.select("doc_id", F.when(bad, 0).otherwise(1).alias("quality")), 0.3)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.predict(docs, language_id.fit(docs, 4, 2))
@@ -86,4 +94,4 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_substrings, op4_simhash, op5_token_files, op6_quality_rules, op7_pii, op8_quality_classifier, op9_decontamination, op10_toxicity, op11_conversation_repair, op12_source_divergence, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_substrings, op4_simhash, op5_token_files, op6_quality_rules, op7_pii, op8_quality_classifier, op9_decontamination, op10_toxicity, op11_conversation_repair, op12_source_divergence, op13_exact_dedup, quality_rules_planted)}

@@ -16,10 +16,10 @@ kept AS (SELECT d.r, list_filter(w, lambda x, i: NOT list_contains(coalesce(g, [
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM d JOIN kept USING (r)"""
 
 
-def _op6() -> str:
+def _op6(labels: str = "labels", risk: float = quality_rules.RISK) -> str:
     strata = "CASE " + " ".join(f"WHEN n_words < {n} THEN {k}" for k, n in enumerate(quality_rules.STRATA)) + f" ELSE {len(quality_rules.STRATA)} END"
     level = f"{quality_rules.DELTA!r}::DOUBLE / {(len(quality_rules.STRATA) + 1) * len(quality_rules.RULES)}"
-    limit = f"({quality_rules.RISK!r}::DOUBLE / {len(quality_rules.RULES)})"
+    limit = f"({risk!r}::DOUBLE / {len(quality_rules.RULES)})"
     shares = " UNION ALL ".join(
         f"SELECT r, doc_id, stratum, '{rule}' AS rule, CASE WHEN {size} > 0 THEN {count}::DOUBLE / {size} ELSE 0.0 END AS share FROM f WHERE NOT base_failed" for rule, (count, size, _) in quality_rules.RULES.items()
     )
@@ -31,7 +31,7 @@ l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x
 c AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines FROM d JOIN l USING (r) LEFT JOIN rep USING (r)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {strata} AS stratum FROM c),
-q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+q AS (SELECT doc_id, min(quality) AS quality FROM {labels} WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 s AS ({shares}), steps(rule, i, cut) AS (VALUES {steps}),
 m AS (SELECT stratum, rule, i, cut, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 1 AND share > cut) AS lost, count(*) FILTER (WHERE quality = 0 AND share > cut) AS caught FROM s JOIN q USING (doc_id) JOIN steps USING (rule) GROUP BY ALL),
 tail AS (SELECT *, good > 0 AND lost < good AND list_sum(list_transform(range(0, lost + 1), lambda k: exp(lgamma(good + 1) - lgamma(k + 1) - lgamma(good - k + 1) + k * ln({limit}) + (good - k) * ln(1 - {limit})))) <= {level} AS fits FROM m),
@@ -97,4 +97,7 @@ OP13 = r"""WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS size, regexp_
 r AS (SELECT doc_id, t, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w AS k FROM d WINDOW w AS (PARTITION BY t ORDER BY size DESC, doc_id NULLS LAST))
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM r"""
 
-ORACLE_SQL = {"op3_substrings": OP3, "op6_quality_rules": _op6(), "op9_decontamination": OP9, "op11_conversation_repair": OP11, "op12_source_divergence": OP12, "op13_exact_dedup": OP13}
+#: Labels that follow from the texts, so that every stratum has many good ones at any size.
+PLANTED = "(SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) > 4 OR doc_id % 11 = 0 THEN 0 ELSE 1 END AS quality FROM documents)"
+
+ORACLE_SQL = {"quality_rules_planted": _op6(PLANTED, 0.3), "op3_substrings": OP3, "op6_quality_rules": _op6(), "op9_decontamination": OP9, "op11_conversation_repair": OP11, "op12_source_divergence": OP12, "op13_exact_dedup": OP13}
