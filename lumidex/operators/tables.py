@@ -197,25 +197,36 @@ def view_counts(rows: DataFrame, views: dict[str, Column]) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_{k}").alias("n")) for k, n in enumerate(views)])).alias("x")).select("x.*")
 
 
+def fast_recipe(model: Column, steps: Column, cfg: Column) -> Column:
+    """Whether a recipe was made with a model of the fast kind: named so, or, unless it is named raw or base, told by few steps and no guidance (or by neither being told)."""
+    words = _name_words(model)
+    settings = (F.coalesce(steps, F.lit(8)) <= 12) & (F.coalesce(cfg, F.lit(1.0)) <= 1.5)
+    return F.array_contains(words, "turbo") | (~F.array_contains(words, "raw") & ~F.array_contains(words, "base") & settings)
+
+
+def _name_words(name: Column) -> Column:
+    """Words of two letters or more of a model's name, without folders and ending."""
+    from ..functions.text import model_key
+
+    return F.array_distinct(F.filter(F.split(model_key(name), r"[^a-z0-9]+"), lambda w: F.length(w) > 1))
+
+
 def matched_models(wanted: DataFrame, installed: DataFrame) -> DataFrame:
-    """(model, file, stand_in) for (model, family): the installed file (file, family, format) of that name, else the one of the family most like it, else null.
+    """(model, family, fast, file, stand_in) for recipes of (model, family, steps, cfg): the installed file (file, family, format) of that name, else the one of the family most like it, else null.
 
-    Alike means: both or neither of the fast kind, then words in common, then the plain format; of equals the first name.
-    The fast kind is told by the name, or by a column `fast` where a side has one (see `fast_recipe`). Installed files are a
-    dimension: a wanted model meets each file of its family.
+    Alike means: both or neither of the fast kind (`fast_recipe`), then words in common, then the plain format; of equals the first
+    name. Installed files are a dimension: a wanted model meets each file of its family.
     """
     from ..functions.text import model_key
 
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != ""))
-    have = installed.select("file", "family", "format", model_key(F.col("file")).alias("_key"), words(F.col("file")).alias("_w"))
-    asked = wanted.select("model", "family").distinct().withColumn("_key", model_key(F.col("model"))).withColumn("_v", words(F.col("model")))
-    exact = asked.join(have.groupBy("_key").agg(F.min("file").alias("file")), "_key").where("_key <> ''").select("model", "family", "file", F.lit(False).alias("stand_in"))
-    kin = asked.join(exact, ["model", "family"], "left_anti").join(have.drop("_key"), "family")
-    fast = lambda c: F.array_contains(c, "turbo")
-    score = F.when(fast("_w") == fast("_v"), 10.0).otherwise(0.0) + F.size(F.array_intersect("_w", "_v")) + F.when(F.col("format") == "plain", 0.5).otherwise(0.0)
-    near = kin.groupBy("model", "family").agg(F.min_by("file", F.struct((-score).alias("a"), "file")).alias("file")).withColumn("stand_in", F.lit(True))
-    found = exact.unionByName(near)
-    return asked.select("model", "family").join(found, ["model", "family"], "left").withColumn("stand_in", F.coalesce("stand_in", F.lit(False)))
+    have = installed.select("file", "family", "format", model_key(F.col("file")).alias("_key"), _name_words(F.col("file")).alias("_w"))
+    keys = ["model", "family", "fast"]
+    asked = wanted.select("model", "family", fast_recipe(F.col("model"), F.col("steps"), F.col("cfg")).alias("fast")).distinct().withColumn("_key", model_key(F.col("model"))).withColumn("_v", _name_words(F.col("model")))
+    exact = asked.join(have.groupBy("_key").agg(F.min("file").alias("file")), "_key").where("_key <> ''").select(*keys, "file", F.lit(False).alias("stand_in"))
+    kin = asked.join(exact, keys, "left_anti").join(have.drop("_key"), "family")
+    score = F.when(F.array_contains("_w", "turbo") == F.col("fast"), 10.0).otherwise(0.0) + F.size(F.array_intersect("_w", "_v")) + F.when(F.col("format") == "plain", 0.5).otherwise(0.0)
+    near = kin.groupBy(*keys).agg(F.min_by("file", F.struct((-score).alias("a"), "file")).alias("file")).withColumn("stand_in", F.lit(True))
+    return asked.select(*keys).join(exact.unionByName(near), keys, "left").withColumn("stand_in", F.coalesce("stand_in", F.lit(False)))
 
 
 def compared(rows: DataFrame, ids: list[int]) -> DataFrame:

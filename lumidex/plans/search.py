@@ -183,12 +183,14 @@ class Search:
         return self.rows(media).orderBy(*by, *ORDERS[self.order](), "id")
 
 
-def placed(rows: DataFrame, by: list[Column], group: str | None = None, spread: int = 64) -> DataFrame:
+def placed(rows: DataFrame, by: list[Column], group: str | None = None, spread: int | None = None) -> DataFrame:
     """Adds `place`, the 1-based position in the order `by` (within each `group`), without putting all rows of a group in one task.
 
     Rows are sorted by ranges; each range counts its rows of every group, and the counts before it
-    are added. The driver sees nothing, the counts are `spread` rows for each group at most.
+    are added. The driver sees nothing, the counts are `spread` rows for each group at most; by default there are as many
+    ranges as shuffle partitions. The rows are written once, when the plan is made.
     """
+    spread = spread or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = [group] if group else ["_all"]
     rows = rows if group else rows.withColumn("_all", F.lit(0))
     dealt = rows.repartitionByRange(spread, *[F.col(k) for k in own], *by).withColumn("_range", F.spark_partition_id())

@@ -282,22 +282,41 @@ def view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEY = lambda c: f"trim(lower(regexp_replace({c}, '(?i)\\.(safetensors|ckpt|pt|pth|bin|gguf|sft)$', '')))"
-_W = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+'))"
+_W = lambda c: f"list_distinct(list_filter(regexp_extract_all({c}, '[a-z0-9]+'), lambda w: length(w) > 1))"
+
+
+_FAST = f"(list_contains({_W(_KEY('p_type'))}, 'turbo') OR (NOT list_has_any({_W(_KEY('p_type'))}, ['raw', 'base']) AND p_size <= 12 AND 1 + p_partkey % 3 * 0.5 <= 1.5))"
 
 
 @query(
-    f"""WITH w AS (SELECT DISTINCT p_type AS model, p_brand AS family FROM part), i AS (SELECT DISTINCT p_type || CASE WHEN p_partkey % 2 = 0 THEN ' turbo' ELSE '' END || '.ckpt' AS file, p_brand AS family, CASE WHEN p_partkey % 3 = 0 THEN 'plain' ELSE 'packed' END AS format FROM part WHERE p_partkey % 4 < 2),
-x AS (SELECT model, w.family, min(i.file) AS file FROM w JOIN i ON {_KEY('i.file')} = {_KEY('w.model')} GROUP BY ALL),
-s AS (SELECT w.model, w.family, i.file, CASE WHEN list_contains({_W('i.file')}, 'turbo') = list_contains({_W('w.model')}, 'turbo') THEN 10.0 ELSE 0.0 END + len(list_intersect({_W('i.file')}, {_W('w.model')})) + CASE WHEN format = 'plain' THEN 0.5 ELSE 0.0 END AS score FROM w JOIN i USING (family) WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.model = w.model AND x.family = w.family)),
-n AS (SELECT model, family, file FROM (SELECT *, row_number() OVER (PARTITION BY model, family ORDER BY score DESC, file) AS k FROM s) WHERE k = 1)
-SELECT w.model, w.family, coalesce(x.file, n.file) AS file, x.file IS NULL AND n.file IS NOT NULL AS stand_in FROM w LEFT JOIN x USING (model, family) LEFT JOIN n USING (model, family)"""
+    f"""WITH w AS (SELECT DISTINCT p_type AS model, p_brand AS family, {_FAST} AS fast FROM part), i AS (SELECT DISTINCT p_type || CASE WHEN p_partkey % 2 = 0 THEN ' turbo' ELSE '' END || '.ckpt' AS file, p_brand AS family, CASE WHEN p_partkey % 3 = 0 THEN 'plain' ELSE 'packed' END AS format FROM part WHERE p_partkey % 4 < 2),
+x AS (SELECT model, w.family, fast, min(i.file) AS file FROM w JOIN i ON {_KEY('i.file')} = {_KEY('w.model')} GROUP BY ALL),
+s AS (SELECT w.model, w.family, w.fast, i.file, CASE WHEN list_contains({_W(_KEY('i.file'))}, 'turbo') = w.fast THEN 10.0 ELSE 0.0 END + len(list_intersect({_W(_KEY('i.file'))}, {_W(_KEY('w.model'))})) + CASE WHEN format = 'plain' THEN 0.5 ELSE 0.0 END AS score FROM w JOIN i USING (family) WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.model = w.model AND x.family = w.family)),
+n AS (SELECT model, family, fast, file FROM (SELECT *, row_number() OVER (PARTITION BY model, family, fast ORDER BY score DESC, file) AS k FROM s) WHERE k = 1)
+SELECT w.model, w.family, w.fast, coalesce(x.file, n.file) AS file, x.file IS NULL AND n.file IS NOT NULL AS stand_in FROM w LEFT JOIN x USING (model, family, fast) LEFT JOIN n USING (model, family, fast)"""
 )
 def matched_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The installed file of a model's name, else the most alike of its family."""
+    """The installed file of a recipe's model, else the most alike of its family, fast ones for fast recipes."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey")
     installed = part.where("p_partkey % 4 < 2").select(F.concat("p_type", F.when(k % 2 == 0, " turbo").otherwise(""), F.lit(".ckpt")).alias("file"), F.col("p_brand").alias("family"), F.when(k % 3 == 0, "plain").otherwise("packed").alias("format")).distinct()
-    return tables.matched_models(part.select(F.col("p_type").alias("model"), F.col("p_brand").alias("family")), installed)
+    return tables.matched_models(part.select(F.col("p_type").alias("model"), F.col("p_brand").alias("family"), F.col("p_size").alias("steps"), (1 + k % 3 * 0.5).alias("cfg")), installed)
+
+
+@query(
+    f"""WITH {MEDIA_SQL}, n AS (SELECT *, CASE WHEN id % 3 = 0 THEN id % 5 + 1 ELSE 0 END AS a FROM media), c AS (SELECT *, CASE WHEN id % 4 = 1 THEN 0 WHEN id % 4 = 2 THEN 5 ELSE a END AS b, list_filter(collections, lambda c: lower(c) <> 'to print') AS cs FROM n WHERE rating > 0 OR flag > 0 OR len(collections) > 0 OR a > 0 OR id % 4 = 2),
+k AS (SELECT dir, name, b FROM c WHERE rating > 0 OR flag > 0 OR len(cs) > 0 OR b > 0) SELECT m.id, CAST(coalesce(nullif(k.b, 0), m.id % 4 + 1) AS INTEGER) AS level, k.name IS NOT NULL AS noted FROM media m LEFT JOIN k ON k.dir = m.dir AND k.name = m.name"""
+)
+def notes_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels set by hand stay with their notes, are set and taken off, and go before what the prompt says."""
+    rows, i = media(spark, sf_dir), F.col("id")
+    notes = rows.withColumn("audience", F.when(i % 3 == 0, i % 5 + 1).otherwise(0).cast("int")).where((F.col("rating") > 0) | (F.col("flag") > 0) | (F.size("collections") > 0) | (F.col("audience") > 0)).select("dir", "name", "rating", "flag", "collections", "audience")
+    none, empty = F.lit(None).cast("int"), F.array().cast("array<string>")
+    change = rows.where("id % 4 in (1, 2)").select("dir", "name", none.alias("rating"), none.alias("flag"), F.when(i % 4 == 2, 9).otherwise(0).alias("audience"), empty.alias("add"), empty.alias("drop"))
+    kept = tables.delete_collection(tables.change_notes(notes, change), "to print")
+    there = kept.select("dir", "name", F.lit(True).alias("noted"))
+    levels = tables.with_levels(rows.select("id", "dir", "name", (i % 4 + 1).cast("int").alias("level")), kept, "level")
+    return levels.join(there, ["dir", "name"], "left").select("id", "level", F.coalesce("noted", F.lit(False)).alias("noted"))
 
 
 @query(f"WITH {MEDIA_SQL}, a AS (SELECT * FROM media WHERE id = 1), b AS (SELECT * FROM media WHERE id = 4), r(setting, x, y) AS (SELECT 'prompt', a.prompt, b.prompt FROM a, b UNION ALL SELECT 'seed', a.seed, b.seed FROM a, b UNION ALL SELECT 'size', a.width || ' × ' || a.height, b.width || ' × ' || b.height FROM a, b UNION ALL SELECT 'sampler', list_filter(a.facets, lambda f: f.kind = 'sampler')[1].value, list_filter(b.facets, lambda f: f.kind = 'sampler')[1].value FROM a, b) SELECT setting, x || '|' || y AS pair, x <> y AS differs FROM r")

@@ -148,6 +148,13 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.groups(_planted(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {MEDIA_SQL}, {_GROUPS} SELECT m.id, m.name FROM media m WHERE m.rating >= 2 AND m.id IN (SELECT id FROM gs)")
+def search_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a search that are in a group of near-duplicates."""
+    rows = S.Search([S.rated(2)]).rows(media(spark, sf_dir))
+    return S.duplicates(duplicates.groups(_planted(spark, sf_dir)), rows).select("id", "name")
+
+
 _MEMBER = "id % 6 AS rating, id % 4 % 3 AS flag, CASE WHEN id % 3 = 0 THEN 1.0::DOUBLE + id % 4 END AS likely, CASE WHEN id % 4 <> 0 THEN id % 6 END AS seen, CASE WHEN id % 4 <> 0 THEN 6 END AS checked, CASE WHEN id % 5 <> 0 THEN (id % 17)::DOUBLE END AS sharpness"
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # File endings of pictures and of films.
 IMAGES, VIDEOS = ("png", "jpg", "jpeg", "webp", "gif", "bmp", "jxl"), ("mp4", "webm", "mov", "mkv", "m4v")
+# The words of levels set by hand, from 1 on.
+LEVELS = ("g", "pg", "pg13", "r", "nc17")
 NOTES = "images map<string, struct<rating:int, flag:string, collections:array<string>, audience:string>>, smart array<struct<name:string, query:string>>"
 
 
@@ -30,11 +32,11 @@ def listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame
 
 
 def notes(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(dir, name, rating, flag, collections, audience) of notes files."""
+    """(dir, name, rating, flag, collections, audience) of notes files; audience is 0 where no level is set by hand."""
     read = spark.read.schema(NOTES).option("multiLine", True).option("mode", "FAILFAST").json(paths)
     each = read.select(F.regexp_extract(F.input_file_name(), "^(.*)/[^/]*$", 1).alias("dir"), F.explode("images").alias("name", "n"))
     flag = F.coalesce(*[F.when(F.col("n.flag") == w, F.lit(k)) for k, w in ((1, "keep"), (2, "reject"))], F.lit(0))
-    return each.select(F.regexp_replace("dir", "^[a-z]+:/*", "/").alias("dir"), "name", F.coalesce("n.rating", F.lit(0)).alias("rating"), flag.alias("flag"), F.coalesce("n.collections", F.array().cast("array<string>")).alias("collections"), "n.audience")
+    return each.select(F.regexp_replace("dir", "^[a-z]+:/*", "/").alias("dir"), "name", F.coalesce("n.rating", F.lit(0)).alias("rating"), flag.alias("flag"), F.coalesce("n.collections", F.array().cast("array<string>")).alias("collections"), F.coalesce(*[F.when(F.regexp_replace(F.lower("n.audience"), "[^a-z0-9]", "") == w, F.lit(k + 1)) for k, w in enumerate(LEVELS)], F.lit(0)).alias("audience"))
 
 
 def views(spark: SparkSession, paths: list[str] | str) -> DataFrame:
