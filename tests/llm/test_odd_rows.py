@@ -1,10 +1,13 @@
 """Columns whose names clash, repeated and null ids, of operators that keep rows or learn from them."""
 
+import math
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumidex.llm import decontamination, language_id, quality_classifier, quality_rules, shared, simhash
+from lumidex.llm import decontamination, language_id, quality_classifier, quality_rules, shared, simhash, toxicity
 
 CLASHING = ["_row", "_part", "_id", "_text", "text_id", "row", "part", "id", "least", "c0", "fp", "spans", "score"]
 
@@ -57,7 +60,7 @@ def test_labelled_rows_of_repeated_documents(spark, tmp_path):
 
 def plain(text):
     """Indicators, one word at a time."""
-    words, q = text.split(), quality_classifier
+    words, q = re.findall("[^ \t\n\x0b\x0c\r]+", text), quality_classifier
     codes = [[int.from_bytes(b[k : k + 4], "little") for k in (0, 4)] for b in q._learn([w.encode() + b" " for w in words])]
     mix = lambda a, b, k: ((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + k) % (1 << 64)) >> 20
     shape = [11 if k and codes[k][0] == codes[k - 1][0] else c[1] for k, c in enumerate(codes)]
@@ -70,3 +73,44 @@ def test_indicators_of_a_batch_equal_those_of_each_word():
     texts = ["", "a", "a a a", "One two 22 Two-two one", "x" * 9000 + " y", "é è\tÉ\n--", " \n", "b a b a b"] * 2
     flat, upto = quality_classifier.indicators_of(pa.array([*texts, None]))
     assert [flat[a:b].tolist() for a, b in zip(upto, upto[1:], strict=False)] == [plain(t) for t in [*texts, ""]]
+
+
+def test_language_scores_equal_a_plain_prediction(spark):
+    """The query's prediction from its landmarks and coefficients, with kernels of plain sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, model).collect()}
+    marks = []
+    for j in range(len(model.landmarks.size[0])):
+        marks.append([set(c[h[:, j] > 0].tolist()) for c, h in zip(model.landmarks.codes, model.landmarks.has, strict=True)])
+    for r in docs.select("doc_id", "text").orderBy("doc_id").limit(60).collect():
+        own = [set(g.tolist()) for g in language_id.grams(r.text or "")]
+        kernel = [sum(len(a & b) / (max(1, len(a)) * max(1, len(b))) ** 0.5 for a, b in zip(own, m, strict=True)) / 3 for m in marks]
+        margin = [sum(k * c for k, c in zip(kernel, model.coefficients[:-1, x].tolist(), strict=True)) + model.coefficients[-1, x] for x in range(len(model.names))]
+        power = [math.exp(language_id.SHARP * (m - max(margin))) for m in margin]
+        name, score = got[r.doc_id]
+        assert name == model.names[margin.index(max(margin))] and abs(score - max(power) / sum(power)) < 1e-5
+
+
+def test_quality_scores_equal_a_plain_sum(spark):
+    """The query's score from its weights, indicator by indicator."""
+    sf = "/root/testdata/sf0.001"
+    model = quality_classifier.fit(shared.labelled(spark, sf, "quality", 3, 1, quality_classifier.SAMPLE))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, model).collect()}
+    assert len(got) == docs.count()
+    for r in docs.select("doc_id", "text").collect():
+        own = plain(" ".join(w for w in (r.text or "").replace("\x85", "x").split(" ")) if r.text and not set(r.text) & set("\x1c\x1d\x1e\x1f\x85\xa0 　") else "") if r.text else plain("")
+        if r.text and set(r.text) & set("\x1c\x1d\x1e\x1f\x85\xa0 　"):
+            continue  # other spaces don't part words there
+        raw = sum(model.weights[k] for k in own) / len(own) ** 0.5 + model.bias
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-(model.slope * raw + model.shift)))) < 1e-9
+
+
+def test_toxic_scores_equal_a_plain_sum(spark):
+    """The query's score from its lexicon, text by text, against the model's own single-text score."""
+    sf = "/root/testdata/sf0.001"
+    lexicon = toxicity.fit(shared.labelled(spark, sf, "toxic", 4, 2, toxicity.SAMPLE))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, lexicon).collect()}
+    assert all(abs(got[r.doc_id] - lexicon.score(r.text)) < 1e-9 for r in docs.select("doc_id", "text").collect()) and len(got) == docs.count()
