@@ -128,8 +128,10 @@ def suggestions(wrong: DataFrame, known: DataFrame, count: int = COUNT) -> DataF
     """
     wrong = cut(wrong)
     found = cut(_near(wrong, known, 1).select("word", "right", F.col("rank").alias("score")))
-    before = 0
+    before, last = 0, known.agg(F.max("rank")).first()[0] or 0
     for upto in (*STEPS, None):
+        if before is None or before >= last:
+            break
         part = known.where((F.col("rank") > before) & (F.col("rank") <= upto if upto else F.lit(True)))
         many = found.groupBy("word").agg(F.countDistinct("right").alias("n")).where(F.col("n") >= count)
         two = _near(wrong.where(F.length("word") <= LONGEST).join(many, "word", "left_anti"), part, 2)

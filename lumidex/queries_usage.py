@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .checkpoints import cut
+from .checkpoints import cut, shared_dir
 from .functions import facets as FA
 from .functions import text as T
 from .operators import audience, spelling, tables, usage, works
 from .registry import query
+from .sources import store
 from .sources.tables import MEDIA_SQL, media, table
 
 _TAG = "<[A-Za-z]{1,15}:[^>]*>"
@@ -430,3 +433,49 @@ def spelling_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cut(spelling.counted(table(spark, sf_dir, "documents"), "text"))
     known = cut(spelling.dictionary(counts, 100))
     return spelling.suggestions(spelling.misspelled(counts, known), known).select("word", "n", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+_OLD = "SELECT dir, name, rating, flag FROM media WHERE rating > 0"
+
+
+@query(
+    f"""WITH {MEDIA_SQL}, o AS ({_OLD}), f AS (SELECT dir, name, CASE WHEN source_n % 3 = 0 AND id % 2 = 0 THEN 1 ELSE rating END AS rating, flag, source_n FROM (SELECT *, CAST(regexp_extract(dir, '([0-9]+)$', 1) AS INTEGER) AS source_n FROM media) WHERE rating > 0 AND (source_n % 4 <> 1 OR id % 3 <> 0)),
+r AS (SELECT DISTINCT dir, CAST(regexp_extract(dir, '([0-9]+)$', 1) AS INTEGER) % 5 <> 2 AS readable FROM media), n AS (SELECT o.* FROM o JOIN r USING (dir) WHERE NOT readable UNION ALL SELECT f.dir, f.name, f.rating, f.flag FROM f JOIN r USING (dir) WHERE readable)
+SELECT dir, count(*) AS notes, CAST(sum(rating) AS BIGINT) AS stars FROM n GROUP BY dir"""
+)
+def notes_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes after some folders were read again; those of folders that can't be read are kept."""
+    rows, number = media(spark, sf_dir), F.regexp_extract("dir", "([0-9]+)$", 1).cast("int")
+    rated = rows.where("rating > 0")
+    read = rows.select("dir").distinct().withColumn("readable", number % 5 != 2)
+    fresh = rated.where((number % 4 != 1) | (F.col("id") % 3 != 0)).withColumn("rating", F.when((number % 3 == 0) & (F.col("id") % 2 == 0), 1).otherwise(F.col("rating")))
+    columns = ["dir", "name", "rating", "flag"]
+    fresh = fresh.select(*columns).join(read.where("readable"), "dir", "left_semi")
+    after, _ = tables.reloaded(rated.select(*columns), read, fresh)
+    return after.groupBy("dir").agg(F.count("*").alias("notes"), F.sum("rating").cast("long").alias("stars"))
+
+
+@query(f"WITH {MEDIA_SQL}, g AS (SELECT dir, name FROM media WHERE id % 6 = 1) SELECT m.id, m.rating > 0 AS noted FROM media m WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.dir = m.dir AND g.name = m.name)")
+def files_forgotten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index and notes without some files."""
+    rows = media(spark, sf_dir)
+    index, notes = tables.forget(rows.select("id", "dir", "name"), rows.where("rating > 0").select("dir", "name", "rating"), rows.where("id % 6 = 1").select("dir", "name"))
+    return index.join(notes, ["dir", "name"], "left").select("id", F.col("rating").isNotNull().alias("noted"))
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN NULL WHEN vec_id % 3 = 0 THEN 2 * embedding[1]::DOUBLE ELSE embedding[1]::DOUBLE END AS first, vec_id % 7 = 0 AS missing FROM embeddings")
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by model and key: the newest of each, what can't be read, and what is missing."""
+    rows, root = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").cast("string").alias("key"), "embedding"), f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    double = F.transform("embedding", lambda x: (2 * x).cast("float"))
+    known = rows.where("id % 7 <> 0")
+    store.put(known.select("key", "embedding"), root, "one")
+    store.put(known.where("id % 3 = 0").select("key", double.alias("embedding")), root, "one")
+    store.put(known.where("id % 5 = 0").select("key", F.lit(None).cast("array<float>").alias("embedding")), root, "two")
+    lost = known.where("id % 5 = 0").select("key")
+    have = store.get(spark, root, "one").join(lost, "key", "left_anti")
+    missing = store.missing(rows.select("id", "key", F.col("id").alias("mtime")), root, "one").select("id", F.lit(True).alias("missing"))
+    # what the other model couldn't read has no vector here
+    own = rows.where("id % 7 = 0").select("key", F.when(F.col("id") % 5 != 0, F.when(F.col("id") % 3 == 0, double).otherwise(F.col("embedding"))).alias("embedding"))
+    found = rows.select("id", "key").join(have.unionByName(own), "key", "left").join(missing, "id", "left")
+    return found.select("id", F.get("embedding", F.lit(0)).cast("double").alias("first"), F.coalesce("missing", F.lit(False)).alias("missing"))
