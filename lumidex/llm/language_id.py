@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrow_text
-from .shared import held_out
+from .shared import cut, held_out
 
 LANDMARKS, LONG, SAMPLE, ORDERS, PENALTIES, SHARP = 160, 200, 6000, (1, 2, 3), (1e-4, 1e-3, 1e-2, 1e-1), 6.0
 LETTER = regex.compile(r"\p{L}")
@@ -128,17 +128,30 @@ def _solve(phi: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
     return np.vstack([w, middle - mean @ w])
 
 
-def lowest(known: DataFrame, many: int) -> DataFrame:
-    """(mark, text, lang): of each language the rows of the `many` lowest marks, rows of one mark once. Only marks are sorted, and by each task for itself first."""
+def lowest(known: DataFrame, sizes: dict[str, int], many: int) -> DataFrame:
+    """(mark, text, lang): of each language the rows of the `many` lowest marks (not negative, spread evenly), rows of one mark once.
+
+    Marks below a share of their range, a few times `many` of them, are looked at; where rows repeat so often that they are
+    too few, those below a greater share. So few marks are sorted, whatever the number of rows.
+    """
+    share = {x: min(1.0, 4 * many / n) for x, n in sizes.items()}
+    while True:
+        upto = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int(s * ((1 << 63) - 1024)) if s < 1 else (1 << 63) - 1)) for x, s in share.items()))
+        some = cut(known.where(F.col("mark") <= upto).select("lang", "mark").distinct())
+        found = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        few = [x for x, s in share.items() if s < 1 and found.get(x, 0) < many]
+        if not few:
+            break
+        share |= {x: min(1.0, 16 * share[x]) for x in few}
     place = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
-    upto = known.select("lang", "mark").withColumn("place", place).where(F.col("place") <= many).groupBy("lang").agg(F.max("mark").alias("upto"))
-    some = known.join(F.broadcast(upto), "lang").where(F.col("mark") <= F.col("upto"))  # a row for each language
-    return some.groupBy("mark", "lang").agg(F.min("text").alias("text")).select("mark", "text", "lang")
+    last = some.withColumn("place", place).where(F.col("place") <= many).groupBy("lang").agg(F.max("mark").alias("upto"))
+    rows = known.join(F.broadcast(last), "lang").where(F.col("mark") <= F.col("upto"))  # a row for each language
+    return rows.groupBy("mark", "lang").agg(F.min("text").alias("text")).select("mark", "text", "lang")
 
 
 def fit(docs: DataFrame, parts: int = 4, remainder: int = 2, landmarks: int = LANDMARKS, sample: int = SAMPLE) -> Model:
     """Learn from text and lang of the documents that aren't held out; kernel values of about `sample` of them reach the driver."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), parts, remainder)).select(F.xxhash64("doc_id", F.lit(11), "text").alias("mark"), "text", "lang")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), parts, remainder)).select(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11), "text"), 1).alias("mark"), "text", "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes)
     if len(names) < 2:
@@ -152,7 +165,7 @@ def fit(docs: DataFrame, parts: int = 4, remainder: int = 2, landmarks: int = LA
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), short, *(pa.array([s[k] for s in sets], pa.list_(pa.int32())) for k in range(len(ORDERS)))], names=["mark", "lang", "short", *(f"g{n}" for n in ORDERS)])
 
     # texts of a few words make poor landmarks; they are drawn with room to spare, and the first long ones by hash are kept
-    drawn = lowest(known, 4 * each).mapInArrow(spread, "mark long, lang string, short boolean, " + ", ".join(f"g{n} array<int>" for n in ORDERS))
+    drawn = lowest(known, sizes, 4 * each).mapInArrow(spread, "mark long, lang string, short boolean, " + ", ".join(f"g{n} array<int>" for n in ORDERS))
     rows = drawn.toArrow()
     rows = rows.set_column(rows.schema.get_field_index("short"), "short", rows["short"].cast(pa.int8())).sort_by([("short", "ascending"), ("mark", "ascending")]).to_pylist()
     taken = [r for x in names for r in [q for q in rows if q["lang"] == x][:each]]
@@ -163,7 +176,7 @@ def fit(docs: DataFrame, parts: int = 4, remainder: int = 2, landmarks: int = LA
             k = marks.kernel(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(k), pa.list_(pa.float64()))], names=["mark", "lang", "k"])
 
-    got = lowest(known, -(-sample // len(names))).mapInArrow(measure, "mark long, lang string, k array<double>").toArrow().sort_by([("mark", "ascending"), ("lang", "ascending")])
+    got = lowest(known, sizes, -(-sample // len(names))).mapInArrow(measure, "mark long, lang string, k array<double>").toArrow().sort_by([("mark", "ascending"), ("lang", "ascending")])
     k = np.array(got["k"].to_pylist())
     y = np.array([[1.0 if r == x else -1.0 for x in names] for r in got["lang"].to_pylist()])
     # K(landmarks)^(-1/2), without directions of no weight

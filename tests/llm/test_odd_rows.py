@@ -47,7 +47,15 @@ def test_language_of_one_id_many_times(spark):
     rows = [(5, f"{texts[x]} {k if k % 2 else ''}", x) for k in range(400) for x in texts] + [(5, "same in both", x) for x in texts for _ in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     model = language_id.fit(docs, 4, (spark.range(1).select(F.crc32(F.lit("5")) % 4).first()[0] + 1) % 4, landmarks=20, sample=100)
-    assert language_id.lowest(docs.select(F.xxhash64("doc_id", "text").alias("mark"), "text", "lang"), 30).count() == 60
+    marked = docs.select(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("mark"), "text", "lang")
+    every = {}
+    for r in marked.collect():
+        every.setdefault(r.lang, set()).add(r.mark)
+    for many in (1, 30, 1000):  # of 450 rows of a language some 200 differ
+        got = {}
+        for r in language_id.lowest(marked, {"en": 450, "fr": 450_000}, many).collect():
+            got.setdefault(r.lang, []).append(r.mark)
+        assert {x: sorted(m) for x, m in got.items()} == {x: sorted(m)[:many] for x, m in every.items()}
     assert model.predict(["the king and the cat", "le roi et le chat"])[0] == ["en", "fr"]
 
 
