@@ -95,10 +95,10 @@ def word_index_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(["and"], ["the"]).select("id", "name", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {MEDIA_SQL}, s AS (SELECT id, {_score('euler')} AS a, {_score('792')} AS b FROM media) SELECT id, round(a + b, 6) AS score FROM s WHERE a > 0 AND b > 0")
+@query(f"WITH {MEDIA_SQL}, s AS (SELECT id, {_score('euler')} AS a, {_score('63')} AS b FROM media) SELECT id, round(a + b, 6) AS score FROM s WHERE a > 0 AND b > 0")
 def search_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free words that settings and seeds have, by the scan."""
-    return S.Search(ranked=["euler", "792"]).rows(media(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
+    return S.Search(ranked=["euler", "63"]).rows(media(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {MEDIA_SQL}, s AS (SELECT id, {_score('the')} AS a, {_score('and')} AS b, {_open_score('o')} AS c, CASE WHEN {_has('prompt', 'the and')} THEN 60.0 ELSE 0.0 END AS d FROM media) SELECT id, round(a + b + c + d, 6) AS score FROM s WHERE a > 0 AND b > 0 AND c > 0")
