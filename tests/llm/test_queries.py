@@ -32,7 +32,7 @@ def flat(rows):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name, sf):
     con = duckdb.connect()
-    for n in ("documents", "labels", "benchmark"):
+    for n in ("documents", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{sf}/{n}.parquet')")
     df = queries.QUERIES[name](spark, sf)
     cols = sorted(df.columns)
