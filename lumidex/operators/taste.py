@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..plans.search import placed
 from .works import DISLIKED, LIKED, target
 
@@ -125,11 +126,11 @@ def auc(rows: DataFrame, score: str, good: str) -> DataFrame:
     from pyspark.sql import Window
 
     counts = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(good)).alias("g"), F.count_if(~F.col(good)).alias("b"))
-    parts = placed(counts, [F.asc("s")]).withColumn("_part", F.floor(F.col("place") / 10_000))
-    # bad rows below a score: those of parts before, and those before it in its part
-    sums = parts.groupBy("_part").agg(F.sum("b").alias("_b"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_b").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    inner = F.coalesce(F.sum("b").over(Window.partitionBy("_part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = parts.withColumn("_inner", inner).join(before, "_part")
+    # ranges of scores, each with the bad rows of those before it; both uses see the same ranges
+    parts = cut(counts.repartitionByRange("s").withColumn("_range", F.spark_partition_id()))
+    sums = parts.groupBy("_range").agg(F.sum("b").alias("_b"))  # a row for each range
+    before = sums.withColumn("_before", F.coalesce(F.sum("_b").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_b")
+    inner = F.coalesce(F.sum("b").over(Window.partitionBy("_range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = parts.withColumn("_inner", inner).join(before, "_range")
     right = F.sum(F.col("g") * (F.col("_before") + F.col("_inner") + F.col("b") / 2))
     return each.agg(F.coalesce(F.try_divide(right, F.sum("g").cast("double") * F.sum("b")), F.lit(0.5)).alias("auc"), F.sum("g").alias("good"), F.sum("b").alias("bad"))
