@@ -102,18 +102,23 @@ def top(tallies: DataFrame, parts: int) -> DataFrame:
     return some.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(*order)).cast("long")).drop("_place").where(F.col("place") <= limits())
 
 
-def _top_prompts(texts: DataFrame) -> tuple[DataFrame, int]:
-    """(key, value, uses, place) of the most used whole prompts of (id, t), and how many there are; equally used ones by their text."""
+def _top_prompts(rows: DataFrame, keyed: DataFrame) -> tuple[DataFrame, int]:
+    """(key, value, place) of the most used whole prompts, and how many there are; equally used ones by their text.
+
+    `keyed` has (id, key, head) of the prompts of `rows`: digest and first letters. Texts are read of those rows alone that
+    these leave in question, one for each prompt.
+    """
     most = MOST["prompt"]
-    counts = cut(texts.groupBy(F.sha2("t", 256).alias("key")).agg(F.count("*").alias("uses"), F.min(F.substring("t", 1, HEAD)).alias("head")))
+    counts = cut(keyed.groupBy("key").agg(F.count("*").alias("uses"), F.min("head").alias("head"), F.min("id").alias("id")))
     n = counts.count()
     last = counts.orderBy(F.desc("uses"), "head").limit(most).agg(F.max(F.struct((-F.col("uses")).alias("a"), "head")).alias("x")).first()["x"]
     if last is None:
-        return texts.sparkSession.createDataFrame([], "key string, value string, uses long, place long"), 0
+        return rows.sparkSession.createDataFrame([], "key string, value string, place long"), 0
     level = counts.where((F.col("uses") > -last["a"]) | ((F.col("uses") == -last["a"]) & (F.col("head") <= last["head"])))
-    same = texts.withColumn("key", F.sha2("t", 256)).join(level, "key").groupBy("key", "uses").agg(F.min("t").alias("value"))
+    texts = rows.select("id", "prompt").join(level.select("id", "key", "uses"), "id").withColumn("value", T.same_text(F.col("prompt")))
+    same = texts.where(F.sha2("value", 256) == F.col("key")).groupBy("key", "uses").agg(F.min("value").alias("value"))
     best = same.orderBy(F.desc("uses"), "value").limit(most)
-    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("uses"), "value")).cast("long")), n  # `most` rows
+    return best.select("key", "value", F.row_number().over(Window.orderBy(F.desc("uses"), "value")).cast("long").alias("place")), n  # `most` rows
 
 
 def usage(rows: DataFrame) -> DataFrame:
@@ -138,10 +143,10 @@ def usage(rows: DataFrame) -> DataFrame:
     plain = lambda kind, value: [F.lit(kind).alias("kind"), "key", value.alias("value"), F.lit("").alias("role")]
     numbers = [c for c in facets.columns if c not in ("kind", "key", "value", "role")]
     words = found.groupBy("key").agg(*_tallies(F.col("n"))).join(F.broadcast(place), "key").select(*plain("word", F.col("key")), *numbers, "place", F.lit(counts.count()).alias("distinct_keys"))
-    texts = timed.select("id", *marks, T.same_text(F.col("prompt")).alias("t")).where("t <> ''")
-    chosen, n = _top_prompts(texts.select("id", "t"))
-    chosen = cut(chosen)
-    mine = texts.withColumn("key", F.sha2("t", 256)).join(F.broadcast(chosen.select("key", "value", "place")), "key")  # MOST rows
+    whole = timed.where("id is not null").select("id", *marks, F.explode(F.array(T.same_text(F.col("prompt")))).alias("t")).where("t <> ''")
+    keyed = cut(whole.select("id", *marks, F.sha2("t", 256).alias("key"), F.substring("t", 1, HEAD).alias("head")))
+    chosen, n = _top_prompts(rows, keyed)
+    mine = keyed.join(F.broadcast(cut(chosen)), "key")  # MOST rows
     prompts = mine.groupBy("key", "value", "place").agg(*_tallies(F.lit(1))).select(*plain("prompt", F.col("value")), *numbers, "place", F.lit(n).alias("distinct_keys"))
     # samples, of reported models and LoRAs only
     sample = F.struct((-F.col("rating")).alias("a"), (-F.col("mtime")).alias("b"), "id")
