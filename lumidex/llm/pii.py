@@ -16,15 +16,15 @@ These reaches and numbers of groups are what the generators propose at most; bas
 A candidate that touches no base span gets features of its format and its context,
 and gradient boosted trees give a calibrated probability.
 
-The trees learn here, without labels from outside, on about `SAMPLE` documents.
+The trees learn here, without labels from outside, on all documents.
 Positive are their base spans, as they are and in every disguise of `disguises`, and in
-documents of few examples spans of the same form with other digits or letters (`varied`).
+documents of fewer than `FEW` examples spans of the same form with other digits or letters (`varied`).
 Negative are numbers and words made from them that only look alike (`lookalikes`:
 amounts, book and order numbers, versions, failing checksums, sentences with `at` and
 `dot`), and real candidates whose format rules them out. Other real candidates are
-neither, as nobody knows what they are. A document gives `EACH` examples at most,
-by a hash of their text, so `SAMPLE` x `EACH` rows reach the driver at most. One
-document in five calibrates the scores and sets the threshold of each kind: the
+neither, as nobody knows what they are. All examples count; equal ones are stored once, with
+their number, and the trees grow from sums over them, which tasks add up, so the driver gets tables
+of fixed size (and up to `LOCAL_ROWS` different examples as they are). One document in five calibrates the scores and sets the threshold of each kind: the
 lowest at which `PRECISION` of the examples chosen there are positive; with fewer
 than `FEWEST` of them the kind adds nothing. Of overlapping choices the likeliest
 (in hundredths, then of the first kind as listed) stays.
@@ -41,7 +41,8 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +50,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text
-from .boosting import Trees
+from .boosting import CODES, STEP, Trees
+from .shared import stored
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, EACH, VARIED, PRECISION, FEWEST, REACH = 20_000, 60, 4, 0.98, 10, 120
+FEW, VARIED, PRECISION, FEWEST, REACH = 60, 4, 0.98, 10, 120
+#: Different examples that are added up on the driver at most, and that a task holds at once.
+LOCAL_ROWS, COUNTERS = 200_000, 200_000
 
 # base patterns; possessive repeats never go back, so each run of characters is read once
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -239,16 +243,16 @@ def lookalikes(s: str, kind: str) -> list[tuple[str, str]]:
     return out
 
 
-def examples(text: str) -> tuple[list[list[float]], list[int], list[int]]:
-    """Feature rows, labels and kinds that one document gives."""
+def examples(text: str) -> tuple[list[list[float]], list[int]]:
+    """Feature rows and labels that one document gives."""
     base = base_spans(text)
-    found: list[tuple[int, tuple[str, int, int, str], int]] = []
+    found: list[tuple[tuple[str, int, int, str], int]] = []
 
     def put(t: str, s: int, e: int, kind: str, y: int) -> None:
-        found.append((zlib.crc32(f"{kind} {y} {t[s:e]}".encode("utf-8", "replace")), (t, s, e, kind), y))
+        found.append(((t, s, e, kind), y))
 
     for turn in range(VARIED):
-        for s, e, kind in base if len(found) < EACH else ():
+        for s, e, kind in base if len(found) < FEW else ():
             if not turn:
                 put(text, s, e, kind, 1)
             near, rest = text[max(0, s - 40) : s], text[e : e + 40]
@@ -260,8 +264,7 @@ def examples(text: str) -> tuple[list[list[float]], list[int], list[int]]:
     for s, e, kind in _apart(candidates(text), base):
         if _ruled_out(text[s:e], kind):
             put(text, s, e, kind, 0)
-    kept = sorted(found, key=lambda x: (x[0], x[2]))[:EACH]
-    return [features(*x) for _, x, _ in kept], [y for *_, y in kept], [KINDS.index(x[3]) for _, x, _ in kept]
+    return [features(*x) for x, _ in found], [y for _, y in found]
 
 
 def _apart(spans: list, base: list) -> list:
@@ -287,7 +290,7 @@ class Selector:
         out = [(s, e, k, True, 1.0) for s, e, k in base]
         more = [c for c in _apart(candidates(text), base) if c[2] in self.thresholds]
         if more:
-            p = self.trees.probability(np.array([features(text, *c) for c in more]))
+            p = self.trees.probability(coded([features(text, *c) for c in more]))
             taken: list[tuple[int, int]] = []  # sorted, apart from each other
             for i in np.argsort(-np.round(p, 2), kind="stable"):  # of about equal ones the first kind as listed
                 s, e, k = more[i]
@@ -298,38 +301,116 @@ class Selector:
         return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Selector:
-    """Learn on about `sample` documents, chosen by a hash of their id and text; `EACH` feature rows of each at most reach the driver."""
-    n = docs.count()
-    some = docs.select(F.col("doc_id").cast("long"), "text")
-    if n > sample:
-        some = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+def coded(rows: list[list[float]]) -> np.ndarray:
+    """Feature rows as bytes; -1, for no word, becomes 0, and what is over 254 counts as 254."""
+    return np.clip(np.array(rows) + 1, 0, 255).astype(np.uint8)
+
+
+def learned(docs: DataFrame) -> DataFrame:
+    """(key, n) of all examples of all documents: key has the coded features and a last byte of label + 2 if the document calibrates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["key", "n"])
+            found.clear()
+            return out
+
         for b in arrow_text.slices(batches):
-            rows = [(zlib.crc32(str(i).encode()) % 5 == 0, *examples(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and (ANY.search(t) or SPELLED.search(t))]
-            flat = [(h, x, y, k) for h, xs, ys, ks in rows for x, y, k in zip(xs, ys, ks, strict=True)]
-            if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*flat, strict=True), (pa.bool_(), pa.list_(pa.float64()), pa.int32(), pa.int32()), strict=True)], names=["held", "x", "y", "kind"])
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if t and (ANY.search(t) or SPELLED.search(t)):
+                    xs, ys = examples(t)
+                    held = 2 * (zlib.crc32(str(i).encode()) % 5 == 0)
+                    found.update(x.tobytes() + bytes([y + held]) for x, y in zip(coded(xs) if xs else (), ys, strict=True))
+                    if len(found) > COUNTERS:
+                        yield told()
+        yield told()
 
-    rows = some.mapInArrow(run, "held boolean, x array<double>, y int, kind int").toArrow()
-    if not rows.num_rows:
-        return Selector()
-    x = np.array(rows["x"].to_pylist())
-    y, kind, held = rows["y"].to_numpy().astype(float), rows["kind"].to_numpy(), rows["held"].to_numpy()
-    order = np.lexsort((y, *x.T))  # rows arrive in any order; sums don't depend on it then
-    x, y, kind, held = x[order], y[order], kind[order], held[order]
-    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
+    some = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key binary, n long")
+    return stored(some.groupBy("key").agg(F.sum("n").alias("n")), "pii-examples")
+
+
+def _rows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, labels, whether they calibrate, and numbers of some rows of `learned`."""
+    key = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+    return key[:, :-1], (key[:, -1] & 1).astype(float), key[:, -1] >= 2, b.column(1).to_numpy()
+
+
+class Examples:
+    """The rows of `learned`, added up by tasks; few of them, `most` at most, on the driver, with the same sums."""
+
+    def __init__(self, rows: DataFrame, most: int):
+        self.rows = rows
+        self.local = rows.toArrow().combine_chunks().to_batches() if rows.count() <= most else None
+
+    def total(self, values: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> dict[int, int]:
+        """Sums by slot of what `values` gives of a batch, slots and numbers; slots are bounded by the caller."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: Counter = Counter()
+            for b in batches:
+                if b.num_rows:
+                    slot, n = values(b)
+                    out.update(dict(zip(slot.tolist(), n.tolist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], names=["slot", "n"])
+
+        if self.local is not None:
+            return dict(zip(*(c.to_pylist() for c in next(run(iter(self.local))).columns), strict=True))
+        return dict(self.rows.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect())
+
+
+def _dense(slots: dict[int, int], size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    out[list(slots)] = list(slots.values())
+    return out
+
+
+def _summed(slot: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(slot, return_inverse=True)
+    return own, np.rint(np.bincount(at, n, len(own))).astype(np.int64)
+
+
+def fit(docs: DataFrame, precision: float = PRECISION, most: int = LOCAL_ROWS) -> Selector:
+    """Learn on all examples of all documents. Runs a job for each level of each tree where there are more than `most` different ones; only sums reach the driver then."""
+    rows = Examples(learned(docs), most)
+    n_features = len(features("0", 0, 1, KINDS[0]))
+    sort = _dense(rows.total(lambda b: _summed(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)[:, -1], b.column(1).to_numpy())), 4)
+    if not sort.all():  # a label is missing in either part
         return Selector()
-    trees = Trees().fit(x[~held], y[~held]).calibrate(x[held], y[held])
-    p, thresholds = trees.probability(x[held]), {}
+
+    def codes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x, _, held, n = _rows(b)
+        return _summed((x[~held].astype(np.int64) + CODES * np.arange(n_features)).ravel(), np.repeat(n[~held], n_features))
+
+    def sums(column: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+        def values(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            x, y, held, n = _rows(b)
+            flat = trees.histogram(x[~held], y[~held], n[~held], column, cut, level).ravel()
+            return (at := np.flatnonzero(flat)), flat[at]
+
+        shape = (2, 2**level, n_features, trees.bins + 2)
+        return _dense(rows.total(values), int(np.prod(shape))).reshape(shape)
+
+    trees = Trees()
+    trees.fit(_dense(rows.total(codes), n_features * CODES).reshape(n_features, CODES), int(sort[1]), int(sort[0] + sort[1]), sums)
+
+    def scored(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x, y, held, n = _rows(b)
+        return _summed(((trees.steps(x[held]) + 30 * STEP) * len(KINDS) + x[held][:, 0] - 1) * 2 + y[held].astype(np.int64), n[held])
+
+    slots = sorted(rows.total(scored).items())
+    at, n = np.array([s for s, _ in slots]), np.array([v for _, v in slots], float)
+    y, kind, step = (at % 2).astype(float), at // 2 % len(KINDS), at // 2 // len(KINDS) - 30 * STEP
+    trees.calibrate(step, y, n)
+    thresholds = {}
     for k, name in enumerate(KINDS):
-        own = kind[held] == k
-        ranked = np.argsort(-p[own], kind="stable")
-        scores, good = p[own][ranked], np.cumsum(y[held][own][ranked])
-        fits = np.flatnonzero((good >= precision * np.arange(1, len(scores) + 1)) & (good >= FEWEST) & np.append(scores[1:] < scores[:-1], True)[: len(scores)])
+        own = kind == k
+        p, back = np.unique(-trees.of_steps(step[own]), return_inverse=True)  # the likeliest first
+        chosen, good = np.bincount(back, n[own], len(p)).cumsum(), np.bincount(back, n[own] * y[own], len(p)).cumsum()
+        fits = np.flatnonzero((good >= precision * chosen) & (good >= FEWEST))
         if len(fits):  # halfway to the first score that is no longer chosen
-            thresholds[name] = max(0.5, float(np.append(scores, 0.0)[fits[-1] : fits[-1] + 2].mean()))
+            thresholds[name] = max(0.5, float(np.append(-p, 0.0)[fits[-1] : fits[-1] + 2].mean()))
     return Selector(trees, thresholds)
 
 

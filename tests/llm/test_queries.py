@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumidex.llm import decontamination, language_id, pii, quality_classifier, quality_rules, queries, sentencepieces, shared, simhash, substrings, token_files, toxicity
+from lumidex.llm.boosting import Trees
 
 from test_operators import ODD, PIECES, SF, WORDS, brute_components, brute_fingerprint, brute_spans, brute_windows, sha, texts, words
 
@@ -397,3 +398,17 @@ def test_pipeline_of_odd_tables(spark, make, tmp_path):
 
 def test_hexdigest_helpers():
     assert sha("") == hashlib.sha256(b"").hexdigest() and public_tokenizers.path("piece_bpe_32k.model") == PIECES
+
+
+def test_pii_learns_from_every_document_and_example(spark, monkeypatch):
+    text = "call +49 30 1234567 or 10.1.2.3"
+    df = spark.range(21_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, F.lit(f"{text}, " * 30)).otherwise(F.lit(text)).alias("text"))
+    n = len(pii.examples(text)[1])
+    many = len(pii.examples(f"{text}, " * 30)[1])
+    assert many > 60 and pii.learned(df).agg(F.sum("n")).first()[0] == 20_999 * n + many
+    # sums by tasks give the very trees that sums on the driver give
+    monkeypatch.setattr(pii, "Trees", lambda: Trees(trees=2))
+    docs = spark.createDataFrame([(i, f"ip 10.{i}.2.{i % 7} or a.b{i}@c.org, +49 30 12{i}4567 at {i} dot 5") for i in range(60)], "doc_id long, text string")
+    here, there = pii.fit(docs), pii.fit(docs, most=0)
+    assert here.thresholds == there.thresholds and here.trees.slope == there.trees.slope
+    assert all(np.array_equal(a, b) for x, y in zip(here.trees.forest, there.trees.forest, strict=True) for a, b in zip(x, y, strict=True))
