@@ -46,6 +46,14 @@ def test_suggestions_equal_trying_all_edits(spark, monkeypatch):
     assert {r.word: r.suggestions for r in got.collect()} == {w: suggested(w, rank) for w in wrong}
 
 
+def test_a_long_word_makes_no_strings_and_words_looked_up_are_not_shuffled(spark):
+    wrong = spark.createDataFrame([("forrest", 2), ("tere", 1), ("x" * 300_000, 1)], "word string, n long")
+    known = spark.createDataFrame([("forest", 1), ("tree", 2)], "word string, rank int")
+    got = spelling.suggestions(wrong, known)
+    assert {r.word[:9]: (r.n, r.suggestions) for r in got.collect()} == {"forrest": (2, ["forest"]), "tere": (1, ["tree"]), "x" * 9: (1, [])}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_misspelled_words(spark):
     texts = ["The forest's trees, well-known <lora:zzqq:1> 1girl v2 embedding:qqzz Forrest", "forest tree well known forests WIP wip_x a_b don’t", None, "", "treeex well-knwon", "don't forest tree"]
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
