@@ -22,6 +22,11 @@ def _setting(params: Column, kind: str, names: tuple[str, ...]) -> Column:
     return F.transform(F.filter(params, lambda p: F.lower(p["key"]).isin(*names)), lambda p: _facet(kind, p["value"]))
 
 
+def main_models() -> Column:
+    """The facets of a row's main models alone, as `facets` gives them first."""
+    return F.array_distinct(F.filter(F.transform(F.filter("models", lambda m: m["kind"] == "main"), lambda m: _facet("model", m["name"])), lambda f: f["value"] != ""))
+
+
 def facets() -> Column:
     """All facets of a row's models, loras, params, size and source, each once."""
     models, loras, params = F.col("models"), F.col("loras"), F.col("params")

@@ -16,6 +16,8 @@ from ..functions import text as T
 # Bounds of what counts as liked and disliked, and of what is reported.
 LIKED, DISLIKED, KEPT = 0.74, 0.26, 0.85
 SEEN, FEW, LIFT, SUGGEST, SAME, SHOWN, SUGGESTIONS = 3, 8, 0.05, 0.12, 0.05, 10, 6
+# The most models and phrases that are sent to all workers.
+MODELS_SENT, PHRASES_SENT = 2_000, 50_000
 CFG_BINS = ((2.0, "CFG under 2"), (3.5, "CFG 2 – 3.5"), (4.5, "CFG 3.5 – 4.5"), (6.0, "CFG 4.5 – 6"), (8.0, "CFG 6 – 8"), (None, "CFG 8 and over"))
 STEPS_BINS = ((10.0, "Under 10 steps"), (20.0, "10 – 20 steps"), (25.0, "20 – 25 steps"), (35.0, "25 – 35 steps"), (50.0, "35 – 50 steps"), (None, "50 steps and over"))
 
@@ -121,16 +123,29 @@ def own_phrases(rows: DataFrame, most: int = 300) -> DataFrame:
     return found.where(~T.is_quality_phrase(F.col("phrase"))).orderBy(F.desc("n"), "phrase").limit(most)
 
 
+def _labels(prompt: Column) -> Column:
+    """The phrases of a prompt as typed, in lower case."""
+    return F.array_distinct(F.transform(T.prompt_phrases(prompt), lambda p: F.lower(p)))
+
+
+def _sent(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of a cut table, sent to all workers where they are few; what they are joined with is large and stays in its place then."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def counts_by_model(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(scope, label, liked, judged, keep, reject) of phrases, for each model and, as scope '', for all, in one pass; and (scope, n) with the liked and disliked rows of each.
 
     `judged` is what `recipes` gives; a row without a model counts for all alone.
     """
     models = F.transform(F.filter("facets", lambda f: f["kind"] == "model"), lambda f: f["key"])
-    each = judged.where("target is not null").select("target", "prompt", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), models))).alias("scope"))
+    # worked out once a row, behind a generator, before rows are dealt out to their scopes
+    made = F.struct(F.array_distinct(F.concat(F.array(F.lit("")), models)).alias("scopes"), _labels(F.col("prompt")).alias("labels"))
+    rows = cut(judged.where("target is not null").select("target", F.explode(F.array(made)).alias("x")).select("target", "x.*"))
+    each = rows.select("target", "labels", F.explode("scopes").alias("scope"))
     liked, disliked = F.col("target") >= LIKED, F.col("target") <= DISLIKED
     sizes = cut(each.groupBy("scope").agg(F.count_if(liked).alias("n_liked"), F.count_if(disliked).alias("n_disliked")))
-    phrases = each.select("scope", "target", F.explode(F.array_distinct(F.transform(T.prompt_phrases(F.col("prompt")), lambda p: F.lower(p)))).alias("label"))
+    phrases = each.select("scope", "target", F.explode("labels").alias("label"))
     found = phrases.groupBy("scope", "label").agg(F.count_if(liked).alias("liked"), F.count_if(disliked).alias("disliked"), F.count("*").alias("judged"))
     share = lambda n, of: F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0))
     out = found.join(sizes, "scope").select("scope", "label", "liked", "judged", share("liked", "n_liked").alias("keep"), share("disliked", "n_disliked").alias("reject"))
@@ -150,22 +165,27 @@ def advice(prompts: DataFrame, judged: DataFrame, missed: DataFrame | None = Non
     # phrases of few rows are no reason for anything
     shares = cut(counted.where((F.col("judged") >= FEW) | (F.col("liked") >= SEEN)).withColumn("lift", F.round(F.col("keep") - F.col("reject"), 9)))
     enough = sizes.where(F.col("n") >= 2 * FEW).select(F.col("scope").alias("model"), F.col("scope").alias("_scope"))
-    own = prompts.select("id", "prompt", F.coalesce("model", F.lit("")).alias("model")).join(enough, "model", "left").withColumn("scope", F.coalesce("_scope", F.lit(""))).drop("_scope", "model")
+    good = (F.col("liked") >= SEEN) & (F.col("lift") >= SUGGEST) & (F.size(F.split("label", " ")) <= 5) & ~T.is_quality_phrase(F.col("label"))
+    listed = cut(shares.where(good).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct((-F.col("lift")).alias("a"), "label"))).alias("adds")))
+    own = prompts.select("id", "prompt", F.coalesce("model", F.lit("")).alias("model")).join(_sent(enough, MODELS_SENT), "model", "left")
+    own = own.withColumn("scope", F.coalesce("_scope", F.lit(""))).join(_sent(listed, MODELS_SENT), "scope", "left")
+    # each text is read once; no weight is written without a bracket
+    made = F.struct(_labels(F.col("prompt")).alias("labels"), F.when(F.col("adds").isNotNull(), F.lower("prompt")).alias("low"), F.when(F.contains("prompt", F.lit("(")), F.col("prompt")).alias("marked"))
+    own = own.select("id", "scope", "adds", F.explode(F.array(made)).alias("x"))
+    own = cut(own.select("id", "scope", "x.labels", "x.marked", F.slice(F.filter("adds", lambda x: ~F.contains(F.col("x.low"), x["label"])), 1, 2).alias("lacking")))
     item = lambda part, k, advice, phrase, weight=None: [F.lit(part).alias("part"), F.col(k).cast("int").alias("k") if isinstance(k, str) else F.lit(k).alias("k"), F.lit(advice).alias("advice"), phrase.alias("phrase"), (F.lit(None).cast("double") if weight is None else weight).alias("weight")]
-    each = own.select("id", "scope", F.posexplode(F.array_distinct(F.transform(T.prompt_phrases(F.col("prompt")), lambda p: F.lower(p)))).alias("k", "label"))
-    known = each.join(shares.where(F.col("judged") >= FEW), ["scope", "label"])
-    same = T.is_quality_phrase(F.col("label")) & (F.abs("lift") < SAME)
-    told = known.withColumn("same", same)
-    out = told.where(~F.col("same") & (F.col("lift") <= -SUGGEST)).select("id", *item(1, "k", "in_rejects", F.col("label")))
+    each = own.select("id", "scope", F.posexplode("labels").alias("k", "label"))
+    judged_enough = shares.where(F.col("judged") >= FEW).withColumn("same", T.is_quality_phrase(F.col("label")) & (F.abs("lift") < SAME))
+    telling = cut(judged_enough.where(F.col("same") | (F.col("lift") <= -SUGGEST)).select("scope", "label", "same"))
+    told = each.join(_sent(telling, PHRASES_SENT), ["scope", "label"])
+    out = told.where(~F.col("same")).select("id", *item(1, "k", "in_rejects", F.col("label")))
     alike = told.where("same").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "label"))), lambda x: x["label"]), ", ").alias("all"))
     out = out.unionByName(alike.select("id", *item(2, 0, "no_difference", F.col("all"))))
-    good = (F.col("liked") >= SEEN) & (F.col("lift") >= SUGGEST) & (F.size(F.split("label", " ")) <= 5) & ~T.is_quality_phrase(F.col("label"))
-    listed = shares.where(good).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct((-F.col("lift")).alias("a"), "label"))).alias("adds"))
-    lacking = own.join(listed, "scope").select("id", F.posexplode(F.slice(F.filter("adds", lambda x: ~F.contains(F.lower("prompt"), x["label"])), 1, 2)).alias("k", "x"))
-    out = out.unionByName(lacking.select("id", *item(3, "k", "in_keepers", F.col("x.label"))))
+    out = out.unionByName(own.select("id", F.posexplode("lacking").alias("k", "x")).select("id", *item(3, "k", "in_keepers", F.col("x.label"))))
     if missed is not None:
         weight = F.when(F.col("level") < 0.5, 1.3).otherwise(1.2)
-        unseen = missed.where(~F.col("seen")).select("id", "k", "phrase", weight.alias("w")).join(own, "id").where(T.written_weight(F.col("prompt"), F.col("phrase")) < F.col("w"))
+        unseen = missed.where(~F.col("seen")).select("id", "k", "phrase", weight.alias("w")).join(own.select("id", "marked"), "id")
+        unseen = unseen.where(T.written_weight(F.coalesce("marked", F.lit("")), F.col("phrase")) < F.col("w"))
         out = out.unionByName(unseen.select("id", *item(0, "k", "missed", F.col("phrase"), F.col("w"))))
     first = F.slice(F.array_sort(F.collect_list(F.struct("part", "k", "phrase", "advice", "weight"))), 1, SUGGESTIONS)
     best = out.groupBy("id").agg(first.alias("x")).select("id", F.posexplode("x").alias("place", "x")).select("id", (F.col("place") + 1).alias("place"), "x.advice", "x.phrase", "x.weight")
