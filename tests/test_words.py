@@ -100,7 +100,7 @@ def test_advice_of_a_model_and_of_all(spark):
     assert works.advice(prompts.limit(0), rows).count() == 0 and works.advice(prompts, rows.limit(0), missed).count() == 2
 
 
-def test_advice_reads_each_prompt_once(spark):
+def test_advice_reads_each_prompt_once_and_shuffles_no_text(spark):
     read = spark.sparkContext.accumulator(0)
 
     @F.udf("string")
@@ -112,9 +112,10 @@ def test_advice_reads_each_prompt_once(spark):
     rows = spark.createDataFrame(judged, "id long, prompt string, facets array<struct<kind:string,key:string,value:string,role:string>>, target double")
     prompts = spark.createDataFrame([(1, "Mud, (red fox:1.5)", "m1"), (2, "mud, red fox", None)], "id long, prompt string, model string")
     missed = spark.createDataFrame([(k, 0, "red fox", 0.4, False) for k in (1, 2)], "id long, k int, phrase string, level double, seen boolean")
-    got = works.advice(prompts.withColumn("prompt", text("prompt")), rows, missed).orderBy("id", "place").collect()
+    told = works.advice(prompts.withColumn("prompt", text("prompt")), rows, missed)
+    got = told.orderBy("id", "place").collect()
     assert [(r.id, r.advice, r.phrase) for r in got] == [(1, "in_rejects", "mud"), (1, "in_keepers", "snow"), (2, "missed", "red fox"), (2, "in_rejects", "mud"), (2, "in_keepers", "snow")]
-    assert read.value == 2
+    assert read.value == 2 and "prompt" not in told._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_phrases_to_add_are_never_cut(spark):
