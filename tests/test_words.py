@@ -47,10 +47,10 @@ def test_suggestions_equal_trying_all_edits(spark, monkeypatch):
 
 
 def test_a_long_word_makes_no_strings_and_words_looked_up_are_not_shuffled(spark):
-    wrong = spark.createDataFrame([("forrest", 2), ("tere", 1), ("x" * 300_000, 1)], "word string, n long")
+    wrong = spark.createDataFrame([("forrest", 2), ("tere", 1), ("fforrest", 1), ("x" * 300_000, 1)], "word string, n long")
     known = spark.createDataFrame([("forest", 1), ("tree", 2)], "word string, rank int")
     got = spelling.suggestions(wrong, known)
-    assert {r.word[:9]: (r.n, r.suggestions) for r in got.collect()} == {"forrest": (2, ["forest"]), "tere": (1, ["tree"]), "x" * 9: (1, [])}
+    assert {r.word[:9]: (r.n, r.suggestions) for r in got.collect()} == {"forrest": (2, ["forest"]), "tere": (1, ["tree"]), "fforrest": (1, ["forest"]), "x" * 9: (1, [])}
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
