@@ -64,7 +64,7 @@ def counts(judged: DataFrame) -> DataFrame:
     judged = judged.where("target is not null")
     liked, disliked = F.col("target") >= LIKED, F.col("target") <= DISLIKED
     sizes = judged.agg(F.count_if(liked).alias("n_liked"), F.count_if(disliked).alias("n_disliked"))
-    phrases = F.transform(T.prompt_phrases(F.lower("prompt")), lambda p: F.struct(F.lit("phrase").alias("kind"), p.alias("label")))
+    phrases = F.transform(T.prompt_phrases(F.lower("prompt"), T.MOST_PHRASES), lambda p: F.struct(F.lit("phrase").alias("kind"), p.alias("label")))
     each = judged.select("target", F.explode(F.concat(phrases, _settings())).alias("x")).select("target", "x.*")
     out = each.groupBy("kind", "label").agg(F.count_if(liked).alias("liked"), F.count_if(disliked).alias("disliked"), F.count("*").alias("judged"))
     share = lambda n, of: F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0))
@@ -94,7 +94,7 @@ def what_works(rows: DataFrame, model: str | None = None) -> DataFrame:
 def examples(rows: DataFrame, found: DataFrame, most: int = 3) -> DataFrame:
     """(kind, label, liked, disliked): for the few items of `found` (what `what_works` gives), ids of the best liked and the worst disliked rows with each."""
     judged = recipes(rows).where("target is not null")
-    phrases = F.transform(T.prompt_phrases(F.lower("prompt")), lambda p: F.struct(F.lit("phrase").alias("kind"), p.alias("label")))
+    phrases = F.transform(T.prompt_phrases(F.lower("prompt"), T.MOST_PHRASES), lambda p: F.struct(F.lit("phrase").alias("kind"), p.alias("label")))
     each = judged.select("id", "mtime", "target", F.explode(F.concat(phrases, _settings())).alias("x")).select("id", "mtime", "target", "x.*")
     each = each.join(F.broadcast(found.select("kind", "label").distinct()), ["kind", "label"]).withColumn("_part", F.pmod("id", F.lit(16)))
 
@@ -118,38 +118,39 @@ def judged_models(rows: DataFrame, most: int = 20) -> DataFrame:
 
 def own_phrases(rows: DataFrame, most: int = 300) -> DataFrame:
     """Phrases that two prompts or more use and that don't only ask for quality."""
-    each = rows.select(F.explode(T.prompt_phrases(F.lower("prompt"))).alias("phrase"))
+    each = rows.select(F.explode(T.prompt_phrases(F.lower("prompt"), T.MOST_PHRASES)).alias("phrase"))
     found = each.groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
     return found.where(~T.is_quality_phrase(F.col("phrase"))).orderBy(F.desc("n"), "phrase").limit(most)
 
 
 def _labels(prompt: Column) -> Column:
-    """The phrases of a prompt as typed, in lower case."""
-    return F.array_distinct(F.transform(T.prompt_phrases(prompt), lambda p: F.lower(p)))
+    """All phrases of a prompt as typed, in lower case; none of a null."""
+    return F.coalesce(F.array_distinct(F.transform(T.prompt_phrases(prompt), lambda p: F.lower(p))), F.array().cast("array<string>"))
 
 
-def _sent(rows: DataFrame, most: int) -> DataFrame:
-    """Rows of a cut table, sent to all workers where they are few; what they are joined with is large and stays in its place then."""
-    return F.broadcast(rows) if rows.count() <= most else rows
+def _sent(rows: DataFrame, most: int, number: Column | None = None) -> DataFrame:
+    """Rows of a cut table, sent to all workers where they, or what `number` counts of them, are few; what they are joined with is large and stays in its place then."""
+    n = rows.agg(F.count("*") if number is None else number).first()[0] or 0
+    return F.broadcast(rows) if n <= most else rows
 
 
 def counts_by_model(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(scope, label, liked, judged, keep, reject) of phrases, for each model and, as scope '', for all, in one pass; and (scope, n) with the liked and disliked rows of each.
+    """(scope, n, label, liked, judged, keep, reject) of the phrases that enough rows have, for each model and, as scope '', for all, in one pass; and (scope, n) with the liked and disliked rows of each.
 
-    `judged` is what `recipes` gives; a row without a model counts for all alone.
+    `judged` is what `recipes` gives; a row without a model counts for all alone. All phrases of whole texts are counted, and stored only where they are a reason for something.
     """
     models = F.transform(F.filter("facets", lambda f: f["kind"] == "model"), lambda f: f["key"])
-    # worked out once a row, behind a generator, before rows are dealt out to their scopes
-    made = F.struct(F.array_distinct(F.concat(F.array(F.lit("")), models)).alias("scopes"), _labels(F.col("prompt")).alias("labels"))
-    rows = cut(judged.where("target is not null").select("target", F.explode(F.array(made)).alias("x")).select("target", "x.*"))
-    each = rows.select("target", "labels", F.explode("scopes").alias("scope"))
-    liked, disliked = F.col("target") >= LIKED, F.col("target") <= DISLIKED
-    sizes = cut(each.groupBy("scope").agg(F.count_if(liked).alias("n_liked"), F.count_if(disliked).alias("n_disliked")))
-    phrases = each.select("scope", "target", F.explode("labels").alias("label"))
-    found = phrases.groupBy("scope", "label").agg(F.count_if(liked).alias("liked"), F.count_if(disliked).alias("disliked"), F.count("*").alias("judged"))
+    # worked out once a row, behind a generator, before phrases are dealt out to their scopes; the empty label, which is no phrase, counts the rows
+    made = F.struct(F.array_distinct(F.concat(F.array(F.lit("")), models)).alias("scopes"), F.concat(F.array(F.lit("")), _labels(F.col("prompt"))).alias("labels"))
+    rows = judged.where("target is not null").select("target", F.explode(F.array(made)).alias("x")).select("target", "x.scopes", F.explode("x.labels").alias("label"))
+    each = rows.select("target", "label", F.explode("scopes").alias("scope"))
+    liked, disliked = F.count_if(F.col("target") >= LIKED).alias("liked"), F.count_if(F.col("target") <= DISLIKED).alias("disliked")
+    found = each.groupBy("scope", "label").agg(liked, disliked, F.count("*").alias("judged"))
+    found = cut(found.where((F.col("label") == "") | (F.col("judged") >= FEW) | (F.col("liked") >= SEEN)))
+    sizes = found.where(F.col("label") == "").select("scope", F.col("liked").alias("n_liked"), F.col("disliked").alias("n_disliked"), (F.col("liked") + F.col("disliked")).alias("n"))
     share = lambda n, of: F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0))
-    out = found.join(sizes, "scope").select("scope", "label", "liked", "judged", share("liked", "n_liked").alias("keep"), share("disliked", "n_disliked").alias("reject"))
-    return out, sizes.select("scope", (F.col("n_liked") + F.col("n_disliked")).alias("n"))
+    out = found.where(F.col("label") != "").join(_sent(sizes, MODELS_SENT), "scope")
+    return out.select("scope", "n", "label", "liked", "judged", share("liked", "n_liked").alias("keep"), share("disliked", "n_disliked").alias("reject")), sizes.select("scope", "n")
 
 
 def advice(prompts: DataFrame, judged: DataFrame, missed: DataFrame | None = None) -> DataFrame:
@@ -158,26 +159,30 @@ def advice(prompts: DataFrame, judged: DataFrame, missed: DataFrame | None = Non
     First come phrases that the picture misses, of `missed` (id, k, phrase, level, seen), with the weight to write them with; then phrases
     common in rejects, quality words that make no difference (together), and two at most of the phrases most common in liked rows that
     the prompt lacks. Counts are those of the prompt's model, or of all rows where fewer than 2 FEW of it are judged.
-    A row has MOST_PHRASES phrases at most, so no more than MOST_PHRASES / SUGGEST phrases have a share of SUGGEST in liked
-    rows: the lists of phrases to add are whole.
+    Whole texts count, and the lists of phrases to add are whole: where liked rows have m phrases on average, m / SUGGEST at most have
+    a share of SUGGEST in them.
     """
     counted, sizes = counts_by_model(judged)
-    # phrases of few rows are no reason for anything
-    shares = cut(counted.where((F.col("judged") >= FEW) | (F.col("liked") >= SEEN)).withColumn("lift", F.round(F.col("keep") - F.col("reject"), 9)))
-    enough = sizes.where(F.col("n") >= 2 * FEW).select(F.col("scope").alias("model"), F.col("scope").alias("_scope"))
+    enough = F.col("n") >= 2 * FEW
+    shares = counted.where(enough | (F.col("scope") == "")).withColumn("lift", F.round(F.col("keep") - F.col("reject"), 9))
     good = (F.col("liked") >= SEEN) & (F.col("lift") >= SUGGEST) & (F.size(F.split("label", " ")) <= 5) & ~T.is_quality_phrase(F.col("label"))
     listed = cut(shares.where(good).groupBy("scope").agg(F.array_sort(F.collect_list(F.struct((-F.col("lift")).alias("a"), "label"))).alias("adds")))
-    own = prompts.select("id", "prompt", F.coalesce("model", F.lit("")).alias("model")).join(_sent(enough, MODELS_SENT), "model", "left")
-    own = own.withColumn("scope", F.coalesce("_scope", F.lit(""))).join(_sent(listed, MODELS_SENT), "scope", "left")
+    judged_enough = shares.where(F.col("judged") >= FEW).withColumn("same", T.is_quality_phrase(F.col("label")) & (F.abs("lift") < SAME))
+    telling = cut(judged_enough.where(F.col("same") | (F.col("lift") <= -SUGGEST)).select("scope", "label", "same"))
+    own = prompts.select("id", "prompt", F.coalesce("model", F.lit("")).alias("model")).join(_sent(sizes.where(enough).select(F.col("scope").alias("model"), F.col("scope").alias("_scope")), MODELS_SENT), "model", "left")
+    own = own.withColumn("scope", F.coalesce("_scope", F.lit(""))).join(_sent(listed, PHRASES_SENT, F.sum(F.size("adds"))), "scope", "left")
     # each text is read once; no weight is written without a bracket
     made = F.struct(_labels(F.col("prompt")).alias("labels"), F.when(F.col("adds").isNotNull(), F.lower("prompt")).alias("low"), F.when(F.contains("prompt", F.lit("(")), F.col("prompt")).alias("marked"))
     own = own.select("id", "scope", "adds", F.explode(F.array(made)).alias("x"))
-    own = cut(own.select("id", "scope", "x.labels", "x.marked", F.slice(F.filter("adds", lambda x: ~F.contains(F.col("x.low"), x["label"])), 1, 2).alias("lacking")))
+    lacking = F.slice(F.filter("adds", lambda x: ~F.contains(F.col("x.low"), x["label"])), 1, 2)
+    own = own.select("id", "scope", "x.labels", F.explode(F.array(F.struct("x.marked", lacking.alias("lacking")))).alias("x"))
+    # of its phrases those that tell something are kept, and one row (k = -1, under the id so that such rows spread) with the rest
+    rest = F.struct(F.lit(-1).alias("k"), F.col("id").cast("string").alias("label"), F.col("x").alias("x"))
+    phrases = F.transform("labels", lambda p, k: F.struct(k.alias("k"), p.alias("label"), F.when(F.lit(False), F.col("x")).alias("x")))
+    each = own.select("id", "scope", F.explode(F.concat(phrases, F.array(rest))).alias("y")).select("id", "scope", "y.*")
+    kept = cut(each.join(_sent(telling, PHRASES_SENT), ["scope", "label"], "left").where((F.col("k") < 0) | F.col("same").isNotNull()))
+    own, told = kept.where("k < 0").select("id", "scope", "x.marked", "x.lacking"), kept.where("k >= 0")
     item = lambda part, k, advice, phrase, weight=None: [F.lit(part).alias("part"), F.col(k).cast("int").alias("k") if isinstance(k, str) else F.lit(k).alias("k"), F.lit(advice).alias("advice"), phrase.alias("phrase"), (F.lit(None).cast("double") if weight is None else weight).alias("weight")]
-    each = own.select("id", "scope", F.posexplode("labels").alias("k", "label"))
-    judged_enough = shares.where(F.col("judged") >= FEW).withColumn("same", T.is_quality_phrase(F.col("label")) & (F.abs("lift") < SAME))
-    telling = cut(judged_enough.where(F.col("same") | (F.col("lift") <= -SUGGEST)).select("scope", "label", "same"))
-    told = each.join(_sent(telling, PHRASES_SENT), ["scope", "label"])
     out = told.where(~F.col("same")).select("id", *item(1, "k", "in_rejects", F.col("label")))
     alike = told.where("same").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "label"))), lambda x: x["label"]), ", ").alias("all"))
     out = out.unionByName(alike.select("id", *item(2, 0, "no_difference", F.col("all"))))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lumidex.functions import text as T
 from lumidex.operators import spelling, tables, usage, works
 from lumidex.plans import search as S
 from lumidex.sources import files
@@ -127,6 +128,17 @@ def test_phrases_to_add_are_never_cut(spark):
     assert [r.phrase for r in works.advice(prompts, rows).orderBy("place").collect()] == names[150:152]
 
 
+def test_advice_of_phrases_at_the_end_of_long_prompts(spark):
+    """The hundredth phrase of a judged text counts, and of a prompt's phrases the last is looked at; rows say what their whole texts say."""
+    many = ", ".join(f"thing {chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100))
+    assert spark.range(1).select(F.size(T.prompt_phrases(F.concat(F.lit(many), F.lit(", the end")))).alias("n")).first().n == 101
+    judged = [(k, f"{many}, {'snow' if k % 2 else 'mud'}, 8k uhd", [], 1.0 if k % 2 else 0.0) for k in range(20)]
+    rows = spark.createDataFrame(judged, "id long, prompt string, facets array<struct<kind:string,key:string,value:string,role:string>>, target double")
+    prompts = spark.createDataFrame([(1, f"{many}, 8K UHD, Mud", None), (2, f"{many}, snow", None), (7, "", None)], "id long, prompt string, model string")
+    got = [tuple(r) for r in works.advice(prompts, rows).orderBy("id", "place").collect()]
+    assert got == [(1, 1, "in_rejects", "mud", None, ""), (1, 2, "no_difference", "8k uhd", None, ""), (1, 3, "in_keepers", "snow", None, ""), (7, 1, "in_keepers", "snow", None, "")]
+
+
 def test_levels_by_hand_survive(spark, tmp_path):
     note = tmp_path / "notes.json"
     note.write_text('{"images": {"a": {"rating": 1, "audience": "PG-13"}, "b": {"audience": "nc17"}, "c": {"rating": 2}}}')
