@@ -174,7 +174,9 @@ def advice(prompts: DataFrame, judged: DataFrame, missed: DataFrame | None = Non
     # each text is read once; no weight is written without a bracket
     made = F.struct(_labels(F.col("prompt")).alias("labels"), F.when(F.col("adds").isNotNull(), F.lower("prompt")).alias("low"), F.when(F.contains("prompt", F.lit("(")), F.col("prompt")).alias("marked"))
     own = own.select("id", "scope", "adds", F.explode(F.array(made)).alias("x"))
-    lacking = F.slice(F.filter("adds", lambda x: ~F.contains(F.col("x.low"), x["label"])), 1, 2)
+    lack = lambda adds: F.slice(F.filter(adds, lambda x: ~F.contains(F.col("x.low"), x["label"])), 1, 2)
+    # most prompts lack two of the first few; the whole list is looked through for the others
+    lacking = F.when(F.size(lack(F.slice("adds", 1, FEW))) == 2, lack(F.slice("adds", 1, FEW))).otherwise(lack(F.col("adds")))
     own = own.select("id", "scope", "x.labels", F.explode(F.array(F.struct("x.marked", lacking.alias("lacking")))).alias("x"))
     # of its phrases those that tell something are kept, and one row (k = -1, under the id so that such rows spread) with the rest
     rest = F.struct(F.lit(-1).alias("k"), F.col("id").cast("string").alias("label"), F.col("x").alias("x"))
